@@ -1,0 +1,5 @@
+"""Intentionally empty: the system this engine replaces is batch only, it has no streams.
+
+Bronze, repair and mask operators that work row by row are plain projections and run on a
+streaming frame unchanged.
+"""
