@@ -67,7 +67,7 @@ def _profile(start: str, table: str, columns: dict[str, str], source: str | None
         if dtype.startswith(("bigint", "int", "decimal", "double", "boolean")):
             number = f'CAST(CAST("{name}" AS INT) AS DOUBLE)' if dtype == "boolean" else f'CAST("{name}" AS DOUBLE)'
             figures = (f"MIN({number}) AS min, MAX({number}) AS max, {_rounded_mean(number)} AS mean, "
-                       f"ROUND(MEDIAN({number}), 2) AS median")
+                       f"CAST(ROUND(MEDIAN(CAST({number} AS DECIMAL(18,4))), 2) AS DOUBLE) AS median")
         parts.append(
             f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", '{dtype}' AS dtype, COUNT(*) - COUNT(\"{name}\") AS nulls, "
             f"ROUND(CAST(COUNT(*) - COUNT(\"{name}\") AS DOUBLE) / COUNT(*) * 100, 2) AS null_pct, "
