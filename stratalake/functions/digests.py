@@ -33,7 +33,7 @@ def row_identity(names: Sequence[str]) -> Column:
     for name in names:
         text = F.col(name).cast("string")
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~")))
-    return F.sha2(F.concat(*parts), 256)
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def short_key(text: Column) -> Column:

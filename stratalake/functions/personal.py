@@ -52,53 +52,52 @@ def _without(found: Column, safe: Sequence[str]) -> Column:
     return F.filter(found, lambda value: ~F.lower(value).isin(*safe))
 
 
-def _start_positions(text: Column, found: Column, pattern: str) -> Column:
-    """0-based start of each match, counted in characters.
+def email_gaps(text: Column) -> Column:
+    """Lengths of the stretches between the addresses of a text, in characters."""
+    return F.transform(F.split(text, EMAIL_PATTERN, -1), F.length)
 
-    Splitting at the pattern gives the gaps between matches, so a match starts after all the
-    gaps up to it and all the matches before it. The running sum is folded once over the
-    matches.
+
+def phone_gaps(text: Column) -> Column:
+    return F.transform(F.split(text, _PHONE, -1), F.length)
+
+
+def _start_positions(found: Column, gaps: Column) -> Column:
+    """0-based start of each match.
+
+    A match starts after all the gaps up to it and all the matches before it, so one fold over
+    the matches gives every start.
     """
-    gap_lengths = F.transform(F.split(text, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("edge"), F.array().cast("array<int>").alias("starts"))
 
     def step(done: Column, index: Column) -> Column:
-        begin = done["edge"] + F.get(gap_lengths, index)
+        begin = done["edge"] + F.get(gaps, index)
         return F.struct(
             (begin + F.length(F.get(found, index))).alias("edge"),
-            F.concat(done["starts"], F.array(begin)).alias("starts"),
+            F.array_append(done["starts"], begin).alias("starts"),
         )
 
-    indexes = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.aggregate(indexes, start, step, lambda done: done["starts"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda done: done["starts"])
+
 
+def locate(found: Column, gaps: Column, kind: str) -> Column:
+    """Array of (type, value, position) from matches and gaps; null when there is no match.
 
-def locate(text: Column, found: Column, pattern: str, kind: str) -> Column:
-    """Array of (type, value, position) for the matches ``found`` of ``pattern`` in ``text``."""
-    starts = _start_positions(text, found, pattern)
+    Give existing columns, not expressions: they are read once for every match.
+    """
     hits = F.transform(
-        F.arrays_zip(found.alias("value"), starts.alias("position")),
+        F.arrays_zip(found.alias("value"), _start_positions(found, gaps).alias("position")),
         lambda hit: F.struct(
             F.lit(kind).alias("type"),
             hit["value"].alias("value"),
             hit["position"].alias("position"),
         ),
     )
-    # Most texts hold nothing: they skip the second pass over the text.
     return F.when(F.size(found) > 0, hits)
 
 
-def locate_emails(text: Column, found: Column, site: Site = DEFAULT_SITE) -> Column:
+def off_placeholder(hits: Column, site: Site = DEFAULT_SITE) -> Column:
     """Located addresses other than the placeholder."""
-    return F.filter(
-        locate(text, found, EMAIL_PATTERN, "email"),
-        lambda hit: F.lower(hit["value"]) != site.missing_email,
-    )
-
-
-def locate_phones(text: Column, found: Column) -> Column:
-    return locate(text, found, _PHONE, "phone")
+    return F.filter(hits, lambda hit: F.lower(hit["value"]) != site.missing_email)
 
 
 def find_personal_cued(text: Column, site: Site = DEFAULT_SITE) -> Column:

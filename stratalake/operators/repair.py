@@ -35,14 +35,16 @@ def fill_null_int(df: DataFrame, name: str, value: int = 0) -> DataFrame:
     return df.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(value)))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], unique_order: bool = False) -> DataFrame:
     """First row per key in the given order; null keys form one group.
 
     Written as ``row_number() = 1``, which Spark also applies before the shuffle: each task
     sends at most one row per key, so a hot key costs no more than any other.
-    The remaining columns break ties, so the surviving row never depends on the run.
+    Unless the order columns are known to be unique, all other columns break ties, so the
+    surviving row never depends on the run. With a unique order, columns nobody asks for later
+    are never read.
     """
-    ties = [c for c in df.columns if c not in (*keys, *order_by)]
+    ties = [] if unique_order else [c for c in df.columns if c not in (*keys, *order_by)]
     order = Window.partitionBy(*keys).orderBy(*order_by, *ties)
     return df.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalake.functions.scalars import is_blank
+from stratalake.session import broadcast_if_small, pin
 from stratalake.settings import INVALID_PHONE, ORDER_STATES
 
 REPORT_SCHEMA = (
@@ -83,28 +84,43 @@ RULES = (
 )
 
 
+def rows_with_keys(df: DataFrame, keys: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Rows whose columns equal a row of ``keys``; nulls are equal. ``columns``: column to key column.
+
+    The keys are written once and counted. A proven small set is broadcast, so that the rows
+    themselves are not shuffled; a larger one is joined by shuffle, where adaptive execution
+    splits a hot key.
+    """
+    found, _ = broadcast_if_small(pin(keys))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in columns.items()])
+    return df.join(found, same, "left_semi")
+
+
 def rows_of_repeated_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once, not just the extra ones.
 
-    Keys are counted first (partial counts before the shuffle), then the rows are looked up by
-    a semi join, which adaptive execution splits where one key is hot. A window over the key
-    would put all rows of that key into one task.
+    Keys are counted first, with partial counts before the shuffle, and the rows are then looked
+    up. A window over the key would put all rows of a hot key into one task.
     """
-    repeated = (
-        df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias("_n")).filter("_n > 1")
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return df.join(repeated, same, "left_semi")
+    counted = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias("_n"))
+    return rows_with_keys(df, counted.filter("_n > 1").drop("_n"), {k: f"_k_{k}" for k in keys})
 
 
-def orphans(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Rows whose reference is not in the parent; a null reference counts as missing.
+def orphan_keys(keys: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """Rows of ``keys`` whose reference is not in the parent; a null reference counts as missing.
 
     Parent keys are made distinct first: that needs no shuffle of its own, and a key that fills
     much of the parent arrives once per task.
     """
     known = parent.select(F.col(parent_column).alias("_parent")).distinct()
-    return df.join(known, F.col(column) == F.col("_parent"), "left_anti")
+    return keys.join(known, F.col(column) == F.col("_parent"), "left_anti")
+
+
+def orphans(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """Rows whose reference is not in the parent. Only distinct references are compared."""
+    references = df.select(F.col(column).alias("_reference")).distinct()
+    return rows_with_keys(
+        df, orphan_keys(references, "_reference", parent, parent_column), {column: "_reference"})
 
 
 def violating_rows(rule: Rule, df: DataFrame, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
@@ -152,7 +168,7 @@ def check_table(
         elif rule.refers_to is not None:
             column, parent, parent_column = rule.refers_to
             per_key = df.groupBy(column).agg(F.count("*").alias("_n"))
-            lost = orphans(per_key, column, parents[parent], parent_column)
+            lost = orphan_keys(per_key, column, parents[parent], parent_column)
             parts.append(lost.agg(F.sum("_n").alias("_v")).select(*_report(rule, F.col("_v"))))
 
     if not parts:

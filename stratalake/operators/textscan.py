@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stratalake.functions.personal import (
-    email_matches, find_personal_cued, locate_emails, locate_phones, phone_matches, redact_all, redact_found,
+    email_gaps, email_matches, find_personal_cued, locate, off_placeholder, phone_gaps, phone_matches, redact_all,
+    redact_found,
 )
 from stratalake.settings import DEFAULT_SITE, Site
 
@@ -13,18 +14,21 @@ from stratalake.settings import DEFAULT_SITE, Site
 def findings(df: DataFrame, key: str, text: str, site: Site = DEFAULT_SITE) -> DataFrame:
     """(key, type, value, position) of every address and phone-like run.
 
-    Texts without a match leave after the first pass; only the others are searched for the
-    positions.
+    Matches and gaps are columns of their own, each found once per text; only texts with a
+    match are split a second time for the positions.
     """
     source = F.col(text)
     matched = df.select(key, text, email_matches(source).alias("_emails"), phone_matches(source).alias("_phones"))
-    hit = matched.filter((F.size("_emails") > 0) | (F.size("_phones") > 0))
+    split_up = matched.withColumns({
+        "_email_gaps": F.when(F.size("_emails") > 0, email_gaps(source)),
+        "_phone_gaps": F.when(F.size("_phones") > 0, phone_gaps(source)),
+    })
     none = F.array().cast("array<struct<type:string,value:string,position:int>>")
     located = F.concat(
-        F.coalesce(locate_emails(source, F.col("_emails"), site), none),
-        F.coalesce(locate_phones(source, F.col("_phones")), none),
+        F.coalesce(off_placeholder(locate(F.col("_emails"), F.col("_email_gaps"), "email"), site), none),
+        F.coalesce(locate(F.col("_phones"), F.col("_phone_gaps"), "phone"), none),
     )
-    return hit.select(key, F.inline(located))
+    return split_up.select(key, F.inline(located))
 
 
 def findings_cued(df: DataFrame, key: str, text: str, site: Site = DEFAULT_SITE) -> DataFrame:

@@ -20,7 +20,9 @@ from stratalake.sources.layers import BRONZE, SILVER, Lake
 
 
 def _first_order(df: DataFrame) -> DataFrame:
-    return keep_first(df, ["pedido_id"], [FILE_ORDER] if FILE_ORDER in df.columns else [])
+    """First occurrence in the file; without a recorded file order, the smallest row."""
+    ordered = FILE_ORDER in df.columns
+    return keep_first(df, ["pedido_id"], [FILE_ORDER] if ordered else [], unique_order=ordered)
 
 
 def repairs_of(table: str, site: Site = DEFAULT_SITE) -> list[Repair]:
