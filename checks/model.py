@@ -50,7 +50,7 @@ MODEL = {
                    {order_id} AS pedido_id,
                    CASE WHEN o_orderkey % 211 = 0 THEN -1 - o_custkey WHEN o_orderkey % 997 = 0 THEN NULL
                         ELSE o_custkey END AS cliente_id,
-                   CASE WHEN o_orderkey % 499 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS fecha_pedido,
+                   {order_date} AS fecha_pedido,
                    CASE WHEN o_orderkey % 307 = 0 THEN 'desconocido' WHEN o_orderkey % 311 = 0 THEN NULL
                         WHEN o_orderstatus = 'F' THEN 'entregado'
                         WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'cancelado'
@@ -86,9 +86,13 @@ MODEL = {
         FROM {events}""",
 }
 
-# Bronze orders repeat about 2% of the order ids; silver orders do not.
-REPEATED_ID = "CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 1 ELSE o_orderkey END"
-UNIQUE_ID = "o_orderkey"
+# Bronze orders repeat about 2% of the order ids and lack some dates; the orders gold reads do not,
+# so a date range reaches the scan.
+BRONZE_ORDERS = {
+    "{order_id}": "CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 1 ELSE o_orderkey END",
+    "{order_date}": "CASE WHEN o_orderkey % 499 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END",
+}
+SILVER_ORDERS = {"{order_id}": "o_orderkey", "{order_date}": "CAST(o_orderdate AS DATE)"}
 
 DRIVER_TABLES = ("customer", "nation", "part", "orders", "lineitem", "events")
 
@@ -97,9 +101,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _text(table: str, repeated: bool) -> str:
+    text = MODEL[table]
+    for mark, expression in (BRONZE_ORDERS if repeated else SILVER_ORDERS).items():
+        text = text.replace(mark, expression)
+    return text
+
+
 def frame(spark: SparkSession, sf_dir: str, table: str, repeated: bool = False) -> DataFrame:
     """One retail table as a Spark frame. ``repeated``: orders as they come, with repeated ids."""
-    text = MODEL[table].replace("{order_id}", REPEATED_ID if repeated else UNIQUE_ID)
+    text = _text(table, repeated)
     used = {name: load(spark, sf_dir, name) for name in DRIVER_TABLES if "{" + name + "}" in text}
     return spark.sql(text, **used)
 
@@ -120,8 +131,8 @@ def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def ctes(repeated: bool = False) -> str:
     """``WITH`` clause that defines the retail tables over the driver's tables."""
     parts = []
-    for table, text in MODEL.items():
-        text = text.replace("{order_id}", REPEATED_ID if repeated else UNIQUE_ID)
+    for table in MODEL:
+        text = _text(table, repeated)
         for name in DRIVER_TABLES:
             text = text.replace("{" + name + "}", name)
         parts.append(f"{table} AS ({text})")

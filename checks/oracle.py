@@ -52,11 +52,14 @@ def _mean(name: str) -> str:
     return f"CAST(SUM({name}) AS DOUBLE) / COUNT({name})"
 
 
-def _rounded_mean(number: str) -> str:
-    """Mean rounded half up to two digits, in whole numbers, so that ties come out exactly."""
-    total = f"CAST(SUM(CAST({number} AS DECIMAL(18,4))) * 10000 AS HUGEINT)"
-    count = f"COUNT({number})"
-    return f"CAST((2 * {total} + 100 * {count}) // (200 * {count}) AS DOUBLE) / 100"
+def _half_up(top: str, bottom: str, digits: int) -> str:
+    """top / bottom rounded half up, in whole numbers, so that ties come out exactly."""
+    top, scale = f"CAST({top} AS HUGEINT)", 10 ** digits
+    return f"CAST(sign({top}) * ((2 * abs({top}) * {scale} + ({bottom})) // (2 * ({bottom}))) AS DOUBLE) / {scale}"
+
+
+def _rounded_mean(number: str, digits: int = 2) -> str:
+    return _half_up(f"SUM(CAST({number} AS DECIMAL(18,4))) * 10000", f"10000 * COUNT({number})", digits)
 
 
 def _profile(start: str, table: str, columns: dict[str, str], source: str | None = None) -> str:
@@ -70,9 +73,9 @@ def _profile(start: str, table: str, columns: dict[str, str], source: str | None
                        f"CAST(ROUND(MEDIAN(CAST({number} AS DECIMAL(18,4))), 2) AS DOUBLE) AS median")
         parts.append(
             f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", '{dtype}' AS dtype, COUNT(*) - COUNT(\"{name}\") AS nulls, "
-            f"ROUND(CAST(COUNT(*) - COUNT(\"{name}\") AS DOUBLE) / COUNT(*) * 100, 2) AS null_pct, "
+            f"{_half_up(f'(COUNT(*) - COUNT({chr(34)}{name}{chr(34)})) * 100', 'COUNT(*)', 2)} AS null_pct, "
             f"COUNT(DISTINCT \"{name}\") AS \"unique\", "
-            f"ROUND(CAST(COUNT(DISTINCT \"{name}\") AS DOUBLE) / COUNT(*) * 100, 2) AS cardinality_pct, {figures} "
+            f"{_half_up(f'COUNT(DISTINCT {chr(34)}{name}{chr(34)}) * 100', 'COUNT(*)', 2)} AS cardinality_pct, {figures} "
             f"FROM {source or table}")
     return f"{start} " + " UNION ALL ".join(parts)
 
@@ -260,12 +263,12 @@ GOLD = {
     "gold_segmento_clientes": f"""SELECT segmento, COUNT(DISTINCT p.cliente_id) AS total_clientes,
         COUNT(pedido_id) AS total_pedidos, {_money('total_neto')} AS revenue_neto, {_mean('total_neto')} AS ticket_promedio
         FROM pedidos p LEFT JOIN clientes c ON p.cliente_id = c.cliente_id WHERE segmento IS NOT NULL GROUP BY segmento""",
-    "gold_conversion_funnel": """SELECT tipo_evento, total_eventos,
-        COALESCE(ROUND(CAST(total_eventos AS DOUBLE) / lag(total_eventos) OVER (ORDER BY step) - 1, 4), 0) AS conversion_rate
-        FROM (SELECT tipo_evento, COUNT(evento_id) AS total_eventos,
+    "gold_conversion_funnel": f"""SELECT tipo_evento, total_eventos,
+        COALESCE({_half_up('total_eventos - previous', 'previous', 4)}, 0) AS conversion_rate
+        FROM (SELECT *, lag(total_eventos) OVER (ORDER BY step) AS previous FROM (SELECT tipo_evento, COUNT(evento_id) AS total_eventos,
                      list_position(['page_view', 'product_view', 'add_to_cart', 'checkout', 'purchase'], tipo_evento) AS step
               FROM eventos WHERE tipo_evento IN ('page_view', 'product_view', 'add_to_cart', 'checkout', 'purchase')
-              GROUP BY tipo_evento)""",
+              GROUP BY tipo_evento))""",
     "gold_clientes_rfm": """SELECT cliente_id, recency, frequency, CAST(monetary AS DOUBLE) AS monetary,
         6 - fr AS recency_score, ff AS frequency_score, fm AS monetary_score,
         CAST(6 - fr AS VARCHAR) || CAST(ff AS VARCHAR) || CAST(fm AS VARCHAR) AS rfm_score
@@ -279,7 +282,7 @@ GOLD = {
                     FROM pedidos WHERE cliente_id IS NOT NULL GROUP BY cliente_id))""",
     "gold_resumen_calidad": " UNION ALL ".join(
         f"""SELECT '{table}' AS tabla, total_filas, CAST({len(types)} AS BIGINT) AS total_columnas, CAST(total_nulos AS BIGINT) AS total_nulos,
-        ROUND(CAST(total_filas * {len(types)} - total_nulos AS DOUBLE) / (total_filas * {len(types)}) * 100, 2) AS pct_completitud
+        {_half_up(f'(total_filas * {len(types)} - total_nulos) * 100', f'total_filas * {len(types)}', 2)} AS pct_completitud
         FROM (SELECT COUNT(*) AS total_filas, {' + '.join(f'(COUNT(*) - COUNT({c}))' for c in types)} AS total_nulos FROM {table})"""
         for table, types in (("clientes", CUSTOMER_TYPES), ("productos", PRODUCT_TYPES), ("pedidos", ORDER_TYPES),
                              ("detalle_pedidos", LINE_TYPES), ("eventos", EVENT_TYPES))),
@@ -298,7 +301,7 @@ def _counts(table: str, column: str) -> str:
 def _nulls(table: str, columns: dict[str, str]) -> str:
     return "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({c}) AS nulls, "
-        f"ROUND(CAST(COUNT(*) - COUNT({c}) AS DOUBLE) / COUNT(*) * 100, 1) AS null_share FROM {table}"
+        f"{_half_up(f'(COUNT(*) - COUNT({c})) * 100', 'COUNT(*)', 1)} AS null_share FROM {table}"
         for c in columns) + ") WHERE nulls > 0"
 
 
@@ -380,17 +383,19 @@ ORACLE: dict[str, str] = {
 
     "q01_top_productos_ingreso": _from_gold("gold_top_productos", """SELECT producto_id, nombre_producto, categoria,
         unidades_vendidas, ROUND(revenue, 2) AS revenue FROM gold_top_productos ORDER BY revenue DESC, producto_id LIMIT 10"""),
-    "q02_ventas_por_pais": _from_gold("gold_ventas_por_pais", """SELECT pais_envio AS pais, total_pedidos,
-        ROUND(revenue_neto, 2) AS revenue_neto, ROUND(ticket_promedio, 2) AS ticket_promedio FROM gold_ventas_por_pais"""),
-    "q03_conversion_por_canal": _from_gold("gold_ventas_por_canal", """SELECT canal, total_pedidos,
-        ROUND(revenue_neto, 2) AS revenue_neto, ROUND(revenue_neto / total_pedidos, 2) AS revenue_por_pedido
-        FROM gold_ventas_por_canal"""),
+    "q02_ventas_por_pais": f"""{SILVER} SELECT pais_envio AS pais, COUNT(pedido_id) AS total_pedidos,
+        ROUND({_money('total_neto')}, 2) AS revenue_neto, {_rounded_mean('total_neto')} AS ticket_promedio
+        FROM pedidos WHERE pais_envio IS NOT NULL GROUP BY pais_envio""",
+    "q03_conversion_por_canal": f"""{SILVER} SELECT canal, COUNT(pedido_id) AS total_pedidos,
+        ROUND({_money('total_neto')}, 2) AS revenue_neto,
+        {_half_up('SUM(total_neto) * 100', '100 * COUNT(pedido_id)', 2)} AS revenue_por_pedido
+        FROM pedidos WHERE canal IS NOT NULL GROUP BY canal""",
     "q04_clientes_b2b_grandes": f"""{SILVER} SELECT p.cliente_id, segmento, COUNT(pedido_id) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS total_compras FROM pedidos p JOIN clientes c ON p.cliente_id = c.cliente_id
         WHERE segmento = 'B2B' GROUP BY p.cliente_id, segmento HAVING SUM(total_neto) > 500000""",
     "q05_comparativa_paises": f"""{SILVER} SELECT pais_envio AS pais, COUNT(*) AS total_pedidos,
-        ROUND({_money('total_neto')}, 2) AS revenue_neto, ROUND({_mean('total_neto')}, 2) AS ticket_promedio,
-        ROUND({_mean('descuento_pct')} * 100, 2) AS descuento_prom_pct
+        ROUND({_money('total_neto')}, 2) AS revenue_neto, {_rounded_mean('total_neto')} AS ticket_promedio,
+        {_rounded_mean('(descuento_pct * 100)')} AS descuento_prom_pct
         FROM pedidos WHERE pais_envio IN ('{COUNTRIES[0]}', '{COUNTRIES[1]}') GROUP BY pais_envio""",
     "q06_top5_productos_periodo": f"""{SILVER} SELECT d.producto_id, nombre_producto, categoria,
         CAST(SUM(cantidad) AS BIGINT) AS unidades, ROUND({_money('subtotal')}, 2) AS revenue
@@ -400,7 +405,7 @@ ORACLE: dict[str, str] = {
     "q07_metodo_pago_por_pais": f"""{SILVER} SELECT pais_envio AS pais, metodo_pago, COUNT(*) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS revenue_neto FROM pedidos GROUP BY pais_envio, metodo_pago""",
     "q08_tasa_cancelacion_devolucion": f"""{SILVER} SELECT estado, COUNT(*) AS total,
-        ROUND(CAST(COUNT(*) * 100 AS DOUBLE) / (SELECT COUNT(*) FROM pedidos), 2) AS porcentaje
+        {_half_up('COUNT(*) * 100', '(SELECT COUNT(*) FROM pedidos)', 2)} AS porcentaje
         FROM pedidos WHERE estado IN ('cancelado', 'devuelto') GROUP BY estado""",
     "q09_margen_bruto_categoria": f"""{SILVER} SELECT categoria,
         ROUND(AVG((CAST(precio_venta AS DOUBLE) - CAST(costo AS DOUBLE)) / CAST(precio_venta AS DOUBLE) * 100), 2) AS margen_bruto_pct,
@@ -408,10 +413,9 @@ ORACLE: dict[str, str] = {
         FROM detalle_pedidos d JOIN productos p ON d.producto_id = p.producto_id GROUP BY categoria""",
     "q10_actividad_horaria": f"""{SILVER} SELECT EXTRACT(HOUR FROM timestamp) AS hora, tipo_evento, COUNT(*) AS total_eventos
         FROM eventos GROUP BY 1, 2""",
-    "q11_segmentacion_rfm": _from_gold("gold_clientes_rfm", """SELECT rfm_score, COUNT(*) AS total_clientes,
-        ROUND(CAST(SUM(recency) AS DOUBLE) / COUNT(recency), 1) AS recency_promedio,
-        ROUND(CAST(SUM(frequency) AS DOUBLE) / COUNT(*), 1) AS frequency_promedio,
-        ROUND(CAST(SUM(CAST(monetary AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*), 2) AS monetary_promedio
+    "q11_segmentacion_rfm": _from_gold("gold_clientes_rfm", f"""SELECT rfm_score, COUNT(*) AS total_clientes,
+        {_rounded_mean('recency', 1)} AS recency_promedio, {_rounded_mean('frequency', 1)} AS frequency_promedio,
+        {_rounded_mean('monetary')} AS monetary_promedio
         FROM gold_clientes_rfm GROUP BY rfm_score ORDER BY total_clientes DESC, rfm_score LIMIT 20"""),
     "q12_cohorte_retencion_mensual": f"""{SILVER},
         first_month AS (SELECT cliente_id, CAST(date_trunc('month', MIN(fecha_pedido)) AS DATE) AS cohorte FROM pedidos GROUP BY cliente_id),
@@ -424,8 +428,9 @@ ORACLE: dict[str, str] = {
         ROUND(revenue_neto, 0) AS revenue_neto FROM gold_ventas_por_pais"""),
     "productos_mas_vendidos": _from_gold("gold_top_productos", """SELECT nombre_producto, categoria, unidades_vendidas,
         ROUND(revenue, 0) AS revenue FROM (SELECT * FROM gold_top_productos ORDER BY revenue DESC, producto_id LIMIT 10)"""),
-    "ticket_promedio_por_canal": _from_gold("gold_ventas_por_canal", """SELECT canal,
-        ROUND(revenue_neto / total_pedidos, 0) AS ticket_promedio FROM gold_ventas_por_canal"""),
+    "ticket_promedio_por_canal": f"""{SILVER} SELECT canal,
+        {_half_up('SUM(total_neto) * 100', '100 * COUNT(pedido_id)', 0)} AS ticket_promedio
+        FROM pedidos WHERE canal IS NOT NULL GROUP BY canal""",
     "metodo_pago_en_pais": f"""{SILVER} SELECT metodo_pago, COUNT(*) AS total_pedidos FROM pedidos
         WHERE pais_envio = '{COUNTRIES[0]}' GROUP BY metodo_pago""",
     "clientes_por_segmento": f"""{SILVER} SELECT segmento, COUNT(*) AS total_clientes FROM clientes
@@ -462,7 +467,7 @@ ORACLE: dict[str, str] = {
                COALESCE(n, 0) AS rows
         FROM range(20) AS b(bin) CROSS JOIN edge LEFT JOIN counted ON counted.bin = b.bin""",
     "category_share": f"""{SILVER} SELECT dispositivo, COUNT(*) AS rows,
-        ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(dispositivo) FROM eventos) * 100, 1) AS share_pct
+        {_half_up('COUNT(*) * 100', '(SELECT COUNT(dispositivo) FROM eventos)', 1)} AS share_pct
         FROM eventos WHERE dispositivo IS NOT NULL GROUP BY dispositivo""",
     "table_shapes": f"{BRONZE} " + " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", COUNT(*) AS total_rows, CAST({n} AS BIGINT) AS total_cols FROM {t}"

@@ -56,7 +56,7 @@ def stable_mean(number: Column) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """Share in percent, rounded half up; 0 when the whole is 0."""
-    return F.coalesce(F.round(ratio(part, whole) * 100, digits), F.lit(0.0))
+    return F.coalesce(F.round(ratio(part * 100, whole), digits), F.lit(0.0))
 
 
 def lenient(column: Column, target: T.DataType) -> Column:

@@ -85,5 +85,5 @@ def category_share(df: DataFrame, column: str) -> DataFrame:
     """Rows per value and their share of all non-null rows in percent."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
     whole = counts.agg(F.sum("rows")).scalar()
-    return counts.select(column, "rows", F.round(ratio(F.col("rows"), whole) * 100, 1).alias("share_pct")).orderBy(
+    return counts.select(column, "rows", F.round(ratio(F.col("rows") * 100, whole), 1).alias("share_pct")).orderBy(
         F.desc("rows"), column)

@@ -19,7 +19,8 @@ def conversion_funnel(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) ->
         F.count("evento_id").alias("total_eventos"))
     position = F.array_position(F.array(*[F.lit(s) for s in steps]), F.col("tipo_evento"))
     by_step = Window.orderBy("_step")
-    change = ratio(F.col("total_eventos"), F.lag("total_eventos").over(by_step)) - 1
+    previous = F.lag("total_eventos").over(by_step)
+    change = ratio(F.col("total_eventos") - previous, previous)
     return (
         counts.withColumn("_step", position)
         .withColumn("conversion_rate", F.coalesce(F.round(change, 4), F.lit(0.0)))

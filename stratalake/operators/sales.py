@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratalake.functions.scalars import as_double, exact_mean, exact_sum, ratio
+from stratalake.functions.scalars import MONEY, as_double, exact_mean, exact_sum, ratio
 
 
 def sales_by_country(orders: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def sales_by_country(orders: DataFrame) -> DataFrame:
             F.count("pedido_id").alias("total_pedidos"),
             as_double(exact_sum("total_bruto")).alias("revenue_bruto"),
             as_double(exact_sum("total_neto")).alias("revenue_neto"),
-            exact_mean("total_neto").alias("ticket_promedio"),
+            exact_mean("total_neto", MONEY).alias("ticket_promedio"),
         )
         .orderBy(F.desc("revenue_neto"), "pais_envio")
     )

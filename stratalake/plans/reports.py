@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalake.functions.scalars import as_double, exact_mean, exact_sum, ratio
+from stratalake.functions.scalars import MONEY, as_double, exact_mean, exact_sum, ratio
 from stratalake.settings import LOST_STATES
 from stratalake.sources.layers import Lake
 
@@ -64,8 +64,8 @@ def compare_countries(orders: DataFrame, first: str = "Colombia", second: str =
     return orders.filter(F.col("pais_envio").isin(first, second)).groupBy(F.col("pais_envio").alias("pais")).agg(
         F.count("*").alias("total_pedidos"),
         F.round(as_double(exact_sum("total_neto")), 2).alias("revenue_neto"),
-        F.round(exact_mean("total_neto"), 2).alias("ticket_promedio"),
-        F.round(exact_mean("descuento_pct") * 100, 2).alias("descuento_prom_pct"),
+        F.round(exact_mean("total_neto", MONEY), 2).alias("ticket_promedio"),
+        F.round(exact_mean(F.col("descuento_pct") * 100), 2).alias("descuento_prom_pct"),
     )
 
 
