@@ -109,6 +109,8 @@ class GovernedSql:
         for name, df in self.frames.items():
             df.createOrReplaceGlobalTempView(_global_name(name))
         self.session = spark.newSession()
+        for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+            self.session.conf.set(setting, spark.conf.get(setting))
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.session.sql(f"USE {EMPTY_DATABASE}")
         for name in self.frames:
