@@ -18,7 +18,7 @@ def is_missing(name: str, dtype: T.DataType) -> Column:
 
 def is_blank(column: Column) -> Column:
     """Null, empty or only white space."""
-    return column.isNull() | column.rlike(r"^\s*$")
+    return column.isNull() | column.rlike(r"(?U)^\s*$")
 
 
 def exact_sum(column: Column | str, scale: T.DecimalType = MONEY) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalake.functions.scalars import exact_mean, is_blank, is_missing, percent, ratio
+from stratalake.functions.scalars import is_blank, is_missing, percent, ratio, stable_mean
 from stratalake.operators.repair import surplus_rows
 
 
@@ -40,7 +40,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     return df.agg(
         F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"),
-        exact_mean(column).alias("mean"))
+        stable_mean(F.col(column).cast("double")).alias("mean"))
 
 
 def count_where(df: DataFrame, condition: Column) -> DataFrame:

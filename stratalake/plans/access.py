@@ -132,7 +132,7 @@ class GovernedSql:
 
     def schema(self, table: str) -> DataFrame:
         """Columns of an allowed table: aggregate tables as built, source tables from the dictionary."""
-        if table not in ALLOWED_TABLES:
+        if table not in self.frames:
             raise QueryRefused(f"'{table}' is not a governed table")
         if table in GOLD_TABLES or self.dictionary is None:
             return schema_listing(self.dictionary, table, built=self.frames[table])

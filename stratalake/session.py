@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# A side is broadcast by hint only when it was counted and has at most this many narrow rows.
+# A side is broadcast by hint only when it was measured and stays within both bounds.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def build_session(app: str = "stratalake", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,12 +61,14 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Mark a pinned lookup table for broadcast if a count proves it small.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
+) -> tuple[DataFrame, bool]:
+    """Mark a pinned lookup table for broadcast if its rows and bytes are measured to be few.
 
-    Returns the frame and whether it was marked; the count reads at most ``max_rows + 1`` rows.
+    Returns the frame and whether it was marked. Measuring reads at most ``max_rows + 1`` rows.
     """
-    from pyspark.sql import functions as F
-
-    small = df.limit(max_rows + 1).count() <= max_rows
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    small = rows <= max_rows and size <= max_bytes
     return (F.broadcast(df) if small else df), small

@@ -72,6 +72,13 @@ def test_funnel_skips_missing_steps(spark):
         ("page_view", 100, 0.0), ("add_to_cart", 60, -0.4), ("purchase", 90, 0.5)]
 
 
+def test_empty_orders_give_empty_tables(orders):
+    none = orders.limit(0)
+    for table in (rfm_scores(none), sales_by_country(none), monthly_sales(none), reports.monthly_retention(none),
+                  reports.lost_order_share(none)):
+        assert table.count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 7])
 def test_rfm_of_few_customers(spark, n):
     data = [order(f"P{i}", f"C{i}", f"2024-01-{i + 1:02d}", net=i) for i in range(n)]

@@ -67,9 +67,20 @@ def test_median_fill_with_very_many_groups(spark, monkeypatch):
     assert got == pandas_fill(df.toPandas().sort_values("id")).tolist()
 
 
+def test_long_keys_are_not_broadcast(spark):
+    from stratalake.session import broadcast_if_small
+
+    long = spark.range(100).select(F.repeat(F.lit("x"), 100_000).alias("k"))
+    assert not broadcast_if_small(long)[1]
+    assert broadcast_if_small(long.limit(10))[1]
+    assert not broadcast_if_small(spark.range(20), max_rows=19)[1]
+    assert broadcast_if_small(long.limit(0))[1]
+
+
 def test_nothing_to_take_a_median_from(spark):
     df = spark.createDataFrame([("a", None), ("b", None)], "g string, v double")
     assert rows(fill_group_median(df, "g", "v")) == [("a", None), ("b", None)]
+    assert rows(fill_group_median(df.limit(0), "g", "v")) == []
 
 
 def test_log_counts_and_order_of_repairs(spark):
