@@ -194,6 +194,7 @@ TEXTS = """texts AS (
         WHEN 2 THEN ' 57300' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || ' unknown@example.com'
         ELSE '' END AS body
     FROM documents)"""
+TURNS = "texts AS (SELECT {'conv_id': conv_id, 'turn': turn, 'role': role} AS id, text AS body FROM conversations)"
 PAGES = "texts AS (SELECT page_id AS id, html AS body FROM pages)"
 
 
@@ -366,6 +367,9 @@ ORACLE: dict[str, str] = {
     "redact_documents": _redacted(TEXTS, "doc_id", "text"),
     "redact_pages": _redacted(PAGES, "page_id", "html"),
     "redact_output_documents": _redacted_found(TEXTS, "doc_id", "text"),
+    "pii_findings_conversations": f"SELECT key.conv_id AS conv_id, key.turn AS turn, type, value, position FROM ({_findings(TURNS, 'key')})",
+    "redact_output_conversations": f"""SELECT key.conv_id AS conv_id, key.turn AS turn, key.role AS role, text, pii_found
+        FROM ({_redacted_found(TURNS, 'key', 'text')})""",
     "redact_output_pages": _redacted_found(PAGES, "page_id", "html"),
 
     "silver_clientes": f"{BRONZE}{CLEANED} SELECT {CUSTOMER_COLUMNS} FROM c_clientes",

@@ -216,13 +216,16 @@ QUERIES: dict[str, Query] = {
     "mask_phone_tail": _customers(lambda df: df.withColumn("telefono", mask_phone(F.col("telefono"))), "telefono"),
     "mask_customers": lambda spark, sf: plain(masking.mask_customers(frame(spark, sf, "clientes"))),
 
-    "pii_findings_documents": lambda spark, sf: plain(textscan.findings(_texts(spark, sf), "doc_id", "text")),
-    "pii_findings_pages": lambda spark, sf: plain(textscan.findings(_pages(spark, sf), "page_id", "html")),
-    "pii_findings_cued_documents": lambda spark, sf: textscan.findings_cued(_texts(spark, sf), "doc_id", "text"),
-    "pii_findings_cued_pages": lambda spark, sf: textscan.findings_cued(_pages(spark, sf), "page_id", "html"),
+    "pii_findings_documents": lambda spark, sf: plain(textscan.findings(_texts(spark, sf), ["doc_id"], "text")),
+    "pii_findings_pages": lambda spark, sf: plain(textscan.findings(_pages(spark, sf), ["page_id"], "html")),
+    "pii_findings_cued_documents": lambda spark, sf: textscan.findings_cued(_texts(spark, sf), ["doc_id"], "text"),
+    "pii_findings_cued_pages": lambda spark, sf: textscan.findings_cued(_pages(spark, sf), ["page_id"], "html"),
     "redact_documents": lambda spark, sf: textscan.redact(_texts(spark, sf), "text"),
     "redact_pages": lambda spark, sf: textscan.redact(_pages(spark, sf), "html"),
     "redact_output_documents": lambda spark, sf: textscan.redact_output(_texts(spark, sf), "text"),
+    "pii_findings_conversations": lambda spark, sf: plain(
+        textscan.findings(load(spark, sf, "conversations"), ["conv_id", "turn"], "text")),
+    "redact_output_conversations": lambda spark, sf: textscan.redact_output(load(spark, sf, "conversations"), "text"),
     "redact_output_pages": lambda spark, sf: textscan.redact_output(_pages(spark, sf), "html"),
 
     "silver_clientes": _silver("clientes"),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalake.functions.digests import row_identity, short_key
-from stratalake.functions.scalars import is_missing, percent, stable_mean
+from stratalake.functions.scalars import is_missing, percent, ratio, stable_mean
 from stratalake.operators.ordering import medians_of_placed, place_counts
 from stratalake.operators.rules import rows_of_repeated_key
 
@@ -25,6 +25,17 @@ def _number(field: T.StructField) -> Column:
     return F.when(~is_missing(field.name, field.dataType), column.cast("double"))
 
 
+def _mean(field: T.StructField) -> Column:
+    """Mean that does not depend on the order of the rows; whole numbers and decimals are added up as such."""
+    column = F.col(field.name)
+    if isinstance(field.dataType, T.DecimalType):
+        return ratio(F.sum(column), F.count(column))
+    if isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
+        whole = column.cast("int") if isinstance(field.dataType, T.BooleanType) else column
+        return ratio(F.sum(whole.cast(T.DecimalType(38, 0))), F.count(column))
+    return stable_mean(_number(field))
+
+
 def _null_count(field: T.StructField) -> Column:
     return F.count_if(is_missing(field.name, field.dataType))
 
@@ -38,7 +49,7 @@ def _measures(df: DataFrame, approximate: bool) -> DataFrame:
         figures = {"min": None, "max": None, "mean": None}
         if _is_numeric(field.dataType):
             number = _number(field)
-            sums += [F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}"), stable_mean(number).alias(f"mean{i}")]
+            sums += [F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}"), _mean(field).alias(f"mean{i}")]
             figures = {"min": F.col(f"min{i}"), "max": F.col(f"max{i}"), "mean": F.round(F.col(f"mean{i}"), 2)}
         entry = [
             F.lit(field.name).alias("column"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from stratalake.functions.personal import (
@@ -11,14 +13,14 @@ from stratalake.functions.personal import (
 from stratalake.settings import DEFAULT_SITE, Site
 
 
-def findings(df: DataFrame, key: str, text: str, site: Site = DEFAULT_SITE) -> DataFrame:
-    """(key, type, value, position) of every address and phone-like run.
+def findings(df: DataFrame, keys: Sequence[str], text: str, site: Site = DEFAULT_SITE) -> DataFrame:
+    """(*keys, type, value, position) of every address and phone-like run.
 
     Matches and gaps are columns of their own, each found once per text; only texts with a
     match are split a second time for the positions.
     """
     source = F.col(text)
-    matched = df.select(key, text, email_matches(source).alias("_emails"), phone_matches(source).alias("_phones"))
+    matched = df.select(*keys, text, email_matches(source).alias("_emails"), phone_matches(source).alias("_phones"))
     split_up = matched.withColumns({
         "_email_gaps": F.when(F.size("_emails") > 0, email_gaps(source)),
         "_phone_gaps": F.when(F.size("_phones") > 0, phone_gaps(source)),
@@ -28,12 +30,12 @@ def findings(df: DataFrame, key: str, text: str, site: Site = DEFAULT_SITE) -> D
         F.coalesce(off_placeholder(locate(F.col("_emails"), F.col("_email_gaps"), "email"), site), none),
         F.coalesce(locate(F.col("_phones"), F.col("_phone_gaps"), "phone"), none),
     )
-    return split_up.select(key, F.inline(located))
+    return split_up.select(*keys, F.inline(located))
 
 
-def findings_cued(df: DataFrame, key: str, text: str, site: Site = DEFAULT_SITE) -> DataFrame:
-    """(key, type, value); safe addresses left out, phones only in texts that name a phone."""
-    return df.select(key, F.inline(find_personal_cued(F.col(text), site)))
+def findings_cued(df: DataFrame, keys: Sequence[str], text: str, site: Site = DEFAULT_SITE) -> DataFrame:
+    """(*keys, type, value); safe addresses left out, phones only in texts that name a phone."""
+    return df.select(*keys, F.inline(find_personal_cued(F.col(text), site)))
 
 
 def redact(df: DataFrame, text: str) -> DataFrame:

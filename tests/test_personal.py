@@ -48,12 +48,12 @@ def python_findings(text, positions):
 
 def test_findings_with_positions(texts):
     want = sorted((i, *hit) for i, text in enumerate(TEXTS) for hit in python_findings(text, True))
-    assert sorted(tuple(r) for r in findings(texts, "id", "text", SITE).collect()) == want
+    assert sorted(tuple(r) for r in findings(texts, ["id"], "text", SITE).collect()) == want
 
 
 def test_findings_with_cue(texts):
     want = sorted((i, *hit[:2]) for i, text in enumerate(TEXTS) for hit in python_findings(text, False))
-    assert sorted(tuple(r) for r in findings_cued(texts, "id", "text", SITE).collect()) == want
+    assert sorted(tuple(r) for r in findings_cued(texts, ["id"], "text", SITE).collect()) == want
 
 
 def test_redact_everything(texts):
@@ -76,13 +76,13 @@ def test_whole_documents_against_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
         "doc_id", F.concat("text", F.lit(" 300 1234567 x@y.example "), "text").alias("text"))
     want = sorted((r.doc_id, *hit) for r in docs.collect() for hit in python_findings(r.text, True))
-    assert sorted(tuple(r) for r in findings(docs, "doc_id", "text", SITE).collect()) == want
+    assert sorted(tuple(r) for r in findings(docs, ["doc_id"], "text", SITE).collect()) == want
 
 
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"u{i}@mail.example 30012345{i % 90 + 10}" for i in range(2000))
     df = spark.createDataFrame([(1, text)], "id int, text string")
-    assert sorted(tuple(r)[1:] for r in findings(df, "id", "text", SITE).collect()) == sorted(python_findings(text, True))
+    assert sorted(tuple(r)[1:] for r in findings(df, ["id"], "text", SITE).collect()) == sorted(python_findings(text, True))
 
 
 def test_phone_masks(spark):
