@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalake.functions.scalars import as_double, exact_sum
 from stratalake.operators.ordering import rank_bucket, with_rank
 
 SCORES = 5
+FIGURES = ("recency", "frequency", "monetary")
+FIGURE = T.DecimalType(28, 2)  # holds days, counts and money sums exactly
 
 
 def customer_activity(orders: DataFrame) -> DataFrame:
@@ -29,18 +31,30 @@ def customer_activity(orders: DataFrame) -> DataFrame:
 def rfm_scores(orders: DataFrame) -> DataFrame:
     """Activity with three scores from 1 to 5 and their code. Fewer days score higher.
 
-    Scores are fifths of the rank, ties ranked by customer id. Each rank is one range shuffle
-    of the customer table; nothing is ordered in a single task.
+    Scores are fifths of the rank, ties ranked by customer id. The three figures of a customer
+    become three rows, so that one range placement by (figure, value, id) ranks all three; every
+    figure takes up the same number of ranks. Nothing is ordered in a single task.
     """
-    scored = customer_activity(orders)
-    for metric in ("recency", "frequency", "monetary"):
-        order = [F.col(metric).asc_nulls_last(), F.col("cliente_id").asc()]
-        ranked = with_rank(scored, order, "_rank", "_customers")
-        fifth = rank_bucket(F.col("_rank"), F.col("_customers"), SCORES)
-        score = SCORES + 1 - fifth if metric == "recency" else fifth
-        scored = ranked.withColumn(f"{metric}_score", score).drop("_rank", "_customers")
-    return scored.select(
-        "cliente_id", "recency", "frequency", as_double("monetary").alias("monetary"),
-        "recency_score", "frequency_score", "monetary_score",
-        F.concat(*[F.col(f"{m}_score").cast("string") for m in ("recency", "frequency", "monetary")]).alias("rfm_score"),
+    activity = customer_activity(orders)
+    figures = [
+        F.struct(F.lit(i).alias("_figure"), F.col(name).cast(FIGURE).alias("_value")) for i, name in enumerate(FIGURES)]
+    tall = activity.select("cliente_id", F.inline(F.array(*figures)))
+    order = [F.col("_figure").asc(), F.col("_value").asc_nulls_last(), F.col("cliente_id").asc()]
+    ranked = with_rank(tall, order, "_rank", "_rows")
+    customers = (F.col("_rows") / len(FIGURES)).cast("bigint")
+    fifth = rank_bucket(F.col("_rank") - F.col("_figure") * customers, customers, SCORES)
+    scored = ranked.withColumn("_score", F.when(F.col("_figure") == 0, SCORES + 1 - fifth).otherwise(fifth))
+
+    def of(name: str, column: str) -> Column:
+        return F.max(F.when(F.col("_figure") == FIGURES.index(name), F.col(column)))
+
+    return (
+        scored.groupBy("cliente_id")
+        .agg(
+            of("recency", "_value").cast("bigint").alias("recency"),
+            of("frequency", "_value").cast("bigint").alias("frequency"),
+            as_double(of("monetary", "_value")).alias("monetary"),
+            *[of(name, "_score").alias(f"{name}_score") for name in FIGURES],
+        )
+        .withColumn("rfm_score", F.concat(*[F.col(f"{name}_score").cast("string") for name in FIGURES]))
     )
