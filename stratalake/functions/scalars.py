@@ -16,6 +16,11 @@ def is_missing(name: str, dtype: T.DataType) -> Column:
     return column.isNull()
 
 
+def as_number(column: Column | str) -> Column:
+    """Double, with NaN as null."""
+    return F.nullif(as_double(column), F.lit(float("nan")))
+
+
 def is_blank(column: Column) -> Column:
     """Null, empty or only white space."""
     return column.isNull() | column.rlike(r"(?U)^\s*$")

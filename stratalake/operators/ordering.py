@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratalake.functions.scalars import as_number
 from stratalake.session import pin
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition above, row number below
@@ -102,6 +103,6 @@ def medians_of_placed(
 
 def group_medians(df: DataFrame, groups: Sequence[str], value: str, out: str = "median") -> DataFrame:
     """Exact median per group, nulls left out. Equal values are counted before the shuffle."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    placed = place_counts(counts, [*groups, value])
-    return medians_of_placed(placed, groups, value, "_n", out=out)
+    numbers = df.select(*groups, as_number(value).alias("_v")).filter(F.col("_v").isNotNull())
+    counts = numbers.groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    return medians_of_placed(place_counts(counts, [*groups, "_v"]), groups, "_v", "_n", out=out)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalake.functions.digests import row_identity, short_key
-from stratalake.functions.scalars import is_missing, percent, ratio, stable_mean
+from stratalake.functions.scalars import as_number, is_missing, percent, ratio, stable_mean
 from stratalake.operators.ordering import medians_of_placed, place_counts
 from stratalake.operators.rules import rows_of_repeated_key
 
@@ -20,9 +20,7 @@ def _is_numeric(dtype: T.DataType) -> bool:
 def _number(field: T.StructField) -> Column:
     """The column as double; booleans count as 0 and 1, NaN as null."""
     column = F.col(field.name)
-    if isinstance(field.dataType, T.BooleanType):
-        column = column.cast("int")
-    return F.when(~is_missing(field.name, field.dataType), column.cast("double"))
+    return as_number(column.cast("int") if isinstance(field.dataType, T.BooleanType) else column)
 
 
 def _mean(field: T.StructField) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalake.functions.scalars import is_blank
+from stratalake.functions.scalars import as_number, is_blank
 from stratalake.operators.ordering import medians_of_placed, place_counts
 from stratalake.session import broadcast_if_small, pin
 
@@ -56,18 +56,19 @@ def fill_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     computed when some null row has no group median (group all null, or group name null).
     """
     columns = df.columns
-    number = F.col(value).cast("double")
-    counts = df.filter(number.isNotNull()).groupBy(group, number.alias("_v")).agg(F.count("*").alias("_n"))
+    number = as_number(value)
+    # One pass: equal values are counted, and the nulls of a group are one more value.
+    counts = df.groupBy(group, number.alias("_v")).agg(F.count("*").alias("_n"))
     placed = place_counts(counts, [group, "_v"])
-    medians = medians_of_placed(placed, [group], "_v", "_n", out="_median").filter(F.col(group).isNotNull())
-
-    gaps = df.filter(number.isNull()).groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_gaps"))
+    present = placed.filter(F.col("_v").isNotNull())
+    medians = medians_of_placed(present, [group], "_v", "_n", out="_median").filter(F.col(group).isNotNull())
+    gaps = placed.filter(F.col("_v").isNull()).select(F.col(group).alias("_group"), F.col("_n").alias("_gaps"))
     fills = pin(
         gaps.join(medians, gaps["_group"] == medians[group], "left").select("_group", "_gaps", "_median"))
 
     overall = F.lit(None).cast("double")
     if fills.filter(F.col("_median").isNull()).limit(1).count():
-        values = placed.select("_v", "_n").unionByName(
+        values = present.select("_v", "_n").unionByName(
             fills.filter(F.col("_median").isNotNull()).select(F.col("_median").alias("_v"), F.col("_gaps").alias("_n")))
         merged = values.groupBy("_v").agg(F.sum("_n").alias("_n"))
         ranked = place_counts(merged.withColumn("_all_rows", F.lit(1)), ["_all_rows", "_v"])

@@ -15,7 +15,10 @@ from stratalake.operators.repair import (
     Repair, apply_all, fill_blank, fill_group_median, fill_null, fill_null_int, keep_first, nullify, repair_log,
 )
 from stratalake.operators.rules import check_all
-from stratalake.settings import DEFAULT_SITE, INVALID_PHONE, TABLES, UNKNOWN_CITY, Site
+from stratalake.settings import (
+    ACTION_CITY, ACTION_DURATION, ACTION_EMAIL, ACTION_ORDERS, ACTION_PHONE, ACTION_STOCK, DEFAULT_SITE, INVALID_PHONE,
+    TABLES, UNKNOWN_CITY, Site,
+)
 from stratalake.sources.layers import BRONZE, SILVER, Lake
 
 
@@ -29,22 +32,22 @@ def repairs_of(table: str, site: Site = DEFAULT_SITE) -> list[Repair]:
     """The repairs of a table, in the order they apply."""
     repairs = {
         "clientes": [
-            Repair("clientes", "email", f"null → '{site.missing_email}'",
+            Repair("clientes", "email", ACTION_EMAIL.format(placeholder=site.missing_email),
                    lambda df: fill_null(df, "email", site.missing_email), lambda: F.col("email").isNull()),
-            Repair("clientes", "telefono", f"'{INVALID_PHONE}' → null",
+            Repair("clientes", "telefono", ACTION_PHONE,
                    lambda df: nullify(df, "telefono", INVALID_PHONE), lambda: F.col("telefono") == INVALID_PHONE),
-            Repair("clientes", "ciudad", f"vacío → '{UNKNOWN_CITY}'",
+            Repair("clientes", "ciudad", ACTION_CITY,
                    lambda df: fill_blank(df, "ciudad", UNKNOWN_CITY), lambda: is_blank(F.col("ciudad"))),
         ],
         "productos": [
-            Repair("productos", "stock_disponible", "null → 0",
+            Repair("productos", "stock_disponible", ACTION_STOCK,
                    lambda df: fill_null_int(df, "stock_disponible"), lambda: F.col("stock_disponible").isNull()),
         ],
         "pedidos": [
-            Repair("pedidos", "pedido_id", "deduplicación (keep first)", _first_order, surplus_of="pedido_id"),
+            Repair("pedidos", "pedido_id", ACTION_ORDERS, _first_order, surplus_of="pedido_id"),
         ],
         "eventos": [
-            Repair("eventos", "duracion_seg", "null → mediana por tipo_evento",
+            Repair("eventos", "duracion_seg", ACTION_DURATION,
                    lambda df: fill_group_median(df, "tipo_evento", "duracion_seg"),
                    lambda: F.col("duracion_seg").isNull()),
         ],

@@ -24,6 +24,14 @@ AUDIT_COLUMNS = ("_source_file", "_ingestion_timestamp", "_row_hash")
 INVALID_PHONE = "N/A"
 UNKNOWN_CITY = "Desconocida"
 
+# Texts of the repair log.
+ACTION_EMAIL = "null → '{placeholder}'"
+ACTION_PHONE = "'N/A' → null"
+ACTION_CITY = "vacío → 'Desconocida'"
+ACTION_STOCK = "null → 0"
+ACTION_ORDERS = "deduplicación (keep first)"
+ACTION_DURATION = "null → mediana por tipo_evento"
+
 ORDER_STATES = ("pendiente", "enviado", "entregado", "cancelado", "devuelto")
 LOST_STATES = ("cancelado", "devuelto")
 FUNNEL_STEPS = ("page_view", "product_view", "add_to_cart", "checkout", "purchase")

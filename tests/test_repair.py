@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from stratalake.operators import repair
+from stratalake.operators.ordering import group_medians
 from stratalake.operators.repair import fill_blank, fill_group_median, fill_null, fill_null_int, keep_first, nullify
 from stratalake.plans.silver import applied, clean, repairs_of, transformation_log
 
@@ -77,6 +78,12 @@ def test_long_keys_are_not_broadcast(spark):
     assert broadcast_if_small(long.limit(0))[1]
 
 
+def test_nan_counts_as_a_gap(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0), ("a", None)], "g string, v double")
+    assert sorted(r.v for r in fill_group_median(df, "g", "v").collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert group_medians(df, ["g"], "v").first().median == 2.0
+
+
 def test_nothing_to_take_a_median_from(spark):
     df = spark.createDataFrame([("a", None), ("b", None)], "g string, v double")
     assert rows(fill_group_median(df, "g", "v")) == [("a", None), ("b", None)]
