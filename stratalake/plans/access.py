@@ -98,12 +98,14 @@ class GovernedSql:
     """A session of its own in which only the governed views exist."""
 
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame], dictionary: DataFrame | None = None,
-                 personal: Iterable[str] = PII_COLUMNS, cap: int = RESULT_CAP):
+                 personal: Iterable[str] = PII_COLUMNS, cap: int = RESULT_CAP, database: str = EMPTY_DATABASE):
         self.personal = tuple(personal)
         self.cap = cap
         self.frames = {n: governed_view(df, self.personal) for n, df in frames.items() if n in ALLOWED_TABLES}
         self.dictionary = dictionary
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {EMPTY_DATABASE}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        if [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]:
+            raise ValueError(f"database {database} holds tables; governed SQL needs an empty one")
         self.outside = [row.name for row in spark.catalog.listDatabases()] + [
             row.name for row in spark.catalog.listCatalogs()] + ["global_temp", "system", "session"]
         for name, df in self.frames.items():
@@ -112,7 +114,7 @@ class GovernedSql:
         for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
             self.session.conf.set(setting, spark.conf.get(setting))
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
-        self.session.sql(f"USE {EMPTY_DATABASE}")
+        self.session.sql(f"USE {database}")
         for name in self.frames:
             self.session.table(f"global_temp.{_global_name(name)}").createOrReplaceTempView(name)
 

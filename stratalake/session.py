@@ -13,16 +13,33 @@ BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def build_session(app: str = "stratalake", master: str | None = None, **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution. Size settings are left to the cluster."""
+def shuffle_partitions_for(shuffled_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> int:
+    """Partitions for the largest shuffle of a run, so that one partition fits well into a task's memory."""
+    return max(200, -(-shuffled_bytes // partition_bytes))
+
+
+def build_session(
+    app: str = "stratalake", master: str | None = None, largest_shuffle_bytes: int | None = None, **conf: str,
+) -> SparkSession:
+    """A UTC session with adaptive execution.
+
+    ``largest_shuffle_bytes`` is the expected volume of the largest shuffle. Adaptive execution
+    starts every shuffle with enough partitions for it and merges them where there is less; it
+    never makes more, so the default of 200 would be too few for a large lake.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.checkpoint.compress", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if largest_shuffle_bytes:
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+            str(shuffle_partitions_for(largest_shuffle_bytes)))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

@@ -86,6 +86,14 @@ def test_tables_and_schema(governed):
         governed.schema("raw_secret")
 
 
+def test_a_database_with_tables_is_refused(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS not_empty")
+    spark.range(1).write.mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable("not_empty.t")
+    with pytest.raises(ValueError):
+        GovernedSql(spark, {}, database="not_empty")
+    spark.sql("DROP DATABASE not_empty CASCADE")
+
+
 def test_result_columns_by_name(spark):
     df = spark.createDataFrame([(1, "x", "y")], "id int, Email string, other string")
     assert without_personal(df).columns == ["id", "other"]
