@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalake.llm.decontaminate import overlaps
 from stratalake.llm.exact_dedup import exact_groups
+from stratalake.llm.packing import best_fit
+from stratalake.llm.quality import scores, train
+from stratalake.llm.sharding import shards, shards_sql
 from stratalake.llm.token_counts import token_counts
 from stratalake.llm.token_files import token_files
 
@@ -22,13 +26,34 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scores(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_grace_dedup, op2_token_files, op9_token_counts)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths are words and an end token."""
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")) + 1
+    return best_fit(_table(spark, sf_dir, "documents").withColumn("_length", words), "_length")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_grace_dedup, op2_token_files, op4_extendible_shards, op5_quality_gam, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
 
 ORACLE = {
+    "op4_extendible_shards": shards_sql(),
     "op1_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
