@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalake.llm.decontaminate import overlaps
 from stratalake.llm.exact_dedup import exact_groups
+from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
 from stratalake.llm.packing import best_fit
 from stratalake.llm.quality import scores, train
 from stratalake.llm.sharding import shards, shards_sql
@@ -26,6 +27,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(_table(spark, sf_dir, "documents"))
 
@@ -50,9 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_grace_dedup, op2_token_files, op4_extendible_shards, op5_quality_gam, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
+    op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
 
 ORACLE = {
+    "op3_ngram_jaccard_join": SIMILAR_SQL,
     "op4_extendible_shards": shards_sql(),
     "op1_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
