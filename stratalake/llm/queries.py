@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalake.llm import context_mixing
 from stratalake.llm.decontaminate import overlaps
 from stratalake.llm.exact_dedup import exact_groups
 from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
@@ -40,6 +41,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +60,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
+    op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam,
+    op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
 
 ORACLE = {
     "op3_ngram_jaccard_join": SIMILAR_SQL,
