@@ -12,6 +12,7 @@ from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
 from stratalake.llm.packing import best_fit
 from stratalake.llm.quality import scores, train
 from stratalake.llm.sharding import shards, shards_sql
+from stratalake.llm.substring_dedup import repeated_substrings
 from stratalake.llm.token_counts import token_counts
 from stratalake.llm.token_files import token_files
 
@@ -41,6 +42,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.scores(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam,
-    op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
+    op6_suffix_array_dedup, op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
 
 ORACLE = {
     "op3_ngram_jaccard_join": SIMILAR_SQL,
