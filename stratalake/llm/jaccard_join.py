@@ -200,7 +200,8 @@ def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, id_col: st
     size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     wanted = keep(groups.join(size, "label").join(classes.select(F.col("uid").alias("node"), "rows"), "node").select(
         F.col("node").alias("uid"), F.xxhash64("label").alias("group"), "size", "rows"), "wanted")
-    texts = docs.select(_uid(id_col, text_col).alias("uid"), whole(text_col).alias("text")).join(wanted, "uid").dropDuplicates(["uid"])
+    texts = docs.select(_uid(id_col, text_col).alias("uid"), whole(text_col).alias("text")).join(
+        wanted.hint("merge"), "uid").dropDuplicates(["uid"])
 
     def describe(batches):
         for batch in batches:
