@@ -7,11 +7,15 @@ the same rows; everything computed from them is written twice.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from stratalake.plans.silver import clean
+
 MODEL = {
     "clientes": """
-        SELECT c_custkey AS cliente_id,
+        SELECT CASE WHEN c_custkey % 149 = 148 THEN c_custkey - 1 ELSE c_custkey END AS cliente_id,
                c_name AS nombre,
                CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE 'Familia ' || CAST(c_custkey % 997 AS STRING) END AS apellido,
                CASE WHEN c_custkey % 20 = 0 THEN NULL
@@ -35,7 +39,7 @@ MODEL = {
                p_brand AS subcategoria,
                CAST(p_retailprice AS DECIMAL(12,2)) AS precio_venta,
                CAST(ROUND(CAST(p_retailprice AS DECIMAL(12,2)) * (50 + p_size) * 0.01, 2) AS DECIMAL(12,2)) AS costo,
-               CASE WHEN p_partkey % 20 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS stock_disponible
+               CASE WHEN p_partkey % 20 = 0 THEN NULL WHEN p_partkey % 21 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS stock_disponible
         FROM {part}""",
     "pedidos": """
         SELECT pedido_id, cliente_id, fecha_pedido,
@@ -47,17 +51,17 @@ MODEL = {
                o_orderkey AS _file_order
         FROM (
             SELECT o_orderkey,
-                   {order_id} AS pedido_id,
+                   CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 1 ELSE o_orderkey END AS pedido_id,
                    CASE WHEN o_orderkey % 211 = 0 THEN -1 - o_custkey WHEN o_orderkey % 997 = 0 THEN NULL
                         ELSE o_custkey END AS cliente_id,
-                   {order_date} AS fecha_pedido,
+                   CASE WHEN o_orderkey % 499 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS fecha_pedido,
                    CASE WHEN o_orderkey % 307 = 0 THEN 'desconocido' WHEN o_orderkey % 311 = 0 THEN NULL
                         WHEN o_orderstatus = 'F' THEN 'entregado'
                         WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'cancelado'
                         WHEN o_orderstatus = 'P' THEN 'devuelto'
                         WHEN o_orderkey % 3 = 0 THEN 'pendiente' ELSE 'enviado' END AS estado,
                    o_orderpriority AS canal,
-                   CASE o_custkey % 5 WHEN 0 THEN 'tarjeta_credito' WHEN 1 THEN 'PSE' WHEN 2 THEN 'efectivo'
+                   CASE (o_orderkey + o_custkey) % 5 WHEN 0 THEN 'tarjeta_credito' WHEN 1 THEN 'PSE' WHEN 2 THEN 'efectivo'
                         WHEN 3 THEN 'transferencia' ELSE 'credito_tienda' END AS metodo_pago,
                    CASE WHEN o_orderkey % 601 = 0 THEN NULL ELSE n_name END AS pais_envio,
                    CAST(o_totalprice AS DECIMAL(14,2)) AS total_bruto,
@@ -74,7 +78,7 @@ MODEL = {
                    AS DECIMAL(14,2)) AS subtotal
         FROM {lineitem}""",
     "eventos": """
-        SELECT event_id AS evento_id,
+        SELECT CASE WHEN event_id % 173 = 172 THEN event_id - 1 ELSE event_id END AS evento_id,
                CASE WHEN event_id % 10 < 3 THEN NULL ELSE user_id END AS cliente_id,
                CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'add_to_cart'
                     WHEN 'signup' THEN 'checkout' WHEN 'purchase' THEN 'purchase' ELSE 'search' END AS tipo_evento,
@@ -86,14 +90,6 @@ MODEL = {
         FROM {events}""",
 }
 
-# Bronze orders repeat about 2% of the order ids and lack some dates; the orders gold reads do not,
-# so a date range reaches the scan.
-BRONZE_ORDERS = {
-    "{order_id}": "CASE WHEN o_orderkey % 50 = 49 THEN o_orderkey - 1 ELSE o_orderkey END",
-    "{order_date}": "CASE WHEN o_orderkey % 499 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END",
-}
-SILVER_ORDERS = {"{order_id}": "o_orderkey", "{order_date}": "CAST(o_orderdate AS DATE)"}
-
 DRIVER_TABLES = ("customer", "nation", "part", "orders", "lineitem", "events")
 
 
@@ -101,38 +97,39 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(table: str, repeated: bool) -> str:
+def frame(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """One retail table as it comes: repeated ids, gaps and bad values included."""
     text = MODEL[table]
-    for mark, expression in (BRONZE_ORDERS if repeated else SILVER_ORDERS).items():
-        text = text.replace(mark, expression)
-    return text
-
-
-def frame(spark: SparkSession, sf_dir: str, table: str, repeated: bool = False) -> DataFrame:
-    """One retail table as a Spark frame. ``repeated``: orders as they come, with repeated ids."""
-    text = _text(table, repeated)
     used = {name: load(spark, sf_dir, name) for name in DRIVER_TABLES if "{" + name + "}" in text}
     return spark.sql(text, **used)
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: frame(spark, sf_dir, t, repeated=True) for t in MODEL}
+    return {t: frame(spark, sf_dir, t) for t in MODEL}
+
+
+class Silver(Mapping):
+    """The tables gold reads, each cleaned when it is asked for."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
 
-def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, "pedidos").drop("_file_order")
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self.made:
+            self.made[table] = clean(table, frame(self.spark, self.sf_dir, table))
+        return self.made[table]
 
+    def __iter__(self):
+        return iter(MODEL)
 
-def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables gold reads: orders with unique ids."""
-    return {t: clean_orders(spark, sf_dir) if t == "pedidos" else frame(spark, sf_dir, t) for t in MODEL}
+    def __len__(self) -> int:
+        return len(MODEL)
 
 
-def ctes(repeated: bool = False) -> str:
+def ctes() -> str:
     """``WITH`` clause that defines the retail tables over the driver's tables."""
     parts = []
-    for table in MODEL:
-        text = _text(table, repeated)
+    for table, text in MODEL.items():
         for name in DRIVER_TABLES:
             text = text.replace("{" + name + "}", name)
         parts.append(f"{table} AS ({text})")

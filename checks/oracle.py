@@ -5,10 +5,10 @@ from __future__ import annotations
 from checks.model import ctes
 from checks.queries import COUNTRIES, PERIOD, RUN_TIME
 
-SILVER = ctes(repeated=False)
-BRONZE = ctes(repeated=True)
+BRONZE = ctes()
 
 DAY = "strftime({0}, '%Y-%m-%d') AS {0}"
+# They must equal the ones in stratalake/settings.py.
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 PHONE = r"\b\d{3}[\s-]?\d{3}[\s-]?\d{2}[\s-]?\d{2}\b|\b57\d{10}\b|\b\d{10,12}\b"
 SAFE = ", ".join(f"'{box}@example.com'" for box in (
@@ -62,20 +62,30 @@ def _rounded_mean(number: str, digits: int = 2) -> str:
     return _half_up(f"SUM(CAST({number} AS DECIMAL(18,4))) * 10000", f"10000 * COUNT({number})", digits)
 
 
-def _profile(start: str, table: str, columns: dict[str, str], source: str | None = None) -> str:
-    """``columns``: name to Spark type; the type decides which figures apply."""
+def _value(name: str, dtype: str) -> str:
+    return f"nullif(\"{name}\", 'NaN'::DOUBLE)" if dtype == "double" else f'"{name}"'
+
+
+def _profile(start: str, table: str, columns: dict[str, str], source: str | None = None, whole: bool = False) -> str:
+    """``columns``: name to Spark type; the type decides which figures apply. ``whole`` adds the table's figures."""
     parts = []
     for name, dtype in columns.items():
+        value = _value(name, dtype)
         figures = "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS median"
         if dtype.startswith(("bigint", "int", "decimal", "double", "boolean")):
-            number = f'CAST(CAST("{name}" AS INT) AS DOUBLE)' if dtype == "boolean" else f'CAST("{name}" AS DOUBLE)'
+            number = f"CAST(CAST({value} AS INT) AS DOUBLE)" if dtype == "boolean" else f"CAST({value} AS DOUBLE)"
             figures = (f"MIN({number}) AS min, MAX({number}) AS max, {_rounded_mean(number)} AS mean, "
                        f"CAST(ROUND(MEDIAN(CAST({number} AS DECIMAL(18,4))), 2) AS DOUBLE) AS median")
+        more = ""
+        if whole:
+            rows = ", ".join(f'"{c}"' for c in columns)
+            more = (f", COUNT(*) AS total_rows, CAST({len(columns)} AS BIGINT) AS total_cols, "
+                    f"COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT {rows} FROM {source or table})) AS duplicated_rows")
         parts.append(
-            f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", '{dtype}' AS dtype, COUNT(*) - COUNT(\"{name}\") AS nulls, "
-            f"{_half_up(f'(COUNT(*) - COUNT({chr(34)}{name}{chr(34)})) * 100', 'COUNT(*)', 2)} AS null_pct, "
-            f"COUNT(DISTINCT \"{name}\") AS \"unique\", "
-            f"{_half_up(f'COUNT(DISTINCT {chr(34)}{name}{chr(34)}) * 100', 'COUNT(*)', 2)} AS cardinality_pct, {figures} "
+            f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", '{dtype}' AS dtype, COUNT(*) - COUNT({value}) AS nulls, "
+            f"{_half_up(f'(COUNT(*) - COUNT({value})) * 100', 'COUNT(*)', 2)} AS null_pct, "
+            f"COUNT(DISTINCT {value}) AS \"unique\", "
+            f"{_half_up(f'COUNT(DISTINCT {value}) * 100', 'COUNT(*)', 2)} AS cardinality_pct, {figures}{more} "
             f"FROM {source or table}")
     return f"{start} " + " UNION ALL ".join(parts)
 
@@ -100,8 +110,14 @@ LINE_TYPES = {
 DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 
+TYPES = {"clientes": (CUSTOMER_TYPES, "cliente_id"), "productos": (PRODUCT_TYPES, "producto_id"), "pedidos": (ORDER_TYPES, "pedido_id"),
+         "detalle_pedidos": (LINE_TYPES, "item_id"), "eventos": (EVENT_TYPES, "evento_id")}
+
+
 def _hash(columns: dict[str, str]) -> str:
-    texts = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), 'nan')" for c in columns)
+    # Spark writes NaN with capitals
+    shown = {c: f"replace(CAST({c} AS VARCHAR), 'nan', 'NaN')" if t == "double" else f"CAST({c} AS VARCHAR)" for c, t in columns.items()}
+    texts = ", ".join(f"COALESCE({v}, 'nan')" for v in shown.values())
     return f"substr(sha256(concat_ws('|', {texts})), 1, 16)"
 
 
@@ -113,7 +129,7 @@ RULE_TESTS = {
     "R003": ("clientes", "email IS NULL"),
     "R004": ("clientes", "telefono = 'N/A'"),
     "R005": ("clientes", "ciudad IS NULL OR trim(ciudad) = ''"),
-    "R006": ("productos", "stock_disponible IS NULL"),
+    "R006": ("productos", "stock_disponible IS NULL OR isnan(CAST(stock_disponible AS DOUBLE))"),
     "R007": ("pedidos", "cliente_id IS NULL OR cliente_id NOT IN (SELECT cliente_id FROM clientes)"),
     "R008": ("productos", "precio_venta <= costo"),
     "R009": ("pedidos", "abs(total_neto - total_bruto * (1 - descuento_pct)) > 1.0"),
@@ -159,19 +175,23 @@ c_clientes AS (
            pais, segmento, fecha_registro, fecha_consentimiento, activo
     FROM clientes),
 c_productos AS (
-    SELECT * REPLACE (CAST(COALESCE(stock_disponible, 0) AS BIGINT) AS stock_disponible) FROM productos),
+    SELECT * REPLACE (CAST(COALESCE(nullif(stock_disponible, 'NaN'::DOUBLE), 0) AS BIGINT) AS stock_disponible) FROM productos),
 c_pedidos AS (
     SELECT * EXCLUDE (place) FROM (
         SELECT *, row_number() OVER (PARTITION BY pedido_id ORDER BY _file_order) AS place FROM pedidos)
     WHERE place = 1)"""
 
-FILLED = f"""{SILVER},
+FILL = """,
 first_fill AS (
     SELECT * REPLACE (COALESCE(duracion_seg, MEDIAN(duracion_seg) OVER (PARTITION BY tipo_evento)) AS duracion_seg)
     FROM eventos),
 filled AS (
     SELECT * REPLACE (COALESCE(duracion_seg, (SELECT MEDIAN(duracion_seg) FROM first_fill)) AS duracion_seg)
     FROM first_fill)"""
+FILLED = BRONZE + FILL
+CLEAN = "WITH " + ", ".join(f"{table} AS ({BRONZE}{CLEANED}{FILL} SELECT * FROM {made})" for table, made in (
+    ("clientes", "c_clientes"), ("productos", "c_productos"), ("pedidos", "c_pedidos"), ("detalle_pedidos", "detalle_pedidos"),
+    ("eventos", "filled")))
 
 LOG = " UNION ALL ".join(
     f"SELECT '{table}' AS tabla, '{column}' AS campo, '{action}' AS accion, {count} AS registros_afectados, "
@@ -180,7 +200,7 @@ LOG = " UNION ALL ".join(
         ("clientes", "email", "null → ''unknown@example.com''", "COUNT(*) FILTER (email IS NULL)"),
         ("clientes", "telefono", "''N/A'' → null", "COUNT(*) FILTER (telefono = 'N/A')"),
         ("clientes", "ciudad", "vacío → ''Desconocida''", "COUNT(*) FILTER (ciudad IS NULL OR trim(ciudad) = '')"),
-        ("productos", "stock_disponible", "null → 0", "COUNT(*) FILTER (stock_disponible IS NULL)"),
+        ("productos", "stock_disponible", "null → 0", "COUNT(*) FILTER (stock_disponible IS NULL OR isnan(stock_disponible))"),
         ("pedidos", "pedido_id", "deduplicación (keep first)", "COUNT(*) - COUNT(DISTINCT pedido_id)"),
         ("eventos", "duracion_seg", "null → mediana por tipo_evento", "COUNT(*) FILTER (duracion_seg IS NULL)"),
     ))
@@ -194,7 +214,10 @@ TEXTS = """texts AS (
         WHEN 2 THEN ' 57300' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || ' unknown@example.com'
         ELSE '' END AS body
     FROM documents)"""
-TURNS = "texts AS (SELECT {'conv_id': conv_id, 'turn': turn, 'role': role} AS id, text AS body FROM conversations)"
+TURNS = """texts AS (SELECT {'conv_id': conv_id, 'turn': turn, 'role': role} AS id,
+    text || CASE (conv_id + turn) % 4 WHEN 0 THEN ' cel 300 ' || lpad(CAST(conv_id AS VARCHAR), 7, '0')
+        WHEN 1 THEN ' user.' || lpad(CAST(conv_id AS VARCHAR), 7, '0') || '@mail.example' ELSE '' END AS body
+    FROM conversations)"""
 PAGES = "texts AS (SELECT page_id AS id, html AS body FROM pages)"
 
 
@@ -291,7 +314,7 @@ GOLD = {
 
 
 def _from_gold(name: str, rest: str) -> str:
-    return f"{SILVER}, {name} AS ({GOLD[name]}) {rest}"
+    return f"{CLEAN}, {name} AS ({GOLD[name]}) {rest}"
 
 
 def _counts(table: str, column: str) -> str:
@@ -307,26 +330,37 @@ def _nulls(table: str, columns: dict[str, str]) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "layer_round_trip": f"{SILVER} SELECT {ORDER_COLUMNS} FROM pedidos",
-    "csv_round_trip": f"{SILVER} SELECT {CUSTOMER_COLUMNS} FROM clientes",
-
-    "bronze_ingest": f"""{BRONZE} SELECT _file_order, pedido_id, {_day('fecha_pedido')}, 'pedidos.csv' AS _source_file,
-        '{RUN_TIME}' AS _ingestion_timestamp, {_hash(ORDER_TYPES)} AS _row_hash FROM pedidos""",
-    "row_hash": f"{SILVER} SELECT item_id, {_hash(LINE_TYPES)} AS _row_hash FROM detalle_pedidos",
-    "lenient_dates": """SELECT event_id, strftime(TRY_CAST(bad AS DATE), '%Y-%m-%d') AS fecha_evento,
+    "layer_round_trip": f"{CLEAN} SELECT {ORDER_COLUMNS} FROM pedidos",
+    "csv_round_trip": f"""{BRONZE} SELECT {CUSTOMER_COLUMNS} FROM (SELECT * REPLACE (CASE cliente_id % 4
+        WHEN 0 THEN '"' || ciudad || '", he said' WHEN 1 THEN 'a\\' || ciudad || '\\"' WHEN 2 THEN ciudad || chr(10) || '  two, lines'
+        ELSE ciudad END AS ciudad) FROM clientes)""",
+
+    "bronze_ingest": f"{BRONZE} " + " UNION ALL ".join(
+        f"SELECT CAST({key} AS VARCHAR) AS key, '{t}.csv' AS _source_file, '{RUN_TIME}' AS _ingestion_timestamp, {_hash(c)} AS _row_hash FROM {t}"
+        for t, (c, key) in TYPES.items()),
+    "row_hash": f"{BRONZE} SELECT item_id, {_hash(LINE_TYPES)} AS _row_hash FROM detalle_pedidos",
+    "lenient_dates": """SELECT event_id, strftime(TRY_CAST(bad AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') AS fecha_evento,
         strftime(TRY_CAST(bad AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') AS timestamp
         FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '31/12/2024 noon' ELSE CAST(ts AS VARCHAR) END AS bad FROM events)""",
-    "bronze_null_problems": 'SELECT "table", "column", nulls, null_pct FROM (' + _profile(BRONZE, "pedidos", ORDER_TYPES) + ") WHERE nulls > 0",
-
-    "profile_clientes": _profile(SILVER, "clientes", CUSTOMER_TYPES),
-    "profile_pedidos": _profile(SILVER, "pedidos", ORDER_TYPES),
-    "profile_eventos": _profile(SILVER, "eventos", EVENT_TYPES),
+    "bronze_null_problems": 'SELECT "table", "column", nulls, null_pct FROM (' + BRONZE + " " + " UNION ALL ".join(
+        _profile("", t, c) for t, (c, _) in TYPES.items()) + ") WHERE nulls > 0",
+    "cast_failures": """SELECT 'productos' AS "table", 'precio_venta' AS "column", COUNT(*) FILTER (p_partkey % 10 < 2) AS rows FROM part
+        UNION ALL SELECT 'productos', 'stock', COUNT(*) FILTER (p_partkey % 7 = 0) FROM part""",
+
+    "profile_clientes": _profile(BRONZE, "clientes", CUSTOMER_TYPES),
+    "profile_productos": _profile(BRONZE, "productos", PRODUCT_TYPES),
+    "profile_pedidos": _profile(BRONZE, "pedidos", ORDER_TYPES),
+    "profile_detalle_pedidos": _profile(BRONZE, "detalle_pedidos", LINE_TYPES),
+    "profile_tables": f"{BRONZE} " + " UNION ALL ".join(_profile("", t, c, whole=True) for t, (c, _) in TYPES.items()),
+    "profile_eventos": _profile(BRONZE, "eventos", EVENT_TYPES),
     "profile_documents": _profile("", "documents", DOCUMENT_TYPES),
-    "duplicated_documents": """SELECT 'documents' AS "table", COUNT(*) AS total_rows, CAST(2 AS BIGINT) AS total_cols,
-        COUNT(*) - COUNT(DISTINCT (text, lang)) AS duplicated_rows FROM documents""",
-    "duplicated_lines": f"""{SILVER} SELECT 'detalle_pedidos' AS "table", COUNT(*) AS total_rows, CAST(2 AS BIGINT) AS total_cols,
-        COUNT(*) - COUNT(DISTINCT (producto_id, cantidad)) AS duplicated_rows FROM detalle_pedidos""",
-    "duplicate_keys": f"""{SILVER} SELECT {LINE_COLUMNS} FROM detalle_pedidos
+    "duplicated_documents": """SELECT 'documents' AS "table", COUNT(*) AS total_rows, CAST(5 AS BIGINT) AS total_cols,
+        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicated_rows
+        FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 10 = 0)""",
+    "duplicated_lines": f"""{BRONZE} SELECT 'detalle_pedidos' AS "table", COUNT(*) AS total_rows, CAST(6 AS BIGINT) AS total_cols,
+        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM detalle_pedidos)) AS duplicated_rows
+        FROM (SELECT * FROM detalle_pedidos UNION ALL SELECT * FROM detalle_pedidos WHERE pedido_id % 9 = 0)""",
+    "duplicate_keys": f"""{BRONZE} SELECT {LINE_COLUMNS} FROM detalle_pedidos
         WHERE item_id IN (SELECT item_id FROM detalle_pedidos GROUP BY item_id HAVING COUNT(*) > 1)""",
 
     **{f"rule_{rule.lower()}": f"{BRONZE} SELECT {ROW_COLUMNS[table]} FROM {table} WHERE {test}"
@@ -335,11 +369,11 @@ ORACLE: dict[str, str] = {
     "rule_phases": f"{BRONZE}{CLEANED} {_report(chr(44) + chr(32) + repr('before') + ' AS phase')} UNION ALL "
                    f"{_report(chr(44) + chr(32) + repr('after') + ' AS phase', repaired=True)}",
 
-    "fill_null_email": f"{SILVER} SELECT cliente_id, COALESCE(email, 'unknown@example.com') AS email FROM clientes",
-    "nullify_phone": f"{SILVER} SELECT cliente_id, nullif(telefono, 'N/A') AS telefono FROM clientes",
-    "fill_blank_city": f"""{SILVER} SELECT cliente_id,
+    "fill_null_email": f"{BRONZE} SELECT cliente_id, COALESCE(email, 'unknown@example.com') AS email FROM clientes",
+    "nullify_phone": f"{BRONZE} SELECT cliente_id, nullif(telefono, 'N/A') AS telefono FROM clientes",
+    "fill_blank_city": f"""{BRONZE} SELECT cliente_id,
         CASE WHEN ciudad IS NULL OR trim(ciudad) = '' THEN 'Desconocida' ELSE ciudad END AS ciudad FROM clientes""",
-    "fill_null_stock": f"{SILVER} SELECT producto_id, CAST(COALESCE(stock_disponible, 0) AS BIGINT) AS stock_disponible FROM productos",
+    "fill_null_stock": f"{BRONZE} SELECT producto_id, CAST(COALESCE(nullif(stock_disponible, 'NaN'::DOUBLE), 0) AS BIGINT) AS stock_disponible FROM productos",
     "dedup_orders": f"{BRONZE}{CLEANED} SELECT {ORDER_COLUMNS}, _file_order FROM c_pedidos",
     "dedup_lines": """SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity,
         l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
@@ -351,12 +385,12 @@ ORACLE: dict[str, str] = {
     "group_medians": "SELECT l_suppkey, MEDIAN(l_extendedprice) AS median FROM lineitem GROUP BY l_suppkey",
     "transformation_log": f"{BRONZE} {LOG}",
 
-    "mask_hash": f"{SILVER} SELECT cliente_id, {HASHED.format('ciudad')} AS ciudad FROM clientes",
-    "mask_email": f"""{SILVER} SELECT cliente_id,
+    "mask_hash": f"{BRONZE} SELECT cliente_id, {HASHED.format('ciudad')} AS ciudad FROM clientes",
+    "mask_email": f"""{BRONZE} SELECT cliente_id,
         CASE WHEN email IS NULL THEN 'unknown@example.com' ELSE sha256(email) END AS email FROM clientes""",
-    "mask_name": f"{SILVER} SELECT cliente_id, sha256(apellido) AS apellido FROM clientes",
-    "mask_phone_tail": f"{SILVER} SELECT cliente_id, {PHONE_TAIL} AS telefono FROM clientes",
-    "mask_customers": f"""{SILVER} SELECT cliente_id, sha256(nombre) AS nombre, sha256(apellido) AS apellido,
+    "mask_name": f"{BRONZE} SELECT cliente_id, sha256(apellido) AS apellido FROM clientes",
+    "mask_phone_tail": f"{BRONZE} SELECT cliente_id, {PHONE_TAIL} AS telefono FROM clientes",
+    "mask_customers": f"""{BRONZE} SELECT cliente_id, sha256(nombre) AS nombre, sha256(apellido) AS apellido,
         sha256(email) AS email, {PHONE_TAIL} AS telefono, ciudad, pais, segmento, {_day('fecha_registro')},
         {_day('fecha_consentimiento')}, activo FROM clientes""",
 
@@ -375,53 +409,52 @@ ORACLE: dict[str, str] = {
     "silver_clientes": f"{BRONZE}{CLEANED} SELECT {CUSTOMER_COLUMNS} FROM c_clientes",
     "silver_productos": f"{BRONZE}{CLEANED} SELECT {PRODUCT_COLUMNS} FROM c_productos",
     "silver_pedidos": f"{BRONZE}{CLEANED} SELECT {ORDER_COLUMNS} FROM c_pedidos",
-    "silver_detalle_pedidos": f"{SILVER} SELECT {LINE_COLUMNS} FROM detalle_pedidos",
+    "silver_detalle_pedidos": f"{BRONZE} SELECT {LINE_COLUMNS} FROM detalle_pedidos",
     "silver_eventos": f"{FILLED} SELECT {EVENT_COLUMNS}, duracion_seg FROM filled",
 
-    **{name: f"{SILVER} {text}" for name, text in GOLD.items()},
-    "gold_inventory": f"""{SILVER} SELECT 'gold_ventas_por_pais' AS "table", COUNT(DISTINCT pais_envio) AS total_rows,
-            CAST(5 AS BIGINT) AS total_cols FROM pedidos
-        UNION ALL SELECT 'gold_ventas_mensuales', COUNT(DISTINCT strftime(fecha_pedido, '%Y-%m')), 3 FROM pedidos
-        UNION ALL SELECT 'gold_top_productos', COUNT(*), 6 FROM ({GOLD['gold_top_productos']})""",
+    **{name: f"{CLEAN} {text}" for name, text in GOLD.items()},
+    "gold_inventory": f"{CLEAN} " + " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", COUNT(*) AS total_rows, CAST({columns} AS BIGINT) AS total_cols FROM ({GOLD[name]})"
+        for name, columns in zip(GOLD, (5, 4, 3, 6, 5, 3, 8, 5))),
     "country_sales_from_bronze": f"{BRONZE}{CLEANED} " + GOLD["gold_ventas_por_pais"].replace("FROM pedidos", "FROM c_pedidos"),
 
     "q01_top_productos_ingreso": _from_gold("gold_top_productos", """SELECT producto_id, nombre_producto, categoria,
         unidades_vendidas, ROUND(revenue, 2) AS revenue FROM gold_top_productos ORDER BY revenue DESC, producto_id LIMIT 10"""),
-    "q02_ventas_por_pais": f"""{SILVER} SELECT pais_envio AS pais, COUNT(pedido_id) AS total_pedidos,
+    "q02_ventas_por_pais": f"""{CLEAN} SELECT pais_envio AS pais, COUNT(pedido_id) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS revenue_neto, {_rounded_mean('total_neto')} AS ticket_promedio
         FROM pedidos WHERE pais_envio IS NOT NULL GROUP BY pais_envio""",
-    "q03_conversion_por_canal": f"""{SILVER} SELECT canal, COUNT(pedido_id) AS total_pedidos,
+    "q03_conversion_por_canal": f"""{CLEAN} SELECT canal, COUNT(pedido_id) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS revenue_neto,
         {_half_up('SUM(total_neto) * 100', '100 * COUNT(pedido_id)', 2)} AS revenue_por_pedido
         FROM pedidos WHERE canal IS NOT NULL GROUP BY canal""",
-    "q04_clientes_b2b_grandes": f"""{SILVER} SELECT p.cliente_id, segmento, COUNT(pedido_id) AS total_pedidos,
+    "q04_clientes_b2b_grandes": f"""{CLEAN} SELECT p.cliente_id, segmento, COUNT(pedido_id) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS total_compras FROM pedidos p JOIN clientes c ON p.cliente_id = c.cliente_id
         WHERE segmento = 'B2B' GROUP BY p.cliente_id, segmento HAVING SUM(total_neto) > 500000""",
-    "q05_comparativa_paises": f"""{SILVER} SELECT pais_envio AS pais, COUNT(*) AS total_pedidos,
+    "q05_comparativa_paises": f"""{CLEAN} SELECT pais_envio AS pais, COUNT(*) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS revenue_neto, {_rounded_mean('total_neto')} AS ticket_promedio,
         {_rounded_mean('(descuento_pct * 100)')} AS descuento_prom_pct
         FROM pedidos WHERE pais_envio IN ('{COUNTRIES[0]}', '{COUNTRIES[1]}') GROUP BY pais_envio""",
-    "q06_top5_productos_periodo": f"""{SILVER} SELECT d.producto_id, nombre_producto, categoria,
+    "q06_top5_productos_periodo": f"""{CLEAN} SELECT d.producto_id, nombre_producto, categoria,
         CAST(SUM(cantidad) AS BIGINT) AS unidades, ROUND({_money('subtotal')}, 2) AS revenue
         FROM detalle_pedidos d JOIN pedidos p ON d.pedido_id = p.pedido_id JOIN productos r ON d.producto_id = r.producto_id
         WHERE fecha_pedido BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}'
         GROUP BY 1, 2, 3 ORDER BY revenue DESC, d.producto_id LIMIT 5""",
-    "q07_metodo_pago_por_pais": f"""{SILVER} SELECT pais_envio AS pais, metodo_pago, COUNT(*) AS total_pedidos,
+    "q07_metodo_pago_por_pais": f"""{CLEAN} SELECT pais_envio AS pais, metodo_pago, COUNT(*) AS total_pedidos,
         ROUND({_money('total_neto')}, 2) AS revenue_neto FROM pedidos GROUP BY pais_envio, metodo_pago""",
-    "q08_tasa_cancelacion_devolucion": f"""{SILVER} SELECT estado, COUNT(*) AS total,
+    "q08_tasa_cancelacion_devolucion": f"""{CLEAN} SELECT estado, COUNT(*) AS total,
         {_half_up('COUNT(*) * 100', '(SELECT COUNT(*) FROM pedidos)', 2)} AS porcentaje
         FROM pedidos WHERE estado IN ('cancelado', 'devuelto') GROUP BY estado""",
-    "q09_margen_bruto_categoria": f"""{SILVER} SELECT categoria,
+    "q09_margen_bruto_categoria": f"""{CLEAN} SELECT categoria,
         ROUND(AVG((CAST(precio_venta AS DOUBLE) - CAST(costo AS DOUBLE)) / CAST(precio_venta AS DOUBLE) * 100), 2) AS margen_bruto_pct,
         ROUND({_money('subtotal')}, 2) AS revenue_total, CAST(SUM(cantidad) AS BIGINT) AS unidades_vendidas
         FROM detalle_pedidos d JOIN productos p ON d.producto_id = p.producto_id GROUP BY categoria""",
-    "q10_actividad_horaria": f"""{SILVER} SELECT EXTRACT(HOUR FROM timestamp) AS hora, tipo_evento, COUNT(*) AS total_eventos
+    "q10_actividad_horaria": f"""{CLEAN} SELECT EXTRACT(HOUR FROM timestamp) AS hora, tipo_evento, COUNT(*) AS total_eventos
         FROM eventos GROUP BY 1, 2""",
     "q11_segmentacion_rfm": _from_gold("gold_clientes_rfm", f"""SELECT rfm_score, COUNT(*) AS total_clientes,
         {_rounded_mean('recency', 1)} AS recency_promedio, {_rounded_mean('frequency', 1)} AS frequency_promedio,
         {_rounded_mean('monetary')} AS monetary_promedio
         FROM gold_clientes_rfm GROUP BY rfm_score ORDER BY total_clientes DESC, rfm_score LIMIT 20"""),
-    "q12_cohorte_retencion_mensual": f"""{SILVER},
+    "q12_cohorte_retencion_mensual": f"""{CLEAN},
         first_month AS (SELECT cliente_id, CAST(date_trunc('month', MIN(fecha_pedido)) AS DATE) AS cohorte FROM pedidos GROUP BY cliente_id),
         months AS (SELECT DISTINCT cliente_id, CAST(date_trunc('month', fecha_pedido) AS DATE) AS mes FROM pedidos)
         SELECT {_day('cohorte')}, date_diff('month', cohorte, mes) AS meses_desde_cohorte,
@@ -432,37 +465,46 @@ ORACLE: dict[str, str] = {
         ROUND(revenue_neto, 0) AS revenue_neto FROM gold_ventas_por_pais"""),
     "productos_mas_vendidos": _from_gold("gold_top_productos", """SELECT nombre_producto, categoria, unidades_vendidas,
         ROUND(revenue, 0) AS revenue FROM (SELECT * FROM gold_top_productos ORDER BY revenue DESC, producto_id LIMIT 10)"""),
-    "ticket_promedio_por_canal": f"""{SILVER} SELECT canal,
+    "ticket_promedio_por_canal": f"""{CLEAN} SELECT canal,
         {_half_up('SUM(total_neto) * 100', '100 * COUNT(pedido_id)', 0)} AS ticket_promedio
         FROM pedidos WHERE canal IS NOT NULL GROUP BY canal""",
-    "metodo_pago_en_pais": f"""{SILVER} SELECT metodo_pago, COUNT(*) AS total_pedidos FROM pedidos
+    "metodo_pago_en_pais": f"""{CLEAN} SELECT metodo_pago, COUNT(*) AS total_pedidos FROM pedidos
         WHERE pais_envio = '{COUNTRIES[0]}' GROUP BY metodo_pago""",
-    "clientes_por_segmento": f"""{SILVER} SELECT segmento, COUNT(*) AS total_clientes FROM clientes
+    "clientes_por_segmento": f"""{CLEAN} SELECT segmento, COUNT(*) AS total_clientes FROM clientes
         WHERE segmento IS NOT NULL GROUP BY segmento""",
 
     "governed_customers": f"""{BRONZE}{CLEANED} SELECT cliente_id, ciudad, pais, segmento, {_day('fecha_registro')}, activo,
-        CAST(NULL AS VARCHAR) AS contacto FROM c_clientes ORDER BY cliente_id DESC LIMIT 50""",
-    "governed_totals": f"""{SILVER} SELECT c.cliente_id, segmento, COUNT(*) AS pedidos, CAST(SUM(total_neto) AS DOUBLE) AS neto
-        FROM pedidos p JOIN clientes c ON c.cliente_id = p.cliente_id
-        GROUP BY c.cliente_id, segmento ORDER BY SUM(total_neto) DESC, c.cliente_id LIMIT 50""",
+        CAST(NULL AS VARCHAR) AS contacto FROM c_clientes""",
+    "governed_totals": f"""{CLEAN}, per AS (
+            SELECT cliente_id, COUNT(*) AS pedidos, CAST(SUM(total_neto) AS DOUBLE) AS neto FROM pedidos GROUP BY cliente_id)
+        SELECT c.cliente_id, segmento, per.pedidos, neto FROM per JOIN clientes c ON c.cliente_id = per.cliente_id""",
     "quality_digest": f"""{BRONZE}
         SELECT 'rule' AS source, "table", rule_id AS item, violations AS value FROM ({_report()})
-        UNION ALL SELECT 'nulls', "table", "column", nulls FROM ({_profile('', 'productos', PRODUCT_TYPES)})
+        UNION ALL SELECT 'nulls', "table", "column", nulls FROM ({" UNION ALL ".join(_profile('', t, c) for t, (c, _) in TYPES.items())})
         UNION ALL SELECT 'repair', tabla, campo, registros_afectados FROM ({LOG})""",
-
-    "null_columns": f"{SILVER} {_nulls('pedidos', ORDER_TYPES)}",
-    "marker_counts": f"""{SILVER} SELECT COUNT(*) FILTER (telefono = 'N/A') AS telefono_marker,
+    "pipeline_from_raw": f"""WITH s AS ({CLEAN} SELECT pais_envio, SUM(total_neto) AS v FROM pedidos WHERE pais_envio IS NOT NULL GROUP BY 1),
+        r AS ({BRONZE}{CLEANED} {_report(chr(44) + chr(32) + repr('before') + ' AS phase')} UNION ALL
+              {_report(chr(44) + chr(32) + repr('after') + ' AS phase', repaired=True)})
+        SELECT 'sales' AS kind, pais_envio AS item, ROUND(CAST(v AS DOUBLE), 2) AS value FROM s
+        UNION ALL SELECT phase, rule_id, CAST(violations AS DOUBLE) FROM r""",
+
+    "null_columns": f"{CLEAN} {_nulls('pedidos', ORDER_TYPES)}",
+    "marker_counts": f"""{BRONZE} SELECT COUNT(*) FILTER (telefono = 'N/A') AS telefono_marker,
         COUNT(*) FILTER (ciudad IS NULL OR trim(ciudad) = '') AS ciudad_blank FROM clientes""",
-    "value_counts": f"{SILVER} " + " UNION ALL ".join(_counts("pedidos", c) for c in ("estado", "canal", "pais_envio")),
-    "value_counts_events": f"{SILVER} " + " UNION ALL ".join(_counts("eventos", c) for c in ("tipo_evento", "dispositivo")),
-    "numeric_summary": f"""{SILVER} SELECT CAST(MIN(precio_venta) AS DOUBLE) AS min, CAST(MAX(precio_venta) AS DOUBLE) AS max,
+    "value_counts": f"{CLEAN} " + " UNION ALL ".join(_counts("pedidos", c) for c in ("estado", "canal", "pais_envio")),
+    "value_counts_events": f"{BRONZE} " + " UNION ALL ".join(_counts("eventos", c) for c in ("tipo_evento", "dispositivo")),
+    "numeric_summary": f"""{BRONZE} SELECT CAST(MIN(precio_venta) AS DOUBLE) AS min, CAST(MAX(precio_venta) AS DOUBLE) AS max,
         {_mean('precio_venta')} AS mean FROM productos""",
-    "predicate_count": f"{SILVER} SELECT COUNT(*) AS rows FROM productos WHERE precio_venta <= costo",
+    "numeric_summary_scales": " UNION ALL ".join(
+        f"""SELECT '{name}' AS scale, ROUND(MIN(p_retailprice * 1e{power}) * 1e{-power}, 4) AS min,
+        ROUND(MAX(p_retailprice * 1e{power}) * 1e{-power}, 4) AS max, ROUND(AVG(p_retailprice * 1e{power}) * 1e{-power}, 4) AS mean FROM part"""
+        for name, power in (("tiny", -15), ("plain", 0), ("huge", 25))),
+    "predicate_count": f"{BRONZE} SELECT COUNT(*) AS rows FROM productos WHERE precio_venta <= costo",
     "repeated_keys": f"{BRONZE} SELECT COUNT(*) - COUNT(DISTINCT pedido_id) AS rows FROM pedidos",
     "fk_orphans": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority
         FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
-    "distinct_references": f"""{SILVER} SELECT 'producto_id' AS "column", COUNT(DISTINCT producto_id) AS "distinct" FROM detalle_pedidos
+    "distinct_references": f"""{BRONZE} SELECT 'producto_id' AS "column", COUNT(DISTINCT producto_id) AS "distinct" FROM detalle_pedidos
         UNION ALL SELECT 'pedido_id', COUNT(DISTINCT pedido_id) FROM detalle_pedidos""",
     "histogram": """WITH edge AS (SELECT MIN(o_totalprice) AS low, MAX(o_totalprice) AS high FROM orders),
         counted AS (SELECT least(CAST(floor((o_totalprice - low) * 20 / (high - low)) AS BIGINT), 19) AS bin, COUNT(*) AS n
@@ -470,7 +512,7 @@ ORACLE: dict[str, str] = {
         SELECT b.bin, low + b.bin * (high - low) / 20 AS "from", low + (b.bin + 1) * (high - low) / 20 AS "to",
                COALESCE(n, 0) AS rows
         FROM range(20) AS b(bin) CROSS JOIN edge LEFT JOIN counted ON counted.bin = b.bin""",
-    "category_share": f"""{SILVER} SELECT dispositivo, COUNT(*) AS rows,
+    "category_share": f"""{BRONZE} SELECT dispositivo, COUNT(*) AS rows,
         {_half_up('COUNT(*) * 100', '(SELECT COUNT(dispositivo) FROM eventos)', 1)} AS share_pct
         FROM eventos WHERE dispositivo IS NOT NULL GROUP BY dispositivo""",
     "table_shapes": f"{BRONZE} " + " UNION ALL ".join(

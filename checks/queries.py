@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from checks.model import bronze, clean_orders, frame, load, plain, silver
+from checks.model import Silver, bronze, frame, load, plain
 from stratalake.functions.digests import row_hash, sha256
 from stratalake.functions.personal import mask_email, mask_name, mask_phone
 from stratalake.operators import explore, masking, profiling, repair, rules, textscan
@@ -16,10 +17,11 @@ from stratalake.operators.ordering import group_medians
 from stratalake.operators.rules import RULES, violating_rows
 from stratalake.plans import access, gold, reports
 from stratalake.plans.silver import clean, transformation_log
-from stratalake.session import shared_dir
+from stratalake.plans.run import run
+from stratalake.session import pin, shared_dir
 from stratalake.settings import AUDIT_COLUMNS, DEFAULT_SITE, INVALID_PHONE, UNKNOWN_CITY
-from stratalake.sources.dictionary import apply_schema
-from stratalake.sources.layers import SILVER, Lake, read_csv, write_csv
+from stratalake.sources.dictionary import DICTIONARY_SCHEMA, apply_schema, cast_failures as dictionary_failures
+from stratalake.sources.layers import GOLD, RAW, REPORTS, SILVER, Lake, read_csv, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,22 +38,31 @@ def _work_path(spark: SparkSession) -> str:
 
 def layer_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     lake = Lake(spark, _work_path(spark))
-    return plain(lake.write(clean_orders(spark, sf), SILVER, "pedidos"))
+    return plain(lake.write(Silver(spark, sf)["pedidos"], SILVER, "pedidos"))
 
 
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    customers = frame(spark, sf, "clientes")
+    odd = F.expr("""CASE cliente_id % 4 WHEN 0 THEN '"' || ciudad || '", he said' WHEN 1 THEN 'a\\\\' || ciudad || '\\\\"'
+        WHEN 2 THEN ciudad || chr(10) || '  two, lines' ELSE ciudad END""")
+    customers = frame(spark, sf, "clientes").withColumn("ciudad", odd)
     path = _work_path(spark)
     write_csv(customers, path)
-    return plain(with_lenient_dates(apply_schema(read_csv(spark, path), customers.schema)))
+    typed = with_lenient_dates(apply_schema(read_csv(spark, path, multi_line=True), customers.schema))
+    return plain(typed.withColumns({c: F.col(c).cast("date") for c in ("fecha_registro", "fecha_consentimiento")}))
 
 
 # --- bronze ---
 
+def _keyed(frames: dict[str, DataFrame]):
+    """(table, its key column, rows without the file order) of the five tables."""
+    keys = {"clientes": "cliente_id", "productos": "producto_id", "pedidos": "pedido_id", "detalle_pedidos": "item_id", "eventos": "evento_id"}
+    return [(t, keys[t], df.drop("_file_order")) for t, df in frames.items()]
+
+
 def bronze_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    orders = frame(spark, sf, "pedidos", repeated=True)
-    return plain(ingest(orders, "pedidos.csv", RUN_TIME).select(
-        "_file_order", "pedido_id", "fecha_pedido", *AUDIT_COLUMNS))
+    return reduce(DataFrame.unionByName, [
+        ingest(df, f"{t}.csv", RUN_TIME).select(F.col(key).cast("string").alias("key"), *AUDIT_COLUMNS)
+        for t, key, df in _keyed(bronze(spark, sf))])
 
 
 def row_hashes(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,10 +77,20 @@ def lenient_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bronze_null_problems(spark: SparkSession, sf: str) -> DataFrame:
-    orders = frame(spark, sf, "pedidos", repeated=True).drop("_file_order")
-    # Null counts are exact in both kinds of profile; this one needs no shuffle.
-    found = profiling.profile(ingest(orders, "pedidos.csv", RUN_TIME), "pedidos", approximate=True)
-    return profiling.null_problems(found, AUDIT_COLUMNS)
+    counts = reduce(DataFrame.unionByName, [
+        profiling.null_counts(ingest(df, f"{t}.csv", RUN_TIME), t) for t, _, df in _keyed(bronze(spark, sf))])
+    return profiling.null_problems(counts, AUDIT_COLUMNS)
+
+
+def cast_failures(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    texts = load(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("producto_id"),
+        F.when(F.col("p_partkey") % 10 == 0, F.lit("1,234.50")).when(F.col("p_partkey") % 10 == 1, F.concat(price, F.lit("7")))
+        .when(F.col("p_partkey") % 10 == 2, F.lit(None)).otherwise(price).alias("precio_venta"),
+        F.when(F.col("p_partkey") % 7 == 0, F.lit("47.9")).otherwise(F.col("p_size").cast("string")).alias("stock"))
+    typed = apply_schema(texts, T.StructType.fromDDL("producto_id bigint, precio_venta decimal(12,2), stock int"), rescue=True)
+    return dictionary_failures(typed, "productos")
 
 
 # --- profile ---
@@ -79,12 +100,17 @@ def profile_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicated_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return profiling.duplicated_rows(load(spark, sf, "documents").select("text", "lang"), "documents")
+    docs = load(spark, sf, "documents")
+    return profiling.duplicated_rows(docs.unionByName(docs.where("doc_id % 10 = 0")), "documents")
 
 
 def duplicated_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return profiling.duplicated_rows(
-        frame(spark, sf, "detalle_pedidos").select("producto_id", "cantidad"), "detalle_pedidos")
+    lines = frame(spark, sf, "detalle_pedidos")
+    return profiling.duplicated_rows(lines.unionByName(lines.where("pedido_id % 9 = 0")), "detalle_pedidos")
+
+
+def profile_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [profiling.table_profile(df, t) for t, _, df in _keyed(bronze(spark, sf))])
 
 
 # --- text ---
@@ -101,6 +127,17 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole conversations, half of the turns with a number or an address of their own at the end."""
+    number = F.lpad(F.col("conv_id").cast("string"), 7, "0")
+    place = F.col("conv_id") + F.col("turn")
+    tail = (
+        F.when(place % 4 == 0, F.concat(F.lit(" cel 300 "), number))
+        .when(place % 4 == 1, F.concat(F.lit(" user."), number, F.lit("@mail.example")))
+        .otherwise(F.lit("")))
+    return load(spark, sf, "conversations").withColumn("text", F.concat("text", tail))
+
+
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", "html")
 
@@ -111,43 +148,43 @@ def governed_customers(spark: SparkSession, sf: str) -> DataFrame:
     customers = clean("clientes", frame(spark, sf, "clientes"))
     answer = access.GovernedSql(spark, {"clientes": customers}).query(
         "SELECT *, email AS contacto FROM clientes WHERE ciudad <> 'drop' ORDER BY cliente_id DESC")
-    return plain(answer.rows)
+    return plain(answer.result)
 
 
 def governed_totals(spark: SparkSession, sf: str) -> DataFrame:
-    governed = access.GovernedSql(spark, {"pedidos": clean_orders(spark, sf), "clientes": frame(spark, sf, "clientes")})
+    governed = access.GovernedSql(spark, dict(pedidos=(t := Silver(spark, sf))["pedidos"], clientes=t["clientes"]))
     answer = governed.query("""
         WITH por_cliente AS (
             SELECT cliente_id, count(*) AS pedidos, sum(total_neto) AS neto FROM pedidos GROUP BY cliente_id)
         SELECT c.cliente_id, c.segmento, p.pedidos, p.neto
         FROM por_cliente p JOIN clientes c ON c.cliente_id = p.cliente_id
         ORDER BY neto DESC, cliente_id""")
-    return plain(answer.rows)
+    return plain(answer.result)
 
 
 def quality_digest(spark: SparkSession, sf: str) -> DataFrame:
     frames = bronze(spark, sf)
-    profiles = profiling.profile(frames["productos"], "productos")
+    profiles = reduce(DataFrame.unionByName, [profiling.profile(df, t) for t, _, df in _keyed(frames)])
     return access.quality_digest(rules.check_all(frames), profiles, transformation_log(frames, RUN_TIME))
 
 
 # --- gold from bronze, as one plan ---
 
 def country_sales_from_bronze(spark: SparkSession, sf: str) -> DataFrame:
-    orders = clean("pedidos", frame(spark, sf, "pedidos", repeated=True))
+    orders = clean("pedidos", frame(spark, sf, "pedidos"))
     return gold.build("gold_ventas_por_pais", {"pedidos": orders})
 
 
 def _silver(table: str) -> Query:
-    return lambda spark, sf: plain(clean(table, frame(spark, sf, table, repeated=True)))
+    return lambda spark, sf: plain(clean(table, frame(spark, sf, table)))
 
 
 def _gold(name: str) -> Query:
-    return lambda spark, sf: plain(gold.build(name, silver(spark, sf)))
+    return lambda spark, sf: plain(gold.build(name, Silver(spark, sf)))
 
 
 def _profile(table: str) -> Query:
-    return lambda spark, sf: profiling.profile(frame(spark, sf, table), table)
+    return lambda spark, sf: profiling.profile(frame(spark, sf, table).drop("_file_order"), table)
 
 
 def _violations(rule) -> Query:
@@ -160,7 +197,7 @@ def _customers(change: Callable[[DataFrame], DataFrame], *shown: str) -> Query:
 
 def phases(spark: SparkSession, sf: str) -> DataFrame:
     before = bronze(spark, sf)
-    return rules.check_phases(before, {t: clean(t, df) for t, df in before.items()})
+    return rules.check_phases(before, {t: pin(clean(t, df)) for t, df in before.items()})
 
 
 def dedup_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,9 +206,36 @@ def dedup_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
-    tables = silver(spark, sf)
-    names = ["gold_ventas_por_pais", "gold_ventas_mensuales", "gold_top_productos"]
-    return profiling.inventory({n: gold.build(n, tables) for n in names})
+    tables = Silver(spark, sf)
+    return profiling.inventory({n: gold.build(n, tables) for n in gold.BUILDERS})
+
+
+def numeric_summary_scales(spark: SparkSession, sf: str) -> DataFrame:
+    """Very small and very large values, shown again at their common scale."""
+    parts = load(spark, sf, "part")
+    lines = []
+    for name, power in (("tiny", -15), ("plain", 0), ("huge", 25)):
+        figures = explore.numeric_summary(parts.select((F.col("p_retailprice") * 10.0**power).alias("v")), "v")
+        lines.append(figures.select(F.lit(name).alias("scale"), *[F.round(F.col(c) * 10.0**-power, 4).alias(c) for c in figures.columns]))
+    return reduce(DataFrame.unionByName, lines)
+
+
+def pipeline_from_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw CSV files and a dictionary through all layers; shown are a gold table and the rule report of both phases."""
+    lake = Lake(spark, _work_path(spark))
+    entries = []
+    for table, df in bronze(spark, sf).items():
+        ordered = df.orderBy("_file_order").drop("_file_order") if table == "pedidos" else df
+        write_csv(ordered, lake.path(RAW, table))
+        for field in ordered.schema.fields:
+            kind = {"string": "VARCHAR(200)", "timestamp_ntz": "TIMESTAMP"}.get(field.dataType.simpleString(), field.dataType.simpleString().upper())
+            entries.append((table, field.name, kind, "", "No", "", 365, "", ""))
+    write_csv(spark.createDataFrame(entries, DICTIONARY_SCHEMA), lake.path(RAW, "diccionario_datos"))
+    run(spark, lake.root, run_time=RUN_TIME)
+    sales = lake.read(GOLD, "gold_ventas_por_pais").select(
+        F.lit("sales").alias("kind"), F.col("pais_envio").alias("item"), F.round("revenue_neto", 2).alias("value"))
+    checked = lake.read(REPORTS, "silver_rules").select(F.col("phase").alias("kind"), F.col("rule_id").alias("item"), F.col("violations").cast("double").alias("value"))
+    return sales.unionByName(checked)
 
 
 QUERIES: dict[str, Query] = {
@@ -182,9 +246,13 @@ QUERIES: dict[str, Query] = {
     "row_hash": row_hashes,
     "lenient_dates": lenient_dates,
     "bronze_null_problems": bronze_null_problems,
+    "cast_failures": cast_failures,
 
     "profile_clientes": _profile("clientes"),
-    "profile_pedidos": lambda spark, sf: profiling.profile(clean_orders(spark, sf), "pedidos"),
+    "profile_productos": _profile("productos"),
+    "profile_pedidos": _profile("pedidos"),
+    "profile_detalle_pedidos": _profile("detalle_pedidos"),
+    "profile_tables": profile_tables,
     "profile_eventos": _profile("eventos"),
     "profile_documents": profile_documents,
     "duplicated_documents": duplicated_documents,
@@ -202,7 +270,7 @@ QUERIES: dict[str, Query] = {
     "fill_null_stock": lambda spark, sf: plain(
         repair.fill_null_int(frame(spark, sf, "productos"), "stock_disponible").select("producto_id", "stock_disponible")),
     "dedup_orders": lambda spark, sf: plain(
-        repair.keep_first(frame(spark, sf, "pedidos", repeated=True), ["pedido_id"], ["_file_order"])),
+        repair.keep_first(frame(spark, sf, "pedidos"), ["pedido_id"], ["_file_order"])),
     "dedup_lines": dedup_lines,
     "fill_group_median": lambda spark, sf: repair.fill_group_median(
         frame(spark, sf, "eventos"), "tipo_evento", "duracion_seg").select("evento_id", "tipo_evento", "duracion_seg"),
@@ -224,8 +292,8 @@ QUERIES: dict[str, Query] = {
     "redact_pages": lambda spark, sf: textscan.redact(_pages(spark, sf), "html"),
     "redact_output_documents": lambda spark, sf: textscan.redact_output(_texts(spark, sf), "text"),
     "pii_findings_conversations": lambda spark, sf: plain(
-        textscan.findings(load(spark, sf, "conversations"), ["conv_id", "turn"], "text")),
-    "redact_output_conversations": lambda spark, sf: textscan.redact_output(load(spark, sf, "conversations"), "text"),
+        textscan.findings(_turns(spark, sf), ["conv_id", "turn"], "text")),
+    "redact_output_conversations": lambda spark, sf: textscan.redact_output(_turns(spark, sf), "text"),
     "redact_output_pages": lambda spark, sf: textscan.redact_output(_pages(spark, sf), "html"),
 
     "silver_clientes": _silver("clientes"),
@@ -237,50 +305,52 @@ QUERIES: dict[str, Query] = {
     **{name: _gold(name) for name in gold.BUILDERS},
     "gold_inventory": inventory,
     "country_sales_from_bronze": country_sales_from_bronze,
+    "pipeline_from_raw": pipeline_from_raw,
 
     "q01_top_productos_ingreso": lambda spark, sf: reports.top_products(
-        gold.build("gold_top_productos", silver(spark, sf))),
+        gold.build("gold_top_productos", Silver(spark, sf))),
     "q02_ventas_por_pais": lambda spark, sf: reports.country_ranking(
-        gold.build("gold_ventas_por_pais", silver(spark, sf))),
+        gold.build("gold_ventas_por_pais", Silver(spark, sf))),
     "q03_conversion_por_canal": lambda spark, sf: reports.channel_revenue(
-        gold.build("gold_ventas_por_canal", silver(spark, sf))),
+        gold.build("gold_ventas_por_canal", Silver(spark, sf))),
     "q04_clientes_b2b_grandes": lambda spark, sf: reports.big_customers(
-        clean_orders(spark, sf), frame(spark, sf, "clientes")),
-    "q05_comparativa_paises": lambda spark, sf: reports.compare_countries(clean_orders(spark, sf), *COUNTRIES),
+        (t := Silver(spark, sf))["pedidos"], t["clientes"]),
+    "q05_comparativa_paises": lambda spark, sf: reports.compare_countries(Silver(spark, sf)["pedidos"], *COUNTRIES),
     "q06_top5_productos_periodo": lambda spark, sf: reports.top_products_between(
-        frame(spark, sf, "detalle_pedidos"), clean_orders(spark, sf), frame(spark, sf, "productos"), *PERIOD),
-    "q07_metodo_pago_por_pais": lambda spark, sf: reports.payment_by_country(clean_orders(spark, sf)),
-    "q08_tasa_cancelacion_devolucion": lambda spark, sf: reports.lost_order_share(clean_orders(spark, sf)),
+        (t := Silver(spark, sf))["detalle_pedidos"], t["pedidos"], t["productos"], *PERIOD),
+    "q07_metodo_pago_por_pais": lambda spark, sf: reports.payment_by_country(Silver(spark, sf)["pedidos"]),
+    "q08_tasa_cancelacion_devolucion": lambda spark, sf: reports.lost_order_share(Silver(spark, sf)["pedidos"]),
     "q09_margen_bruto_categoria": lambda spark, sf: reports.category_margin(
-        frame(spark, sf, "detalle_pedidos"), frame(spark, sf, "productos")),
-    "q10_actividad_horaria": lambda spark, sf: plain(reports.hourly_activity(frame(spark, sf, "eventos"))),
+        (t := Silver(spark, sf))["detalle_pedidos"], t["productos"]),
+    "q10_actividad_horaria": lambda spark, sf: plain(reports.hourly_activity(Silver(spark, sf)["eventos"])),
     "q11_segmentacion_rfm": lambda spark, sf: reports.rfm_distribution(
-        gold.build("gold_clientes_rfm", silver(spark, sf))),
-    "q12_cohorte_retencion_mensual": lambda spark, sf: plain(reports.monthly_retention(clean_orders(spark, sf))),
+        gold.build("gold_clientes_rfm", Silver(spark, sf))),
+    "q12_cohorte_retencion_mensual": lambda spark, sf: plain(reports.monthly_retention(Silver(spark, sf)["pedidos"])),
     "paises_por_ingreso": lambda spark, sf: reports.countries_by_revenue(
-        gold.build("gold_ventas_por_pais", silver(spark, sf))),
+        gold.build("gold_ventas_por_pais", Silver(spark, sf))),
     "productos_mas_vendidos": lambda spark, sf: reports.best_sellers(
-        gold.build("gold_top_productos", silver(spark, sf))),
+        gold.build("gold_top_productos", Silver(spark, sf))),
     "ticket_promedio_por_canal": lambda spark, sf: reports.average_ticket(
-        gold.build("gold_ventas_por_canal", silver(spark, sf))),
-    "metodo_pago_en_pais": lambda spark, sf: reports.payment_in_country(clean_orders(spark, sf), COUNTRIES[0]),
-    "clientes_por_segmento": lambda spark, sf: reports.customers_per_segment(frame(spark, sf, "clientes")),
+        gold.build("gold_ventas_por_canal", Silver(spark, sf))),
+    "metodo_pago_en_pais": lambda spark, sf: reports.payment_in_country(Silver(spark, sf)["pedidos"], COUNTRIES[0]),
+    "clientes_por_segmento": lambda spark, sf: reports.customers_per_segment(Silver(spark, sf)["clientes"]),
 
     "governed_customers": governed_customers,
     "governed_totals": governed_totals,
     "quality_digest": quality_digest,
 
-    "null_columns": lambda spark, sf: explore.null_columns(clean_orders(spark, sf)),
+    "null_columns": lambda spark, sf: explore.null_columns(Silver(spark, sf)["pedidos"]),
     "marker_counts": lambda spark, sf: explore.marker_counts(
         frame(spark, sf, "clientes"), {"telefono": INVALID_PHONE}, ["ciudad"]),
-    "value_counts": lambda spark, sf: explore.value_counts(clean_orders(spark, sf), ["estado", "canal", "pais_envio"]),
+    "value_counts": lambda spark, sf: explore.value_counts(Silver(spark, sf)["pedidos"], ["estado", "canal", "pais_envio"]),
     "value_counts_events": lambda spark, sf: explore.value_counts(
         frame(spark, sf, "eventos"), ["tipo_evento", "dispositivo"]),
     "numeric_summary": lambda spark, sf: explore.numeric_summary(frame(spark, sf, "productos"), "precio_venta"),
+    "numeric_summary_scales": numeric_summary_scales,
     "predicate_count": lambda spark, sf: explore.count_where(
         frame(spark, sf, "productos"), F.col("precio_venta") <= F.col("costo")),
     "repeated_keys": lambda spark, sf: explore.repeated_keys(
-        frame(spark, sf, "pedidos", repeated=True), "pedido_id"),
+        frame(spark, sf, "pedidos"), "pedido_id"),
     "fk_orphans": lambda spark, sf: plain(rules.orphans(
         load(spark, sf, "orders"), "o_orderkey", load(spark, sf, "lineitem"), "l_orderkey")),
     "distinct_references": lambda spark, sf: explore.distinct_references(

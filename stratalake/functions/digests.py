@@ -9,7 +9,6 @@ from pyspark.sql import Column, functions as F
 from stratalake.functions.scalars import is_blank
 
 NULL_MARK = "nan"
-LONG_TEXT = 64
 
 
 def sha256(column: Column) -> Column:
@@ -37,5 +36,5 @@ def row_identity(names: Sequence[str]) -> Column:
 
 
 def short_key(text: Column) -> Column:
-    """Stand-in for a text in distinct counts: long texts are replaced by their digest."""
-    return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+    """Stand-in for a text in distinct counts: its digest, whatever its length."""
+    return F.unhex(F.sha2(text, 256))

@@ -126,4 +126,4 @@ def redact_found(text: Column, found: Column) -> Column:
         tag = F.when(hit["type"] == "email", F.lit(EMAIL_TAG)).otherwise(F.lit(PHONE_TAG))
         return F.replace(current, hit["value"], tag)
 
-    return F.when(F.size(found) > 0, F.aggregate(found, text, step)).otherwise(text)
+    return F.when(F.size(found) > 0, F.aggregate(F.array_distinct(found), text, step)).otherwise(text)

@@ -48,15 +48,14 @@ def exact_mean(column: Column | str, scale: T.DecimalType = RATE) -> Column:
     return ratio(F.sum(column.cast(scale)), F.count(column))
 
 
-def stable_mean(number: Column) -> Column:
-    """Mean of a double column that does not depend on the order of the rows.
-
-    Values are added up in decimal with ten digits after the point. Where a value is too large
-    for that, the plain average is taken.
-    """
-    exact = number.try_cast(T.DecimalType(38, 10))
-    return F.when(
-        F.count(exact) == F.count(number), ratio(F.try_sum(exact), F.count(number))).otherwise(F.avg(number))
+def mean_of(column: Column, dtype: T.DataType) -> Column:
+    """Mean as double. Whole numbers and decimals are summed exactly; floating point numbers are averaged."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.avg(as_number(column))
+    scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+    number = column.cast("int") if isinstance(dtype, T.BooleanType) else column
+    wide = number.cast(T.DecimalType(min(38, 28 + scale), scale))
+    return ratio(F.sum(wide), F.count(number))
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:

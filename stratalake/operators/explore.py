@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalake.functions.scalars import is_blank, is_missing, percent, ratio, stable_mean
+from stratalake.functions.scalars import is_blank, is_missing, mean_of, percent, ratio
 from stratalake.operators.repair import surplus_rows
 
 
@@ -40,7 +40,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     return df.agg(
         F.min(column).cast("double").alias("min"), F.max(column).cast("double").alias("max"),
-        stable_mean(F.col(column).cast("double")).alias("mean"))
+        mean_of(F.col(column), df.schema[column].dataType).alias("mean"))
 
 
 def count_where(df: DataFrame, condition: Column) -> DataFrame:
@@ -56,7 +56,9 @@ def distinct_references(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, distinct) for reference columns."""
     tall = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
     seen = tall.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.lit(1).alias("_one"))
-    return seen.groupBy("column").agg(F.count("*").alias("distinct"))
+    counted = seen.groupBy("column").agg(F.count("*").alias("distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(counted, "column", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -33,27 +33,31 @@ def with_file_order(scan: DataFrame) -> DataFrame:
     )
 
 
-def with_lenient_dates(df: DataFrame, timestamp_name: str = "timestamp") -> DataFrame:
-    """Text columns named like dates become dates, the event time a timestamp; bad text is null."""
+def with_lenient_dates(df: DataFrame, timestamp_name: str = "timestamp", formats: Sequence[str] = ()) -> DataFrame:
+    """Columns named like dates and the event time become timestamps, so a time of day stays; bad text is null.
+
+    ISO text is read first, then ``formats`` (Spark patterns such as ``dd/MM/yyyy``) in their order. Dates
+    that are typed already stay as they are.
+    """
     typed = {}
     for field in df.schema.fields:
-        if is_date_name(field.name):
-            typed[field.name] = lenient(F.col(field.name), T.DateType())
-        elif field.name == timestamp_name:
-            typed[field.name] = lenient(F.col(field.name), T.TimestampNTZType())
+        if isinstance(field.dataType, T.StringType) and (is_date_name(field.name) or field.name == timestamp_name):
+            text = F.col(field.name)
+            others = [F.try_to_timestamp(text, F.lit(f)).cast(T.TimestampNTZType()) for f in formats]
+            typed[field.name] = F.coalesce(lenient(text, T.TimestampNTZType()), *others)
     return df.withColumns(typed) if typed else df
 
 
-def ingest(df: DataFrame, source_file: str, run_time: str, technical: Sequence[str] = (FILE_ORDER,)) -> DataFrame:
-    """Audit columns and date typing.
-
-    The hash covers the business columns as they came, not the audit columns, so the same row
-    has the same hash in every run.
-    """
+def with_audit(df: DataFrame, source_file: str, run_time: str, technical: Sequence[str] = (FILE_ORDER,)) -> DataFrame:
+    """Audit columns. The hash covers the business columns as they come, so give the text of the file."""
     business = [c for c in df.columns if c not in technical]
-    tagged = df.withColumns({
+    return df.withColumns({
         "_source_file": F.lit(source_file),
         "_ingestion_timestamp": F.lit(run_time),
         "_row_hash": row_hash(business),
     })
-    return with_lenient_dates(tagged)
+
+
+def ingest(df: DataFrame, source_file: str, run_time: str, technical: Sequence[str] = (FILE_ORDER,)) -> DataFrame:
+    """Audit columns and date typing. The same row has the same hash in every run."""
+    return with_lenient_dates(with_audit(df, source_file, run_time, technical))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalake.functions.scalars import as_number
-from stratalake.session import pin
+from stratalake.session import broadcast_if_small, pin
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
@@ -83,7 +83,8 @@ def medians_of_placed(
     })
     middle = spans.filter("(_before < _low and _low <= _upto) or (_before < _high and _high <= _upto)")
     keys = [*groups, "_part"]
-    middle = middle.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_low", "_high", "_before")
+    # At most two rows per group; pinned, so that they are measured and the placed rows need not move again.
+    middle, _ = broadcast_if_small(pin(middle.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_low", "_high", "_before")))
 
     located = F.lit(True)
     for key in keys:

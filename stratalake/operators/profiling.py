@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalake.functions.digests import row_identity, short_key
-from stratalake.functions.scalars import as_number, is_missing, percent, ratio, stable_mean
+from stratalake.functions.scalars import as_number, is_missing, mean_of, percent
 from stratalake.operators.ordering import medians_of_placed, place_counts
 from stratalake.operators.rules import rows_of_repeated_key
+from stratalake.session import pin
 
 
 def _is_numeric(dtype: T.DataType) -> bool:
@@ -23,17 +24,6 @@ def _number(field: T.StructField) -> Column:
     return as_number(column.cast("int") if isinstance(field.dataType, T.BooleanType) else column)
 
 
-def _mean(field: T.StructField) -> Column:
-    """Mean that does not depend on the order of the rows; whole numbers and decimals are added up as such."""
-    column = F.col(field.name)
-    if isinstance(field.dataType, T.DecimalType):
-        return ratio(F.sum(column), F.count(column))
-    if isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
-        whole = column.cast("int") if isinstance(field.dataType, T.BooleanType) else column
-        return ratio(F.sum(whole.cast(T.DecimalType(38, 0))), F.count(column))
-    return stable_mean(_number(field))
-
-
 def _null_count(field: T.StructField) -> Column:
     return F.count_if(is_missing(field.name, field.dataType))
 
@@ -47,7 +37,7 @@ def _measures(df: DataFrame, approximate: bool) -> DataFrame:
         figures = {"min": None, "max": None, "mean": None}
         if _is_numeric(field.dataType):
             number = _number(field)
-            sums += [F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}"), _mean(field).alias(f"mean{i}")]
+            sums += [F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}"), mean_of(F.col(field.name), field.dataType).alias(f"mean{i}")]
             figures = {"min": F.col(f"min{i}"), "max": F.col(f"max{i}"), "mean": F.round(F.col(f"mean{i}"), 2)}
         entry = [
             F.lit(field.name).alias("column"),
@@ -123,6 +113,15 @@ def profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
     )
 
 
+def null_counts(df: DataFrame, table: str) -> DataFrame:
+    """Nulls of every column and their share, in one pass without sketches."""
+    counted = df.agg(F.count("*").alias("_n"), *[
+        F.count_if(is_missing(f.name, f.dataType)).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)])
+    lines = [F.struct(F.lit(name).alias("column"), F.col(f"_c{i}").alias("nulls"), F.col("_n").alias("n")) for i, name in enumerate(df.columns)]
+    return counted.select(F.inline(F.array(*lines))).select(
+        F.lit(table).alias("table"), "column", "nulls", percent(F.col("nulls"), F.col("n")).alias("null_pct"))
+
+
 def table_shape(df: DataFrame, table: str) -> DataFrame:
     """Row and column count."""
     return df.agg(F.count("*").alias("total_rows")).select(
@@ -140,6 +139,13 @@ def duplicated_rows(df: DataFrame, table: str) -> DataFrame:
         F.lit(len(df.columns)).cast("bigint").alias("total_cols"), "duplicated_rows")
 
 
+def table_profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+    """The profile of the columns, each line with the table's rows, columns and duplicated rows."""
+    whole = pin(duplicated_rows(df, table))  # one row
+    return profile(df, table, approximate).withColumns({
+        name: whole.select(name).scalar() for name in ("total_rows", "total_cols", "duplicated_rows")})
+
+
 def duplicates_by_key(df: DataFrame, key: str) -> DataFrame:
     """All rows of repeated keys, sorted by key.
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalake.functions.scalars import as_number, is_blank
+from stratalake.functions.scalars import as_number, is_blank, is_missing
 from stratalake.operators.ordering import medians_of_placed, place_counts
 from stratalake.session import broadcast_if_small, pin
 
@@ -31,8 +31,9 @@ def fill_blank(df: DataFrame, name: str, value: str) -> DataFrame:
 
 
 def fill_null_int(df: DataFrame, name: str, value: int = 0) -> DataFrame:
-    """Null becomes a constant and the column an integer."""
-    return df.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(value)))
+    """Null or NaN becomes a constant and the column an integer; what no integer can hold becomes null."""
+    missing = is_missing(name, df.schema[name].dataType)
+    return df.withColumn(name, F.when(missing, F.lit(value)).otherwise(F.col(name).try_cast("int")))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], unique_order: bool = False) -> DataFrame:
@@ -94,7 +95,7 @@ class Repair:
     column: str
     action: str
     apply: Callable[[DataFrame], DataFrame]
-    touches: Callable[[], Column] | None = None
+    touches: Callable[[DataFrame], Column] | None = None
     surplus_of: str | None = None
 
 
@@ -118,7 +119,7 @@ def repair_log(df: DataFrame, repairs: Sequence[Repair], run_time: str) -> DataF
     parts = []
     tested = [r for r in repairs if r.touches is not None]
     if tested:
-        counted = df.agg(*[F.count_if(r.touches()).alias(f"c{i}") for i, r in enumerate(tested)])
+        counted = df.agg(*[F.count_if(r.touches(df)).alias(f"c{i}") for i, r in enumerate(tested)])
         entries = [
             F.struct(F.lit(r.table).alias("tabla"), F.lit(r.column).alias("campo"),
                      F.lit(r.action).alias("accion"), F.col(f"c{i}").alias("registros_afectados"))

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratalake.functions.scalars import is_blank
+from stratalake.functions.scalars import is_blank, is_missing
 from stratalake.session import broadcast_if_small, pin
 from stratalake.settings import INVALID_PHONE, ORDER_STATES
 
@@ -21,7 +21,7 @@ REPORT_SCHEMA = (
 class Rule:
     """A rule of one table. Exactly one of the three checks is set.
 
-    ``violates``: makes a Column that is true for a violating row.
+    ``violates``: makes a Column over the table that is true for a violating row.
     ``unique``: a column whose values may occur only once.
     ``refers_to``: (column, parent table, parent column) that must exist in the parent.
     """
@@ -30,40 +30,40 @@ class Rule:
     table: str
     description: str
     severity: str
-    violates: Callable[[], Column] | None = None
+    violates: Callable[[DataFrame], Column] | None = None
     unique: str | None = None
     refers_to: tuple[str, str, str] | None = None
 
 
 # Tests for the common kinds of row rule.
 
-def when_null(name: str) -> Callable[[], Column]:
-    return lambda: F.col(name).isNull()
+def when_null(name: str) -> Callable[[DataFrame], Column]:
+    return lambda df: is_missing(name, df.schema[name].dataType)
 
 
-def when_value(name: str, value: object) -> Callable[[], Column]:
-    return lambda: F.col(name) == value
+def when_value(name: str, value: object) -> Callable[[DataFrame], Column]:
+    return lambda df: F.col(name) == value
 
 
-def when_blank(name: str) -> Callable[[], Column]:
-    return lambda: is_blank(F.col(name))
+def when_blank(name: str) -> Callable[[DataFrame], Column]:
+    return lambda df: is_blank(F.col(name))
 
 
-def when_outside(name: str, allowed: Sequence[object]) -> Callable[[], Column]:
+def when_outside(name: str, allowed: Sequence[object]) -> Callable[[DataFrame], Column]:
     """Not one of the allowed values; null is not allowed either."""
-    return lambda: ~F.coalesce(F.col(name).isin(*allowed), F.lit(False))
+    return lambda df: ~F.coalesce(F.col(name).isin(*allowed), F.lit(False))
 
 
-def when_net_off(net: str, gross: str, discount: str, tolerance: float) -> Callable[[], Column]:
-    return lambda: F.abs(F.col(net) - F.col(gross) * (1 - F.col(discount))) > tolerance
+def when_net_off(net: str, gross: str, discount: str, tolerance: float) -> Callable[[DataFrame], Column]:
+    return lambda df: F.abs(F.col(net) - F.col(gross) * (1 - F.col(discount))) > tolerance
 
 
-def when_before(later: str, earlier: str) -> Callable[[], Column]:
-    return lambda: F.col(later) < F.col(earlier)
+def when_before(later: str, earlier: str) -> Callable[[DataFrame], Column]:
+    return lambda df: F.col(later) < F.col(earlier)
 
 
-def when_not_above(high: str, low: str) -> Callable[[], Column]:
-    return lambda: F.col(high) <= F.col(low)
+def when_not_above(high: str, low: str) -> Callable[[DataFrame], Column]:
+    return lambda df: F.col(high) <= F.col(low)
 
 
 # Ids, tables and severities are fixed values.
@@ -126,7 +126,7 @@ def orphans(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -
 def violating_rows(rule: Rule, df: DataFrame, parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The rows of ``df`` that break the rule."""
     if rule.violates is not None:
-        return df.filter(rule.violates())
+        return df.filter(rule.violates(df))
     if rule.unique is not None:
         return rows_of_repeated_key(df, [rule.unique])
     column, parent, parent_column = rule.refers_to
@@ -157,7 +157,7 @@ def check_table(
 
     row_rules = [r for r in mine if r.violates is not None]
     if row_rules:
-        counted = df.agg(*[F.count_if(r.violates()).alias(r.rule_id) for r in row_rules])
+        counted = df.agg(*[F.count_if(r.violates(df)).alias(r.rule_id) for r in row_rules])
         lines = [F.struct(*_report(r, F.col(r.rule_id))) for r in row_rules]
         parts.append(counted.select(F.inline(F.array(*lines))))
 

@@ -1,14 +1,14 @@
-"""Read-only SQL over governed views: no personal columns, allowed tables only, capped results."""
+"""Read-only SQL over governed views: no personal columns, allowed tables only."""
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalake.settings import FORBIDDEN_WORDS, GOLD_TABLES, PII_COLUMNS, RESULT_CAP, TABLES
+from stratalake.settings import GOLD_TABLES, PII_COLUMNS, TABLES
 from stratalake.sources.dictionary import schema_listing
 
 ALLOWED_TABLES = frozenset(TABLES + GOLD_TABLES)
@@ -16,35 +16,100 @@ ALLOWED_TABLES = frozenset(TABLES + GOLD_TABLES)
 # An empty database: a name that is not a governed view resolves to nothing.
 EMPTY_DATABASE = "stratalake_governed"
 
-# SQL functions that call arbitrary code of the driver's process.
-CODE_FUNCTIONS = ("reflect", "try_reflect", "java_method")
-
-_QUOTED = re.compile(r"'(?:\\.|''|[^'\\])*'|\"(?:\\.|\"\"|[^\"\\])*\"", re.S)
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
+# What a read may be made of: nodes of the parsed query, and functions. Anything else is refused.
+READ_NODES = frozenset((
+    "Aggregate", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join",
+    "LateralJoin", "LocalLimit", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving",
+    "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
+))
+FUNCTIONS = frozenset((
+    "abs", "add_months", "any", "any_value", "approx_count_distinct", "array", "array_agg", "array_contains", "array_distinct",
+    "array_join", "array_size", "avg", "bigint", "bool_and", "bool_or", "boolean", "bround", "cardinality", "cast", "ceil",
+    "ceiling", "char_length", "coalesce", "collect_list", "collect_set", "concat", "concat_ws", "contains", "corr", "count",
+    "count_if", "cume_dist", "current_date", "current_timestamp", "date", "date_add", "date_diff", "date_format", "date_part",
+    "date_sub", "date_trunc", "dateadd", "datediff", "day", "dayofmonth", "dayofweek", "dayofyear", "decimal", "dense_rank",
+    "double", "endswith", "every", "exists", "exp", "explode", "extract", "filter", "first", "first_value", "float", "floor",
+    "greatest", "hour", "if", "ifnull", "initcap", "instr", "int", "isnan", "isnotnull", "isnull", "lag", "last", "last_day",
+    "last_value", "lcase", "lead", "least", "left", "length", "like", "ln", "locate", "log", "log10", "log2", "lower", "lpad",
+    "ltrim", "make_date", "max", "max_by", "mean", "median", "min", "min_by", "minute", "mod", "mode", "month", "months_between",
+    "now", "nth_value", "ntile", "nullif", "nvl", "nvl2", "percent_rank", "percentile", "percentile_approx", "percentile_cont",
+    "position", "pow", "power", "quarter", "rank", "regexp_count", "regexp_extract", "regexp_like", "regexp_replace", "replace",
+    "reverse", "right", "round", "row_number", "rpad", "rtrim", "second", "sign", "size", "some", "split", "split_part", "sqrt",
+    "startswith", "std", "stddev", "stddev_pop", "stddev_samp", "string", "substr", "substring", "sum", "timestamp",
+    "timestampdiff", "to_date", "to_timestamp", "trim", "trunc", "try_add", "try_cast", "try_divide", "try_sum", "ucase", "upper",
+    "var_pop", "var_samp", "variance", "weekday", "weekofyear", "when", "year",
+))
 
 
 class QueryRefused(ValueError):
     """The query is not a plain read of governed tables."""
 
 
-def _bare(query: str) -> str:
-    """The query without string literals and comments, which may hold any word."""
-    return _COMMENT.sub(" ", _QUOTED.sub("''", query)).strip().rstrip(";").strip()
-
-
-def check_read_only(query: str) -> tuple[bool, str]:
-    """Whether the text is a single read, and why not."""
-    text = _bare(query)
-    if not re.match(r"(?i)(select|with)\b", text):
-        return False, "only SELECT queries are allowed"
-    word = re.search(r"(?i)\b(" + "|".join(FORBIDDEN_WORDS) + r")\b", text)
-    if word:
-        return False, f"'{word.group().upper()}' is not allowed"
-    call = re.search(r"(?i)\b(" + "|".join(CODE_FUNCTIONS) + r")`?\s*\(", text)
-    if call:
-        return False, f"function '{call.group(1).lower()}' is not allowed"
-    if ";" in text:
-        return False, "only one statement is allowed"
+def _items(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def check_read_only(query: str, tables: Iterable[str] | None = None, spark: SparkSession | None = None) -> tuple[bool, str]:
+    """Whether the text is a single read of the given tables (any plain names by default), and why not.
+
+    The session's own parser reads the text; nothing is analyzed or run before the whole parsed query is
+    known to consist of read nodes, governed names or its own common tables, and allowed functions.
+    """
+    spark = spark or SparkSession.active()
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query.strip().rstrip(";"))
+    except Exception as error:  # noqa: BLE001 - the parser's error arrives as a Java exception
+        return False, f"only one SELECT statement is allowed ({str(error).strip().splitlines()[0][:120]})"
+    subquery = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.SubqueryExpression")
+    known = None if tables is None else {t.lower() for t in tables}
+    return _check_plan(parsed, known, subquery)
+
+
+def _check_plan(plan, known: set[str] | None, subquery) -> tuple[bool, str]:
+    kind = plan.nodeName().split(" ")[0].strip("'")
+    kind = plan.getClass().getSimpleName() if kind not in READ_NODES else kind
+    if kind not in READ_NODES:
+        return False, f"'{kind}' is not allowed, only SELECT queries are"
+    if kind == "UnresolvedRelation":
+        name = [str(part) for part in _items(plan.multipartIdentifier())]
+        if len(name) > 1 or known is not None and name[0].lower() not in known:
+            return False, f"'{'.'.join(name)}' is not a governed table"
+    inner = _items(plan.innerChildren())
+    if kind == "UnresolvedWith":
+        # each common table sees the ones before it, the query sees all
+        for relation in _items(plan.cteRelations()):
+            ok, reason = _check_plan(relation._2(), known, subquery)
+            if not ok:
+                return ok, reason
+            known = None if known is None else known | {str(relation._1()).lower()}
+        inner = []
+    for child in [*_items(plan.children()), *inner]:
+        ok, reason = _check_plan(child, known, subquery)
+        if not ok:
+            return ok, reason
+    for expression in _items(plan.expressions()):
+        ok, reason = _check_expression(expression, known, subquery)
+        if not ok:
+            return ok, reason
+    return True, "OK"
+
+
+def _check_expression(expression, known: set[str] | None, subquery) -> tuple[bool, str]:
+    kind = expression.getClass().getSimpleName()
+    if "Identifier" in kind and kind.startswith(("Unresolved", "Expression")):
+        return False, "identifier clauses are not allowed"
+    if kind == "UnresolvedFunction":
+        name = [str(part) for part in _items(expression.nameParts())]
+        if len(name) > 1 or name[0].lower() not in FUNCTIONS:
+            return False, f"function '{'.'.join(name).lower()}' is not allowed"
+    if subquery.isInstance(expression):
+        ok, reason = _check_plan(expression.plan(), known, subquery)
+        if not ok:
+            return ok, reason
+    for child in _items(expression.children()):
+        ok, reason = _check_expression(child, known, subquery)
+        if not ok:
+            return ok, reason
     return True, "OK"
 
 
@@ -69,26 +134,26 @@ def governed_view(df: DataFrame, personal: Iterable[str] = PII_COLUMNS) -> DataF
 
 @dataclass(frozen=True)
 class Answer:
-    """Result of a governed query: the full result stays lazy, ``rows`` is its capped head."""
+    """Result of a governed query, lazy and whole. With a ``cap`` the caller asks for a head of it in ``rows``."""
 
     result: DataFrame
-    cap: int = RESULT_CAP
+    cap: int | None = None
 
     @property
     def rows(self) -> DataFrame:
-        return self.result.limit(self.cap)
+        return self.result if self.cap is None else self.result.limit(self.cap)
 
     def total(self) -> int:
         return self.result.count()
 
     def text(self) -> str:
-        """The head as a table, with a note when there is more."""
+        """The rows as a table, with a note when a cap leaves some out."""
         head = self.rows.collect()
         if not head:
             return "no results"
         lines = [" | ".join(self.result.columns)]
         lines += [" | ".join("" if v is None else str(v) for v in row) for row in head]
-        total = len(head) if len(head) < self.cap else self.total()
+        total = len(head) if self.cap is None or len(head) < self.cap else self.total()
         if total > len(head):
             lines.append(f"... ({len(head)} of {total} rows)")
         return "\n".join(lines)
@@ -98,7 +163,7 @@ class GovernedSql:
     """A session of its own in which only the governed views exist."""
 
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame], dictionary: DataFrame | None = None,
-                 personal: Iterable[str] = PII_COLUMNS, cap: int = RESULT_CAP, database: str = EMPTY_DATABASE):
+                 personal: Iterable[str] = PII_COLUMNS, cap: int | None = None, database: str = EMPTY_DATABASE):
         self.personal = tuple(personal)
         self.cap = cap
         self.frames = {n: governed_view(df, self.personal) for n, df in frames.items() if n in ALLOWED_TABLES}
@@ -106,32 +171,33 @@ class GovernedSql:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
         if [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]:
             raise ValueError(f"database {database} holds tables; governed SQL needs an empty one")
-        self.outside = [row.name for row in spark.catalog.listDatabases()] + [
-            row.name for row in spark.catalog.listCatalogs()] + ["global_temp", "system", "session"]
+        self._names = {name: f"stratalake_{uuid.uuid4().hex}_{name}" for name in self.frames}
         for name, df in self.frames.items():
-            df.createOrReplaceGlobalTempView(_global_name(name))
+            df.createOrReplaceGlobalTempView(self._names[name])
         self.session = spark.newSession()
         for setting in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
             self.session.conf.set(setting, spark.conf.get(setting))
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.session.sql(f"USE {database}")
         for name in self.frames:
-            self.session.table(f"global_temp.{_global_name(name)}").createOrReplaceTempView(name)
+            self.session.table(f"global_temp.{self._names[name]}").createOrReplaceTempView(name)
 
     def tables(self) -> list[str]:
         return sorted(self.frames)
 
     def query(self, text: str) -> Answer:
         """Check, run and strip a query."""
-        safe, reason = check_read_only(text)
+        safe, reason = check_read_only(text, self.frames, self.session)
         if not safe:
             raise QueryRefused(reason)
-        qualified = re.search(
-            r"(?i)(?<![\w.])(" + "|".join(map(re.escape, self.outside)) + r")\s*\.", _bare(text).replace("`", ""))
-        if qualified:
-            raise QueryRefused(f"'{qualified.group(1)}' is not a governed table")
         return Answer(without_personal(self.session.sql(text.strip().rstrip(";")), self.personal), self.cap)
 
+    def close(self) -> None:
+        """Drop the views of this instance."""
+        for name, own in self._names.items():
+            self.session.catalog.dropTempView(name)
+            self.session.catalog.dropGlobalTempView(own)
+
     def schema(self, table: str) -> DataFrame:
         """Columns of an allowed table: aggregate tables as built, source tables from the dictionary."""
         if table not in self.frames:
@@ -141,10 +207,6 @@ class GovernedSql:
         return schema_listing(self.dictionary, table)
 
 
-def _global_name(name: str) -> str:
-    return f"stratalake_{name}"
-
-
 def quality_digest(rules: DataFrame, profiles: DataFrame, log: DataFrame) -> DataFrame:
     """Rule report, profile and repair log as one table of (source, table, item, value)."""
     return (

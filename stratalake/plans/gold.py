@@ -34,15 +34,14 @@ def build(name: str, silver: Mapping[str, DataFrame]) -> DataFrame:
 def run(lake: Lake, as_tables: bool = False) -> dict[str, DataFrame]:
     """Write every gold table and their inventory; make gold and silver visible to SQL.
 
-    ``as_tables`` also saves the gold tables in the session's catalog.
+    ``as_tables`` saves the gold and silver tables in the session's catalog.
     """
     silver = lake.read_all(SILVER)
     gold = {name: lake.write(build(name, silver), GOLD, name) for name in GOLD_TABLES}
     if as_tables:
-        for name, df in gold.items():
+        for name, df in {**silver, **gold}.items():
             save_table(df, name)
     else:
-        register(gold)
-    register(silver)
+        register({**silver, **gold})
     lake.write_report(inventory(gold), "gold_inventory")
     return gold

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -227,8 +226,9 @@ REPORTS: dict[str, Callable[[Frames], DataFrame]] = {
 
 
 def load_sql_reports(path: str) -> dict[str, str]:
-    """Name to SQL text from a file of blocks, each headed by a ``-- @name: ...`` line."""
-    blocks = re.split(r"(?m)^--\s*@name:\s*(\S+).*$", Path(path).read_text(encoding="utf-8"))[1:]
+    """Name to SQL text from a file of blocks, each headed by a ``-- @name: ...`` line. Any path Spark reads."""
+    whole = "\n".join(row.value for row in SparkSession.active().read.text(path, wholetext=True).collect())
+    blocks = re.split(r"(?m)^--\s*@name:\s*(\S+).*$", whole)[1:]
     texts = {}
     for name, body in zip(blocks[::2], blocks[1::2]):
         text = re.sub(r"(?m)^\s*--.*$", "", body).strip().rstrip(";").strip()
@@ -251,9 +251,7 @@ def run_reports(
             **{n: (lambda s=s: spark.sql(s)) for n, s in (sql_reports or {}).items()}}
     for name, build in jobs.items():
         try:
-            path = lake.write_report_csv(build(), name)
-            rows = spark.read.option("header", True).csv(path).count()
-            status.append((name, rows, None))
+            status.append((name, lake.write_report_csv(build(), name), None))
         except Exception as error:  # noqa: BLE001 - reported, not raised
             status.append((name, None, str(error).splitlines()[0]))
     return spark.createDataFrame(status, "name string, rows bigint, error string")

@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratalake.functions.scalars import is_blank
+from stratalake.functions.scalars import is_blank, is_missing
 from stratalake.operators.ingest import FILE_ORDER
 from stratalake.operators.masking import mask_customers
-from stratalake.operators.profiling import profile
+from stratalake.operators.profiling import table_profile
 from stratalake.operators.repair import (
     Repair, apply_all, fill_blank, fill_group_median, fill_null, fill_null_int, keep_first, nullify, repair_log,
 )
@@ -19,13 +19,16 @@ from stratalake.settings import (
     ACTION_CITY, ACTION_DURATION, ACTION_EMAIL, ACTION_ORDERS, ACTION_PHONE, ACTION_STOCK, DEFAULT_SITE, INVALID_PHONE,
     TABLES, UNKNOWN_CITY, Site,
 )
+from stratalake.sources.catalog import register
+from stratalake.sources.dictionary import RESCUED
 from stratalake.sources.layers import BRONZE, SILVER, Lake
 
 
 def _first_order(df: DataFrame) -> DataFrame:
-    """First occurrence in the file; without a recorded file order, the smallest row."""
-    ordered = FILE_ORDER in df.columns
-    return keep_first(df, ["pedido_id"], [FILE_ORDER] if ordered else [], unique_order=ordered)
+    """First occurrence in the file."""
+    if FILE_ORDER not in df.columns:
+        raise ValueError(f"orders need {FILE_ORDER}, their place in the file, to tell which row came first")
+    return keep_first(df, ["pedido_id"], [FILE_ORDER], unique_order=True)
 
 
 def repairs_of(table: str, site: Site = DEFAULT_SITE) -> list[Repair]:
@@ -33,15 +36,15 @@ def repairs_of(table: str, site: Site = DEFAULT_SITE) -> list[Repair]:
     repairs = {
         "clientes": [
             Repair("clientes", "email", ACTION_EMAIL.format(placeholder=site.missing_email),
-                   lambda df: fill_null(df, "email", site.missing_email), lambda: F.col("email").isNull()),
+                   lambda df: fill_null(df, "email", site.missing_email), lambda df: F.col("email").isNull()),
             Repair("clientes", "telefono", ACTION_PHONE,
-                   lambda df: nullify(df, "telefono", INVALID_PHONE), lambda: F.col("telefono") == INVALID_PHONE),
+                   lambda df: nullify(df, "telefono", INVALID_PHONE), lambda df: F.col("telefono") == INVALID_PHONE),
             Repair("clientes", "ciudad", ACTION_CITY,
-                   lambda df: fill_blank(df, "ciudad", UNKNOWN_CITY), lambda: is_blank(F.col("ciudad"))),
+                   lambda df: fill_blank(df, "ciudad", UNKNOWN_CITY), lambda df: is_blank(F.col("ciudad"))),
         ],
         "productos": [
             Repair("productos", "stock_disponible", ACTION_STOCK,
-                   lambda df: fill_null_int(df, "stock_disponible"), lambda: F.col("stock_disponible").isNull()),
+                   lambda df: fill_null_int(df, "stock_disponible"), lambda df: is_missing("stock_disponible", df.schema["stock_disponible"].dataType)),
         ],
         "pedidos": [
             Repair("pedidos", "pedido_id", ACTION_ORDERS, _first_order, surplus_of="pedido_id"),
@@ -49,7 +52,7 @@ def repairs_of(table: str, site: Site = DEFAULT_SITE) -> list[Repair]:
         "eventos": [
             Repair("eventos", "duracion_seg", ACTION_DURATION,
                    lambda df: fill_group_median(df, "tipo_evento", "duracion_seg"),
-                   lambda: F.col("duracion_seg").isNull()),
+                   lambda df: is_missing("duracion_seg", df.schema["duracion_seg"].dataType)),
         ],
     }
     return repairs.get(table, [])
@@ -60,7 +63,7 @@ def clean(table: str, df: DataFrame, site: Site = DEFAULT_SITE) -> DataFrame:
 
     Customers are masked last, so that the placeholder for a missing address is not hashed.
     """
-    repaired = apply_all(df, repairs_of(table, site)).drop(FILE_ORDER)
+    repaired = apply_all(df, repairs_of(table, site)).drop(FILE_ORDER, RESCUED)
     return mask_customers(repaired, site) if table == "clientes" else repaired
 
 
@@ -70,11 +73,6 @@ def transformation_log(bronze: Mapping[str, DataFrame], run_time: str, site: Sit
         repair_log(df, repairs_of(table, site), run_time) for table, df in bronze.items() if repairs_of(table, site)])
 
 
-def applied(log: DataFrame) -> DataFrame:
-    """The repairs that touched at least one row."""
-    return log.filter("registros_afectados > 0")
-
-
 def run(lake: Lake, run_time: str, site: Site = DEFAULT_SITE, approximate: bool = False) -> dict[str, DataFrame]:
     """Clean every table; write rule reports of both phases, profile and log as report tables."""
     bronze = lake.read_all(BRONZE)
@@ -83,7 +81,8 @@ def run(lake: Lake, run_time: str, site: Site = DEFAULT_SITE, approximate: bool
     after = check_all(silver).withColumn("phase", F.lit("after"))
     lake.write_report(before.unionByName(after), "silver_rules")
     lake.write_report(reduce(DataFrame.unionByName, [
-        profile(df, table, approximate) for table, df in silver.items()]), "silver_profile")
+        table_profile(df, table, approximate) for table, df in silver.items()]), "silver_profile")
     log = lake.write_report(transformation_log(bronze, run_time, site), "silver_log")
     lake.write_report_csv(log, "log_transformaciones")
+    register(silver)
     return silver

@@ -50,12 +50,6 @@ SAFE_MAILBOXES = (
     "governance", "finanzas", "logistica", "compras", "legal",
 )
 
-RESULT_CAP = 50
-
-FORBIDDEN_WORDS = (
-    "INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "EXEC", "EXECUTE",
-)
-
 # --- Site settings ---
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from stratalake.operators.ingest import FILE_ORDER, with_file_order
 from stratalake.settings import TABLES
@@ -13,9 +13,16 @@ from stratalake.sources.dictionary import apply_schema, read_dictionary, table_s
 RAW, BRONZE, SILVER, GOLD, REPORTS = "raw", "bronze", "silver", "gold", "reports"
 
 
-def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """UTF-8 CSV with a header. Every column is text: markers such as ``N/A`` stay as they are."""
-    return spark.read.options(header=True, encoding="UTF-8", **options).csv(path)
+# A quote inside a quoted value is doubled; a backslash is a plain character.
+DIALECT = {"header": True, "encoding": "UTF-8", "quote": '"', "escape": '"'}
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False, **options) -> DataFrame:
+    """UTF-8 CSV with a header. Every column is text: markers such as ``N/A`` stay as they are.
+
+    ``multi_line`` reads values that hold line breaks; such a file cannot be split over tasks.
+    """
+    return spark.read.options(**DIALECT, multiLine=multi_line, **options).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -29,14 +36,16 @@ def write_parquet(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; white space inside values is kept as it is."""
     df.write.mode("overwrite").options(
-        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+        **DIALECT, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 class Lake:
     """The layer folders under one root, any file system Spark can reach."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, multi_line: Iterable[str] = ()):
+        """``multi_line``: raw tables whose values hold line breaks."""
         self.spark = spark
+        self.multi_line = frozenset(multi_line)
         self.root = root.rstrip("/")
 
     def path(self, layer: str, table: str) -> str:
@@ -46,15 +55,18 @@ class Lake:
     def dictionary(self) -> DataFrame:
         return read_dictionary(self.spark, self.path(RAW, "diccionario_datos"))
 
-    def read_raw(self, table: str, keep_order: bool = False) -> DataFrame:
-        """A raw table with its declared types; dates are still text.
+    def read_raw_text(self, table: str, keep_order: bool = False) -> DataFrame:
+        """A raw table as it is in the file, all text. ``keep_order`` adds the place of each row in the file."""
+        scan = read_csv(self.spark, self.path(RAW, table), table in self.multi_line)
+        return with_file_order(scan) if keep_order else scan
+
+    def typed(self, text: DataFrame, table: str) -> DataFrame:
+        """Declared types; dates are still text. Text that does not fit stays in a column of its own."""
+        return apply_schema(text, table_schema(self.dictionary(), table), rescue=True)
 
-        ``keep_order`` adds the place of each row in the file.
-        """
-        scan = read_csv(self.spark, self.path(RAW, table))
-        if keep_order:
-            scan = with_file_order(scan)
-        return apply_schema(scan, table_schema(self.dictionary(), table))
+    def read_raw(self, table: str, keep_order: bool = False) -> DataFrame:
+        """A raw table with its declared types."""
+        return self.typed(self.read_raw_text(table, keep_order), table)
 
     def read(self, layer: str, table: str) -> DataFrame:
         return read_parquet(self.spark, self.path(layer, table))
@@ -70,10 +82,11 @@ class Lake:
     def write_report(self, df: DataFrame, name: str) -> DataFrame:
         return self.write(df, REPORTS, name)
 
-    def write_report_csv(self, df: DataFrame, name: str) -> str:
-        path = f"{self.root}/{REPORTS}/{name}.csv"
-        write_csv(df, path)
-        return path
+    def write_report_csv(self, df: DataFrame, name: str) -> int:
+        """Write one report and return its rows, counted while they are written."""
+        seen = Observation()
+        write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{self.root}/{REPORTS}/{name}.csv")
+        return seen.get["rows"]
 
 
 __all__ = ["BRONZE", "FILE_ORDER", "GOLD", "Lake", "RAW", "REPORTS", "SILVER", "read_csv", "read_parquet",

@@ -2,7 +2,7 @@
 
 import pytest
 
-from stratalake.plans.access import GovernedSql, QueryRefused, check_read_only, without_personal
+from stratalake.plans.access import Answer, GovernedSql, QueryRefused, check_read_only, without_personal
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +22,8 @@ def governed(spark):
     "SELECT 'drop table; delete' AS text -- update later",
     "SELECT created_at, updates FROM x",
 ])
-def test_reads_pass(query):
-    assert check_read_only(query) == (True, "OK")
+def test_reads_pass(query, spark):
+    assert check_read_only(query, spark=spark) == (True, "OK")
 
 
 @pytest.mark.parametrize("query", [
@@ -33,7 +33,7 @@ def test_reads_pass(query):
     "SELECT reflect ('a', 'b')", "EXECUTE IMMEDIATE 'x'", "CREATE TABLE y AS SELECT 1",
 ])
 def test_everything_else_is_refused(query, governed):
-    assert not check_read_only(query)[0]
+    assert not check_read_only(query, spark=governed.session)[0]
     with pytest.raises(QueryRefused):
         governed.query(query)
 
@@ -41,8 +41,14 @@ def test_everything_else_is_refused(query, governed):
 def test_personal_columns_are_dropped(governed):
     answer = governed.query("SELECT * FROM clientes")
     assert answer.result.columns == ["cliente_id", "ciudad"]
-    assert answer.rows.count() == 50 and answer.total() == 120
-    assert answer.text().splitlines()[-1] == "... (50 of 120 rows)"
+    assert answer.rows.count() == answer.total() == 120
+    assert len(answer.text().splitlines()) == 121
+
+
+def test_a_caller_may_ask_for_a_head(governed):
+    head = Answer(governed.query("SELECT * FROM clientes").result, cap=50)
+    assert head.rows.count() == 50 and head.total() == 120
+    assert head.text().splitlines()[-1] == "... (50 of 120 rows)"
 
 
 def test_a_named_personal_column_still_runs(governed):
@@ -78,6 +84,42 @@ def test_only_governed_views_are_visible(governed, query):
     assert isinstance(refused.value, QueryRefused) or "NOT_FOUND" in str(refused.value) or "UNSUPPORTED" in str(refused.value)
 
 
+@pytest.mark.parametrize("query", [
+    "SELECT 1 AS v -- it's\nUNION ALL SELECT v FROM default.secret -- '",
+    "WITH t AS (SELECT 1 -- it's\n) INSERT INTO default.secret SELECT 'x' -- '",
+    "SELECT * FROM IDENTIFIER('default.secret')",
+    "SELECT 1 AS `it's`, reflect('java.lang.System', 'lineSeparator') AS `x'y`",
+    "SELECT * FROM later_database.t",
+    "SELECT * FROM range(10)",
+    "SELECT (SELECT max(v) FROM default.secret) AS v",
+    "SELECT 1 WHERE EXISTS (SELECT 1 FROM default.secret)",
+    "SELECT cliente_id FROM clientes WHERE cliente_id IN (SELECT v FROM raw_secret)",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+    "SELECT input_file_name() FROM clientes",
+    "SELECT default.my_function(1)",
+])
+def test_ways_around_are_refused_before_anything_runs(governed, spark, query):
+    spark.sql("CREATE DATABASE IF NOT EXISTS later_database")
+    with pytest.raises(QueryRefused):
+        governed.query(query)
+
+
+def test_own_common_tables_subqueries_and_joins_pass(governed):
+    answer = governed.query("""
+        WITH big AS (SELECT pais_envio FROM gold_ventas_por_pais WHERE total_pedidos > 2), two AS (SELECT * FROM big)
+        SELECT g.pais_envio, rank() OVER (ORDER BY total_pedidos DESC) AS place FROM gold_ventas_por_pais g
+        JOIN two USING (pais_envio) WHERE total_pedidos >= (SELECT avg(total_pedidos) FROM gold_ventas_por_pais)
+        ORDER BY 1 LIMIT 5""")
+    assert [r.pais_envio for r in answer.rows.collect()] == ["Perú"]
+
+
+def test_two_instances_do_not_share_views(spark):
+    a, b = (GovernedSql(spark, {"clientes": spark.createDataFrame([(n,)], "cliente_id int")}) for n in (1, 2))
+    assert [a.query("SELECT * FROM clientes").rows.first()[0], b.query("SELECT * FROM clientes").rows.first()[0]] == [1, 2]
+    a.close()
+    assert b.query("SELECT * FROM clientes").rows.count() == 1
+
+
 def test_tables_and_schema(governed):
     assert governed.tables() == ["clientes", "gold_ventas_por_pais"]
     listed = governed.schema("gold_ventas_por_pais").collect()

@@ -109,7 +109,7 @@ def test_bronze_keeps_defects_and_adds_audit_columns(lake, raw):
 def test_bronze_types_follow_the_dictionary(lake):
     types = {f.name: f.dataType.simpleString() for f in lake.read(BRONZE, "productos").schema.fields}
     assert types["precio_venta"] == "decimal(12,2)" and types["stock_disponible"] == "int"
-    assert lake.read(BRONZE, "pedidos").schema["fecha_pedido"].dataType == T.DateType()
+    assert lake.read(BRONZE, "pedidos").schema["fecha_pedido"].dataType == T.TimestampNTZType()
     assert lake.read(BRONZE, "eventos").schema["timestamp"].dataType == T.TimestampNTZType()
     assert lake.read(BRONZE, "clientes").schema["activo"].dataType == T.BooleanType()
     assert lake.read(BRONZE, "productos").filter("stock_disponible is null").count() == 4
