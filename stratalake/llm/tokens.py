@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,9 +24,13 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 PIECE_BYTES = 1 << 20
-CACHED = 1_000_000
+CACHED = 600_000
 LONGEST_CACHED = 64
-ODD_SPACE = re.compile(r"(?<!\S) | (?!\S)")
+#: White space other than the single space; the pairs are those a cut must not be made in.
+ASCII_SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f "
+MARKS = frozenset(".,;:!?")
+ODD_PAIRS = [pair for c in ASCII_SPACE for pair in (c + " ", " " + c)]
+OTHER_SPACE = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -35,11 +40,13 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Pieces(dict):
-    """Piece -> what `value` makes of the ids of `prefix` + piece. Bounded; begun anew when full."""
+    """Piece -> what `value` makes of the ids of `prefix` + piece. Bounded: when full, it becomes the older half
+    and is begun anew; what is found in the older half is taken over."""
 
     def __init__(self, path: str, prefix: str, value: Callable):
         super().__init__()
-        self.path, self.prefix, self.value = path, prefix, value
+        self.path, self.prefix, self.value, self.older = path, prefix, value, {}
+        self.marks = {m: value(tokenizer(path).encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def encode(self, pieces: list[str]) -> dict[str, object]:
         """Encode distinct pieces in batches balanced by bytes."""
@@ -53,22 +60,35 @@ class Pieces(dict):
             begin = end
         return out
 
+    def learn(self, pieces: set[str]) -> dict[str, object]:
+        """Values of new pieces. A mark after letters is a token of its own, so such a piece is its letters' value
+        and the mark's, and the letters are often known."""
+        marked = [(p, p[:-1]) for p in pieces if p[-1:] in MARKS and p[:-1].isalpha()]
+        plain = pieces.difference(p for p, _ in marked)
+        stems = {stem: self.get(stem, self.older.get(stem)) for _, stem in marked}
+        new = self.encode(list(plain.union(stem for stem, v in stems.items() if v is None)))
+        new |= {p: (new[stem] if stems[stem] is None else stems[stem]) + self.marks[p[-1]] for p, stem in marked}
+        return new
+
     def values(self, texts: list[list[str]]) -> list[list]:
         """The values of each text's pieces."""
         out = [list(map(self.get, pieces)) for pieces in texts]
         gaps = [k for k, values in enumerate(out) if None in values]
         if gaps:
-            new = self.encode(list({p for k in gaps for p, v in zip(texts[k], out[k]) if v is None}))
+            gap = {p for k in gaps for p, v in zip(texts[k], out[k]) if v is None}
+            new = {p: self.older[p] for p in gap if p in self.older}
+            new |= self.learn(gap.difference(new))
             for k in gaps:
                 out[k] = [new[p] if v is None else v for p, v in zip(texts[k], out[k])]
             if len(self) + len(new) > CACHED:
+                self.older = dict(self)
                 self.clear()
             self.update((p, v) for p, v in new.items() if len(p) <= LONGEST_CACHED)
         return out
 
 
 def _ids(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=8)
@@ -85,7 +105,8 @@ def cut_words(text: str) -> list[str]:
 
 def cut_bytes(text: str) -> list[str]:
     """Pieces for the byte-level BPE; all but the first lack the space they begin with."""
-    return CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
+    odd = text[:1] == " " or text[-1:] == " " or any(p in text for p in ODD_PAIRS) or not text.isascii() and any(c in text for c in OTHER_SPACE)
+    return CUT.split(text) if odd else text.split(" ")
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
