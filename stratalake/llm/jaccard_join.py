@@ -11,7 +11,8 @@
 4. Connected classes meet again with their whole sets. Pairs are pruned in the same way, and the rest is
    verified exactly. Links are counted there; again only a forest goes on, for the class ids.
 
-Groups of any size are split into blocks, and blocks meet in pairs, so no task holds a whole group.
+Groups of any size are split into blocks, and blocks meet in pairs, so no task holds a whole group. Rows are
+sorted by uid in a meeting, so the forests of many meetings hang on the same few roots.
 
 Cases: words are split at ASCII white space and taken as they are; a text of 1 to 4 words has one run, all
 its words; null and empty texts have none and link to nothing; repeated rows link to each other; null ids
@@ -175,7 +176,7 @@ def _candidates(classes: DataFrame, block: int) -> DataFrame:
     keys = keep(classes.where("grams > 0").select("uid", F.posexplode("bands").alias("band", "key")), "bands")
     shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = keys.join(shared, ["band", "key"]).join(classes.select("uid", "values"), "uid")
-    met = _meet(member, "key", "size", block).repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high")
+    met = _meet(member, "key", "size", block).repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high", "uid")
 
     def prune(batches):
         for table, starts in whole_groups(batches, ["key", "band", "low", "high"], 1 << 15):
@@ -213,7 +214,7 @@ def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), *batch.columns[2:]], names=["uid", "sets", *batch.schema.names[2:]])
 
     described = texts.select("uid", "text", "group", "size", "rows").mapInArrow(describe, "uid string, sets binary, group long, size long, rows long")
-    met = _meet(described, "group", "size", block).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
+    met = _meet(described, "group", "size", block).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "uid")
 
     def verify(batches):
         for table, starts in whole_groups(batches, ["group", "low", "high"], 1 << 11):
