@@ -6,7 +6,7 @@ tree's leaves to the feature's lookup table; then the pairs with the most to gai
 features in the same way. A score is a sum of table entries, looked up for a whole batch at once.
 
 Training takes at most TRAIN_ROWS labelled rows, those with the smallest hash of their id, so that the fit
-is bounded; scoring covers every row. Cases: null text counts as empty and is scored like any text; null
+is bounded; of rows with equal ids one text is learnt from; scoring covers every row. Cases: null text counts as empty and is scored like any text; null
 labels are left out; without labels of both kinds the score is the share of 1 (0.5 without labels).
 """
 
@@ -224,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     usable = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where(
         F.col("id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out("id"))
     sample = usable.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(sample), "id")  # bounded by `rows`
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy(
+        "id", "y").agg(F.min("text").alias("text"))  # bounded by `rows`, also where many rows share an id
 
     def describe(batches):
         for batch in batches:
