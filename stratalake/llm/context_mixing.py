@@ -31,7 +31,7 @@ CONTEXTS = 4
 BYTES_PER_LINE = 16
 MIN_LINES, MAX_LINES = 1 << 12, (1 << 15, 1 << 18, 1 << 20, 1 << 20)
 RANGE = 1 << 13
-HEAD = 1 << 20
+HEAD = 1 << 18
 END = 0xFF
 DOCS, STRIP, BLOCK = 96, 1024, 64
 HELD = 1 << 21
