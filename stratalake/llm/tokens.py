@@ -43,14 +43,19 @@ class Pieces(dict):
     """Piece -> what `value` makes of the ids of `prefix` + piece. Bounded: when full, it becomes the older half
     and is begun anew; what is found in the older half is taken over."""
 
-    def __init__(self, path: str, prefix: str, value: Callable):
+    def __init__(self, path: str, prefix: str, value: Callable, plain: Callable[[str], str]):
+        """plain: what the library's normaliser and splitter make of a piece of ASCII letters, a single word."""
         super().__init__()
-        self.path, self.prefix, self.value, self.older = path, prefix, value, {}
+        self.path, self.prefix, self.value, self.plain, self.older = path, prefix, value, plain, {}
         self.marks = {m: value(tokenizer(path).encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def encode(self, pieces: list[str]) -> dict[str, object]:
-        """Encode distinct pieces in batches balanced by bytes."""
-        model, out, begin = tokenizer(self.path), {}, 0
+        """Encode distinct pieces: words of ASCII letters by the library's model at once, others in batches balanced
+        by bytes."""
+        model, begin = tokenizer(self.path), 0
+        word = model.model.tokenize
+        out = {p: self.value([t.id for t in word(self.plain(p))]) for p in pieces if p.isascii() and p.isalpha()}
+        pieces = [p for p in pieces if p not in out]
         sizes = np.cumsum([len(p) for p in pieces])
         while begin < len(pieces):
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + PIECE_BYTES)))
@@ -91,11 +96,15 @@ def _ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def _after_space(word: str) -> str:
+    return "\u0120" + word  # how the byte-level splitter writes the space
+
+
 @lru_cache(maxsize=8)
-def _pieces(path: str, prefix: str, value: Callable) -> Pieces:
+def _pieces(path: str, prefix: str, value: Callable, plain: Callable[[str], str]) -> Pieces:
     # the library's own threads would compete with the other tasks of the executor
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Pieces(path, prefix, value)
+    return Pieces(path, prefix, value, plain)
 
 
 def cut_words(text: str) -> list[str]:
@@ -123,13 +132,13 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 def counts(path: str, texts: pa.Array) -> list[int]:
     """Tokens of each text under a word BPE file."""
-    known = _pieces(path, "", len)
+    known = _pieces(path, "", len, str.lower)
     return [sum(v) for group in _groups(texts.fill_null("").to_pylist()) for v in known.values([cut_words(t) for t in group])]
 
 
 def encoded(path: str, texts: pa.Array) -> Iterator[bytes]:
     """Ids of each text under a byte-level BPE file, as little-endian unsigned 32-bit integers."""
-    first, later = _pieces(path, "", _ids), _pieces(path, " ", _ids)
+    first, later = _pieces(path, "", _ids, str), _pieces(path, " ", _ids, _after_space)
     for group in _groups(texts.fill_null("").to_pylist()):
         cut = [cut_bytes(t) for t in group]
         heads = first.values([pieces[:1] for pieces in cut])
