@@ -11,7 +11,7 @@ same shard whatever stands around them.
 3. The other segments, once per pack with the smallest id, go to their shard, each distinct one with its
    smallest id. A suffix array of the shard is induced, places are grouped by permuted common prefixes of
    LENGTH bytes, and each window gets the smallest id of its group. The answer is a bit for each window.
-4. Packs meet their answers, and bytes under answered windows are cut out.
+4. Packs meet their answers, find their segments again, and bytes under answered windows are cut out.
 
 A passage that a third of all documents hold reaches its shard once per pack. Shards are cut by more bits of
 the hash where their text is larger than one suffix array should be.
@@ -47,7 +47,7 @@ NO_ID = np.iinfo(np.int64).min
 
 def _zip(*arrays: np.ndarray) -> bytes:
     raw = b"".join(len(b).to_bytes(8, "little") + b for b in (a.tobytes() for a in arrays))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unzip(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -236,76 +236,66 @@ def _shared(packs: DataFrame, shards: int) -> DataFrame:
     return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, TRAVEL)
 
 
-def _cut(ids, null, offsets, data, gone: np.ndarray | None) -> Iterator[tuple]:
+def _cut(ids, null, offsets, data, gone: np.ndarray) -> Iterator[tuple]:
     """Results of a pack; gone: whether each byte is removed."""
     for k, (who, none) in enumerate(zip(ids.tolist(), null.tolist())):
         text = data[offsets[k] : offsets[k + 1]]
-        if gone is None:
-            removed, spans = 0, 0
-        else:
-            mine = gone[offsets[k] : offsets[k + 1]]
-            removed, spans = int(mine.sum()), int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
-            text = text[~mine] if removed else text
+        mine = gone[offsets[k] : offsets[k + 1]]
+        removed, spans = int(mine.sum()), int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
+        text = text[~mine] if removed else text
         raw = text.tobytes()
         yield None if none else who, int(offsets[k + 1] - offsets[k]), removed, spans, hashlib.sha256(raw).hexdigest(), raw
 
 
-def _split(packs: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
-    """Segments with shared hashes by shard, and packs of the documents that have any, with the place of each
-    segment; the other documents' packs as they are (shard -1)."""
-
-    def split(batches):
+class _Live:
+    """The segments of a pack whose hash occurs in another document: place and windows of each, which distinct text it
+    is, and of each distinct text the smallest id in the pack, its windows, shard, further hash bits and bytes."""
+
+    def __init__(self, rows: list[tuple], shards: int):
+        self.ids, self.null, self.offsets, self.data = _opened(rows[0][3])
+        text, first, count, low = segments(self.data, self.offsets)
+        known = np.unique(low)
+        cuts = np.searchsorted(_shard(known, shards), np.arange(shards + 1))
+        on = np.zeros(len(known), bool)
+        for _, kind, shard, blob in rows[1:]:
+            if kind == SHARED:
+                on[cuts[shard] : cuts[shard + 1]] = _mask(np.frombuffer(blob, np.uint8), cuts[shard + 1] - cuts[shard])
+        alive = on[np.searchsorted(known, low)] if len(known) else np.zeros(0, bool)
+        text, first, count, low = (x[alive] for x in (text, first, count, low))
+        shard = _shard(low, shards)
+        order = np.lexsort((self.ids[text], shard))
+        self.first, self.count, self.owner = first[order], count[order].astype(np.int64), self.ids[text][order]
+        raw, names, heads = self.data.tobytes(), {}, []
+        self.which = np.empty(len(order), np.int64)
+        for k, (a, n) in enumerate(zip(self.first.tolist(), self.count.tolist())):
+            number = self.which[k] = names.setdefault(raw[a : a + n + LENGTH - 1], len(names))
+            if number == len(heads):
+                heads.append(k)
+        heads = np.array(heads, np.int64)
+        self.texts, self.smallest, self.windows = list(names), self.owner[heads], self.count[heads]
+        self.sub = (low[order][heads] >> np.uint64(8)).astype(np.uint8)
+        self.cuts = np.searchsorted(shard[order][heads], np.arange(shards + 1))
+
+
+def _sent(packs: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+    """The distinct live segments of each pack, by shard."""
+
+    def send(batches):
         def made():
             for pack, rows in _by(_rows(batches), 0):
-                ids, null, offsets, data = _opened(rows[0][3])
-                text, first, count, low = segments(data, offsets)
-                known = np.unique(low)
-                cuts = np.searchsorted(_shard(known, shards), np.arange(shards + 1))
-                on = np.zeros(len(known), bool)
-                for _, _, shard, blob in rows[1:]:
-                    n = cuts[shard + 1] - cuts[shard]
-                    on[cuts[shard] : cuts[shard + 1]] = _mask(np.frombuffer(blob, np.uint8), n)
-                alive = on[np.searchsorted(known, low)]
-                text, first, count, low = (x[alive] for x in (text, first, count, low))
-                has = np.zeros(len(ids), bool)
-                has[text] = True
-                sizes = np.diff(offsets)
-                if not has.all():
-                    yield pack, PACK, -1, _zip(ids[~has], null[~has], sizes[~has], data[np.repeat(~has, sizes)])
-                if not len(text):
-                    continue
-                # places in the pack of the documents that stay
-                shift = np.cumsum(np.where(has, 0, sizes)) - np.where(has, 0, sizes)
-                first_there = first - shift[text]
-                shard = _shard(low, shards)
-                order = np.lexsort((ids[text], shard))
-                raw, names, smallest = data.tobytes(), {}, []
-                which = np.empty(len(order), np.int64)
-                owner, begin, windows, where = ids[text][order].tolist(), first[order].tolist(), count[order].tolist(), shard[order].tolist()
-                heads = []
-                for k, (a, n) in enumerate(zip(begin, windows)):
-                    key = raw[a : a + n + LENGTH - 1]
-                    number = names.setdefault(key, len(names))
-                    if number == len(heads):
-                        heads.append(k)
-                        smallest.append(owner[k])
-                    which[k] = number
-                heads, smallest = np.array(heads), np.array(smallest, np.int64)
-                texts = list(names)
-                yield pack, PACK, 0, _zip(ids[has], null[has], sizes[has], data[np.repeat(has, sizes)], first_there[order], count[order].astype(np.int32), which,
-                                          smallest, count[order][heads].astype(np.int32), shard[order][heads])
-                of = shard[order][heads]
-                cuts = np.searchsorted(of, np.arange(shards + 1))
-                sub = (low[order][heads] >> np.uint64(8)).astype(np.uint8)
-                for s in np.flatnonzero(np.diff(cuts)):
-                    part = slice(cuts[s], cuts[s + 1])
-                    joined = np.frombuffer(b"".join(texts[part]), np.uint8)
-                    yield pack, SEGMENTS, int(s), _zip(smallest[part], count[order][heads[part]].astype(np.int32), sub[part], joined)
+                live = _Live(rows, shards)
+                for s in np.flatnonzero(np.diff(live.cuts)):
+                    part = slice(live.cuts[s], live.cuts[s + 1])
+                    joined = np.frombuffer(b"".join(live.texts[part]), np.uint8)
+                    yield pack, SEGMENTS, int(s), _zip(live.smallest[part], live.windows[part].astype(np.int32), live.sub[part], joined)
 
         yield from _out(made(), TRAVEL_ARROW)
 
-    both = packs.unionByName(shared)
-    return keep(both.repartition("pack").sortWithinPartitions("pack", "kind", "shard").mapInArrow(split, TRAVEL), "segments")
+    return _met(packs.unionByName(shared)).mapInArrow(send, TRAVEL)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.repartition("pack").sortWithinPartitions("pack", "kind", "shard")
 
 
 def first_owners(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
@@ -370,36 +360,29 @@ def _answers(segments_: DataFrame, array_bytes: int) -> DataFrame:
     return segments_.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, TRAVEL)
 
 
-def _removed(packs: DataFrame, answers: DataFrame, text: bool) -> DataFrame:
+def _removed(packs: DataFrame, shared: DataFrame, answers: DataFrame, shards: int, text: bool) -> DataFrame:
     def cut(batches):
         def made():
             for _, rows in _by(_rows(batches), 0):
-                ids, null, sizes, data, first, count, which, smallest, windows, shard = _unzip(
-                    rows[0][3], np.int64, bool, np.int64, np.uint8, np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
-                offsets = np.concatenate(([0], np.cumsum(sizes)))
-                cuts = np.searchsorted(shard, np.arange(shard[-1] + 2))
-                total = np.concatenate(([0], np.cumsum(windows)))
+                live = _Live(rows, shards)
+                total = np.concatenate(([0], np.cumsum(live.windows)))
                 bits = np.zeros(total[-1], bool)
-                for _, _, s, blob in rows[1:]:
-                    a, b = total[cuts[s]], total[cuts[s + 1]]
-                    bits[a:b] = _mask(np.frombuffer(blob, np.uint8), b - a)
-                owner = ids[np.searchsorted(offsets, first, "right") - 1]
-                n = count.astype(np.int64)
+                for _, kind, s, blob in rows[1:]:
+                    if kind == WINDOWS:
+                        a, b = total[live.cuts[s]], total[live.cuts[s + 1]]
+                        bits[a:b] = _mask(np.frombuffer(blob, np.uint8), b - a)
+                n = live.count
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 # a segment that a smaller id of this pack also holds goes whole
-                hit = np.repeat(owner > smallest[which], n) | bits[np.repeat(total[which], n) + inside]
-                start = (np.repeat(first, n) + inside)[hit]
-                step = np.bincount(start, minlength=len(data) + 1)[: len(data) + 1] - np.bincount(start + LENGTH, minlength=len(data) + 1)[: len(data) + 1]
-                yield from _cut(ids, null, offsets, data, np.cumsum(step)[:-1] > 0)
+                hit = np.repeat(live.owner > live.smallest[live.which], n) | bits[np.repeat(total[live.which], n) + inside]
+                start = (np.repeat(live.first, n) + inside)[hit]
+                size = len(live.data) + 1
+                step = np.bincount(start, minlength=size)[:size] - np.bincount(start + LENGTH, minlength=size)[:size]
+                yield from _cut(live.ids, live.null, live.offsets, live.data, np.cumsum(step)[:-1] > 0)
 
         yield from _out((r if text else (*r[:5], None) for r in made()), RESULT_ARROW)
 
-    def whole_ones(batches):
-        rows = (r for *_, blob in _rows(batches) for r in _cut(*_opened(blob), None))
-        yield from _out((r if text else (*r[:5], None) for r in rows), RESULT_ARROW)
-
-    met = packs.where(f"kind = {PACK} AND shard = 0").unionByName(answers).repartition("pack").sortWithinPartitions("pack", "kind", "shard")
-    return met.mapInArrow(cut, RESULT).unionByName(packs.where(f"kind = {PACK} AND shard = -1").mapInArrow(whole_ones, RESULT))
+    return _met(packs.unionByName(shared).unionByName(answers)).mapInArrow(cut, RESULT)
 
 
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, pack_bytes: int = PACK_BYTES,
@@ -407,7 +390,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_bytes, n_removed, n_spans, kept_sha256 per row; with_text adds the remaining bytes as `kept`."""
     shards = SHARDS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packs = _packs(docs, id_col, text_col, pack_bytes)
-    split = _split(packs, _shared(packs, shards), shards)
-    answers = _answers(split.where(f"kind = {SEGMENTS}"), array_bytes)
-    out = _removed(split.where(f"kind = {PACK}"), answers, with_text).withColumnRenamed("doc_id", id_col)
+    shared = keep(_shared(packs, shards), "shared")
+    answers = keep(_answers(_sent(packs, shared, shards), array_bytes), "answers")
+    out = _removed(packs, shared, answers, shards, with_text).withColumnRenamed("doc_id", id_col)
     return out if with_text else out.drop("kept")
