@@ -39,8 +39,8 @@ LENGTH = 50
 GRAM = 20
 PACK_BYTES = 4 << 20
 CHUNK = 1 << 19
-ARRAY_BYTES = 4 << 20
-SHARDS_EACH = 4
+ARRAY_BYTES = 1 << 20
+SHARDS_EACH = 8
 MARK = 1  # between segments; 0 ends the text of a shard, bytes follow from 2
 NO_ID = np.iinfo(np.int64).min
 
