@@ -1,40 +1,44 @@
 """Language-model scores by online logistic context mixing.
 
 The text is its bytes (A-Z in lower case) and an end byte. Each bit is predicted in four contexts: the last
-two, four and six bytes, and the word so far (its last seven bytes). A context and the upper half of the
-byte, if known, are hashed to a line of counts. The counts, of the 16 values of the next half byte, are sums
-over all training documents; they give each bit of the half byte a probability, and its log odds are the
-predictor's opinion. A document's opinions are combined by weights, one set for each bit of a byte. They
-begin alike for every document and follow the gradient of the coding cost after each 64 bytes, so a score
-depends on the document and the counts alone, not on its neighbours or on the task.
-
-The number of lines follows the training bytes up to MAX_LINES, which bounds what is sent to tasks (38 MB).
-Lines are summed by the tasks first and then by line range. Word counts for the unigram base cover every
-training word: the HEAD most frequent are sent to the tasks, the others are joined.
-
-Words are compared by a 64-bit hash. Cases: null text counts as empty; an empty text is its end byte, and
-one end token; null ids are learnt from; repeated rows count each; with nothing to learn all counts are 0.
+two, four and six bytes, and the word so far (its last seven bytes). For each context the bytes that followed
+it are counted over all training documents; the counts give each bit of the next byte a probability, and its
+log odds are the predictor's opinion. A document's opinions are combined by weights, one set for each bit of
+a byte. They begin alike for every document and follow the gradient of the coding cost after each 64 bytes,
+so a score depends on the document and the counts alone, not on its neighbours or on the task.
+
+Every context of the corpus has counts of its own, so the model grows with the input and nothing of it is sent
+to all tasks. Texts are written in packs. A pack deals its distinct (context, byte) with its training counts to
+ranges of the context hash; a range adds up the counts of all packs and gives each pack the opinions for what
+it sent; with these the pack's texts are mixed. The number of ranges grows with the text, so what a task holds
+does not. Word counts for the unigram base cover every training word: the HEAD most frequent are sent to the
+tasks, the others are joined.
+
+Contexts are compared by a 47-bit hash, words by a 64-bit one. Cases: null text counts as empty; an empty text
+is its end byte, and one end token; null ids are learnt from; repeated rows count each; with nothing to learn
+all counts are 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalake.llm import text as tx
 from stratalake.llm.store import keep, whole
 
 CONTEXTS = 4
-BYTES_PER_LINE = 16
-MIN_LINES, MAX_LINES = 1 << 12, (1 << 15, 1 << 18, 1 << 20, 1 << 20)
-RANGE = 1 << 13
+PACK_BYTES = 8 << 20
+RANGE_BYTES, MIN_RANGES = 16 << 20, 64
+HASH_BITS = 47
 HEAD = 1 << 18
 END = 0xFF
 DOCS, STRIP, BLOCK = 96, 1024, 64
-HELD = 1 << 21
+SLICE = 1 << 16
 BACK = 8
 PRIOR = 0.05
 SCALE, CLIP = 16.0, 7.9
@@ -76,20 +80,40 @@ def _strips(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield docs, rows, np.minimum(size[docs] - begin, width), begin == 0
 
 
-def _lines(rows: np.ndarray, bits: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Per context: 16 times the line of both half bytes of every byte, shape (rows, bytes, 2)."""
+def _context(rows: np.ndarray, k: int) -> np.ndarray:
+    """Spread 64-bit value of context k before every byte."""
     n = rows.shape[1] - BACK
     last = np.zeros((len(rows), n), np.uint64)
-    for k in range(BACK):
-        last |= rows[:, BACK - 1 - k : BACK - 1 - k + n].astype(np.uint64) << np.uint64(8 * k)
-    index = np.where(tx.SPACE[rows], np.arange(rows.shape[1], dtype=np.int32), 0)
-    since = np.minimum(np.arange(BACK - 1, BACK - 1 + n, dtype=np.int32) - np.maximum.accumulate(index, axis=1)[:, BACK - 1 : -1], BACK - 1).astype(np.uint64)
-    word = last & ((np.uint64(1) << (since * np.uint64(8))) - np.uint64(1))
+    for j in range((2, 4, 6, BACK - 1)[k]):
+        last |= rows[:, BACK - 1 - j : BACK - 1 - j + n].astype(np.uint64) << np.uint64(8 * j)
+    if k == 3:
+        index = np.where(tx.SPACE[rows], np.arange(rows.shape[1], dtype=np.int32), 0)
+        since = np.minimum(np.arange(BACK - 1, BACK - 1 + n, dtype=np.int32) - np.maximum.accumulate(index, axis=1)[:, BACK - 1 : -1], BACK - 1).astype(np.uint64)
+        last &= (np.uint64(1) << (since * np.uint64(8))) - np.uint64(1)
+        last += since << np.uint64(56)
+    with np.errstate(over="ignore"):
+        key = (last + SALTS[k]) * SPREAD
+        key ^= key >> np.uint64(32)
+    return key
+
+
+def _codes(rows: np.ndarray, k: int) -> np.ndarray:
+    """Hash of context k and the byte after it, for every byte; equal contexts lie side by side in order."""
+    with np.errstate(over="ignore"):
+        code = _context(rows, k) * tx.STEP
+    code >>= np.uint64(64 - HASH_BITS)
+    code <<= np.uint64(8)
+    code |= rows[:, BACK:]
+    return code
+
+
+def _lines(rows: np.ndarray, bits: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """For tables in memory, per context: 16 times the line of both half bytes of every byte, shape (rows, bytes, 2)."""
+    n = rows.shape[1] - BACK
     with np.errstate(over="ignore"):
         later = ((rows[:, BACK:] >> 4).astype(np.uint64) + np.uint64(1)) * tx.BASE
-        for k, context in enumerate((*(last & np.uint64((1 << 8 * m) - 1) for m in (2, 4, 6)), word + (since << np.uint64(56)))):
-            key = (context + SALTS[k]) * SPREAD
-            key ^= key >> np.uint64(32)
+        for k in range(CONTEXTS):
+            key = _context(rows, k)
             out = np.empty((len(rows), n, 2), np.intp)
             out[:, :, 0] = (key * tx.STEP) >> np.uint64(64 - bits[k])
             out[:, :, 1] = ((key + later) * tx.STEP) >> np.uint64(64 - bits[k])
@@ -114,7 +138,7 @@ def opinions(counts: np.ndarray) -> np.ndarray:
 
 
 class Opinions:
-    """Tables of all contexts; sent with 16 bytes a line, spread out once in each worker process."""
+    """Tables in memory of all contexts, 16 bytes a line, spread out at first use."""
 
     def __init__(self, nodes: list[np.ndarray]):
         self.nodes, self.spread = nodes, None
@@ -128,14 +152,18 @@ class Opinions:
 
 
 def log_probabilities(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], bits: tuple[int, ...]) -> np.ndarray:
-    """Natural log of each text's probability."""
-    out = np.zeros(len(offsets) - 1)
+    """Natural log of each text's probability, by tables in memory."""
+    return _mixed(len(offsets) - 1, _strips(data, offsets), lambda rows, there: (tables[k].take(lines + _halves(rows)) for k, lines in enumerate(_lines(rows, bits))))
+
+
+def _mixed(texts: int, strips: Iterable[tuple], opinion: Callable[[np.ndarray, np.ndarray], Iterable[np.ndarray]]) -> np.ndarray:
+    """Natural log of each text's probability. opinion: per context, eight bytes for each byte of the rows."""
+    out = np.zeros(texts)
     weights = None
-    for docs, rows, valid, new in _strips(data, offsets):
+    for docs, rows, valid, new in strips:
         weights = [np.full((len(docs), 8, 1), FIRST_WEIGHT / SCALE, np.float32) if new else w[: len(docs)] for w in weights or [None] * CONTEXTS]
         n = rows.shape[1] - BACK
-        half = _halves(rows)
-        said = [tables[k].take(lines + half).view(np.int8).reshape(len(docs), n, 8) for k, lines in enumerate(_lines(rows, bits))]
+        said = [x.view(np.int8).reshape(len(docs), n, 8) for x in opinion(rows, np.arange(n) < valid[:, None])]
         for j in range(0, n, BLOCK):
             # bits of a block by place in the byte, so that sums run along memory
             x = [s[:, j : j + BLOCK].transpose(0, 2, 1).astype(np.float32, order="C") for s in said]
@@ -167,49 +195,141 @@ def _tally(total: np.ndarray, places: np.ndarray) -> None:
     total[places[last]] += np.diff(last, prepend=-1).astype(total.dtype)
 
 
-def line_counts(docs: DataFrame, bits: tuple[int, ...]) -> Opinions:
-    """Counts of half-byte values over all documents, as opinions."""
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned values as planes of their bytes, no more than the largest needs: these compress well."""
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _values(planes: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return out.view("<u8").reshape(-1)
+
+
+def _unpacked(said: bytes, n: int) -> np.ndarray:
+    """Opinions as context_opinions() packs them."""
+    return np.frombuffer(pa.decompress(said, 8 * n, "zstd"), np.uint8).reshape(8, n).T.copy().view("<i8").reshape(-1)
 
-    def count(batches):
-        total = [np.zeros(16 << b, np.uint32) for b in bits]
-        held: list[list[np.ndarray]] = [[] for _ in bits]
 
-        def flush():
-            for k in range(CONTEXTS):
-                if held[k]:
-                    _tally(total[k], np.concatenate(held[k]))
-                held[k].clear()
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted values is the first of its kind."""
+    return np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))
 
+
+def _said(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For sorted distinct codes and their counts: the opinions on the eight bits of the byte, as one 64-bit value."""
+    out = np.empty((len(codes), 8), np.int8)
+    line = np.cumsum(_starts(codes >> np.uint64(8))) - 1
+    ends = np.searchsorted(line, np.arange(0, line[-1] + 1 + SLICE, SLICE)) if len(line) else []
+    for a, b in zip(ends[:-1], ends[1:]):
+        byte = (codes[a:b] & np.uint64(255)).astype(np.intp)
+        for half, at, of in ((byte >> 4, 0, 8), (byte & 15, 4, 4)):
+            lines = np.cumsum(_starts(codes[a:b] >> np.uint64(of))) - 1
+            nodes = opinions(np.bincount(lines * 16 + half, counts[a:b], 16 * (lines[-1] + 1))).reshape(-1, 16)
+            out[a:b, at : at + 4] = nodes[lines[:, None], NODES[half]] * SIGNS[half]
+    return out.view("<i8").reshape(-1)
+
+
+def packs(rows: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """pack, ids, held, texts: rows of (id, text, held_out) in packs of about pack_bytes, as a written table."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def gather(batches):
+        n = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for _, rows, valid, _ in _strips(*_lower(batch.column(0))):
-                there, half = np.arange(rows.shape[1] - BACK) < valid[:, None], _halves(rows)
-                for k, lines in enumerate(_lines(rows, bits)):
-                    held[k].append((lines + half)[there].reshape(-1).astype(np.int32))
-                if sum(map(len, held[0])) > HELD:
-                    flush()
-        flush()
-        for k in range(CONTEXTS):
-            for r in range(0, len(total[k]), 16 * RANGE):
-                at = np.flatnonzero(total[k][r : r + 16 * RANGE])
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"context": pa.array([k], pa.int32()), "range": pa.array([r], pa.int32()),
-                                                      "places": [at.astype("<i4").tobytes()], "counts": [total[k][r + at].astype("<u4").tobytes()]})
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
+            _, offsets = tx.buffer(batch.column(1))
+            for a, b in tx.parts(offsets, pack_bytes):
+                ids, texts, held = (pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c.slice(a, b - a)) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), ids, held, texts], names=["pack", "ids", "held", "texts"])
+                n += 1
+
+    return keep(rows.select("id", "text", "held_out").mapInArrow(gather, f"pack long, ids array<{kind}>, held array<boolean>, texts array<string>"), "packs")
+
+
+def context_counts(packed: DataFrame, ranges: int) -> DataFrame:
+    """pack, context, range, n, codes, counts: the distinct codes of a pack and how often its training texts have them."""
+    names = ["pack", "context", "range", "n", "codes", "counts"]
+
+    def count(batches):
+        bounds = np.array([(r << (HASH_BITS + 8)) // ranges for r in range(ranges + 1)], np.uint64)
         for batch in batches:
-            for k, r, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                into = sums.setdefault((k, r), np.zeros(min(16 * RANGE, 16 << bits[k]), np.uint64))
-                into[np.frombuffer(places, "<i4")] += np.frombuffer(counts, "<u4")
-        for (k, r), total in sums.items():
-            yield pa.RecordBatch.from_pydict({"context": pa.array([k], pa.int32()), "range": pa.array([r], pa.int32()), "table": [opinions(total).tobytes()]})
+            for pack, held, texts in zip(*batch.columns):
+                held = held.values.to_numpy(zero_copy_only=False).astype(np.uint64)
+                strips = list(_strips(*_lower(texts.values)))
+                for k in range(CONTEXTS):
+                    codes = np.concatenate([((_codes(rows, k) << np.uint64(1)) | held[docs, None])[np.arange(rows.shape[1] - BACK) < valid[:, None]] for docs, rows, valid, _ in strips])
+                    codes.sort()
+                    first = np.flatnonzero(_starts(codes >> np.uint64(1)))
+                    learnt = np.add.reduceat(np.uint64(1) - (codes & np.uint64(1)), first)
+                    codes = codes[first] >> np.uint64(1)
+                    cut = np.searchsorted(codes, bounds)
+                    full = np.flatnonzero(cut[1:] > cut[:-1])
+                    parts = [(codes[a:b], learnt[a:b], bounds[r]) for r, a, b in zip(full, cut[full], cut[full + 1])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([pack.as_py()] * len(full), pa.int64()), pa.array([k] * len(full), pa.int32()), pa.array(full, pa.int32()),
+                        pa.array([len(c) for c, _, _ in parts], pa.int32()), pa.array([_planes(np.diff(c, prepend=low)) for c, _, low in parts], pa.binary()),
+                        pa.array([_planes(n) for _, n, _ in parts], pa.binary())], names=names)
+
+    return packed.select("pack", "held", "texts").mapInArrow(count, "pack long, context int, range int, n int, codes binary, counts binary")
+
+
+def context_opinions(counted: DataFrame, ranges: int) -> DataFrame:
+    """pack, context, range, n, said: the opinions for the codes of each row, from the counts of all packs."""
+    names = ["pack", "context", "range", "n", "said"]
+
+    def answer(held):
+        low = np.uint64((held[0][2] << (HASH_BITS + 8)) // ranges)
+        codes = np.concatenate([np.cumsum(_values(c, n)) + low for *_, n, c, _ in held])
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = _starts(codes)
+        group = np.cumsum(first) - 1
+        total = np.bincount(group, np.concatenate([_values(c, n) for *_, n, _, c in held])[order])
+        said = np.empty(len(codes), "<i8")
+        said[order] = _said(codes[first], total)[group]
+        at = np.cumsum([0, *(h[3] for h in held)])
+        for k, (pack, context, part, n, _, _) in enumerate(held):
+            planes = pa.compress(said[at[k] : at[k + 1]].view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([context], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([planes], pa.binary())], names=names)
+
+    def look(batches):
+        held = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][2] != row[2]:
+                    yield from answer(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from answer(held)
+
+    return counted.repartition("range").sortWithinPartitions("range").mapInArrow(look, "pack long, context int, range int, n int, said binary")
+
+
+def _pack_logs(data: np.ndarray, offsets: np.ndarray, said: list[np.ndarray]) -> np.ndarray:
+    """Natural log of each text's probability. said: per context, the opinions of the pack's distinct codes in order."""
+    strips = list(_strips(data, offsets))
+    there = [np.arange(rows.shape[1] - BACK) < valid[:, None] for _, rows, valid, _ in strips]
+    given = []
+    for k in range(CONTEXTS):
+        codes = np.concatenate([_codes(rows, k)[ok] for (_, rows, _, _), ok in zip(strips, there)])
+        order = np.argsort(codes)
+        place = np.empty(len(codes), np.int32)
+        place[order] = np.cumsum(_starts(codes[order]), dtype=np.int32) - 1
+        given.append(place)
+    at = 0
+
+    def opinion(rows, ok):
+        nonlocal at
+        n = int(ok.sum())
+        for k in range(CONTEXTS):
+            out = np.zeros(ok.shape, "<i8")
+            out[ok] = said[k][given[k][at : at + n]]
+            yield out
+        at += n
 
-    parts = docs.select("text").mapInArrow(count, "context int, range int, places binary, counts binary")
-    summed = parts.repartition("context", "range").mapInArrow(add, "context int, range int, table binary")
-    tables = [np.zeros(16 << b, np.int8) for b in bits]
-    for k, r, table in summed.toLocalIterator():  # at most the lines of MAX_LINES, 16 bytes each
-        tables[k][r : r + len(table)] = np.frombuffer(table, np.int8)
-    return Opinions(tables)
+    return _mixed(len(offsets) - 1, strips, opinion)
 
 
 def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,24 +350,39 @@ def token_totals(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, pack_bytes: int = PACK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte per row."""
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), held_out(id_col).alias("held_out"))
     learnt = rows.where("NOT held_out")
     totals = keep(token_totals(learnt), "tokens")
     tokens, kinds = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    size = learnt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = tuple(max(MIN_LINES, min(most, size // BYTES_PER_LINE)).bit_length() - 1 for most in MAX_LINES)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(MIN_RANGES, -(-size // range_bytes))
     frequent = totals.orderBy(F.desc("n"), "token").limit(head).toArrow()  # bounded by `head`
     order = np.argsort(frequent["token"].to_numpy().view(np.uint64))
     known = frequent["token"].to_numpy().view(np.uint64)[order], frequent["n"].to_numpy()[order]
-    sent = docs.sparkSession.sparkContext.broadcast((line_counts(learnt, bits), known))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
-    def score(batches):
+    def gathered(batches):
+        """(ids, held out, texts, opinions) of each pack: its row comes first, then its opinions by context and range."""
+        pack, said = None, None
         for batch in batches:
-            said, (head_tokens, head_counts) = sent.value
-            data, offsets = _lower(batch.column(1))
-            logs = log_probabilities(data, offsets, said.tables(), bits)
+            ids, held, texts = (batch.column(k) for k in (3, 4, 5))
+            for i, (context, n, planes) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 6, 7)))):
+                if context is None:
+                    if pack:
+                        yield *pack, [np.concatenate(s) for s in said]
+                    pack, said = (ids[i].values, held[i].values, texts[i].values), [[] for _ in range(CONTEXTS)]
+                else:
+                    said[context].append(_unpacked(planes, n))
+        if pack:
+            yield *pack, [np.concatenate(s) for s in said]
+
+    def score(batches):
+        head_tokens, head_counts = sent.value
+        for ids, held, texts, said in gathered(batches):
+            data, offsets = _lower(texts)
+            logs = _pack_logs(data, offsets, said)
             hashes, first = _token_hashes(data, offsets)
             n = np.diff(first) + 1
             hashes = np.insert(hashes, first[1:], END_TOKEN)
@@ -258,13 +393,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
             add = lambda v: np.diff(np.concatenate(([0.0], np.cumsum(v)))[first])
             rest = np.concatenate(([0], np.cumsum(~hit)))[first].astype(np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), pa.array(n), pa.array(np.rint(add(hit)).astype(np.int64)), pa.array(add(np.log10(count + 1))),
+                ids, held, pa.array(n), pa.array(np.rint(add(hit)).astype(np.int64)), pa.array(add(np.log10(count + 1))),
                 pa.array(logs / np.log(10)), pa.array(-logs / np.log(2) / (np.diff(offsets) + 1)),
                 pa.ListArray.from_arrays(rest, pa.array(hashes[~hit].view(np.int64)))], names=names)
 
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte", "rest"]
-    scored = keep(rows.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double, rest array<long>")
+    packed = packs(rows, pack_bytes)
+    said = context_opinions(context_counts(packed, ranges), ranges)
+    both = packed.unionByName(said, allowMissingColumns=True).select("pack", "context", "range", "ids", "held", "texts", "n", "said")
+    met = both.repartition("pack").sortWithinPartitions(F.asc("pack"), F.asc_nulls_first("context"), F.asc("range"))
+    scored = keep(met.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double, rest array<long>")
                   .withColumn("row", F.monotonically_increasing_id()), "scored")
     # words beyond the head are rare in training; their counts are joined
     rare = scored.select("row", F.explode("rest").alias("token")).join(totals, "token").groupBy("row").agg(

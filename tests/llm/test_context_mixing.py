@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -85,3 +86,39 @@ def test_scores_do_not_depend_on_the_batch(size):
     alone = cm.log_probabilities(*tx.buffer(pa.array([texts])), said, bits)[0]
     among = cm.log_probabilities(*tx.buffer(pa.array(["x" * 3000, texts, "", "y" * 7])), said, bits)[1]
     assert abs(alone - among) < 1e-6 * max(1, abs(alone))
+
+
+def test_every_context_has_counts_of_its_own(spark):
+    """Opinions of packs, met by range, are those of the counts of the whole corpus, whatever its size."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 1, 700, 3000]))) for _ in range(120)]
+    rows = [(k, t, k % 7 == 3) for k, t in enumerate(texts)]
+    packed = cm.packs(spark.createDataFrame(rows, "id long, text string, held_out boolean").repartition(3), 20_000)
+    assert packed.count() > 6
+    got = cm.context_opinions(cm.context_counts(packed, 17), 17).collect()
+    total = Counter()
+    for _, t, held in rows:
+        data = bytes(8) + t.encode() + b"\xff"
+        total.update((data[p - 6 : p], data[p]) for p in range(8, len(data)) if not held)
+    lines = {}
+    for (c, b), n in total.items():
+        lines.setdefault(c, np.zeros(256))[b] += n
+    for pack in packed.collect():
+        said = [np.concatenate([cm._unpacked(r.said, r.n).view(np.int8).reshape(-1, 8) for r in sorted(got, key=lambda r: r.range) if (r.pack, r.context) == (pack.pack, k)]) for k in range(4)]
+        codes, here = [], []
+        for docs, padded, valid, _ in cm._strips(*tx.buffer(pa.array(pack.texts))):
+            code = cm._codes(padded, 2)
+            for i in range(len(docs)):
+                codes += code[i, : valid[i]].tolist()
+                here += [(bytes(padded[i, p + 2 : p + 8]), int(padded[i, p + 8])) for p in range(valid[i])]
+        assert len(set(codes)) == len(set(here)) == len(said[2])
+        for place, (c, b) in enumerate(h for _, h in sorted(dict(zip(codes, here)).items())):
+            counts = lines.get(c, np.zeros(256)).reshape(16, 16)
+            want = [*cm.opinions(counts.sum(axis=1))[cm.NODES[b >> 4]] * cm.SIGNS[b >> 4], *cm.opinions(counts[b >> 4])[cm.NODES[b & 15]] * cm.SIGNS[b & 15]]
+            assert said[2][place].tolist() == want
+
+
+def test_scores_do_not_depend_on_packs_and_ranges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, other = ({r.doc_id: r.score for r in cm.scores(docs, **o).collect()} for o in ({}, {"pack_bytes": 5000, "range_bytes": 1000}))
+    assert one.keys() == other.keys() and np.allclose(list(one.values()), [other[k] for k in one])
