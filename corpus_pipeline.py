@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratalake.llm.decontaminate import clean
 from stratalake.llm.exact_dedup import drop_copies
 from stratalake.llm.jaccard_join import drop_similar
-from stratalake.llm.packing import best_fit
+from stratalake.llm.packing import best_fit, words_and_end
 from stratalake.llm.quality import good
 from stratalake.llm.store import keep
 
@@ -38,8 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of every document: words and an end token, in sequences of 512 to 8192."""
-    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")) + 1
-    return best_fit(docs.select("doc_id", words.alias("n_words")), "n_words")
+    return best_fit(docs.select("doc_id", words_and_end("text").alias("n_words")), "n_words")
 
 
 STAGES = [

@@ -17,9 +17,9 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalake.llm.store import keep
+from stratalake.llm.store import keep, whole
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 BUCKET_ROWS = 1 << 20
@@ -30,6 +30,11 @@ def token_cost(capacity: int) -> float:
     return capacity + 16
 
 
+def words_and_end(text: str) -> Column:
+    """Words of the text column, runs of other characters than white space, and an end token; 1 if it is null or empty."""
+    return F.size(F.array_remove(F.split(whole(text), r"\s+"), "")) + 1
+
+
 class Group:
     """Bins alike: how many, the opened capacity, the room left, the content as (length, pieces in each bin)."""
 

@@ -9,7 +9,7 @@ from stratalake.llm import context_mixing
 from stratalake.llm.decontaminate import overlaps
 from stratalake.llm.exact_dedup import exact_groups
 from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
-from stratalake.llm.packing import best_fit
+from stratalake.llm.packing import best_fit, words_and_end
 from stratalake.llm.quality import scores, train
 from stratalake.llm.sharding import shards, shards_sql
 from stratalake.llm.substring_dedup import repeated_substrings
@@ -60,8 +60,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths are words and an end token."""
-    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")) + 1
-    return best_fit(_table(spark, sf_dir, "documents").withColumn("_length", words), "_length")
+    return best_fit(_table(spark, sf_dir, "documents").withColumn("_length", words_and_end("text")), "_length")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,7 +1,10 @@
 import random
 from collections import defaultdict
 
-from stratalake.llm.packing import best_fit, plan
+from stratalake.llm.packing import best_fit, plan, words_and_end
+from stratalake.llm.queries import op10_best_fit_packing
+
+import corpus_pipeline
 
 
 def one_by_one(counts, capacities, cost):
@@ -69,3 +72,14 @@ def test_places(spark):
 def test_empty(odd_docs, no_docs):
     assert best_fit(odd_docs.selectExpr("doc_id", "length(text) AS n"), "n").where("bin IS NULL").count() == 4
     assert best_fit(no_docs.selectExpr("doc_id", "length(text) AS n"), "n").count() == 0
+
+
+def test_lengths_are_words_and_an_end_token(spark, odd_docs, tmp_path):
+    rows = odd_docs.select("text", words_and_end("text").alias("n")).collect()
+    assert [r.n for r in rows] == [len((r.text or "").split()) + 1 for r in rows]
+    texts = {1: None, 2: "", 3: "  two words\n", 4: "\t", 5: "one"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: len((t or "").split()) + 1 for k, t in texts.items()}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for out in (op10_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.length for r in out.collect()} == want
