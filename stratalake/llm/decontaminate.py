@@ -5,11 +5,13 @@ benchmark item if WINDOW words of it in a row stand in the document in the same
 SUBSTITUTED of them replaced by other words. Each seed is a fixed mask of six word places in a span of
 eight; whatever two words of a window are replaced, one of the masks still fits somewhere in it
 (tests/llm checks all cases), so no such window is missed. Hashes of training texts under the masks
-are looked up among those of the benchmark, and around each hit the two texts are compared word by word.
+are joined with those of the benchmark, and around each hit the two texts are compared word by word.
 Items of 5 to 12 words are found whole, without substitutions; shorter ones are too common to tell.
 
-The benchmark is handled in blocks of at most BLOCK_WORDS words, so what is sent to the tasks is bounded;
-each block is looked up in all documents. Cases: null and empty texts match nothing; repeated documents
+Neither side goes through the driver: the seeds of both are joined in a shuffle, and the hits meet their texts
+in another. Only a bit table of 2^FILTER_BITS bits of the benchmark's seeds is sent to the tasks, so that few
+other seeds of documents are shuffled; what it lets through is told apart by the join. Documents and items are
+told apart by a 64-bit hash on the way; where two share one, the comparison of the texts decides. Cases: null and empty texts match nothing; repeated documents
 and repeated items are each reported; empty tables give no rows.
 """
 
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratalake.llm import text as tx
-from stratalake.llm.store import whole
+from stratalake.llm.store import keep, whole
 
 WINDOW, SUBSTITUTED, SHORTEST = 13, 2, 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 BLOCK_WORDS = 2_000_000
 PART_BYTES = 2 << 20
-FILTER_BITS = 22
+FILTER_BITS = 25
 
 NORMAL = tx.LOWER.copy()
 NORMAL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
@@ -49,102 +51,103 @@ def _seed(hashes: np.ndarray, places: tuple[int, ...], salt: int) -> np.ndarray:
     return tx.mix(out)
 
 
-def _masks(short: list[int]) -> list[tuple[int, ...]]:
-    return [*MASKS, *(tuple(range(n)) for n in short)]
-
-
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, ids: list, texts: list):
-        self.ids = ids
-        self.words, self.first = word_hashes(*tx.buffer(pa.array(texts, pa.string())))
-        size = np.diff(self.first)
-        self.short = sorted({int(n) for n in size if SHORTEST <= n < WINDOW})
-        self.sorted, self.at, self.filters = [], [], []
-        item = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(self.words))
-        for k, mask in enumerate(_masks(self.short)):
-            seeds = _seed(self.words, mask, k)
-            start = place[: len(seeds)]
-            n = size[item[start]]
-            inside = start + mask[-1] < self.first[item[start] + 1]
-            inside &= n >= WINDOW if k < len(MASKS) else n == len(mask)
-            start, seeds = start[inside], seeds[inside]
-            order = np.argsort(seeds, kind="stable")
-            self.sorted.append(seeds[order])
-            self.at.append(start[order])
-            there = np.zeros(1 << FILTER_BITS, bool)
-            there[seeds >> np.uint64(64 - FILTER_BITS)] = True
-            self.filters.append(there)
-        self.item = item
-
-    def overlaps(self, data: np.ndarray, offsets: np.ndarray):
-        """(text, item, words covered, first word, last word) of each pair that shares a window."""
-        hashes, first = word_hashes(data, offsets)
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        found = []
-        for k, mask in enumerate(_masks(self.short)):
-            seeds = _seed(hashes, mask, k)
-            at = np.flatnonzero(self.filters[k][seeds >> np.uint64(64 - FILTER_BITS)])
-            at = at[doc[at] == doc[at + mask[-1]]]
-            low, high = (np.searchsorted(self.sorted[k], seeds[at], side) for side in ("left", "right"))
-            n = high - low
-            at = np.repeat(at, n)
-            theirs = self.at[k][np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            found.append(np.stack([doc[at], self.item[theirs], at - theirs], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        spans: dict[tuple[int, int], list[np.ndarray]] = {}
-        for d, item, shift in pairs.tolist():
-            if len(cover := self._windows(hashes, first[d], first[d + 1], item, shift)):
-                spans.setdefault((d, item), []).append(cover)
-        for (d, item), covers in spans.items():
-            cover = np.unique(np.concatenate(covers)) - first[d]
-            yield d, item, len(cover), int(cover[0]), int(cover[-1])
-
-    def _windows(self, hashes, begin, end, item, shift) -> np.ndarray:
-        """Words of the text in windows that agree with the item laid over it at `shift`."""
-        a, b = self.first[item], self.first[item + 1]
-        low, high = max(a, begin - shift), min(b, end - shift)
-        size = min(WINDOW, b - a)
-        if high - low < size:
-            return np.zeros(0, np.int64)
-        wrong = np.concatenate(([0], np.cumsum(self.words[low:high] != hashes[low + shift : high + shift])))
-        good = np.flatnonzero(wrong[size:] - wrong[:-size] <= (SUBSTITUTED if size == WINDOW else 0))
-        return np.unique(good[:, None] + np.arange(size)) + low + shift
+def seeds(data: np.ndarray, offsets: np.ndarray, short: list[int], items: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, place in it) under the masks and of the short lengths; of items only what their own length asks for."""
+    words, first = word_hashes(data, offsets)
+    size = np.diff(first)
+    text = np.repeat(np.arange(len(size)), size)
+    found = []
+    for salt, mask in [*enumerate(MASKS), *((n, tuple(range(n))) for n in short)]:
+        seed = _seed(words, mask, salt)
+        at = np.flatnonzero(text[: len(seed)] == text[mask[-1] :])
+        if items:
+            at = at[size[text[at]] >= WINDOW if salt < len(MASKS) else size[text[at]] == salt]
+        found.append((seed[at], text[at], at - first[text[at]]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def covered(words: np.ndarray, other: np.ndarray, shifts: list[int]) -> np.ndarray:
+    """Words of a text in windows that agree with the item laid over it at one of the shifts."""
+    size, out = min(WINDOW, len(other)), [np.zeros(0, np.int64)]
+    for shift in shifts:
+        low, high = max(0, -shift), min(len(other), len(words) - shift)
+        if high - low >= size:
+            wrong = np.concatenate(([0], np.cumsum(other[low:high] != words[low + shift : high + shift])))
+            good = np.flatnonzero(wrong[size:] - wrong[:-size] <= (SUBSTITUTED if size == WINDOW else 0))
+            out.append(np.unique(good[:, None] + np.arange(size)) + low + shift)
+    return np.unique(np.concatenate(out))
+
+
+def seed_table(texts: DataFrame, short: list[int], items: bool = False, sieve=None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """seed, key, place of texts (key, text), those only that the broadcast bit table has."""
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets = tx.buffer(batch.column(1))
+            for a, b in tx.parts(offsets, part_bytes):
+                seed, text, place = seeds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], short, items)
+                if sieve is not None:
+                    bit = seed >> np.uint64(64 - FILTER_BITS)
+                    there = (sieve.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    seed, text, place = seed[there], text[there], place[there]
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(pa.array(text + a)), pa.array(place.astype(np.int32))], names=["seed", "key", "place"])
+
+    return texts.select("key", "text").mapInArrow(cut, "seed long, key long, place int")
+
+
+def _bits(seed_rows: DataFrame) -> np.ndarray:
+    """Bit table of the leading bits of all seeds, 2^FILTER_BITS bits whatever their number."""
+    slot = seed_rows.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("slot"))
+    words = slot.selectExpr("cast(slot div 32 AS int) AS word", "shiftleft(1L, cast(slot % 32 AS int)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # bounded by 2^FILTER_BITS / 32 rows
+    out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
              item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """id, item id, words covered, first and last covered word: one row per document and item that overlap."""
-    items = benchmark.select(F.col(item_col).alias("item"), whole(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_words)))  # a word and its space are two bytes or more
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    """id, item id, words covered, first and last covered word: one row per document and item that overlap.
+
+    block_words: about so many words of items are hashed at a time in a task.
+    """
+    items = benchmark.select(F.col(item_col).alias("item"), whole(item_text).alias("text")).withColumn("key", F.xxhash64("item", "text"))
+    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    short = list(range(SHORTEST, WINDOW))
+    theirs = keep(seed_table(items, short, items=True, part_bytes=2 * block_words).distinct(), "seeds")  # a word and its space are two bytes or more
+    short = [n for n in short if n in _short(items)]
+    sieve = docs.sparkSession.sparkContext.broadcast(_bits(theirs))
+    hits = seed_table(rows, short, sieve=sieve).join(theirs.withColumnsRenamed({"key": "item_key", "place": "at"}).hint("merge"), "seed")
+    pairs = hits.select("key", "item_key", (F.col("place") - F.col("at")).alias("shift")).groupBy("key", "item_key").agg(F.collect_set("shift").alias("shifts"))
+    pairs = pairs.join(items.select(F.col("key").alias("item_key"), "item", F.col("text").alias("other")).hint("merge"), "item_key")
+    met = pairs.join(rows.hint("merge"), "key").select("id", "item", "text", "other", "shifts")
+    names = ["id", "item", "words", "first_word", "last_word"]
+
+    def compare(batches):
+        for batch in batches:
+            (words, first), (others, begin) = (word_hashes(*tx.buffer(batch.column(k))) for k in (2, 3))
+            got = []
+            for k, shifts in enumerate(batch.column(4).to_pylist()):
+                if len(cover := covered(words[first[k] : first[k + 1]], others[begin[k] : begin[k + 1]], shifts)):
+                    got.append((k, len(cover), int(cover[0]), int(cover[-1])))
+            k, n, low, high = zip(*got) if got else ([],) * 4
+            at = pa.array(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (n, low, high))], names=names)
+
     ids, kinds = rows.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    out = None
-    for k in range(blocks):
-        block = items.where(part == k).collect()  # bounded by block_words
-        index = docs.sparkSession.sparkContext.broadcast(Index([r["item"] for r in block], [r["text"] for r in block]))
-
-        def look(batches, index=index):
-            for batch in batches:
-                data, offsets = tx.buffer(batch.column(1))
-                doc_ids, got, names = batch.column(0), [], index.value.ids
-                for a, b in tx.parts(offsets, PART_BYTES):
-                    got += [(d + a, *rest) for d, *rest in index.value.overlaps(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-                d, item, n, low, high = zip(*got) if got else ([],) * 5
-                yield pa.RecordBatch.from_arrays([
-                    doc_ids.take(pa.array(d, pa.int64())), pa.array([names[i] for i in item], item_type),
-                    *(pa.array(x, pa.int64()) for x in (n, low, high))], names=["id", "item", "words", "first_word", "last_word"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        item_type = to_arrow_type(items.schema["item"].dataType)
-        found = rows.mapInArrow(look, f"id {ids}, item {kinds}, words long, first_word long, last_word long")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    found = met.mapInArrow(compare, f"id {ids}, item {kinds}, words long, first_word long, last_word long")
+    return found.withColumnsRenamed({"id": id_col, "item": item_col})
+
+
+def _short(items: DataFrame) -> set[int]:
+    """Lengths of the items of fewer words than a window."""
+
+    def lengths(batches):
+        for batch in batches:
+            size = np.unique(np.diff(word_hashes(*tx.buffer(batch.column(0)))[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(size[size < WINDOW], pa.int64())], names=["n"])
+
+    return {r.n for r in items.select("text").mapInArrow(lengths, "n long").distinct().collect()}  # at most WINDOW rows
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

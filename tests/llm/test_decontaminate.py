@@ -61,3 +61,14 @@ def test_odd_rows(odd_docs):
     assert [(r.doc_id, r.words) for r in d.overlaps(odd_docs, items).collect()] == [(10, 4000)]
     assert d.clean(odd_docs, items).columns == odd_docs.columns
     assert d.clean(odd_docs, items).count() == odd_docs.count() - 1
+
+
+def test_benchmark_does_not_go_through_the_driver(spark):
+    """Texts and seeds are joined in shuffles; repeated rows of both sides are reported each."""
+    passage = " ".join(f"p{k}" for k in range(15))
+    left = spark.createDataFrame([(1, passage), (1, passage), (2, "x " + passage), (3, "nothing")], "doc_id long, text string")
+    right = spark.createDataFrame([(7, passage), (7, passage), (8, None)], "item_id long, text string")
+    found = d.overlaps(left, right)
+    assert sorted((r.doc_id, r.item_id, r.words, r.first_word) for r in found.collect()) == [(1, 7, 15, 0)] * 4 + [(2, 7, 15, 1)] * 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3 and "LocalTableScan" not in plan
