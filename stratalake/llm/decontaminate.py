@@ -6,7 +6,8 @@ SUBSTITUTED of them replaced by other words. Each seed is a fixed mask of six wo
 eight; whatever two words of a window are replaced, one of the masks still fits somewhere in it
 (tests/llm checks all cases), so no such window is missed. Hashes of training texts under the masks
 are joined with those of the benchmark, and around each hit the two texts are compared word by word.
-Items of 5 to 12 words are found whole, without substitutions; shorter ones are too common to tell.
+Items of 5 to 12 words are found whole, without substitutions; shorter ones only as the whole text of a
+document, as they are too common inside others.
 
 Neither side goes through the driver: the seeds of both are joined in a shuffle, and the hits meet their texts
 in another. Only a bit table of 2^FILTER_BITS bits of the benchmark's seeds is sent to the tasks, so that few
@@ -57,11 +58,13 @@ def seeds(data: np.ndarray, offsets: np.ndarray, short: list[int], items: bool =
     size = np.diff(first)
     text = np.repeat(np.arange(len(size)), size)
     found = []
-    for salt, mask in [*enumerate(MASKS), *((n, tuple(range(n))) for n in short)]:
+    for n, salt, mask in [*((WINDOW, k, mask) for k, mask in enumerate(MASKS)), *((n, WINDOW + n, tuple(range(n))) for n in short)]:
         seed = _seed(words, mask, salt)
         at = np.flatnonzero(text[: len(seed)] == text[mask[-1] :])
         if items:
-            at = at[size[text[at]] >= WINDOW if salt < len(MASKS) else size[text[at]] == salt]
+            at = at[size[text[at]] >= WINDOW if n == WINDOW else size[text[at]] == n]
+        elif n < SHORTEST:
+            at = at[size[text[at]] == n]
         found.append((seed[at], text[at], at - first[text[at]]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -113,7 +116,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     items = benchmark.select(F.col(item_col).alias("item"), whole(item_text).alias("text")).withColumn("key", F.xxhash64("item", "text"))
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    short = list(range(SHORTEST, WINDOW))
+    short = list(range(1, WINDOW))
     theirs = keep(seed_table(items, short, items=True, part_bytes=2 * block_words).distinct(), "seeds")  # a word and its space are two bytes or more
     short = [n for n in short if n in _short(items)]
     sieve = docs.sparkSession.sparkContext.broadcast(_bits(theirs))

@@ -72,3 +72,10 @@ def test_benchmark_does_not_go_through_the_driver(spark):
     assert sorted((r.doc_id, r.item_id, r.words, r.first_word) for r in found.collect()) == [(1, 7, 15, 0)] * 4 + [(2, 7, 15, 1)] * 2
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 3 and "LocalTableScan" not in plan
+
+
+def test_short_items_are_found_as_whole_documents(spark):
+    left = spark.createDataFrame([(1, "Forty, two!"), (2, "forty two men"), (3, "yes"), (4, ""), (5, "two")], "doc_id long, text string")
+    right = spark.createDataFrame([(1, "forty two"), (2, "Yes."), (3, ""), (4, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.words) for r in d.overlaps(left, right).collect()) == [(1, 1, 2), (3, 2, 1)]
+    assert sorted(r.doc_id for r in d.clean(left, right).collect()) == [2, 4, 5]
