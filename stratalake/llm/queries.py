@@ -9,6 +9,7 @@ from stratalake.llm import context_mixing
 from stratalake.llm.decontaminate import overlaps
 from stratalake.llm.exact_dedup import exact_groups
 from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
+from stratalake.llm.middle import middle_last, restored
 from stratalake.llm.packing import best_fit, words_and_end
 from stratalake.llm.quality import scores, train
 from stratalake.llm.sharding import shards, shards_sql
@@ -63,9 +64,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(_table(spark, sf_dir, "documents").withColumn("_length", words_and_end("text")), "_length")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = middle_last(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam,
-    op6_suffix_array_dedup, op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing)}
+    op6_suffix_array_dedup, op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing,
+    op11_fill_in_middle)}
 
 ORACLE = {
     "op3_ngram_jaccard_join": SIMILAR_SQL,
@@ -74,4 +83,20 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_fill_in_middle": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        cut AS (
+            SELECT doc_id, t, n, least(('0x' || h[1:8])::BIGINT % (n + 1), ('0x' || h[9:16])::BIGINT % (n + 1)) AS a,
+                   greatest(('0x' || h[1:8])::BIGINT % (n + 1), ('0x' || h[9:16])::BIGINT % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                        WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        parts AS (
+            SELECT doc_id, n, form, t, left(t, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix, a, b FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts""",
 }

@@ -8,12 +8,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 ODD_TEXTS = [None, "", " ", "a", "two words", "two words", "ends in space ", "\t\n", "Ωμέγα Σ", "x" * 3000, "word " * 4000, "<|endoftext|> a"]
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    """Scratch tables go to a folder that pytest removes."""
-    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls, empty and long texts, ties, repeated rows, and columns with the operators' own names."""
