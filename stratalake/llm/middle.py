@@ -1,10 +1,10 @@
 """Fill-in-middle transformation: each text is cut at two places and its middle moved to the end.
 
 A cut after k units (code points, words or lines) needs the byte where unit k + 1 begins. The places where units
-begin are kept as a set of 16-bit containers, one per 64 KB of the texts of an Arrow batch: a sorted array where
+begin are kept as a set of 16-bit containers, one per 64 KB of the texts: a sorted array where
 they are few, a bitmap where they are many, and runs where they follow one another (plain ASCII is one run).
 Containers know how many places lie before them, so a cut is a binary search over containers and a select inside
-one. Both cuts of all texts of a batch are looked up together; texts are not walked from their beginning.
+one. Both cuts of all texts of a batch are looked up together; texts are not walked from their beginning. A set holds about 1 MB of texts, or one longer text.
 
 Cases: null text counts as empty and stays plain; a null id draws as the empty id; repeated rows get equal cuts;
 a text that holds a mark stays plain, so that every output can be undone; columns other than id and text are left
@@ -26,6 +26,7 @@ from stratalake.llm.store import whole
 SPAN = 1 << 16
 #: Up to so many places an array is smaller than the 8 KB of a bitmap.
 ARRAY_PLACES = 4096
+PART_BYTES = 1 << 20
 UNITS = ("char", "word", "line")
 CUTS = "struct<n:bigint,first:bigint,second:bigint>"
 
@@ -88,25 +89,22 @@ def container(low: np.ndarray) -> ArrayContainer | BitmapContainer | RunContaine
 
 
 class BoundarySet:
-    """Sorted places, by rank."""
+    """The places of a flag array, by rank."""
 
-    def __init__(self, places: np.ndarray):
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(places // SPAN) != 0))) if len(places) else np.zeros(0, np.int64)
-        ends = np.append(edges[1:], len(places))
-        self.base = (places[edges] // SPAN) * SPAN
-        self.containers = [container(places[a:b] % SPAN) for a, b in zip(edges, ends)]
-        self.before = edges  # cumulative cardinalities
+    def __init__(self, flags: np.ndarray):
+        lows = [np.flatnonzero(flags[a : a + SPAN]) for a in range(0, len(flags), SPAN)]
+        self.containers = [container(low) if len(low) else None for low in lows]
+        self.before = np.cumsum([0, *map(len, lows)])  # cumulative cardinalities
 
     def select(self, ranks: np.ndarray) -> np.ndarray:
         """The place of each rank, counted from 0."""
         held = np.searchsorted(self.before, ranks, "right") - 1
         out = np.empty(len(ranks), np.int64)
         order = np.argsort(held, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(held[order]) != 0))) if len(ranks) else np.zeros(0, np.int64)
-        for part in np.split(order, cuts[1:]):
+        for part in np.split(order, np.flatnonzero(np.diff(held[order])) + 1):
             if len(part):
                 c = held[part[0]]
-                out[part] = self.base[c] + self.containers[c].select(ranks[part] - self.before[c])
+                out[part] = c * SPAN + self.containers[c].select(ranks[part] - self.before[c])
         return out
 
 
@@ -123,34 +121,39 @@ class Marks:
 
 
 def boundaries(data: np.ndarray, offsets: np.ndarray, unit: str) -> np.ndarray:
-    """Bytes where a unit begins, and the end of the last text. A text that is not empty begins a unit; what stands
-    before its first word belongs to its first unit; a line ends after its line feed."""
+    """Whether a unit begins at each byte, and True for the end of the last text. A text that is not empty begins a
+    unit; what stands before its first word belongs to its first unit; a line ends after its line feed."""
+    begins = np.zeros(len(data) + 1, bool)
     if unit == "char":
-        begins = (data & 0xC0) != 0x80
+        np.not_equal(data & 0xC0, 0x80, out=begins[:-1])
     elif unit == "line":
-        begins = np.zeros(len(data), bool)
-        begins[1:] = data[:-1] == 0x0A
+        np.equal(data, 0x0A, out=begins[1:])
     elif unit == "word":
-        begins = np.zeros(len(data), bool)
         starts, _, first = tx.words(data, offsets)
-        starts = np.delete(starts, first[:-1][np.diff(first) > 0])
         begins[starts] = True
+        begins[starts[first[:-1][np.diff(first) > 0]]] = False
     else:
         raise ValueError(f"a unit is one of {', '.join(UNITS)}")
     begins[offsets[:-1][np.diff(offsets) > 0]] = True
-    return np.append(np.flatnonzero(begins), len(data))
+    begins[-1] = True
+    return begins
 
 
 def cut_places(texts: pa.Array, one: np.ndarray, other: np.ndarray, unit: str = "char") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(units, byte of the first cut, byte of the second) of each text; the draws choose among its units + 1 places."""
     data, offsets = tx.buffer(texts)
-    places = boundaries(data, offsets, unit)
-    rank = np.searchsorted(places, offsets)
-    n = np.diff(rank)
-    found = BoundarySet(places)
-    a, b = one % (n + 1), other % (n + 1)
-    first, second = (found.select(rank[:-1] + k(a, b)) - offsets[:-1] for k in (np.minimum, np.maximum))
-    return n, first, second
+    out = np.zeros((3, len(texts)), np.int64)
+    for i, j in tx.parts(offsets, PART_BYTES):
+        at = offsets[i : j + 1] - offsets[i]
+        flags = boundaries(data[offsets[i] : offsets[j]], at, unit)
+        places = BoundarySet(flags)
+        rank = np.array([places.before[p // SPAN] + np.count_nonzero(flags[p - p % SPAN : p]) for p in at.tolist()])
+        n = np.diff(rank)
+        draws = one[i:j] % (n + 1), other[i:j] % (n + 1)
+        out[0, i:j] = n
+        for row, choose in ((1, np.minimum), (2, np.maximum)):
+            out[row, i:j] = places.select(rank[:-1] + choose(*draws)) - at[:-1]
+    return tuple(out)
 
 
 def cuts(text: Column, one: Column, other: Column, unit: str = "char") -> Column:

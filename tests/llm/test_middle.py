@@ -38,8 +38,10 @@ def test_set_over_many_containers():
     places = np.unique(np.concatenate([
         rng.choice(65536, 900, replace=False), 65536 + np.arange(65536), 5 * 65536 + rng.choice(65536, 30000, replace=False), [9 * 65536]]))
     ranks = rng.permutation(len(places))
-    held = BoundarySet(places)
-    assert {type(c) for c in held.containers} == {ArrayContainer, RunContainer, BitmapContainer}
+    flags = np.zeros(10 * 65536, bool)
+    flags[places] = True
+    held = BoundarySet(flags)
+    assert {type(c) for c in held.containers} == {ArrayContainer, RunContainer, BitmapContainer, type(None)}
     assert (held.select(ranks) == places[ranks]).all()
 
 
