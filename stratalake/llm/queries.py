@@ -11,6 +11,7 @@ from stratalake.llm.exact_dedup import exact_groups
 from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
 from stratalake.llm.middle import middle_last, restored
 from stratalake.llm.packing import best_fit, words_and_end
+from stratalake.llm.periods import WORD, periodic_runs
 from stratalake.llm.quality import scores, train
 from stratalake.llm.sharding import shards, shards_sql
 from stratalake.llm.substring_dedup import repeated_substrings
@@ -71,10 +72,35 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents in which a tenth of the texts, chosen by id, repeat a stretch of their words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words").cast("long")
+    rows = rows.withColumn("a", F.when((F.col("h") % 10 == 0) & (n > 0), F.col("g") % n))
+    rows = rows.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.transform("words", place), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest run has the greatest length, then the smallest start, then the smallest period."""
+    rows = periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    widest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = rows.withColumn("w", widest)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("w.start")).alias("start"), F.col("w.length").alias("length"),
+        (-F.col("w.period")).alias("period"), F.floor(1000 * F.col("w.length") / -F.col("w.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam,
     op6_suffix_array_dedup, op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing,
-    op11_fill_in_middle)}
+    op11_fill_in_middle, op13_periodic_runs)}
 
 ORACLE = {
     "op3_ngram_jaccard_join": SIMILAR_SQL,
