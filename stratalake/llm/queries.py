@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalake.llm import context_mixing
+from stratalake.llm import byte_pairs, context_mixing
 from stratalake.llm.decontaminate import overlaps
 from stratalake.llm.exact_dedup import exact_groups
 from stratalake.llm.jaccard_join import SIMILAR_SQL, similar
@@ -72,6 +72,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
 
 
+def op12_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes, and decodes the ids again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = byte_pairs.encoded(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    rows = rows.withColumn("decoded", byte_pairs.decoded(spark, F.col("ids"), path))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """documents in which a tenth of the texts, chosen by id, repeat a stretch of their words up to the end."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -100,7 +110,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_grace_dedup, op2_token_files, op3_ngram_jaccard_join, op4_extendible_shards, op5_quality_gam,
     op6_suffix_array_dedup, op7_context_mixing, op8_spaced_seeds, op9_token_counts, op10_best_fit_packing,
-    op11_fill_in_middle, op13_periodic_runs)}
+    op11_fill_in_middle, op12_byte_pair_encoding, op13_periodic_runs)}
 
 ORACLE = {
     "op3_ngram_jaccard_join": SIMILAR_SQL,
