@@ -478,6 +478,11 @@ ORACLE: dict[str, str] = {
     "governed_totals": f"""{CLEAN}, per AS (
             SELECT cliente_id, COUNT(*) AS pedidos, CAST(SUM(total_neto) AS DOUBLE) AS neto FROM pedidos GROUP BY cliente_id)
         SELECT c.cliente_id, segmento, per.pedidos, neto FROM per JOIN clientes c ON c.cliente_id = per.cliente_id""",
+    "governed_windows": f"""{CLEAN}
+        SELECT p.pedido_id, c.segmento, ROW_NUMBER() OVER w AS turno, CAST(SUM(p.total_neto) OVER w AS DOUBLE) AS acumulado
+        FROM pedidos p JOIN clientes c ON c.cliente_id = p.cliente_id
+        WHERE p.total_neto >= 1000 AND p.total_neto <= (SELECT AVG(total_neto) FROM pedidos) AND p.canal IN ('1-URGENT', '2-HIGH', '5-LOW')
+        WINDOW w AS (PARTITION BY p.cliente_id ORDER BY p.fecha_pedido NULLS FIRST, p.pedido_id, c.segmento NULLS FIRST)""",
     "quality_digest": f"""{BRONZE}
         SELECT 'rule' AS source, "table", rule_id AS item, violations AS value FROM ({_report()})
         UNION ALL SELECT 'nulls', "table", "column", nulls FROM ({" UNION ALL ".join(_profile('', t, c) for t, (c, _) in TYPES.items())})

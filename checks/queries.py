@@ -162,6 +162,17 @@ def governed_totals(spark: SparkSession, sf: str) -> DataFrame:
     return plain(answer.result)
 
 
+def governed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Named windows, BETWEEN, a join hint, an inline table and a subquery, all inside the governed boundary."""
+    governed = access.GovernedSql(spark, dict(pedidos=(t := Silver(spark, sf))["pedidos"], clientes=t["clientes"]))
+    answer = governed.query("""
+        SELECT /*+ MERGE(c) */ p.pedido_id, c.segmento, row_number() OVER w AS turno, sum(p.total_neto) OVER w AS acumulado
+        FROM pedidos p JOIN clientes c ON c.cliente_id = p.cliente_id
+        WHERE p.total_neto BETWEEN 1000 AND (SELECT avg(total_neto) FROM pedidos) AND p.canal IN (SELECT canal FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('5-LOW')) AS v(canal))
+        WINDOW w AS (PARTITION BY p.cliente_id ORDER BY p.fecha_pedido NULLS FIRST, p.pedido_id, c.segmento NULLS FIRST)""")
+    return plain(answer.result)
+
+
 def quality_digest(spark: SparkSession, sf: str) -> DataFrame:
     frames = bronze(spark, sf)
     profiles = reduce(DataFrame.unionByName, [profiling.profile(df, t) for t, _, df in _keyed(frames)])
@@ -337,6 +348,7 @@ QUERIES: dict[str, Query] = {
 
     "governed_customers": governed_customers,
     "governed_totals": governed_totals,
+    "governed_windows": governed_windows,
     "quality_digest": quality_digest,
 
     "null_columns": lambda spark, sf: explore.null_columns(Silver(spark, sf)["pedidos"]),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalake.settings import GOLD_TABLES, PII_COLUMNS, TABLES
@@ -19,12 +20,19 @@ EMPTY_DATABASE = "stratalake_governed"
 # What a read may be made of: nodes of the parsed query, and functions. Anything else is refused.
 READ_NODES = frozenset((
     "Aggregate", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join",
-    "LateralJoin", "LocalLimit", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving",
+    "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving", "UnresolvedHint",
     "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
 ))
+# Hints on how to join or deal out rows; they change no result.
+HINTS = frozenset((
+    "broadcast", "broadcastjoin", "coalesce", "mapjoin", "merge", "mergejoin", "rebalance", "repartition", "repartition_by_range",
+    "shuffle_hash", "shuffle_merge",
+))
+# Leaves of an analysed plan that read nothing.
+CONSTANT_LEAVES = frozenset(("CTERelationRef", "LocalRelation", "OneRowRelation"))
 FUNCTIONS = frozenset((
     "abs", "add_months", "any", "any_value", "approx_count_distinct", "array", "array_agg", "array_contains", "array_distinct",
-    "array_join", "array_size", "avg", "bigint", "bool_and", "bool_or", "boolean", "bround", "cardinality", "cast", "ceil",
+    "array_join", "array_size", "avg", "between", "bigint", "bool_and", "bool_or", "boolean", "bround", "cardinality", "cast", "ceil",
     "ceiling", "char_length", "coalesce", "collect_list", "collect_set", "concat", "concat_ws", "contains", "corr", "count",
     "count_if", "cume_dist", "current_date", "current_timestamp", "date", "date_add", "date_diff", "date_format", "date_part",
     "date_sub", "date_trunc", "dateadd", "datediff", "day", "dayofmonth", "dayofweek", "dayofyear", "decimal", "dense_rank",
@@ -45,6 +53,36 @@ class QueryRefused(ValueError):
     """The query is not a plain read of governed tables."""
 
 
+class _Jvm:
+    """Tells the parts of a plan apart."""
+
+    def __init__(self, spark: SparkSession):
+        kind = spark._jvm.java.lang.Class.forName
+        self.plan = kind("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+        self.expression = kind("org.apache.spark.sql.catalyst.expressions.Expression")
+        self.many = kind("scala.collection.IterableOnce")
+        self.product = kind("scala.Product")
+
+    def inside(self, value) -> Iterator:
+        """Plans and expressions in a value, however deep in sequences, maps, options and tuples they lie."""
+        if not isinstance(value, JavaObject):
+            return
+        if self.plan.isInstance(value) or self.expression.isInstance(value):
+            yield value
+        elif self.many.isInstance(value):
+            yield from self.each(value.iterator())
+        elif self.product.isInstance(value):
+            yield from self.each(value.productIterator())
+
+    def each(self, iterator) -> Iterator:
+        while iterator.hasNext():
+            yield from self.inside(iterator.next())
+
+    def fields(self, node) -> Iterator:
+        """Plans and expressions in any field of a node: children, expressions, named windows, subqueries and all else."""
+        return self.each(node.productIterator())
+
+
 def _items(seq) -> list:
     return [seq.apply(k) for k in range(seq.size())]
 
@@ -60,57 +98,65 @@ def check_read_only(query: str, tables: Iterable[str] | None = None, spark: Spar
         parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query.strip().rstrip(";"))
     except Exception as error:  # noqa: BLE001 - the parser's error arrives as a Java exception
         return False, f"only one SELECT statement is allowed ({str(error).strip().splitlines()[0][:120]})"
-    subquery = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.SubqueryExpression")
-    known = None if tables is None else {t.lower() for t in tables}
-    return _check_plan(parsed, known, subquery)
+    reason = _refusal(parsed, None if tables is None else {t.lower() for t in tables}, _Jvm(spark))
+    return reason is None, reason or "OK"
+
+
+def _refusal(node, known: set[str] | None, jvm: _Jvm) -> str | None:
+    """Why a node of a parsed query, or anything in it, is no plain read; None if it is one."""
+    reason = _plan_refusal(node, known) if jvm.plan.isInstance(node) else _expression_refusal(node)
+    if reason:
+        return reason
+    parts = jvm.fields(node)
+    if node.getClass().getSimpleName() == "UnresolvedWith":
+        # each common table sees the ones before it, the query sees all
+        for relation in _items(node.cteRelations()):
+            reason = _refusal(relation._2(), known, jvm)
+            if reason:
+                return reason
+            known = None if known is None else known | {str(relation._1()).lower()}
+        parts = [node.child()]
+    return next((found for part in parts if (found := _refusal(part, known, jvm))), None)
 
 
-def _check_plan(plan, known: set[str] | None, subquery) -> tuple[bool, str]:
-    kind = plan.nodeName().split(" ")[0].strip("'")
-    kind = plan.getClass().getSimpleName() if kind not in READ_NODES else kind
+def _plan_refusal(plan, known: set[str] | None) -> str | None:
+    kind = plan.getClass().getSimpleName().strip("$")
     if kind not in READ_NODES:
-        return False, f"'{kind}' is not allowed, only SELECT queries are"
+        return f"'{kind}' is not allowed, only SELECT queries are"
     if kind == "UnresolvedRelation":
         name = [str(part) for part in _items(plan.multipartIdentifier())]
         if len(name) > 1 or known is not None and name[0].lower() not in known:
-            return False, f"'{'.'.join(name)}' is not a governed table"
-    inner = _items(plan.innerChildren())
-    if kind == "UnresolvedWith":
-        # each common table sees the ones before it, the query sees all
-        for relation in _items(plan.cteRelations()):
-            ok, reason = _check_plan(relation._2(), known, subquery)
-            if not ok:
-                return ok, reason
-            known = None if known is None else known | {str(relation._1()).lower()}
-        inner = []
-    for child in [*_items(plan.children()), *inner]:
-        ok, reason = _check_plan(child, known, subquery)
-        if not ok:
-            return ok, reason
-    for expression in _items(plan.expressions()):
-        ok, reason = _check_expression(expression, known, subquery)
-        if not ok:
-            return ok, reason
-    return True, "OK"
-
-
-def _check_expression(expression, known: set[str] | None, subquery) -> tuple[bool, str]:
+            return f"'{'.'.join(name)}' is not a governed table"
+    if kind == "UnresolvedHint" and str(plan.name()).lower() not in HINTS:
+        return f"hint '{plan.name()}' is not allowed"
+    return None
+
+
+def _expression_refusal(expression) -> str | None:
     kind = expression.getClass().getSimpleName()
     if "Identifier" in kind and kind.startswith(("Unresolved", "Expression")):
-        return False, "identifier clauses are not allowed"
+        return "identifier clauses are not allowed"
     if kind == "UnresolvedFunction":
         name = [str(part) for part in _items(expression.nameParts())]
         if len(name) > 1 or name[0].lower() not in FUNCTIONS:
-            return False, f"function '{'.'.join(name).lower()}' is not allowed"
-    if subquery.isInstance(expression):
-        ok, reason = _check_plan(expression.plan(), known, subquery)
-        if not ok:
-            return ok, reason
-    for child in _items(expression.children()):
-        ok, reason = _check_expression(child, known, subquery)
-        if not ok:
-            return ok, reason
-    return True, "OK"
+            return f"function '{'.'.join(name).lower()}' is not allowed"
+    return None
+
+
+def ungoverned_leaf(analyzed, views: Mapping[str, object], jvm: _Jvm) -> str | None:
+    """What an analysed plan reads besides the given views; None if nothing.
+
+    ``views``: name to the view's own entry in the session's catalog. A view in the plan counts only if it carries that
+    very entry, so neither another table of the same name nor anything reached in another way passes.
+    """
+    kind = analyzed.getClass().getSimpleName().strip("$")
+    if kind == "View":
+        name = str(analyzed.desc().identifier().table())
+        known = views.get(name)
+        return None if analyzed.isTempView() and known is not None and known.equals(analyzed.desc()) else name
+    if jvm.plan.isInstance(analyzed) and analyzed.children().isEmpty() and kind not in CONSTANT_LEAVES:
+        return str(analyzed.nodeName())
+    return next((found for part in jvm.fields(analyzed) if (found := ungoverned_leaf(part, views, jvm))), None)
 
 
 def without_personal(df: DataFrame, personal: Iterable[str] = PII_COLUMNS) -> DataFrame:
@@ -181,16 +227,27 @@ class GovernedSql:
         self.session.sql(f"USE {database}")
         for name in self.frames:
             self.session.table(f"global_temp.{self._names[name]}").createOrReplaceTempView(name)
+        catalog = self.session._jsparkSession.sessionState().catalog()
+        self._views = {name: catalog.getRawTempView(name).get().tableMeta() for name in self.frames}
+        self._jvm = _Jvm(self.session)
 
     def tables(self) -> list[str]:
         return sorted(self.frames)
 
     def query(self, text: str) -> Answer:
-        """Check, run and strip a query."""
+        """Check, run and strip a query.
+
+        The parsed text is checked before anything is looked up, and the analysed plan before anything runs: all it reads
+        must be views of this instance.
+        """
         safe, reason = check_read_only(text, self.frames, self.session)
         if not safe:
             raise QueryRefused(reason)
-        return Answer(without_personal(self.session.sql(text.strip().rstrip(";")), self.personal), self.cap)
+        result = self.session.sql(text.strip().rstrip(";"))
+        other = ungoverned_leaf(result._jdf.queryExecution().analyzed(), self._views, self._jvm)
+        if other:
+            raise QueryRefused(f"'{other}' is not a governed table")
+        return Answer(without_personal(result, self.personal), self.cap)
 
     def close(self) -> None:
         """Drop the views of this instance."""

@@ -2,7 +2,7 @@
 
 import pytest
 
-from stratalake.plans.access import Answer, GovernedSql, QueryRefused, check_read_only, without_personal
+from stratalake.plans.access import Answer, GovernedSql, QueryRefused, check_read_only, ungoverned_leaf, without_personal
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +97,21 @@ def test_only_governed_views_are_visible(governed, query):
     "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
     "SELECT input_file_name() FROM clientes",
     "SELECT default.my_function(1)",
+    "SELECT count(*) OVER w FROM clientes WINDOW w AS (PARTITION BY (SELECT max(v) FROM default.secret))",
+    """SELECT sum(cliente_id) OVER w FROM clientes WINDOW w AS
+       (ORDER BY (CASE WHEN (SELECT max(v) FROM default.secret) = 'leak' THEN cliente_id ELSE -cliente_id END))""",
+    "SELECT rank() OVER w FROM clientes WINDOW w AS (ORDER BY reflect('java.lang.System', 'lineSeparator'))",
+    "SELECT 1 FROM (SELECT count(*) OVER b FROM clientes WINDOW a AS (ORDER BY 1), b AS (PARTITION BY (SELECT max(v) FROM raw_secret)))",
+    "SELECT cliente_id, count(*) OVER (PARTITION BY (SELECT max(v) FROM default.secret)) FROM clientes",
+    "SELECT * FROM clientes ORDER BY (SELECT max(v) FROM default.secret)",
+    "SELECT * FROM clientes a JOIN clientes b ON a.cliente_id = (SELECT max(v) FROM default.secret)",
+    "SELECT ciudad, count(*) FROM clientes GROUP BY GROUPING SETS ((ciudad), ((SELECT max(v) FROM default.secret)))",
+    "SELECT * FROM clientes PIVOT (count(1) FOR ciudad IN ('Lima', (SELECT max(v) FROM default.secret)))",
+    "SELECT * FROM clientes LIMIT (SELECT max(v) FROM default.secret)",
+    "SELECT * FROM VALUES ((SELECT max(v) FROM default.secret)) AS t(v)",
+    "SELECT * FROM clientes TABLESAMPLE (10 PERCENT)",
+    "SELECT transform(array(1), x -> reflect('java.lang.System', 'lineSeparator'))",
+    "SELECT /*+ UNKNOWN(clientes) */ * FROM clientes",
 ])
 def test_ways_around_are_refused_before_anything_runs(governed, spark, query):
     spark.sql("CREATE DATABASE IF NOT EXISTS later_database")
@@ -113,6 +128,32 @@ def test_own_common_tables_subqueries_and_joins_pass(governed):
     assert [r.pais_envio for r in answer.rows.collect()] == ["Perú"]
 
 
+@pytest.mark.parametrize("query, n", [
+    ("SELECT cliente_id FROM clientes WHERE length(cliente_id) BETWEEN 2 AND 3 AND cliente_id NOT BETWEEN 'C5' AND 'C6'", 88),
+    ("SELECT /*+ BROADCAST(b), MERGE(a) */ a.cliente_id FROM clientes a JOIN clientes b USING (cliente_id)", 120),
+    ("SELECT /*+ REPARTITION(3) */ cliente_id FROM clientes", 120),
+    ("SELECT cliente_id, row_number() OVER w AS k FROM clientes WINDOW w AS (PARTITION BY ciudad ORDER BY cliente_id)", 120),
+    ("SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(k, v) WHERE k IN (SELECT total_pedidos - 1 FROM gold_ventas_por_pais)", 2),
+])
+def test_plain_sql_passes(governed, query, n):
+    assert governed.query(query).rows.count() == n
+
+
+def test_the_analysed_plan_reads_governed_views_only(governed, spark):
+    leaf = lambda df: ungoverned_leaf(df._jdf.queryExecution().analyzed(), governed._views, governed._jvm)
+    assert leaf(governed.session.sql("SELECT a.ciudad FROM clientes a JOIN clientes b USING (cliente_id) WHERE EXISTS (SELECT 1 FROM clientes)")) is None
+    assert leaf(governed.session.sql("WITH t AS (SELECT 1 AS v) SELECT * FROM t UNION ALL SELECT * FROM t")) is None
+    # another view of the same name, a table, a range, and a subquery in a named window
+    spark.range(3).createOrReplaceTempView("clientes")
+    assert leaf(spark.sql("SELECT * FROM clientes")) == "clientes"
+    spark.catalog.dropTempView("clientes")
+    other = spark.range(3)
+    assert leaf(other) == "Range"
+    other.createOrReplaceTempView("hidden_rows")
+    assert leaf(spark.sql("SELECT count(*) OVER w FROM VALUES (1) AS t(a) WINDOW w AS (PARTITION BY (SELECT max(id) FROM hidden_rows))")) == "hidden_rows"
+    assert leaf(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
 def test_two_instances_do_not_share_views(spark):
     a, b = (GovernedSql(spark, {"clientes": spark.createDataFrame([(n,)], "cliente_id int")}) for n in (1, 2))
     assert [a.query("SELECT * FROM clientes").rows.first()[0], b.query("SELECT * FROM clientes").rows.first()[0]] == [1, 2]
