@@ -1,8 +1,8 @@
 """Exact order statistics without pulling a whole column, or a whole group, into one task.
 
-Rows are range-partitioned on a key that is unique, so hot values are split over partitions,
-and the placed rows are written once. Ranks then come from per-partition totals: one row per
-partition, whatever the size of the data.
+Ranks: rows are range-partitioned on a key that is unique, so hot values are split over partitions, and the placed
+rows are written once; ranks then come from per-partition totals, one row per partition. Medians: radix selection,
+without placing rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalake.functions.scalars import as_number
-from stratalake.session import broadcast_if_small, pin
+from stratalake.session import pin
 
 _PARTITION_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
@@ -57,53 +57,64 @@ def rank_bucket(rank: Column, total: Column, buckets: int) -> Column:
     return F.greatest(F.lit(1), whole.cast("int"))
 
 
-def place_counts(counts: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Write (group, value, weight) rows in range partitions and keep the partition number."""
-    return pin(counts.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()))
+LEVELS, LEVEL_BITS = 4, 16
+_LEVEL_MASK = (1 << LEVEL_BITS) - 1
 
 
-def medians_of_placed(
-    placed: DataFrame, groups: Sequence[str], value: str, weight: str, tie: Sequence[str] = (), out: str = "median",
-) -> DataFrame:
-    """Exact median of every group from rows placed by ``(*groups, value, *tie)``.
+def sortable(number: Column) -> Column:
+    """A bigint for each double, in the same order: sign, exponent and fraction as IEEE 754 lays them out.
 
-    The two middle ranks of a group lie in one or two partitions, found from the totals per
-    (group, partition). Only those slices, each no larger than a partition, are ordered.
+    Worked out exactly, since dividing by a power of two loses nothing. Both zeros are 0; NaN and null are null.
     """
-    groups = list(groups)
-    totals = placed.groupBy(*groups, "_part").agg(F.sum(weight).alias("_weight"))
-    group_window = Window.partitionBy(*groups)
-    spans = totals.withColumns({
-        "_upto": F.sum("_weight").over(group_window.orderBy("_part")),
-        "_all": F.sum("_weight").over(group_window),
-    }).withColumns({
-        "_low": F.expr("(_all + 1) div 2"),
-        "_high": F.expr("_all div 2 + 1"),
-        "_before": F.col("_upto") - F.col("_weight"),
-    })
-    middle = spans.filter("(_before < _low and _low <= _upto) or (_before < _high and _high <= _upto)")
-    keys = [*groups, "_part"]
-    # At most two rows per group; pinned, so that they are measured and the placed rows need not move again.
-    middle, _ = broadcast_if_small(pin(middle.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_low", "_high", "_before")))
-
-    located = F.lit(True)
-    for key in keys:
-        located = located & F.col(key).eqNullSafe(F.col(f"_at_{key}"))
-    slices = placed.join(middle, located)
-    slice_window = Window.partitionBy(*groups, "_part").orderBy(value, *tie)
-    ranked = slices.withColumn("_last", F.col("_before") + F.sum(weight).over(
-        slice_window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first = F.col("_last") - F.col(weight)
-
-    def value_at(target: str) -> Column:
-        holds = (first < F.col(target)) & (F.col(target) <= F.col("_last"))
-        return F.max(F.when(holds, F.col(value).cast("double")))
-
-    return ranked.groupBy(*groups).agg(((value_at("_low") + value_at("_high")) / 2).alias(out))
-
-
-def group_medians(df: DataFrame, groups: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median per group, nulls left out. Equal values are counted before the shuffle."""
-    numbers = df.select(*groups, as_number(value).alias("_v")).filter(F.col("_v").isNotNull())
-    counts = numbers.groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
-    return medians_of_placed(place_counts(counts, [*groups, "_v"]), groups, "_v", "_n", out=out)
+    size = F.abs(number)
+    guess = F.floor(F.log2(size)).cast("int")  # may be off by one beside a power of two
+    power = lambda k: F.pow(F.lit(2.0), k)
+    exponent = guess + F.when(power(guess + 1) <= size, 1).when(power(guess) > size, -1).otherwise(0)
+    fraction = ((size / power(exponent) - 1) * 2.0**52).cast("bigint")
+    bits = (
+        F.when(F.isnan(number), None).when(size == 0, 0)
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size / 2.0**-1074).cast("bigint"))
+        .otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction))
+    return F.when(number < 0, -bits).otherwise(bits).cast("bigint")
+
+
+def group_medians(df: DataFrame, groups: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
+    """Exact median per group as one lazy plan, nulls and NaN left out. ``weight``: how often a row counts.
+
+    Radix selection: values are counted by the leading 16 bits of their sortable form, with partial counts before the
+    shuffle; a running total over at most 65,536 counts of a group tells in which of them the middle ranks lie; only
+    rows in those take part in the next 16 bits, and so on four times. No group and no column has to fit into a task,
+    whatever its values, and no job runs while the plan is built.
+    """
+    named = {f"_g{k}": F.col(g) for k, g in enumerate(groups)} or {"_g0": F.lit(1)}
+    held = df.select(*[c.alias(n) for n, c in named.items()], as_number(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+    keyed = held.filter(F.col("_v").isNotNull()).withColumn("_k", sortable(F.col("_v")))
+    names = list(named)
+
+    def digit(level: int) -> Column:
+        return F.shiftright("_k", LEVEL_BITS * (LEVELS - 1 - level)).bitwiseAND(_LEVEL_MASK) if level else F.shiftright("_k", LEVEL_BITS * (LEVELS - 1))
+
+    # one target for each middle rank: an odd number of values has one, an even number two
+    first = keyed.groupBy(*names, digit(0).alias("_digit")).agg(F.sum("_w").alias("_n"), F.max("_v").alias("_value"))
+    in_group = Window.partitionBy(*names)
+    counted = first.withColumns({
+        "_upto": F.sum("_n").over(in_group.orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_all": F.sum("_n").over(in_group)})
+    ranks = F.array_distinct(F.array(F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")))
+    met = counted.withColumn("_rank", F.explode(ranks)).withColumn("_target", F.col("_rank"))
+    holds = (F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
+    left = (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")
+    targets = met.filter(holds).select(*names, "_target", left, F.col("_digit").alias("_prefix"), "_value")
+    for level in range(1, LEVELS):
+        prefix = F.shiftright("_k", LEVEL_BITS * (LEVELS - level))
+        wanted = targets.select(*[F.col(n).alias(f"_t{n}") for n in names], "_target", "_rank", F.col("_prefix").alias("_tprefix"))
+        same = [F.col(n).eqNullSafe(F.col(f"_t{n}")) for n in names]
+        rows = keyed.withColumn("_prefix", prefix).join(wanted, [F.col("_prefix") == F.col("_tprefix"), *same])
+        counts = rows.groupBy(*names, "_target", "_rank", "_prefix", digit(level).alias("_digit")).agg(F.sum("_w").alias("_n"), F.max("_v").alias("_value"))
+        running = Window.partitionBy(*names, "_target").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        targets = counts.withColumn("_upto", F.sum("_n").over(running)).filter(holds).select(
+            *names, "_target", left, (F.shiftleft("_prefix", LEVEL_BITS) + F.col("_digit")).alias("_prefix"), "_value")
+    # all bits are fixed, so the rows of a target have one value
+    middle = targets.groupBy(*names).agg(((F.min("_value") + F.max("_value")) / 2).alias(out))
+    return middle.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], out)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalake.functions.digests import row_identity, short_key
 from stratalake.functions.scalars import as_number, is_missing, mean_of, percent
-from stratalake.operators.ordering import medians_of_placed, place_counts
+from stratalake.operators.ordering import group_medians
 from stratalake.operators.rules import rows_of_repeated_key
 from stratalake.session import pin
 
@@ -71,8 +71,8 @@ def _exact_distribution(df: DataFrame) -> DataFrame:
     """Distinct count per column, and the median of the numeric ones.
 
     Columns are turned into (column, value) pairs and equal pairs are counted before the
-    shuffle. Numeric pairs are placed by range, so that distinct counts and medians of all
-    columns come from the same rows, and no column has to fit into one task.
+    shuffle. Distinct counts and medians of all numeric columns come from the same counted
+    pairs, and no column has to fit into one task.
     """
     numeric = [f for f in df.schema.fields if _is_numeric(f.dataType)]
     others = [f for f in df.schema.fields if not _is_numeric(f.dataType)]
@@ -83,9 +83,8 @@ def _exact_distribution(df: DataFrame) -> DataFrame:
             return F.when(~is_missing(f.name, f.dataType), shown.cast("string"))
 
         counts = _distinct_values(df, numeric, as_text).withColumn("number", F.col("value").try_cast("double"))
-        placed = place_counts(counts, ["column", "number", "value"])
-        unique = placed.groupBy("column").agg(F.count("*").alias("unique"))
-        medians = medians_of_placed(placed, ["column"], "number", "rows", tie=["value"])
+        unique = counts.groupBy("column").agg(F.count("*").alias("unique"))
+        medians = group_medians(counts, ["column"], "number", weight="rows")
         parts.append(unique.join(medians, "column", "left").select("column", "unique", F.round("median", 2).alias("median")))
     if others:
         counts = _distinct_values(df, others, lambda f: short_key(F.col(f.name).cast("string")))

@@ -9,8 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalake.functions.scalars import as_number, is_blank, is_missing
-from stratalake.operators.ordering import medians_of_placed, place_counts
-from stratalake.session import broadcast_if_small, pin
+from stratalake.operators.ordering import group_medians
 
 LOG_SCHEMA = "tabla string, campo string, accion string, registros_afectados bigint, timestamp string"
 
@@ -53,38 +52,20 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], uniq
 def fill_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """Null values become the median of their group, else the median of the whole column.
 
-    The second median is taken after the first filling, so filled rows count in it. It is only
-    computed when some null row has no group median (group all null, or group name null).
+    The second median is taken after the first filling, so filled rows count in it; it reads no rows unless some null
+    row has no group median (group all null, or group name null). All is one lazy plan: a query that does not ask for
+    the column computes no median.
     """
-    columns = df.columns
     number = as_number(value)
-    # One pass: equal values are counted, and the nulls of a group are one more value.
-    counts = df.groupBy(group, number.alias("_v")).agg(F.count("*").alias("_n"))
-    placed = place_counts(counts, [group, "_v"])
-    present = placed.filter(F.col("_v").isNotNull())
-    medians = medians_of_placed(present, [group], "_v", "_n", out="_median").filter(F.col(group).isNotNull())
-    gaps = placed.filter(F.col("_v").isNull()).select(F.col(group).alias("_group"), F.col("_n").alias("_gaps"))
-    fills = pin(
-        gaps.join(medians, gaps["_group"] == medians[group], "left").select("_group", "_gaps", "_median"))
-
-    overall = F.lit(None).cast("double")
-    if fills.filter(F.col("_median").isNull()).limit(1).count():
-        values = present.select("_v", "_n").unionByName(
-            fills.filter(F.col("_median").isNotNull()).select(F.col("_median").alias("_v"), F.col("_gaps").alias("_n")))
-        merged = values.groupBy("_v").agg(F.sum("_n").alias("_n"))
-        ranked = place_counts(merged.withColumn("_all_rows", F.lit(1)), ["_all_rows", "_v"])
-        overall = medians_of_placed(ranked, ["_all_rows"], "_v", "_n", out="_m").select("_m").scalar()
-
-    lookup, small = broadcast_if_small(fills.select("_group", F.col("_median").alias("_fill")))
-    full = df.withColumn(value, number)
-    filled = F.coalesce(F.col(value), F.col("_fill"), overall)
-    if small:
-        joined = full.join(lookup, full[group].eqNullSafe(lookup["_group"]), "left")
-        return joined.withColumn(value, filled).select(*columns)
-    # Very many groups: only the rows with a gap take part in the join.
-    holes = full.filter(F.col(value).isNull())
-    patched = holes.join(lookup, holes[group].eqNullSafe(lookup["_group"]), "left").withColumn(value, filled)
-    return full.filter(F.col(value).isNotNull()).unionByName(patched.select(*columns))
+    numbers = df.select(F.col(group).alias("_group"), number.alias("_v"))
+    fills = group_medians(numbers.filter(F.col("_group").isNotNull()), ["_group"], "_v", out="_fill")
+    gaps = numbers.filter(F.col("_v").isNull()).groupBy("_group").agg(F.count("*").alias("_gaps"))
+    filled = gaps.join(fills, "_group", "left")
+    open_gaps = filled.filter(F.col("_fill").isNull()).agg(F.count("*").alias("n")).scalar()
+    values = numbers.select("_v", F.lit(1).cast("bigint").alias("_w")).unionByName(filled.select(F.col("_fill").alias("_v"), F.col("_gaps").alias("_w")))
+    overall = group_medians(values.filter(open_gaps > 0), [], "_v", out="_m", weight="_w").select("_m").scalar()
+    full = df.withColumn(value, number).join(fills, F.col(group) == F.col("_group"), "left")
+    return full.withColumn(value, F.coalesce(F.col(value), F.col("_fill"), overall)).select(*df.columns)
 
 
 @dataclass(frozen=True)

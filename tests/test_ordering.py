@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratalake.operators.ordering import group_medians, rank_bucket, with_rank
+from stratalake.operators.ordering import group_medians, rank_bucket, sortable, with_rank
 
 
 def qcut_bucket(n):
@@ -64,3 +64,50 @@ def test_group_medians_equal_pandas(spark, seed):
 def test_medians_of_one_and_two_rows(spark):
     df = spark.createDataFrame([("a", 4), ("b", 1), ("b", 2)], "g string, v int")
     assert {r.g: r.median for r in group_medians(df, ["g"], "v").collect()} == {"a": 4.0, "b": 1.5}
+
+
+def hard_numbers():
+    rng = np.random.default_rng(8)
+    near = [np.nextafter(2.0**k, d) for k in range(-1074, 1024, 7) for d in (-np.inf, np.inf)] + [2.0**k for k in range(-1074, 1024, 13)]
+    odd = [0.0, -0.0, np.inf, -np.inf, 5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), 1.7976931348623157e308, 1.0, -1.0, 0.1, 1e16]
+    random = rng.integers(0, 2**63 - 2**53, 2000).view(np.float64)
+    return np.unique(np.concatenate([near, odd, -np.array(near), random, -random]))
+
+
+def test_sortable_keeps_the_order_of_all_doubles(spark):
+    numbers = hard_numbers()
+    df = spark.createDataFrame([(float(x),) for x in numbers], "v double")
+    got = df.select("v", sortable(F.col("v")).alias("k")).toPandas().sort_values("v")
+    assert got.k.is_monotonic_increasing and got.k.is_unique
+    bits = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.k.to_numpy() == np.where(got.v < 0, -bits, bits)).all()
+    none = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(sortable(F.col("v")).alias("k"))
+    assert [r.k for r in none.collect()] == [None, None]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_medians_of_hard_numbers(spark, seed):
+    rng = np.random.default_rng(seed)
+    numbers = hard_numbers()
+    numbers = numbers[np.isfinite(numbers) & (np.abs(numbers) < 1e300)]
+    rows, want = [], {}
+    for g in [None, *"abcdefgh"]:
+        values = rng.choice(numbers, rng.integers(1, 200))
+        values = np.concatenate([values, rng.choice(values, 50)]) if g in ("a", None) else values
+        rows += [(g, float(v)) for v in values]
+        want[g] = float(np.median(values))
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    assert {r.g: r.median for r in group_medians(df, ["g"], "v").collect()} == want
+
+
+def test_weighted_medians_and_no_groups(spark):
+    df = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 3), (None, 100), (7.0, 1)], "v double, w int")
+    assert [tuple(r) for r in group_medians(df, [], "v", out="m", weight="w").collect()] == [(1.5,)]
+    assert group_medians(df.limit(0), [], "v").collect() == []
+    two = group_medians(df.withColumn("a", F.lit("x")).withColumn("b", F.lit(None).cast("int")), ["a", "b"], "v").collect()
+    assert [tuple(r) for r in two] == [("x", None, 4.5)]
+
+
+def test_medians_of_a_column_of_one_value(spark):
+    df = spark.range(100_000).select(F.lit(3.25).alias("v"), (F.col("id") % 3).alias("g"))
+    assert {r.g: r.median for r in group_medians(df, ["g"], "v").collect()} == {0: 3.25, 1: 3.25, 2: 3.25}

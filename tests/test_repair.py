@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from stratalake.operators import repair
 from stratalake.operators.ordering import group_medians
 from stratalake.operators.repair import fill_blank, fill_group_median, fill_null, fill_null_int, keep_first, nullify
 from stratalake.plans.silver import clean, repairs_of, transformation_log
@@ -58,16 +57,29 @@ def test_median_fill_equals_pandas(spark, with_empty_group):
     assert got == pandas_fill(pdf).tolist()
 
 
-def test_median_fill_with_very_many_groups(spark, monkeypatch):
-    import stratalake.session as session
-
-    monkeypatch.setattr(repair, "broadcast_if_small", lambda df: session.broadcast_if_small(df, 3))
+def test_median_fill_by_shuffled_joins(spark):
     df = spark.range(600).select("id", (F.col("id") % 50).cast("string").alias("g"),
                                  F.when(F.col("id") % 7 != 0, F.col("id").cast("double")).alias("v"))
-    got = fill_group_median(df, "g", "v").toPandas().sort_values("id").v.tolist()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fill_group_median(df, "g", "v").toPandas().sort_values("id").v.tolist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == pandas_fill(df.toPandas().sort_values("id")).tolist()
 
 
+def test_the_fill_is_lazy(spark):
+    """No job while the plan is built, and no median for a query that does not ask for the column."""
+    df = spark.range(600).select("id", (F.col("id") % 5).cast("string").alias("tipo_evento"), F.col("id").cast("double").alias("duracion_seg"))
+    spark.sparkContext.setJobGroup("lazy-fill", "lazy-fill")
+    filled = clean("eventos", df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy-fill")
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    plan = filled.groupBy("tipo_evento").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "log2" not in plan.lower(), plan
+
+
 def test_long_keys_are_not_broadcast(spark):
     from stratalake.session import broadcast_if_small
 
