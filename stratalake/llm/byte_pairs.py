@@ -9,9 +9,10 @@ a literal: buckets of (left id, right id) -> rank, for every way to cut a piece
 it, so that a lookup reads one small map. In pieces of more than LONG ids a step joins all pairs of the lowest rank
 at once, if the pairs this makes have no lower rank; else one, as ever. So a long run of one letter takes few steps.
 
-Each distinct piece is merged once. Texts become packs of about PACK_BYTES: the pack's distinct pieces, and a code
-for each place. Distinct pieces of all packs are merged, joined back to the packs that hold them, and the packs'
-codes are replaced by ids. Decoding concatenates the vocabulary's bytes for each id.
+Each distinct piece is merged once. Texts become packs of up to PACK_BYTES: the pack's distinct pieces, and a code
+for each place, written in buckets. The pieces of all packs meet by piece, the first of a kind is merged, and ids go
+back to every pack that holds it, where they replace the codes; the packs themselves are not shuffled. Decoding
+concatenates the vocabulary's bytes for each id.
 
 Cases: null text counts as empty and has no ids; null ids, repeated rows and other columns change nothing; ids
 outside the vocabulary cannot be decoded and are an error. Character classes of the pattern cover all of Unicode.
@@ -28,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stratalake.llm.store import keep, whole
+from stratalake.llm.store import keep_in_buckets, whole
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 32 << 20
+#: Packs in a bucket.
+PACKS = 4
 SLICE = 1 << 20
 LONG = 64
 BUCKETS = 131_101
@@ -180,7 +183,7 @@ def _from_planes(planes: bytes, n: int) -> np.ndarray:
 
 def packs(docs: DataFrame, id_col: str, text_col: str, pattern: str, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """pack, ids, sizes (pieces of each text), codes (place of each piece in words), words (distinct pieces, the frequent
-    first), as a written table."""
+    first), as a table written in buckets of packs."""
     rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(whole(text_col), F.lit("(?U)" + pattern), F.lit(0)).alias("pieces"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -217,31 +220,33 @@ def packs(docs: DataFrame, id_col: str, text_col: str, pattern: str, pack_bytes:
         if held[0]:
             yield packed(number, *held)
 
-    return keep(rows.mapInArrow(gather, f"pack long, ids array<{kind}>, sizes array<int>, codes binary, words array<string>"), "packs")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return keep_in_buckets(rows.mapInArrow(gather, f"pack long, ids array<{kind}>, sizes array<int>, codes binary, words array<string>"), "packs", "pack", size // (PACKS * pack_bytes))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
     """id, ids (array of int) per row."""
     packed = packs(docs, id_col, text_col, pattern, pack_bytes)
-    words = packed.select("pack", F.posexplode("words").alias("place", "word"))
     merges = Merges(read_ranks(path))
-    distinct = words.select("word").distinct()
-    merged = keep(distinct.select("word", merges.ids(F.col("word")).alias("merged")), "merged")
-    answers = words.join(merged, "word").select("pack", "place", "merged")
-    # a pack's own row comes first, then its pieces by place
-    met = packed.select("pack", F.lit(-1).alias("place"), "ids", "sizes", "codes").unionByName(answers, allowMissingColumns=True)
+    # the first row of a piece has it merged, the piece's other packs take over what came out
+    same = Window.partitionBy("word").orderBy("pack")
+    words = packed.select("pack", F.posexplode("words").alias("place", "word")).withColumn("first", F.row_number().over(same) == 1)
+    words = words.withColumn("merged", F.when(F.col("first"), merges.ids(F.col("word"))))
+    words = words.withColumn("merged", F.first("merged").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kind = packed.schema["ids"].dataType.elementType.simpleString()
-    session = docs.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-packed.count() // 4))
 
-    def texts(ids, sizes, codes, merged) -> Iterator[pa.RecordBatch]:
-        merged = pa.concat_arrays(merged) if merged else pa.array([], pa.list_(pa.int32()))
+    def texts(held: pa.Table, found: pa.Table) -> pa.Table:
+        """The texts of one pack: its codes replaced by the ids of its pieces."""
+        names, kinds = ["id", "ids"], [held.schema.field("ids").type.value_type, pa.list_(pa.int32())]
+        if not held.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        ids, sizes = (held.column(c).combine_chunks().flatten() for c in ("ids", "sizes"))
+        merged = found.column("merged").combine_chunks().take(pa.compute.sort_indices(found.column("place")))
         start = merged.offsets.to_numpy().astype(np.int64)
-        values = merged.values.to_numpy()
-        length = np.diff(start)
+        values, length = merged.values.to_numpy(), np.diff(start)
         upto = np.append(0, np.cumsum(sizes.to_numpy(), dtype=np.int64))
-        codes = _from_planes(codes, int(upto[-1]))
-        begin = 0
+        codes = _from_planes(held.column("codes")[0].as_py(), int(upto[-1]))
+        out, begin = [], 0
         while begin < len(ids):
             end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + SLICE, "right")) - 1)
             these = codes[upto[begin] : upto[end]]
@@ -249,25 +254,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             ends = np.append(0, np.cumsum(n))
             places = np.repeat(start[these] - ends[:-1], n) + np.arange(ends[-1])
             offsets = pa.array(ends[upto[begin : end + 1] - upto[begin]], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.ListArray.from_arrays(offsets, pa.array(values[places], pa.int32()))], names=["id", "ids"])
+            out.append(pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.ListArray.from_arrays(offsets, pa.array(values[places], pa.int32()))], names=names))
             begin = end
+        return pa.Table.from_batches(out)
 
-    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, merged = None, []
-        for batch in batches:
-            heads = np.flatnonzero(batch.column(1).to_numpy() < 0)
-            for a, b in zip(np.append(0, heads), np.append(heads, batch.num_rows)):
-                if b > a and len(heads) and a in heads:
-                    if own is not None:
-                        yield from texts(*own, merged)
-                    own, merged = (batch.column(2)[int(a)].values, batch.column(3)[int(a)].values, batch.column(4)[int(a)].as_py()), []
-                    a += 1
-                if b > a:
-                    merged.append(batch.column(5).slice(a, b - a))
-        if own is not None:
-            yield from texts(*own, merged)
-
-    out = met.repartition(parts, "pack").sortWithinPartitions("pack", "place").mapInArrow(replaced, f"id {kind}, ids array<int>")
+    answers = words.select("pack", "place", "merged").groupBy("pack")
+    out = packed.select("pack", "ids", "sizes", "codes").groupBy("pack").cogroup(answers).applyInArrow(texts, f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 

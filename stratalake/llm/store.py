@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalake.session import shared_dir
 
+#: What Spark allows by itself.
+MOST_BUCKETS = 100_000
+
 
 def new_folder(df: DataFrame, name: str) -> str:
     """A folder of its own under spark.checkpoint.dir."""
@@ -21,6 +24,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_in_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write df as Parquet now, dealt into buckets by a column, and go on from the written rows: what groups by the column
+    needs no shuffle of them. There are at least as many buckets as shuffle partitions."""
+    session = df.sparkSession
+    n = min(MOST_BUCKETS, max(buckets, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, column).options(path=new_folder(df, name), compression="zstd").saveAsTable(table)
+    rows = session.table(table)
+    session.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay
+    return rows
+
+
 def whole(text: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
