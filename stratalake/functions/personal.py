@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from stratalake.functions.digests import sha256
+from stratalake.functions.scalars import once, running_totals
 from stratalake.settings import (
     DEFAULT_SITE, EMAIL_PATTERN, EMAIL_TAG, PHONE_CUES, PHONE_PATTERN, PHONE_TAG, Site,
 )
@@ -14,6 +15,9 @@ from stratalake.settings import (
 # Word boundaries, digits and spaces count in any script.
 _PHONE = "(?U)" + PHONE_PATTERN
 _CUE = "|".join(PHONE_CUES)
+# A run of address characters with two signs, and digits enough for a phone with at most one separator between.
+_TWO_SIGNS = "@[a-zA-Z0-9_.+-]*@"
+_LONG_CLUSTER = r"(?U)\d(?:[\s-]?\d){9,}"
 
 
 def mask_email(column: Column, site: Site = DEFAULT_SITE) -> Column:
@@ -52,9 +56,14 @@ def _without(found: Column, safe: Sequence[str]) -> Column:
     return F.filter(found, lambda value: ~F.lower(value).isin(*safe))
 
 
+def between_emails(text: Column) -> Column:
+    """What stands before, between and after the addresses of a text."""
+    return F.split(text, EMAIL_PATTERN, -1)
+
+
 def email_gaps(text: Column) -> Column:
     """Lengths of the stretches between the addresses of a text, in characters."""
-    return F.transform(F.split(text, EMAIL_PATTERN, -1), F.length)
+    return F.transform(between_emails(text), F.length)
 
 
 def phone_gaps(text: Column) -> Column:
@@ -62,21 +71,8 @@ def phone_gaps(text: Column) -> Column:
 
 
 def _start_positions(found: Column, gaps: Column) -> Column:
-    """0-based start of each match.
-
-    A match starts after all the gaps up to it and all the matches before it, so one fold over
-    the matches gives every start.
-    """
-    start = F.struct(F.lit(0).alias("edge"), F.array().cast("array<int>").alias("starts"))
-
-    def step(done: Column, index: Column) -> Column:
-        begin = done["edge"] + F.get(gaps, index)
-        return F.struct(
-            (begin + F.length(F.get(found, index))).alias("edge"),
-            F.array_append(done["starts"], begin).alias("starts"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda done: done["starts"])
+    """0-based start of each match: the running total of the gap before it and of the match before that."""
+    return running_totals(F.transform(found, lambda _, i: F.get(gaps, i) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(F.lit(0))))
 
 
 def locate(found: Column, gaps: Column, kind: str) -> Column:
@@ -119,11 +115,54 @@ def redact_all(text: Column) -> Column:
     return F.regexp_replace(emails_gone, _PHONE, PHONE_TAG)
 
 
-def redact_found(text: Column, found: Column) -> Column:
-    """Replace every value of ``found`` (from :func:`find_personal_cued`) wherever it stands."""
+def _folded(text: Column, values: Column, tag: str) -> Column:
+    """Replace value after value, each wherever it stands by then. Time: values x text."""
+    return F.aggregate(F.array_distinct(values), text, lambda current, value: F.replace(current, value, F.lit(tag)))
+
+
+def _nested(addresses: Column) -> Column:
+    """Whether an address may stand inside another one: the part before its @ ends the other's.
+
+    Sorted from the back, such parts begin one another, and then some two neighbours do.
+    """
+    backwards = F.array_sort(F.transform(F.array_distinct(addresses), lambda a: F.reverse(F.substring_index(a, "@", 1))))
+    return once(backwards, lambda b: F.exists(
+        F.transform(b, lambda part, i: F.when(i > 0, F.startswith(part, F.get(b, i - 1))).otherwise(F.lit(False))), lambda inside: inside))
+
+
+def _without_addresses(text: Column, found: Column, matches: Column, gaps: Column, safe: Sequence[str]) -> Column:
+    """The found addresses replaced wherever they stand.
+
+    Where no run of address characters has two @ and no address may stand inside another, a found address stands nowhere
+    but at its own matches, so the text is put together again from gaps and matches; else value after value.
+    """
+    tagged = F.transform(matches, lambda m: F.when(F.lower(m).isin(*safe), m).otherwise(F.lit(EMAIL_TAG)))
+    rebuilt = F.array_join(F.zip_with(gaps, tagged, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+    plain = ~text.rlike(_TWO_SIGNS) & ~_nested(matches)
+    return F.when(F.size(found) == 0, text).when(plain, rebuilt).otherwise(_folded(text, found, EMAIL_TAG))
+
+
+def _without_phones(text: Column, found: Column) -> Column:
+    """The found phone runs replaced wherever they stand.
 
-    def step(current: Column, hit: Column) -> Column:
-        tag = F.when(hit["type"] == "email", F.lit(EMAIL_TAG)).otherwise(F.lit(PHONE_TAG))
-        return F.replace(current, hit["value"], tag)
+    Where each long cluster of digits is a match, all of it was found and the found ones have equally many digits, a
+    found run stands nowhere but at its own matches, so one pass replaces them; else value after value.
+    """
+    def replaced(t: Column) -> Column:
+        digits = F.transform(found, lambda p: F.length(F.regexp_replace(p, r"(?U)\D", "")))
+        plain = once(phone_matches(t), lambda m: (m == F.regexp_extract_all(t, F.lit(_LONG_CLUSTER), F.lit(0))) & (F.size(F.array_except(m, found)) == 0))
+        return F.when(plain & (F.array_min(digits) == F.array_max(digits)), F.regexp_replace(t, _PHONE, PHONE_TAG)).otherwise(_folded(t, found, PHONE_TAG))
+
+    return F.when(F.size(found) == 0, text).otherwise(once(text, replaced))
+
+
+def redact_found(text: Column, found: Column, matches: Column, gaps: Column, site: Site = DEFAULT_SITE) -> Column:
+    """Replace every value of ``found`` (from :func:`find_personal_cued`) wherever it stands, as if one after another.
+
+    ``matches`` and ``gaps``: all addresses of the text and what stands between. Give existing columns.
+    """
+    def values(kind: str) -> Column:
+        return F.transform(F.filter(found, lambda hit: hit["type"] == kind), lambda hit: hit["value"])
 
-    return F.when(F.size(found) > 0, F.aggregate(F.array_distinct(found), text, step)).otherwise(text)
+    addressed = _without_addresses(text, values("email"), matches, gaps, site.safe_emails)
+    return F.when(F.size(found) > 0, once(values("phone"), lambda phones: _without_phones(addressed, phones))).otherwise(text)

@@ -1,7 +1,9 @@
-"""Null tests, exact sums, shares and lenient casts."""
+"""Null tests, exact sums, shares, lenient casts, and running totals of arrays."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 MONEY = T.DecimalType(18, 2)
@@ -71,3 +73,22 @@ def lenient(column: Column, target: T.DataType) -> Column:
     if isinstance(target, (T.IntegerType, T.LongType)):
         return column.try_cast(T.DecimalType(38, 6)).try_cast(target)
     return column.try_cast(target)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_totals(numbers: Column) -> Column:
+    """Sums up to each place of an array of whole numbers.
+
+    After pass k every place holds the sum of the last 2^k numbers, so the passes are as many as the size has bits, and
+    none of them appends to an array.
+    """
+
+    def add(sums: Column, k: Column) -> Column:
+        return once(F.pow(F.lit(2.0), k).cast("int"), lambda back: F.transform(
+            sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(numbers)))), numbers, add)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from stratalake.functions.personal import (
-    email_gaps, email_matches, find_personal_cued, locate, off_placeholder, phone_gaps, phone_matches, redact_all,
+    between_emails, email_gaps, email_matches, find_personal_cued, locate, off_placeholder, phone_gaps, phone_matches, redact_all,
     redact_found,
 )
 from stratalake.settings import DEFAULT_SITE, Site
@@ -45,8 +45,10 @@ def redact(df: DataFrame, text: str) -> DataFrame:
 
 def redact_output(df: DataFrame, text: str, flag: str = "pii_found", site: Site = DEFAULT_SITE) -> DataFrame:
     """Replace what :func:`findings_cued` finds, wherever it stands, and tell whether it found anything."""
-    found = df.withColumn("_found", find_personal_cued(F.col(text), site))
+    source = F.col(text)
+    found = df.withColumn("_found", find_personal_cued(source, site)).withColumns({
+        "_matches": F.when(F.size("_found") > 0, email_matches(source)), "_gaps": F.when(F.size("_found") > 0, between_emails(source))})
     return found.withColumns({
-        text: redact_found(F.col(text), F.col("_found")),
+        text: redact_found(source, F.col("_found"), F.col("_matches"), F.col("_gaps"), site),
         flag: F.size("_found") > 0,
-    }).drop("_found")
+    }).drop("_found", "_matches", "_gaps")

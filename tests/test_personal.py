@@ -26,6 +26,15 @@ TEXTS = [
     "móvil 300-123-45-67 / 30012345678901",
     "ñandú 😀 ana@mail.example 😀 tel 3001234567",
     "phone ١٢٣٤٥٦٧٨٩٠ and x3001234567",
+    "mariana@x.example ana@x.example mariana@x.example",
+    "ana@x.example mariana@x.example ana@x.example.co",
+    "a@b.co@c.de b.co@c.de a@b.co",
+    "cel 573001234567 3001234567 30012345678",
+    "cel 3001234567 y 9993001234567123 y 300 123 45 67",
+    "phone 300 1234567@mail.example 300 1234567",
+    "cel 3001234567 3001234567 3009999999 crm@corp.example crm@corp.example.co",
+    "cel 2024 300 123 4567 / 300 123 4567",
+    "cel 300-123-4567 3001234567 ana@x.example x3001234567x",
     "",
     None,
 ]
@@ -107,3 +116,40 @@ def test_masked_customers_keep_rows_and_hide_values(spark):
     shown = {str(v) for r in masked for v in r}
     assert not shown & {str(v) for p in people for v in p[1:5]}
     assert {r.fecha_consentimiento for r in masked} == {"2024-01-01"}
+
+
+def test_running_totals(spark):
+    from stratalake.functions.scalars import running_totals
+
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 7, 8, 9, 100)] + [(None,)]
+    got = spark.createDataFrame(rows, "a array<int>").select("a", running_totals(F.col("a")).alias("s")).collect()
+    for r in got:
+        assert r.s == (None if r.a is None else [sum(r.a[: k + 1]) for k in range(len(r.a))])
+
+
+def test_random_texts_are_redacted_value_after_value(spark):
+    import random
+
+    rng = random.Random(6)
+    words = ["ana@x.example", "mariana@x.example", "ana@x.example.co", "a@b.co@c.de", "b.co@c.de", "crm@corp.example", "CRM@Corp.example", "cel", "3001234567",
+             "300 123 45 67", "573001234567", "30012345678", "x3001234567", "9993001234567123", "-", ".", "67", "y", "u1@m.example", "u2@m.example", "_", "+"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "", "-", "."]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    for r in redact_output(df, "text", site=SITE).collect():
+        want, hits = texts[r.id], python_findings(texts[r.id], False)
+        for kind, value, _ in hits:
+            want = want.replace(value, EMAIL_TAG if kind == "email" else PHONE_TAG)
+        assert (r.text, r.pii_found) == (want, bool(hits)), texts[r.id]
+
+
+def test_fifty_thousand_matches_end_in_seconds(spark):
+    import time
+
+    text = " ".join(f"user.{i:05d}@mail.example cel 300{i:07d}" for i in range(25_000))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    begin = time.perf_counter()
+    places = {r.value: r.position for r in findings(df, ["id"], "text", SITE).collect()}
+    redacted = redact_output(df, "text", site=SITE).first()
+    assert time.perf_counter() - begin < 30
+    assert len(places) == 50_000 and all(text.startswith(v, p) for v, p in places.items())
+    assert redacted.text == " ".join([f"{EMAIL_TAG} cel {PHONE_TAG}"] * 25_000) and redacted.pii_found
