@@ -10,9 +10,9 @@ it, so that a lookup reads one small map. In pieces of more than LONG ids a step
 at once, if the pairs this makes have no lower rank; else one, as ever. So a long run of one letter takes few steps.
 
 Each distinct piece is merged once. Texts become packs of up to PACK_BYTES: the pack's distinct pieces, and a code
-for each place, written in buckets. The pieces of all packs meet by piece, the first of a kind is merged, and ids go
-back to every pack that holds it, where they replace the codes; the packs themselves are not shuffled. Decoding
-concatenates the vocabulary's bytes for each id.
+for each place, written in buckets. Up to HEAD frequent pieces are merged first and sent to the tasks; the other pieces
+of all packs meet by piece, the first of a kind is merged, and ids go back to every pack that holds it, where they
+replace the codes; the packs themselves are not shuffled. Decoding concatenates the vocabulary's bytes for each id.
 
 Cases: null text counts as empty and has no ids; null ids, repeated rows and other columns change nothing; ids
 outside the vocabulary cannot be decoded and are an error. Character classes of the pattern cover all of Unicode.
@@ -31,9 +31,11 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stratalake.llm.store import keep_in_buckets, whole
+from stratalake.llm.store import keep, keep_in_buckets, whole
 
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
+#: Frequent pieces sent to the tasks, the packs in which they are looked for, and the longest one.
+HEAD, HEAD_PACKS, HEAD_BYTES = 1 << 18, 8, 64
 #: Packs in a bucket.
 PACKS = 4
 SLICE = 1 << 20
@@ -224,14 +226,27 @@ def packs(docs: DataFrame, id_col: str, text_col: str, pattern: str, pack_bytes:
     return keep_in_buckets(rows.mapInArrow(gather, f"pack long, ids array<{kind}>, sizes array<int>, codes binary, words array<string>"), "packs", "pack", size // (PACKS * pack_bytes))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
+def frequent_pieces(packed: DataFrame, merges: Merges, head: int) -> DataFrame:
+    """word, merged of at most `head` pieces of at most HEAD_BYTES that many packs hold, as a written table. Which pieces
+    these are is seen in the first packs alone; it saves work and changes no result."""
+    first = [row.pack for row in packed.select("pack").orderBy("pack").limit(HEAD_PACKS).collect()]
+    words = packed.where(F.col("pack").isin(first)).select(F.explode("words").alias("word")).where(F.octet_length("word") <= HEAD_BYTES)
+    common = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(head).select("word")
+    return keep(common.repartition("word").select("word", merges.ids(F.col("word")).alias("merged")), "head")
+
+
+def encoded(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES, head: int = HEAD,
+) -> DataFrame:
     """id, ids (array of int) per row."""
     packed = packs(docs, id_col, text_col, pattern, pack_bytes)
     merges = Merges(read_ranks(path))
+    frequent = frequent_pieces(packed, merges, head)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent.toArrow())  # bounded by `head` and HEAD_BYTES
     # the first row of a piece has it merged, the piece's other packs take over what came out
     same = Window.partitionBy("word").orderBy("pack")
-    words = packed.select("pack", F.posexplode("words").alias("place", "word")).withColumn("first", F.row_number().over(same) == 1)
-    words = words.withColumn("merged", F.when(F.col("first"), merges.ids(F.col("word"))))
+    words = packed.select("pack", F.posexplode("words").alias("place", "word")).join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    words = words.withColumn("first", F.row_number().over(same) == 1).withColumn("merged", F.when(F.col("first"), merges.ids(F.col("word"))))
     words = words.withColumn("merged", F.first("merged").over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     kind = packed.schema["ids"].dataType.elementType.simpleString()
 
@@ -241,9 +256,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         if not held.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         ids, sizes = (held.column(c).combine_chunks().flatten() for c in ("ids", "sizes"))
-        merged = found.column("merged").combine_chunks().take(pa.compute.sort_indices(found.column("place")))
+        known = sent.value
+        at = pa.compute.index_in(held.column("words").combine_chunks().flatten(), known.column("word").combine_chunks())
+        merged = pa.concat_arrays([
+            known.column("merged").combine_chunks().cast(kinds[1]),
+            found.column("merged").combine_chunks().take(pa.compute.sort_indices(found.column("place"))).cast(kinds[1])])
+        rare = at.is_null().to_numpy(zero_copy_only=False)
+        which = at.fill_null(0).to_numpy().astype(np.int64)
+        which[rare] = known.num_rows + np.arange(rare.sum())
         start = merged.offsets.to_numpy().astype(np.int64)
-        values, length = merged.values.to_numpy(), np.diff(start)
+        values, length, start = merged.values.to_numpy(), np.diff(start)[which], start[:-1][which]
         upto = np.append(0, np.cumsum(sizes.to_numpy(), dtype=np.int64))
         codes = _from_planes(held.column("codes")[0].as_py(), int(upto[-1]))
         out, begin = [], 0
@@ -258,8 +280,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             begin = end
         return pa.Table.from_batches(out)
 
-    answers = words.select("pack", "place", "merged").groupBy("pack")
-    out = packed.select("pack", "ids", "sizes", "codes").groupBy("pack").cogroup(answers).applyInArrow(texts, f"id {kind}, ids array<int>")
+    answers = words.select(F.col("pack").alias("of_pack"), "place", "merged").groupBy("of_pack")
+    out = packed.groupBy("pack").cogroup(answers).applyInArrow(texts, f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id_col)
 
 

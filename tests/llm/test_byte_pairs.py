@@ -34,14 +34,15 @@ def random_texts(rng, n):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(n)]
 
 
-def test_texts_against_the_library(spark):
+@pytest.mark.parametrize("head", [0, 40, 1 << 18])
+def test_texts_against_the_library(spark, head):
     rng = random.Random(4)
     ranks = read_ranks(MULTI)
     texts = random_texts(rng, 1500) + ["", None, "x" * 3000, "ab" * 700, "".join(rng.choice("abcdefgh") for _ in range(900)), "日本語" * 100, "word " * 4000, "same", "same"]
     rows = list(enumerate(texts)) + [(None, "no id"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     own = library(ranks)
-    out = encoded(docs, MULTI, PATTERN, pack_bytes=20_000)
+    out = encoded(docs, MULTI, PATTERN, pack_bytes=20_000, head=head)
     out = out.withColumn("back", decoded(spark, F.col("ids"), MULTI))
     got = sorted(((r.doc_id, list(r.ids), bytes(r.back)) for r in out.collect()), key=repr)
     assert got == sorted(((k, own.encode_ordinary(t or ""), (t or "").encode()) for k, t in rows), key=repr)
