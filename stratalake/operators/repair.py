@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratalake.functions.scalars import as_number, is_blank, is_missing
 from stratalake.operators.ordering import group_medians
@@ -92,6 +92,13 @@ def surplus_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("rows"))
 
 
+def log_lines(spark: SparkSession, repairs: Sequence[Repair], run_time: str, touched: Mapping[str, int], removed: int) -> DataFrame:
+    """The log of repairs whose rows were counted while the tables were written. ``touched``: by action; ``removed``:
+    rows that a repair of surplus rows left out."""
+    rows = [(r.table, r.column, r.action, removed if r.surplus_of else touched[r.action], run_time) for r in repairs]
+    return spark.createDataFrame(rows, LOG_SCHEMA)
+
+
 def repair_log(df: DataFrame, repairs: Sequence[Repair], run_time: str) -> DataFrame:
     """One row per repair: table, field, action, touched rows, time of the run.
 

@@ -145,21 +145,24 @@ def _report(rule: Rule, count: Column) -> list[Column]:
 
 
 def check_table(
-    table: str, df: DataFrame, parents: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES,
+    table: str, df: DataFrame, parents: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES, counted: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Violation count of every rule of one table.
 
-    All row tests share one pass. Key and reference rules first count rows per key, so that
+    All row tests share one pass, or none if ``counted`` has their counts by rule id. Key and reference rules first count rows per key, so that
     only one row per distinct key and task is shuffled, however hot a key is.
     """
     mine = [r for r in rules if r.table == table]
     parts: list[DataFrame] = []
 
     row_rules = [r for r in mine if r.violates is not None]
-    if row_rules:
-        counted = df.agg(*[F.count_if(r.violates(df)).alias(r.rule_id) for r in row_rules])
+    if row_rules and counted is not None:
+        lines = [(r.rule_id, r.table, r.description, r.severity, counted[r.rule_id], counted[r.rule_id] == 0) for r in row_rules]
+        parts.append(df.sparkSession.createDataFrame(lines, REPORT_SCHEMA))
+    elif row_rules:
+        sums = df.agg(*[F.count_if(r.violates(df)).alias(r.rule_id) for r in row_rules])
         lines = [F.struct(*_report(r, F.col(r.rule_id))) for r in row_rules]
-        parts.append(counted.select(F.inline(F.array(*lines))))
+        parts.append(sums.select(F.inline(F.array(*lines))))
 
     for rule in mine:
         if rule.unique is not None:
@@ -176,10 +179,10 @@ def check_table(
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_all(frames: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Rule report over all tables at once."""
+def check_all(frames: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES, counted: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
+    """Rule report over all tables at once. ``counted``: counts of the row rules by table and rule id, if there are any."""
     return reduce(DataFrame.unionByName, [
-        check_table(table, df, frames, rules) for table, df in frames.items()
+        check_table(table, df, frames, rules, (counted or {}).get(table)) for table, df in frames.items()
         if any(r.table == table for r in rules)
     ])
 

@@ -10,6 +10,7 @@ from stratalake.operators.funnel import conversion_funnel
 from stratalake.operators.profiling import completeness, inventory
 from stratalake.operators.rfm import rfm_scores
 from stratalake.operators.sales import monthly_sales, product_sales, sales_by_channel, sales_by_country, segment_sales
+from stratalake.plans.together import together
 from stratalake.settings import GOLD_TABLES
 from stratalake.sources.catalog import register, save_table
 from stratalake.sources.layers import GOLD, SILVER, Lake
@@ -37,7 +38,7 @@ def run(lake: Lake, as_tables: bool = False) -> dict[str, DataFrame]:
     ``as_tables`` saves the gold and silver tables in the session's catalog.
     """
     silver = lake.read_all(SILVER)
-    gold = {name: lake.write(build(name, silver), GOLD, name) for name in GOLD_TABLES}
+    gold = together(lake.spark, {name: lambda name=name: lake.write(build(name, silver), GOLD, name) for name in GOLD_TABLES})
     if as_tables:
         for name, df in {**silver, **gold}.items():
             save_table(df, name)

@@ -8,6 +8,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalake.functions.scalars import MONEY, as_double, exact_mean, exact_sum, ratio
+from stratalake.plans.access import QueryRefused, check_read_only
+from stratalake.plans.together import together
 from stratalake.settings import LOST_STATES
 from stratalake.sources.layers import Lake
 
@@ -241,17 +243,27 @@ def run_reports(
     lake: Lake, frames: Frames, sql_reports: Mapping[str, str] | None = None,
     reports: Mapping[str, Callable[[Frames], DataFrame]] = REPORTS,
 ) -> DataFrame:
-    """Run every report and write one CSV each; a failing report does not stop the others.
+    """Run every report, several at a time, and write one CSV each; a failing report does not stop the others.
 
-    ``sql_reports`` are SQL texts over the session's views. Returns (name, rows, error).
+    ``sql_reports`` are SQL texts over the session's views; a text that is not a plain read is not run. Returns (name,
+    rows, error).
     """
     spark: SparkSession = lake.spark
-    status = []
+
+    def read(text: str) -> DataFrame:
+        safe, reason = check_read_only(text, spark=spark)
+        if not safe:
+            raise QueryRefused(reason)
+        return spark.sql(text)
+
     jobs = {**{n: (lambda b=b: b(frames)) for n, b in reports.items()},
-            **{n: (lambda s=s: spark.sql(s)) for n, s in (sql_reports or {}).items()}}
-    for name, build in jobs.items():
+            **{n: (lambda s=s: read(s)) for n, s in (sql_reports or {}).items()}}
+
+    def status(name: str, build: Callable[[], DataFrame]) -> tuple[str, int | None, str | None]:
         try:
-            status.append((name, lake.write_report_csv(build(), name), None))
+            return name, lake.write_report_csv(build(), name), None
         except Exception as error:  # noqa: BLE001 - reported, not raised
-            status.append((name, None, str(error).splitlines()[0]))
-    return spark.createDataFrame(status, "name string, rows bigint, error string")
+            return name, None, str(error).splitlines()[0]
+
+    done = together(spark, {n: lambda n=n, b=b: status(n, b) for n, b in jobs.items()})
+    return spark.createDataFrame([done[n] for n in jobs], "name string, rows bigint, error string")

@@ -12,9 +12,11 @@ from stratalake.operators.ingest import FILE_ORDER
 from stratalake.operators.masking import mask_customers
 from stratalake.operators.profiling import table_profile
 from stratalake.operators.repair import (
-    Repair, apply_all, fill_blank, fill_group_median, fill_null, fill_null_int, keep_first, nullify, repair_log,
+    Repair, apply_all, fill_blank, fill_group_median, fill_null, fill_null_int, keep_first, log_lines, nullify, repair_log,
 )
 from stratalake.operators.rules import check_all
+from stratalake.operators.tallies import ROWS, Tally, tallies
+from stratalake.plans.together import together
 from stratalake.settings import (
     ACTION_CITY, ACTION_DURATION, ACTION_EMAIL, ACTION_ORDERS, ACTION_PHONE, ACTION_STOCK, DEFAULT_SITE, INVALID_PHONE,
     TABLES, UNKNOWN_CITY, Site,
@@ -73,16 +75,40 @@ def transformation_log(bronze: Mapping[str, DataFrame], run_time: str, site: Sit
         repair_log(df, repairs_of(table, site), run_time) for table, df in bronze.items() if repairs_of(table, site)])
 
 
-def run(lake: Lake, run_time: str, site: Site = DEFAULT_SITE, approximate: bool = False) -> dict[str, DataFrame]:
-    """Clean every table; write rule reports of both phases, profile and log as report tables."""
+def _log(bronze: Mapping[str, DataFrame], counted: Mapping[str, Tally] | None, left: Mapping[str, Tally], run_time: str, site: Site) -> DataFrame:
+    """The repair log, from counts if there are any."""
+    if counted is None:
+        return transformation_log(bronze, run_time, site)
+    return reduce(DataFrame.unionByName, [
+        log_lines(df.sparkSession, repairs_of(t, site), run_time, counted[t], counted[t][ROWS] - left[t][ROWS])
+        for t, df in bronze.items() if repairs_of(t, site)])
+
+
+def run(
+    lake: Lake, run_time: str, site: Site = DEFAULT_SITE, approximate: bool = False, counted: Mapping[str, Tally] | None = None,
+) -> dict[str, DataFrame]:
+    """Clean every table; write rule reports of both phases, profile and log as report tables.
+
+    ``counted``: what was counted while bronze was written, in the same run; without it bronze is counted here. Tables are
+    cleaned at the same time, and so are the reports made.
+    """
     bronze = lake.read_all(BRONZE)
-    silver = {table: lake.write(clean(table, bronze[table], site), SILVER, table) for table in TABLES}
-    before = check_all(bronze).withColumn("phase", F.lit("before"))
-    after = check_all(silver).withColumn("phase", F.lit("after"))
-    lake.write_report(before.unionByName(after), "silver_rules")
-    lake.write_report(reduce(DataFrame.unionByName, [
-        table_profile(df, table, approximate) for table, df in silver.items()]), "silver_profile")
-    log = lake.write_report(transformation_log(bronze, run_time, site), "silver_log")
-    lake.write_report_csv(log, "log_transformaciones")
+    cleaned = {table: clean(table, bronze[table], site) for table in TABLES}
+    written = together(lake.spark, {
+        t: lambda t=t, df=df: lake.write_counted(df, SILVER, t, tallies(df, t)) for t, df in cleaned.items()})
+    silver, left = {t: df for t, (df, _) in written.items()}, {t: tally for t, (_, tally) in written.items()}
+
+    def rules() -> None:
+        before = check_all(bronze, counted=counted).withColumn("phase", F.lit("before"))
+        after = check_all(silver, counted=left).withColumn("phase", F.lit("after"))
+        lake.write_report(before.unionByName(after), "silver_rules")
+
+    together(lake.spark, {
+        "silver_rules": rules,
+        "silver_profile": lambda: lake.write_report(reduce(DataFrame.unionByName, [
+            table_profile(df, table, approximate) for table, df in silver.items()]), "silver_profile"),
+        "silver_log": lambda: lake.write_report_csv(
+            lake.write_report(_log(bronze, counted, left, run_time, site), "silver_log"), "log_transformaciones"),
+    })
     register(silver)
     return silver

@@ -33,6 +33,7 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.checkpoint.compress", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

@@ -252,3 +252,90 @@ def test_catalog(lake, spark, tmp_path):
     described = catalog.describe_table(spark, "view_countries").toPandas()
     assert described.column_type.tolist() == ["string", "bigint", "double", "double", "double"]
     spark.sql("DROP TABLE saved_countries")
+
+
+def test_a_lost_write_leaves_the_old_version(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "versions"))
+    lake.write(spark.range(5).withColumn("v", F.lit("old")), SILVER, "t")
+    held = lake.read(SILVER, "t")
+    broken = spark.range(100).repartition(4).withColumn("v", F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        lake.write(broken, SILVER, "t")
+    assert {r.v for r in lake.read(SILVER, "t").collect()} == {"old"} and held.count() == 5
+    # written in full, but the job ended before the commit
+    broken.filter("id < 50").write.parquet(f"{lake.path(SILVER, 't')}/0000000002-lost")
+    assert {r.v for r in lake.read(SILVER, "t").collect()} == {"old"}
+    lake.write(spark.range(7).withColumn("v", F.lit("new")), SILVER, "t")
+    assert lake.read(SILVER, "t").count() == 7
+    # who reads the version before may go on; older ones are removed
+    assert held.count() == 5 and len(lake.versions(SILVER, "t")) == 2
+    lake.write(lake.read(SILVER, "t").filter("id > 0"), SILVER, "t")
+    assert lake.read(SILVER, "t").count() == 6 and len(lake.versions(SILVER, "t")) == 2
+    with pytest.raises(FileNotFoundError):
+        lake.read(SILVER, "never_written")
+
+
+def test_reports_keep_every_run(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    log = lambda n: spark.createDataFrame([("t", n)], "tabla string, n int")
+    for run, n in (("2024-01-01T00:00:00", 1), ("2024-02-01T00:00:00", 2), ("2024-01-01T00:00:00", 3)):
+        Lake(spark, root, run_time=run).write_report(log(n), "silver_log")
+        Lake(spark, root, run_time=run).write_report_csv(log(n), "log")
+    lake = Lake(spark, root)
+    assert lake.runs("silver_log") == ["2024-01-01T00:00:00", "2024-02-01T00:00:00"]
+    assert [(r.run, r.n) for r in lake.history("silver_log").orderBy("run").collect()] == [("2024-01-01T00:00:00", 3), ("2024-02-01T00:00:00", 2)]
+    assert [r.n for r in lake.read(REPORTS, "silver_log").collect()] == [2]
+    assert [r.n for r in Lake(spark, root, run_time="2024-01-01T00:00:00").read(REPORTS, "silver_log").collect()] == [3]
+    assert read_csv(spark, f"{root}/{REPORTS}/log.csv").count() == 2
+    Lake(spark, root, run_time="2024-02-01T00:00:00").write_report(log(9).limit(0), "silver_log")
+    assert lake.history("silver_log").count() == 1 and lake.read(REPORTS, "silver_log").count() == 0
+
+
+def test_reports_of_two_runs(lake, spark, raw):
+    other = "2025-01-31T10:00:00"
+    stages.run(spark, lake.root, site=SITE, run_time=other)
+    both = lake.history("silver_log").toPandas()
+    assert set(both.run) == {RUN_TIME, other} and (both.groupby("run").registros_afectados.sum().nunique() == 1)
+    stages.run(spark, lake.root, "silver", site=SITE)
+    again = lake.history("silver_log").toPandas()
+    assert len(again) == len(both) and set(again.timestamp) == {RUN_TIME, other}
+
+
+def test_counts_taken_while_writing_equal_counts_by_query(lake, spark):
+    from stratalake.operators.rules import check_all
+    from stratalake.plans.silver import transformation_log
+
+    bronze = lake.read_all(BRONZE)
+    asked = {(r.rule_id, r.violations) for r in check_all(bronze).collect()}
+    assert {(r.rule_id, r.violations) for r in lake.read(REPORTS, "silver_rules").filter("phase = 'before'").collect()} == asked
+    wanted = {(r.campo, r.registros_afectados) for r in transformation_log(bronze, RUN_TIME, SITE).collect()}
+    assert {(r.campo, r.registros_afectados) for r in lake.read(REPORTS, "silver_log").collect()} == wanted
+
+
+def test_line_breaks_and_other_dates_in_a_run(spark, tmp_path, raw, lake):
+    root = tmp_path / "other"
+    (root / RAW).mkdir(parents=True)
+    changed = dict(raw)
+    changed["clientes"] = raw["clientes"].assign(ciudad=["two\nlines" if k == 3 else c for k, c in enumerate(raw["clientes"].ciudad)])
+    changed["pedidos"] = raw["pedidos"].assign(fecha_pedido=[d if k % 2 else "/".join(reversed(d.split("-"))) for k, d in enumerate(raw["pedidos"].fecha_pedido)])
+    for name, df in changed.items():
+        df.to_csv(root / RAW / f"{name}.csv", index=False)
+    (root / RAW / "diccionario_datos.csv").write_bytes(open(lake.path(RAW, "diccionario_datos"), "rb").read())
+    stages.run(spark, str(root), "bronze", site=SITE, run_time=RUN_TIME, multi_line=["clientes"], date_patterns=["dd/MM/yyyy"])
+    built = Lake(spark, str(root))
+    customers = built.read(BRONZE, "clientes")
+    assert customers.count() == len(raw["clientes"]) and customers.filter("ciudad = 'two\nlines'").count() == 1
+    days = {r.d for r in built.read(BRONZE, "pedidos").select(F.date_format("fecha_pedido", "yyyy-MM-dd").alias("d")).collect()}
+    assert days == set(raw["pedidos"].fecha_pedido)
+
+
+def test_sql_reports_are_plain_reads(lake, spark, tmp_path):
+    file = tmp_path / "bad.sql"
+    file.write_text("-- @name: drop\nDROP VIEW gold_ventas_por_pais;\n-- @name: java\nSELECT reflect('java.lang.System', 'exit', 0);\n"
+                    "-- @name: good\nSELECT count(*) AS n FROM gold_ventas_por_pais WHERE total_pedidos BETWEEN 0 AND 100000;\n", encoding="utf-8")
+    gold.run(lake)
+    status = {r.name: (r.rows, r.error) for r in reports.run_reports(lake, {}, reports.load_sql_reports(str(file)), reports={}).collect()}
+    assert status["drop"][0] is None and "not allowed" in status["drop"][1]
+    assert status["java"][0] is None and "reflect" in status["java"][1]
+    assert status["good"] == (1, None)
+    assert spark.table("gold_ventas_por_pais").count() > 0
