@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratalake.llm.store import keep, keep_in_buckets, whole
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 #: Frequent pieces sent to the tasks, the packs in which they are looked for, and the longest one.
-HEAD, HEAD_PACKS, HEAD_BYTES = 1 << 18, 8, 64
+HEAD, HEAD_PACKS, HEAD_BYTES = 1 << 17, 16, 64
 #: Packs in a bucket.
 PACKS = 4
-SLICE = 1 << 20
+SLICE = 1 << 19
 LONG = 64
 BUCKETS = 131_101
 #: Stands for the rank of a pair that is no piece of the vocabulary; above all ranks.
@@ -294,20 +294,32 @@ def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
         pieces[rank] = piece
     sent = spark.sparkContext.broadcast(pieces)  # bounded by the vocabulary
 
-    def join(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten()
+    def part(vocabulary: pa.Array, flat: pa.Array, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of some lists, and where each list ends in them."""
         if flat.null_count or len(flat) and not (0 <= pa.compute.min(flat).as_py() and pa.compute.max(flat).as_py() < size):
             raise ValueError("an id is not in the vocabulary")
-        taken = pa.array(sent.value, pa.large_binary()).take(flat)
+        taken = vocabulary.take(flat)
         if taken.null_count:
             raise ValueError("an id is not in the vocabulary")
-        _, ends, data = taken.buffers()
-        ends = np.frombuffer(ends, np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-        n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
-        offsets = ends[np.append(0, np.cumsum(n, dtype=np.int64))]
-        missing = pa.compute.is_valid(lists).to_numpy(zero_copy_only=False)
-        buffers = [pa.py_buffer(np.packbits(missing, bitorder="little").tobytes()), pa.py_buffer(offsets.astype(np.int64).tobytes()), data or pa.py_buffer(b"")]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), buffers).cast(pa.binary())
+        if not len(flat):
+            return b"", np.zeros(len(ends), np.int64)
+        _, at, data = taken.buffers()
+        at = np.frombuffer(at, np.int64)
+        return memoryview(data)[: at[len(flat)]].tobytes(), at[ends]
+
+    def join(lists: pa.Array) -> pa.Array:
+        vocabulary, flat = pa.array(sent.value, pa.large_binary()), lists.flatten()
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(), dtype=np.int64)
+        texts, offsets, begin, before, length = [], [np.zeros(1, np.int64)], 0, 0, 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            text, at = part(vocabulary, flat.slice(before, ends[end - 1] - before), ends[begin:end] - before)
+            texts.append(text)
+            offsets.append(at + length)
+            begin, before, length = end, ends[end - 1], length + len(text)
+        there = pa.compute.is_valid(lists).to_numpy(zero_copy_only=False)
+        buffers = [np.packbits(there, bitorder="little").tobytes(), np.concatenate(offsets).tobytes(), b"".join(texts)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [pa.py_buffer(b) for b in buffers]).cast(pa.binary())
 
     join.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(join, "binary")(ids)
