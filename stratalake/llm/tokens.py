@@ -4,7 +4,10 @@ is encoded once by the library while it stays in the task's cache.
 Where a cut is safe:
 
 - word BPE (white space is dropped): at every space. Its pattern has no white space in a token, and neither
-  normalisation nor lower-casing looks across a space.
+  normalisation nor lower-casing looks across a space. Long pieces without a space are also cut between a Han or
+  Kana letter and the sentence mark beside it: letters and marks are apart in the pattern, and neither composes
+  with the other. A mark after ASCII letters is counted apart from them for the same reason; after other letters it
+  is not, since lower-casing one may leave a combining mark at the end (as in Turkish), which joins the next mark.
 - byte-level BPE: before a single space that stands between two other characters. All its tokens with an
   inner or trailing space consist of white space alone, and the piece before such a space ends in none.
 
@@ -32,6 +35,8 @@ MARKS = frozenset(".,;:!?")
 ODD_PAIRS = [pair for c in ASCII_SPACE for pair in (c + " ", " " + c)]
 OTHER_SPACE = [c for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Between a Han or Kana letter and a sentence mark.
+SENTENCE = re.compile("(?<=[\u4e00-\u9fff\u3041-\u3096\u30a1-\u30fa])(?=[。、！？])|(?<=[。、！？])(?=[\u4e00-\u9fff\u3041-\u3096\u30a1-\u30fa])")
 
 
 @lru_cache(maxsize=4)
@@ -43,20 +48,22 @@ class Pieces(dict):
     """Piece -> what `value` makes of the ids of `prefix` + piece. Bounded: when full, it becomes the older half
     and is begun anew; what is found in the older half is taken over."""
 
-    def __init__(self, path: str, prefix: str, value: Callable, plain: Callable[[str], str]):
-        """plain: what the library's normaliser and splitter make of a piece of ASCII letters, a single word."""
+    def __init__(self, path: str, prefix: str, value: Callable, plain: Callable[[str], str] | None = None, apart: Callable[[str], bool] = str.isalpha):
+        """plain: what the library's splitter makes of a piece of ASCII letters, a single word, if these may go to its model
+        at once. apart: letters whose following mark is a token of its own."""
         super().__init__()
-        self.path, self.prefix, self.value, self.plain, self.older = path, prefix, value, plain, {}
+        self.path, self.prefix, self.value, self.plain, self.apart, self.older = path, prefix, value, plain, apart, {}
         self.marks = {m: value(tokenizer(path).encode(m, add_special_tokens=False).ids) for m in MARKS}
 
     def encode(self, pieces: list[str]) -> dict[str, object]:
-        """Encode distinct pieces: words of ASCII letters by the library's model at once, others in batches balanced
-        by bytes."""
-        model, begin = tokenizer(self.path), 0
-        word = model.model.tokenize
-        out = {p: self.value([t.id for t in word(self.plain(p))]) for p in pieces if p.isascii() and p.isalpha()}
-        pieces = [p for p in pieces if p not in out]
-        sizes = np.cumsum([len(p) for p in pieces])
+        """Encode distinct pieces in batches balanced by bytes; with `plain`, words of ASCII letters by the library's
+        model at once."""
+        model, begin, out = tokenizer(self.path), 0, {}
+        if self.plain:
+            word = model.model.tokenize
+            out = {p: self.value([t.id for t in word(self.plain(p))]) for p in pieces if p.isascii() and p.isalpha()}
+            pieces = [p for p in pieces if p not in out]
+        sizes = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
         while begin < len(pieces):
             end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + PIECE_BYTES)))
             batch = pieces[begin:end]
@@ -66,9 +73,9 @@ class Pieces(dict):
         return out
 
     def learn(self, pieces: set[str]) -> dict[str, object]:
-        """Values of new pieces. A mark after letters is a token of its own, so such a piece is its letters' value
-        and the mark's, and the letters are often known."""
-        marked = [(p, p[:-1]) for p in pieces if p[-1:] in MARKS and p[:-1].isalpha()]
+        """Values of new pieces. Where a mark after letters is a token of its own, the piece is its letters' value and
+        the mark's, and the letters are often known."""
+        marked = [(p, p[:-1]) for p in pieces if p[-1:] in MARKS and self.apart(p[:-1])]
         plain = pieces.difference(p for p, _ in marked)
         stems = {stem: self.get(stem, self.older.get(stem)) for _, stem in marked}
         new = self.encode(list(plain.union(stem for stem, v in stems.items() if v is None)))
@@ -101,15 +108,22 @@ def _after_space(word: str) -> str:
 
 
 @lru_cache(maxsize=8)
-def _pieces(path: str, prefix: str, value: Callable, plain: Callable[[str], str]) -> Pieces:
+def _pieces(path: str, prefix: str, value: Callable, plain: Callable[[str], str] | None = None, apart: Callable[[str], bool] = str.isalpha) -> Pieces:
     # the library's own threads would compete with the other tasks of the executor
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Pieces(path, prefix, value, plain)
+    return Pieces(path, prefix, value, plain, apart)
+
+
+def _ascii_letters(text: str) -> bool:
+    return text.isascii() and text.isalpha()
 
 
 def cut_words(text: str) -> list[str]:
     """Pieces for the word BPE."""
-    return text.split(" ")
+    pieces = text.split(" ")
+    if text.isascii() or max(map(len, pieces)) <= LONGEST_CACHED:
+        return pieces
+    return [part for piece in pieces for part in (SENTENCE.split(piece) if len(piece) > LONGEST_CACHED else (piece,))]
 
 
 def cut_bytes(text: str) -> list[str]:
@@ -132,7 +146,7 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 def counts(path: str, texts: pa.Array) -> list[int]:
     """Tokens of each text under a word BPE file."""
-    known = _pieces(path, "", len, str.lower)
+    known = _pieces(path, "", len, apart=_ascii_letters)
     return [sum(v) for group in _groups(texts.fill_null("").to_pylist()) for v in known.values([cut_words(t) for t in group])]
 
 

@@ -12,7 +12,7 @@ from stratalake.llm.token_files import Segment, pack, token_files
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 HARD = ["<|endoftext|> a <|endoftext|>b  c", "  x \n y", "it's  don't 'll x y ́ z", " lead", "trail ", "", " ", "a\x1c b \x1c c",
-        "ΣΑΣ, ΣΑΣ. Σ! ας", "a b   c", "tab\t tab \tx", "1234 5,6. x?", "é É e ́", "日本語。 テスト", "\r\n a\r\n", "x." * 50, "ab.\ncd ef."]
+        "ΣΑΣ, ΣΑΣ. Σ! ας", "BELEDİYESİ, SİVASİ. Lİ!", "が゙、か゚。" * 40, "日本語。テスト、" * 200 + "か\u3099。\u3099" * 30, "a b   c", "tab\t tab \tx", "1234 5,6. x?", "é É e ́", "日本語。 テスト", "\r\n a\r\n", "x." * 50, "ab.\ncd ef."]
 
 
 def whole(path, text):
@@ -70,3 +70,31 @@ def test_files(odd_docs, no_docs):
         start += len(tokens_)
     assert len(got) == len(texts)
     assert token_files(no_docs, BYTES).count() == 0
+
+
+def random_texts(seed, n):
+    """Words over letters with long lower case, marks, digits, special strings and every white space."""
+    rng = np.random.default_rng(seed)
+    letters = list("abcXYZİıẞßΣσςéÉ日語がカ한글ḱⱠǅﬁ") + ["i\u0307", "e\u0301", "\u3099", "\u0345"]
+    marks = list(".,;:!?'\"-()。、！？…") + ["'s", "'ll", "<|endoftext|>", "<|startoftext|>", "12", "½", "①", "🙂", "\u0300"]
+    spaces = [" "] * 12 + [c for c in map(chr, range(0x3001)) if c.isspace()] + ["\x1c", "  ", "\r\n", "\u200b", "\ufeff"]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.integers(1, 12)):
+            parts.append("".join(rng.choice(letters, rng.integers(0, 6))) + "".join(rng.choice(marks, rng.integers(0, 3))))
+            parts.append(rng.choice(spaces) if rng.random() < 0.8 else "")
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts_against_the_library(seed):
+    texts = random_texts(seed, 5000) + ["".join(random_texts(seed + 100, 300)).replace(" ", "")]
+    words, pieces = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    expected = [len(e.ids) for e in words.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b in zip(texts, tokens.counts(WORDS, pa.array(texts)), expected) if a != b]
+    assert not wrong, wrong[:3]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in pieces.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b in zip(texts, tokens.encoded(BYTES, pa.array(texts)), expected) if a != b]
+    assert not wrong, wrong[:3]
