@@ -107,6 +107,9 @@ PRODUCT_TYPES = {
 LINE_TYPES = {
     "item_id": "string", "pedido_id": "bigint", "producto_id": "bigint", "cantidad": "int",
     "descuento_pct": "decimal(5,2)", "subtotal": "decimal(14,2)"}
+COUNTRY_TYPES = {
+    "pais_envio": "string", "total_pedidos": "bigint", "revenue_bruto": "double", "revenue_neto": "double", "ticket_promedio": "double"}
+PERSONAL = ("nombre", "apellido", "email", "telefono", "fecha_consentimiento")
 DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 
@@ -478,6 +481,24 @@ ORACLE: dict[str, str] = {
     "governed_totals": f"""{CLEAN}, per AS (
             SELECT cliente_id, COUNT(*) AS pedidos, CAST(SUM(total_neto) AS DOUBLE) AS neto FROM pedidos GROUP BY cliente_id)
         SELECT c.cliente_id, segmento, per.pedidos, neto FROM per JOIN clientes c ON c.cliente_id = per.cliente_id""",
+    "violations": f"{BRONZE} " + " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule_id, '{table}' AS \"table\", CAST({TYPES[table][1]} AS VARCHAR) AS key, COUNT(*) AS rows FROM {table} WHERE {test} GROUP BY ALL"
+        for rule, (table, test) in RULE_TESTS.items()),
+    "sketched_profile": f"""{BRONZE}
+        SELECT "table", "column", total_rows AS n, nulls, null_pct, min, max, TRUE AS unique_near, TRUE AS median_near
+        FROM ({" UNION ALL ".join(_profile("", t, c, whole=True) for t, (c, _) in TYPES.items() if t in ("pedidos", "productos"))})""",
+    "catalog_table": f"""{BRONZE} SELECT categoria, COUNT(*) AS n, ROUND(CAST(SUM(precio_venta) AS DOUBLE), 2) AS total FROM productos GROUP BY categoria""",
+    "catalog_columns": "SELECT unnest([" + ", ".join(
+        f"{{'column_name': '{c}', 'column_type': '{'double' if t.startswith('decimal') else 'string' if t == 'date' else t}'}}"
+        for c, t in [*ORDER_TYPES.items(), ("_file_order", "bigint")]) + "], recursive := true)",
+    "catalog_names": f"{BRONZE} " + " UNION ALL ".join(f"SELECT 'checks_view_{t}' AS name, COUNT(*) AS total_rows FROM {t}" for t in TYPES),
+    "governed_schema": "SELECT unnest([" + ", ".join(
+        [f"{{'tabla': 'clientes', 'columna': '{c}', 'tipo': '{t}', 'pii': {c in PERSONAL}}}" for c, t in CUSTOMER_TYPES.items()]
+        + [f"{{'tabla': 'gold_ventas_por_pais', 'columna': '{c}', 'tipo': '{t}', 'pii': false}}" for c, t in COUNTRY_TYPES.items()]) + "], recursive := true)",
+    "sql_reports": f"""{CLEAN}
+        SELECT 'por_canal' AS name, COUNT(DISTINCT canal) AS rows, FALSE AS failed FROM pedidos WHERE total_neto >= 0 AND total_neto <= 1000000
+        UNION ALL SELECT 'todos', COUNT(*), FALSE FROM pedidos
+        UNION ALL SELECT 'roto', NULL, TRUE UNION ALL SELECT 'borra', NULL, TRUE""",
     "governed_windows": f"""{CLEAN}
         SELECT p.pedido_id, c.segmento, ROW_NUMBER() OVER w AS turno, CAST(SUM(p.total_neto) OVER w AS DOUBLE) AS acumulado
         FROM pedidos p JOIN clientes c ON c.cliente_id = p.cliente_id

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks.model import Silver, bronze, frame, load, plain
 from stratalake.functions.digests import row_hash, sha256
 from stratalake.functions.personal import mask_email, mask_name, mask_phone
-from stratalake.operators import explore, masking, profiling, repair, rules, textscan
+from stratalake.operators import explore, masking, profiling, repair, rules, sketches as sketch, textscan
 from stratalake.operators.ingest import ingest, with_lenient_dates
 from stratalake.operators.ordering import group_medians
 from stratalake.operators.rules import RULES, violating_rows
@@ -19,7 +19,8 @@ from stratalake.plans import access, gold, reports
 from stratalake.plans.silver import clean, transformation_log
 from stratalake.plans.run import run
 from stratalake.session import pin, shared_dir
-from stratalake.settings import AUDIT_COLUMNS, DEFAULT_SITE, INVALID_PHONE, UNKNOWN_CITY
+from stratalake.settings import AUDIT_COLUMNS, DEFAULT_SITE, INVALID_PHONE, PII_COLUMNS, UNKNOWN_CITY
+from stratalake.sources import catalog
 from stratalake.sources.dictionary import DICTIONARY_SCHEMA, apply_schema, cast_failures as dictionary_failures
 from stratalake.sources.layers import GOLD, RAW, REPORTS, SILVER, Lake, read_csv, write_csv
 
@@ -216,6 +217,80 @@ def dedup_lines(spark: SparkSession, sf: str) -> DataFrame:
     return plain(repair.keep_first(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate"]))
 
 
+def violations(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.violations(bronze(spark, sf))
+
+
+def sketched_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of two halves of a table, merged: exact figures, and whether the others lie within their stated error."""
+    parts = []
+    for table, key, df in (t for t in _keyed(bronze(spark, sf)) if t[0] in ("pedidos", "productos")):
+        half = F.xxhash64(key) % 2 == 0
+        both = sketch.sketches(df.where(half), table).unionByName(sketch.sketches(df.where(~half), table))
+        found = pin(sketch.merged(both))
+        exact = profiling.profile(df, table).select("column", F.col("unique").alias("_exact"))
+        ranks = df.agg(*[F.struct(F.avg((v < m).cast("int")).alias("below"), F.avg((v <= m).cast("int")).alias("upto")).alias(f.name)
+                         for f in df.schema.fields if isinstance(f.dataType, T.NumericType)
+                         for v, m in [(F.nullif(F.col(f.name).cast("double"), F.lit(float("nan"))), found.where(F.col("column") == f.name).select(F.get("quantiles", F.lit(0))).scalar())]])
+        ranks = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.below").alias("below"), F.col(f"{c}.upto").alias("upto")) for c in ranks.columns])))
+        near = F.abs(F.col("unique") - F.col("_exact")) <= sketch.DISTINCT_ERROR * F.col("_exact")
+        middle = (F.col("below") <= 0.5 + sketch.RANK_ERROR) & (F.col("upto") >= 0.5 - sketch.RANK_ERROR)
+        parts.append(found.join(exact, "column").join(ranks, "column", "left").select(
+            "table", "column", "n", "nulls", "null_pct", "min", "max", near.alias("unique_near"), F.coalesce(middle, F.lit(True)).alias("median_near")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# --- the catalog ---
+
+def _in_catalog(spark: SparkSession, df: DataFrame, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What `read` makes of a catalog table that holds df; the table's files lie in the work folder."""
+    name = f"checks_{uuid.uuid4().hex}"
+    catalog.save_table(df, name, _work_path(spark))
+    return read(name)
+
+
+def catalog_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table saved, replaced and read back by SQL."""
+    products = plain(frame(spark, sf, "productos"))
+    path = _work_path(spark)
+    name = f"checks_{uuid.uuid4().hex}"
+    catalog.save_table(products.limit(1), name, path)
+    catalog.save_table(products, name, path)
+    return catalog.run_sql(spark, f"SELECT categoria, count(*) AS n, sum(precio_venta) AS total FROM {name} GROUP BY categoria").withColumn("total", F.round("total", 2))
+
+
+def catalog_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return _in_catalog(spark, plain(frame(spark, sf, "pedidos")), lambda name: catalog.describe_table(spark, name))
+
+
+def catalog_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the listed names, those of views over this query's tables, with their rows."""
+    frames = {f"checks_view_{t}": df for t, df in bronze(spark, sf).items()}
+    catalog.register(frames)
+    rows = profiling.inventory(frames).select(F.col("table").alias("name"), "total_rows")
+    return catalog.list_tables(spark).join(rows, "name")
+
+
+def governed_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of a source table as the dictionary has them, and of a gold table as built."""
+    customers = frame(spark, sf, "clientes")
+    entries = [("clientes", f.name, f.dataType.simpleString(), "", "Sí" if f.name in PII_COLUMNS else "No", "", 365, "", "") for f in customers.schema.fields]
+    countries = gold.build("gold_ventas_por_pais", Silver(spark, sf))
+    governed = access.GovernedSql(spark, {"clientes": customers, "gold_ventas_por_pais": countries}, spark.createDataFrame(entries, DICTIONARY_SCHEMA))
+    return governed.schema("clientes").unionByName(governed.schema("gold_ventas_por_pais")).select("tabla", "columna", "tipo", "pii")
+
+
+def sql_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of named SQL texts over the cleaned orders: a good one, one that fails and one that is no plain read."""
+    path = _work_path(spark)
+    catalog.register({"checks_pedidos": plain(Silver(spark, sf)["pedidos"])})
+    text = ("-- @name: por_canal\nSELECT canal, count(*) AS n FROM checks_pedidos WHERE total_neto BETWEEN 0 AND 1000000 GROUP BY canal;\n"
+            "-- @name: todos\nSELECT pedido_id FROM checks_pedidos;\n-- @name: roto\nSELECT missing FROM checks_pedidos;\n-- @name: borra\nDROP VIEW checks_pedidos;\n")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    status = reports.run_reports(Lake(spark, _work_path(spark), run_time=RUN_TIME), {}, reports.load_sql_reports(path), reports={})
+    return status.select("name", "rows", F.col("error").isNotNull().alias("failed"))
+
+
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
     tables = Silver(spark, sf)
     return profiling.inventory({n: gold.build(n, tables) for n in gold.BUILDERS})
@@ -274,6 +349,14 @@ QUERIES: dict[str, Query] = {
     **{f"rule_{rule.rule_id.lower()}": _violations(rule) for rule in RULES},
     "rule_report": lambda spark, sf: rules.check_all(bronze(spark, sf)),
     "rule_phases": phases,
+    "violations": violations,
+    "sketched_profile": sketched_profile,
+
+    "catalog_table": catalog_table,
+    "catalog_columns": catalog_columns,
+    "catalog_names": catalog_names,
+    "governed_schema": governed_schema,
+    "sql_reports": sql_reports,
 
     "fill_null_email": _customers(lambda df: repair.fill_null(df, "email", DEFAULT_SITE.missing_email), "email"),
     "nullify_phone": _customers(lambda df: repair.nullify(df, "telefono", INVALID_PHONE), "telefono"),

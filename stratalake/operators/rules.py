@@ -12,6 +12,8 @@ from stratalake.functions.scalars import is_blank, is_missing
 from stratalake.session import broadcast_if_small, pin
 from stratalake.settings import INVALID_PHONE, ORDER_STATES
 
+KEYS = {"clientes": "cliente_id", "productos": "producto_id", "pedidos": "pedido_id", "detalle_pedidos": "item_id", "eventos": "evento_id"}
+
 REPORT_SCHEMA = (
     "rule_id string, table string, description string, severity string, violations bigint, passed boolean"
 )
@@ -133,6 +135,36 @@ def violating_rows(rule: Rule, df: DataFrame, parents: Mapping[str, DataFrame] |
     return orphans(df, column, parents[parent], parent_column)
 
 
+def violations(frames: Mapping[str, DataFrame], keys: Mapping[str, str] = KEYS, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(rule_id, table, key, rows): every key with rows that break a rule, and how many of them, for all rules at once.
+
+    Each table is scanned once: its rows are counted per key together with what breaks each row rule, with partial counts
+    before the shuffle, so a key that occurs more than once shows in the same counts. A reference is looked up in the
+    parent's distinct keys; only these are read of the parent.
+    """
+    parts = []
+    for table, df in frames.items():
+        mine = [r for r in rules if r.table == table]
+        if not mine:
+            continue
+        tests: dict[str, Column] = {r.rule_id: r.violates(df) for r in mine if r.violates is not None}
+        for rule in (r for r in mine if r.refers_to is not None):
+            column, parent, parent_column = rule.refers_to
+            known = frames[parent].select(F.col(parent_column).alias(f"_{rule.rule_id}")).distinct()
+            df = df.join(known, F.col(column) == F.col(f"_{rule.rule_id}"), "left")
+            tests[rule.rule_id] = F.col(f"_{rule.rule_id}").isNull()
+        unique = [r for r in mine if r.unique is not None]
+        if any(r.unique != keys[table] for r in unique):
+            raise ValueError(f"the unique rule of {table} is not over its key {keys[table]}")
+        per_key = df.groupBy(F.col(keys[table]).cast("string").alias("key")).agg(
+            F.count("*").alias("_n"), *[F.count_if(test).alias(rule_id) for rule_id, test in tests.items()])
+        found = [F.struct(F.lit(rule_id).alias("rule_id"), F.col(rule_id).alias("rows")) for rule_id in tests]
+        found += [F.struct(F.lit(r.rule_id).alias("rule_id"), F.when(F.col("_n") > 1, F.col("_n")).otherwise(0).alias("rows")) for r in unique]
+        listed = per_key.select("key", F.inline(F.filter(F.array(*found), lambda hit: hit["rows"] > 0)))
+        parts.append(listed.select("rule_id", F.lit(table).alias("table"), "key", "rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _report(rule: Rule, count: Column) -> list[Column]:
     return [
         F.lit(rule.rule_id).alias("rule_id"),
