@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratalake.llm.store import keep, keep_in_buckets, whole
 
-PACK_BYTES = 8 << 20
+PACK_BYTES = 32 << 20
 #: Frequent pieces sent to the tasks, the packs in which they are looked for, and the longest one.
-HEAD, HEAD_PACKS, HEAD_BYTES = 1 << 17, 16, 64
+HEAD, HEAD_PACKS, HEAD_BYTES = 3 << 16, 8, 64
 #: Packs in a bucket.
 PACKS = 4
 SLICE = 1 << 19
@@ -236,11 +236,13 @@ def frequent_pieces(packed: DataFrame, merges: Merges, head: int) -> DataFrame:
 
 
 def encoded(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES, head: int = HEAD,
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES, head: int = HEAD, decode: bool = False,
 ) -> DataFrame:
-    """id, ids (array of int) per row."""
+    """id, ids (array of int) per row; with `decode` also decoded, the bytes that the ids stand for, in the same tasks."""
     packed = packs(docs, id_col, text_col, pattern, pack_bytes)
-    merges = Merges(read_ranks(path))
+    ranks = read_ranks(path)
+    merges = Merges(ranks)
+    pieces = docs.sparkSession.sparkContext.broadcast(Vocabulary.listed(ranks) if decode else [])  # bounded by the vocabulary
     frequent = frequent_pieces(packed, merges, head)
     sent = docs.sparkSession.sparkContext.broadcast(frequent.toArrow())  # bounded by `head` and HEAD_BYTES
     # the first row of a piece has it merged, the piece's other packs take over what came out
@@ -252,7 +254,9 @@ def encoded(
 
     def texts(held: pa.Table, found: pa.Table) -> pa.Table:
         """The texts of one pack: its codes replaced by the ids of its pieces."""
-        names, kinds = ["id", "ids"], [held.schema.field("ids").type.value_type, pa.list_(pa.int32())]
+        names = ["id", "ids", "decoded"][: 3 if decode else 2]
+        kinds = [held.schema.field("ids").type.value_type, pa.list_(pa.int32()), pa.binary()][: len(names)]
+        vocabulary = Vocabulary(pieces.value) if decode else None
         if not held.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         ids, sizes = (held.column(c).combine_chunks().flatten() for c in ("ids", "sizes"))
@@ -276,29 +280,34 @@ def encoded(
             ends = np.append(0, np.cumsum(n))
             places = np.repeat(start[these] - ends[:-1], n) + np.arange(ends[-1])
             offsets = pa.array(ends[upto[begin : end + 1] - upto[begin]], pa.int32())
-            out.append(pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.ListArray.from_arrays(offsets, pa.array(values[places], pa.int32()))], names=names))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(values[places], pa.int32()))
+            out.append(pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), lists, *([vocabulary.decode(lists)] if decode else [])], names=names))
             begin = end
         return pa.Table.from_batches(out)
 
     answers = words.select(F.col("pack").alias("of_pack"), "place", "merged").groupBy("of_pack")
-    out = packed.groupBy("pack").cogroup(answers).applyInArrow(texts, f"id {kind}, ids array<int>")
+    out = packed.groupBy("pack").cogroup(answers).applyInArrow(texts, f"id {kind}, ids array<int>" + ", decoded binary" * decode)
     return out.withColumnRenamed("id", id_col)
 
 
-def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
-    """Bytes of an array of ids; null stays null."""
-    ranks = read_ranks(path)
-    size = max(ranks.values()) + 1
-    pieces = [None] * size
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    sent = spark.sparkContext.broadcast(pieces)  # bounded by the vocabulary
+class Vocabulary:
+    """Pieces by id."""
+
+    def __init__(self, pieces: list[bytes | None]):
+        self.pieces = pa.array(pieces, pa.large_binary())
 
-    def part(vocabulary: pa.Array, flat: pa.Array, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bytes of some lists, and where each list ends in them."""
-        if flat.null_count or len(flat) and not (0 <= pa.compute.min(flat).as_py() and pa.compute.max(flat).as_py() < size):
+    @staticmethod
+    def listed(ranks: dict[bytes, int]) -> list[bytes | None]:
+        out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            out[rank] = piece
+        return out
+
+    def part(self, flat: pa.Array, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bytes of some lists of ids, and where each list ends in them."""
+        if flat.null_count or len(flat) and not (0 <= pa.compute.min(flat).as_py() and pa.compute.max(flat).as_py() < len(self.pieces)):
             raise ValueError("an id is not in the vocabulary")
-        taken = vocabulary.take(flat)
+        taken = self.pieces.take(flat)
         if taken.null_count:
             raise ValueError("an id is not in the vocabulary")
         if not len(flat):
@@ -307,13 +316,14 @@ def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
         at = np.frombuffer(at, np.int64)
         return memoryview(data)[: at[len(flat)]].tobytes(), at[ends]
 
-    def join(lists: pa.Array) -> pa.Array:
-        vocabulary, flat = pa.array(sent.value, pa.large_binary()), lists.flatten()
+    def decode(self, lists: pa.Array) -> pa.Array:
+        """Bytes of each list, worked out for about SLICE ids at a time."""
+        flat = lists.flatten()
         ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(), dtype=np.int64)
         texts, offsets, begin, before, length = [], [np.zeros(1, np.int64)], 0, 0, 0
         while begin < len(ends):
             end = max(begin + 1, int(np.searchsorted(ends, before + SLICE, "right")))
-            text, at = part(vocabulary, flat.slice(before, ends[end - 1] - before), ends[begin:end] - before)
+            text, at = self.part(flat.slice(before, ends[end - 1] - before), ends[begin:end] - before)
             texts.append(text)
             offsets.append(at + length)
             begin, before, length = end, ends[end - 1], length + len(text)
@@ -321,5 +331,13 @@ def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
         buffers = [np.packbits(there, bitorder="little").tobytes(), np.concatenate(offsets).tobytes(), b"".join(texts)]
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [pa.py_buffer(b) for b in buffers]).cast(pa.binary())
 
+
+def decoded(spark: SparkSession, ids: Column, path: str) -> Column:
+    """Bytes of an array of ids; null stays null."""
+    sent = spark.sparkContext.broadcast(Vocabulary.listed(read_ranks(path)))  # bounded by the vocabulary
+
+    def join(lists: pa.Array) -> pa.Array:
+        return Vocabulary(sent.value).decode(lists)
+
     join.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(join, "binary")(ids)

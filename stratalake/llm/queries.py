@@ -75,8 +75,7 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes, and decodes the ids again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = byte_pairs.encoded(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    rows = rows.withColumn("decoded", byte_pairs.decoded(spark, F.col("ids"), path))
+    rows = byte_pairs.encoded(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decode=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

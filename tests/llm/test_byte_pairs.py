@@ -42,9 +42,10 @@ def test_texts_against_the_library(spark, head):
     rows = list(enumerate(texts)) + [(None, "no id"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     own = library(ranks)
-    out = encoded(docs, MULTI, PATTERN, pack_bytes=20_000, head=head)
-    out = out.withColumn("back", decoded(spark, F.col("ids"), MULTI))
-    got = sorted(((r.doc_id, list(r.ids), bytes(r.back)) for r in out.collect()), key=repr)
+    out = encoded(docs, MULTI, PATTERN, pack_bytes=20_000, head=head, decode=True)
+    out = out.withColumn("back", decoded(spark, F.col("ids"), MULTI)).collect()
+    assert all(r.decoded == r.back for r in out)
+    got = sorted(((r.doc_id, list(r.ids), bytes(r.back)) for r in out), key=repr)
     assert got == sorted(((k, own.encode_ordinary(t or ""), (t or "").encode()) for k, t in rows), key=repr)
 
 
