@@ -11,6 +11,7 @@ from stratalake.functions.scalars import MONEY, as_double, exact_mean, exact_sum
 from stratalake.plans.access import QueryRefused, check_read_only
 from stratalake.plans.together import together
 from stratalake.settings import LOST_STATES
+from stratalake.sources.catalog import by
 from stratalake.sources.layers import Lake
 
 Frames = Mapping[str, DataFrame]
@@ -210,12 +211,12 @@ REPORTS: dict[str, Callable[[Frames], DataFrame]] = {
     "q01_top_productos_ingreso": lambda t: top_products(t["gold_top_productos"]),
     "q02_ventas_por_pais": lambda t: country_ranking(t["gold_ventas_por_pais"]),
     "q03_conversion_por_canal": lambda t: channel_revenue(t["gold_ventas_por_canal"]),
-    "q04_clientes_b2b_grandes": lambda t: big_customers(t["pedidos"], t["clientes"]),
+    "q04_clientes_b2b_grandes": lambda t: big_customers(by(t, "pedidos", "cliente_id"), t["clientes"]),
     "q05_colombia_vs_mexico": lambda t: compare_countries(t["pedidos"]),
     "q06_top5_productos_h2_2024": lambda t: top_products_between(t["detalle_pedidos"], t["pedidos"], t["productos"]),
     "q07_metodo_pago_por_pais": lambda t: payment_by_country(t["pedidos"]),
     "q08_tasa_cancelacion_devolucion": lambda t: lost_order_share(t["pedidos"]),
-    "q09_margen_bruto_categoria": lambda t: category_margin(t["detalle_pedidos"], t["productos"]),
+    "q09_margen_bruto_categoria": lambda t: category_margin(by(t, "detalle_pedidos", "producto_id"), t["productos"]),
     "q10_actividad_horaria": lambda t: hourly_activity(t["eventos"]),
     "q11_segmentacion_rfm": lambda t: rfm_distribution(t["gold_clientes_rfm"]),
     "q12_cohorte_retencion_mensual": lambda t: monthly_retention(t["pedidos"]),

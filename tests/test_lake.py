@@ -339,3 +339,21 @@ def test_sql_reports_are_plain_reads(lake, spark, tmp_path):
     assert status["java"][0] is None and "reflect" in status["java"][1]
     assert status["good"] == (1, None)
     assert spark.table("gold_ventas_por_pais").count() > 0
+
+
+def test_a_run_with_tables(lake, spark):
+    spark.sql("CREATE DATABASE with_tables")
+    spark.sql("USE with_tables")
+    try:
+        before = {name: lake.read(GOLD, name).toPandas() for name in GOLD_TABLES}
+        for stage in ("gold", "queries"):
+            stages.run(spark, lake.root, stage, site=SITE, as_tables=True)
+        names = {t.name for t in spark.catalog.listTables("with_tables")}
+        assert {*GOLD_TABLES, "pedidos", "pedidos__cliente_id"} <= names
+        for name, frame in before.items():
+            key = frame.columns[0]
+            pd.testing.assert_frame_equal(frame.sort_values(key, ignore_index=True), spark.table(name).toPandas().sort_values(key, ignore_index=True))
+        assert lake.read(REPORTS, "report_status").filter("error is not null").count() == 0
+    finally:
+        spark.sql("USE default")
+        spark.sql("DROP DATABASE with_tables CASCADE")
