@@ -6,14 +6,16 @@ SUBSTITUTED of them replaced by other words. Each seed is a fixed mask of six wo
 eight; whatever two words of a window are replaced, one of the masks still fits somewhere in it
 (tests/llm checks all cases), so no such window is missed. Hashes of training texts under the masks
 are joined with those of the benchmark, and around each hit the two texts are compared word by word.
-Items of 5 to 12 words are found whole, without substitutions; shorter ones only as the whole text of a
+Items of 5 to 12 words are found whole, with at most one word replaced: each of their three masks leaves out every
+third word, so one of them fits whichever word is replaced. Shorter items are found only as the whole text of a
 document, as they are too common inside others.
 
 Neither side goes through the driver: the seeds of both are joined in a shuffle, and the hits meet their texts
-in another. Only a bit table of 2^FILTER_BITS bits of the benchmark's seeds is sent to the tasks, so that few
-other seeds of documents are shuffled; what it lets through is told apart by the join. Documents and items are
-told apart by a 64-bit hash on the way; where two share one, the comparison of the texts decides. Cases: null and empty texts match nothing; repeated documents
-and repeated items are each reported; empty tables give no rows.
+in another. Only a bit table of the benchmark's seeds is sent to the tasks, 16 bits a seed and 2^MOST_BITS at most,
+so that few other seeds of documents are shuffled; what it lets through is told apart by the join. A seed that a
+text repeats is one row with all its places, so a text of one repeated word does not multiply. Documents and items are
+told apart by a 64-bit hash on the way; where two share one, the comparison of the texts decides. Cases: null and empty
+texts match nothing; repeated documents and repeated items are each reported; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from stratalake.llm import text as tx
 from stratalake.llm.store import keep, whole
 
-WINDOW, SUBSTITUTED, SHORTEST = 13, 2, 5
+WINDOW, SHORTEST = 13, 5
+#: Words that may be replaced in a window, and in a whole item of SHORTEST words or more that is shorter.
+SUBSTITUTED, SUBSTITUTED_SHORT = 2, 1
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 BLOCK_WORDS = 2_000_000
 PART_BYTES = 2 << 20
-FILTER_BITS = 25
+LEAST_BITS, MOST_BITS = 20, 27
 
 NORMAL = tx.LOWER.copy()
 NORMAL[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 0x20
@@ -42,6 +46,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return tx.word_hashes(data, starts, ends), first
 
 
+def allowed(n: int) -> int:
+    """Words that may be replaced in a window of n words."""
+    return SUBSTITUTED if n >= WINDOW else SUBSTITUTED_SHORT if n >= SHORTEST else 0
+
+
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """Masks of a whole item of n words. With a word replaced, the one that leaves out its place still fits."""
+    return [tuple(p for p in range(n) if p % 3 != k) for k in range(3)] if n >= SHORTEST else [tuple(range(n))]
+
+
 def _seed(hashes: np.ndarray, places: tuple[int, ...], salt: int) -> np.ndarray:
     """Hash of the masked words at every place where the mask fits in the array."""
     n = max(0, len(hashes) - places[-1])
@@ -53,14 +67,17 @@ def _seed(hashes: np.ndarray, places: tuple[int, ...], salt: int) -> np.ndarray:
 
 
 def seeds(data: np.ndarray, offsets: np.ndarray, short: list[int], items: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, text, place in it) under the masks and of the short lengths; of items only what their own length asks for."""
+    """(seed, text, place of the window in it) under the masks and of the short lengths; of items only what their own
+    length asks for."""
     words, first = word_hashes(data, offsets)
     size = np.diff(first)
     text = np.repeat(np.arange(len(size)), size)
     found = []
-    for n, salt, mask in [*((WINDOW, k, mask) for k, mask in enumerate(MASKS)), *((n, WINDOW + n, tuple(range(n))) for n in short)]:
-        seed = _seed(words, mask, salt)
-        at = np.flatnonzero(text[: len(seed)] == text[mask[-1] :])
+    cuts = [(WINDOW, k, mask, mask[-1]) for k, mask in enumerate(MASKS)]
+    cuts += [(n, 3 * n + k + len(MASKS), mask, n - 1) for n in short for k, mask in enumerate(masks_of(n))]
+    for n, salt, mask, span in cuts:
+        seed = _seed(words, mask, salt)[: max(0, len(words) - span)]
+        at = np.flatnonzero(text[: len(seed)] == text[span:])
         if items:
             at = at[size[text[at]] >= WINDOW if n == WINDOW else size[text[at]] == n]
         elif n < SHORTEST:
@@ -76,13 +93,25 @@ def covered(words: np.ndarray, other: np.ndarray, shifts: list[int]) -> np.ndarr
         low, high = max(0, -shift), min(len(other), len(words) - shift)
         if high - low >= size:
             wrong = np.concatenate(([0], np.cumsum(other[low:high] != words[low + shift : high + shift])))
-            good = np.flatnonzero(wrong[size:] - wrong[:-size] <= (SUBSTITUTED if size == WINDOW else 0))
+            good = np.flatnonzero(wrong[size:] - wrong[:-size] <= allowed(size))
             out.append(np.unique(good[:, None] + np.arange(size)) + low + shift)
     return np.unique(np.concatenate(out))
 
 
-def seed_table(texts: DataFrame, short: list[int], items: bool = False, sieve=None, part_bytes: int = PART_BYTES) -> DataFrame:
-    """seed, key, place of texts (key, text), those only that the broadcast bit table has."""
+def differences(places: list[int], others: list[int]) -> list[int]:
+    """Every place minus other, once each, without making all pairs at a time."""
+    a, b = np.array(places), np.array(others)
+    if min(len(a), len(b)) == 1:
+        return np.unique(np.subtract.outer(a, b)).tolist()
+    seen = np.zeros(int(a.max() - a.min() + b.max() - b.min()) + 1, bool)
+    few, many = (a - a.min(), b.max() - b) if len(a) < len(b) else (b.max() - b, a - a.min())
+    for x in few:
+        seen[many + x] = True
+    return (np.flatnonzero(seen) + int(a.min() - b.max())).tolist()
+
+
+def seed_table(texts: DataFrame, short: list[int], items: bool = False, sieve=None, bits: int = 0, part_bytes: int = PART_BYTES) -> DataFrame:
+    """seed, key, places of texts (key, text), those only that the broadcast bit table has."""
 
     def cut(batches):
         for batch in batches:
@@ -90,20 +119,24 @@ def seed_table(texts: DataFrame, short: list[int], items: bool = False, sieve=No
             for a, b in tx.parts(offsets, part_bytes):
                 seed, text, place = seeds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], short, items)
                 if sieve is not None:
-                    bit = seed >> np.uint64(64 - FILTER_BITS)
+                    bit = seed >> np.uint64(64 - bits)
                     there = (sieve.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     seed, text, place = seed[there], text[there], place[there]
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), batch.column(0).take(pa.array(text + a)), pa.array(place.astype(np.int32))], names=["seed", "key", "place"])
+                order = np.lexsort((place, seed, text))
+                seed, text, place = seed[order], text[order], place[order]
+                heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), (seed[1:] != seed[:-1]) | (text[1:] != text[:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(seed)), pa.int32()), pa.array(place.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(seed[heads].view(np.int64)), batch.column(0).take(pa.array(text[heads] + a)), lists], names=["seed", "key", "places"])
 
-    return texts.select("key", "text").mapInArrow(cut, "seed long, key long, place int")
+    return texts.select("key", "text").mapInArrow(cut, "seed long, key long, places array<int>")
 
 
-def _bits(seed_rows: DataFrame) -> np.ndarray:
-    """Bit table of the leading bits of all seeds, 2^FILTER_BITS bits whatever their number."""
-    slot = seed_rows.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("slot"))
+def _bits(seed_rows: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of the leading bits of all seeds."""
+    slot = seed_rows.select(F.shiftrightunsigned("seed", 64 - bits).alias("slot"))
     words = slot.selectExpr("cast(slot div 32 AS int) AS word", "shiftleft(1L, cast(slot % 32 AS int)) AS bit")
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # bounded by 2^FILTER_BITS / 32 rows
-    out = np.zeros(1 << (FILTER_BITS - 5), "<u4")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # bounded by 2^MOST_BITS / 32 rows
+    out = np.zeros(1 << (bits - 5), "<u4")
     out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
@@ -119,9 +152,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     short = list(range(1, WINDOW))
     theirs = keep(seed_table(items, short, items=True, part_bytes=2 * block_words).distinct(), "seeds")  # a word and its space are two bytes or more
     short = [n for n in short if n in _short(items)]
-    sieve = docs.sparkSession.sparkContext.broadcast(_bits(theirs))
-    hits = seed_table(rows, short, sieve=sieve).join(theirs.withColumnsRenamed({"key": "item_key", "place": "at"}).hint("merge"), "seed")
-    pairs = hits.select("key", "item_key", (F.col("place") - F.col("at")).alias("shift")).groupBy("key", "item_key").agg(F.collect_set("shift").alias("shifts"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * theirs.count()).bit_length()))
+    sieve = docs.sparkSession.sparkContext.broadcast(_bits(theirs, bits))
+    hits = seed_table(rows, short, sieve=sieve, bits=bits).join(theirs.withColumnsRenamed({"key": "item_key", "places": "at"}).hint("merge"), "seed")
+
+    def laid(batches):
+        for batch in batches:
+            shifts = [differences(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shifts, pa.list_(pa.int32()))], names=["key", "item_key", "shifts"])
+
+    shifted = hits.select("key", "item_key", "places", "at").mapInArrow(laid, "key long, item_key long, shifts array<int>")
+    pairs = shifted.select("key", "item_key", F.explode("shifts").alias("shift")).groupBy("key", "item_key").agg(F.collect_set("shift").alias("shifts"))
     pairs = pairs.join(items.select(F.col("key").alias("item_key"), "item", F.col("text").alias("other")).hint("merge"), "item_key")
     met = pairs.join(rows.hint("merge"), "key").select("id", "item", "text", "other", "shifts")
     names = ["id", "item", "words", "first_word", "last_word"]
