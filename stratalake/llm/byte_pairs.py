@@ -6,7 +6,7 @@ together are in the vocabulary, the pair of the lowest rank is joined, the leftm
 The merges are a fold in Spark's higher-order functions over the bytes of a piece. The state is the ids so far and
 the rank of each neighbouring pair; a step joins one pair and looks up the two pairs that changed. Ranks come from
 a literal: buckets of (left id, right id) -> rank, for every way to cut a piece of the vocabulary in two pieces of
-it, so that a lookup reads one small map. In pieces of more than LONG ids a step joins all pairs of the lowest rank
+it, so that a lookup reads one small list. In pieces of more than LONG ids a step joins all pairs of the lowest rank
 at once, if the pairs this makes have no lower rank; else one, as ever. So a long run of one letter takes few steps.
 
 Each distinct piece is merged once. Texts become packs of up to PACK_BYTES: the pack's distinct pieces, and a code
@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratalake.llm.store import keep, keep_in_buckets, whole
 
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 #: Frequent pieces sent to the tasks, the packs in which they are looked for, and the longest one.
-HEAD, HEAD_PACKS, HEAD_BYTES = 3 << 16, 8, 64
+HEAD, HEAD_PACKS, HEAD_BYTES = 1 << 18, 8, 64
 #: Packs in a bucket.
 PACKS = 4
 SLICE = 1 << 19
 LONG = 64
-BUCKETS = 131_101
+BUCKETS = 65_537
 #: Stands for the rank of a pair that is no piece of the vocabulary; above all ranks.
 NO_RANK = (1 << 31) - 1
 ID = (1 << 32) - 1
@@ -87,29 +87,31 @@ class Merges:
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         pairs = pair_ranks(ranks)
-        # pair, rank, pair, rank ... after a null; a pair as a number is larger than any rank
+        # Plans show literals in full, so these are written in small numbers. A pair is left * size + right; its bucket is
+        # the remainder, and the bucket holds null, then the quotient as a negative number and the rank of each pair.
+        self.size = max(ranks.values()) + 1
         buckets: list[list] = [[] for _ in range(BUCKETS)]
         for (left, right), rank in pairs.items():
-            pair = left + 1 << 32 | right
-            buckets[pair % BUCKETS] += [pair, rank]
+            quotient, bucket = divmod(left * self.size + right, BUCKETS)
+            buckets[bucket] += [-1 - quotient, rank]
         listed = json.dumps([[None, *b] if b else b for b in buckets], separators=(",", ":"))
         first = [ranks[bytes([b])] for b in range(256)]
-        begins = [pairs.get((a, b), NO_RANK) << 32 | a for a in first for b in first] + [NO_RANK << 32 | a for a in first]
-        # both are literals once Spark has folded them
+        begins = [first, [pairs.get((a, b), -1) for a in first for b in first]]
+        # literals once Spark has folded them
         self.table = F.from_json(F.lit(listed), "array<array<bigint>>")
-        self.begins = F.from_json(F.lit(json.dumps(begins, separators=(",", ":"))), "array<bigint>")
+        self.begins = F.from_json(F.lit(json.dumps(begins, separators=(",", ":"))), "array<array<bigint>>")
         self.whole_pieces = not_made(ranks, pairs)
 
-    @staticmethod
-    def _rank(table: Column, left: Column, right: Column) -> Column:
+    def _rank(self, table: Column, left: Column, right: Column) -> Column:
         """Rank of a pair of ids."""
 
         def of(pair: Column) -> Column:
             bucket = F.get(table, (pair % BUCKETS).cast("int"))
+            quotient = -1 - F.floor(pair / BUCKETS)
             # array_position counts from 1 and is 0 if the pair is not there, where the bucket has null
-            return F.coalesce(F.get(bucket, F.array_position(bucket, pair).cast("int")), F.lit(NO_RANK).cast("bigint"))
+            return F.coalesce(F.get(bucket, F.array_position(bucket, quotient).cast("int")), F.lit(NO_RANK).cast("bigint"))
 
-        return _with(F.shiftleft(left + 1, 32) + right, of)
+        return _with(left * self.size + right, of)
 
     def _joined(self, table: Column, left: Column, right: Column) -> Column:
         """left as a number, with the rank of its pair with right (null: none)."""
@@ -154,7 +156,11 @@ class Merges:
         codes = F.slice(F.transform(letters, F.ascii), F.lit(1), size)
 
         def begin(codes: Column, begins: Column) -> Column:
-            return F.transform(codes, lambda c, k: F.get(begins, F.when(k + 1 < F.size(codes), c * 256 + F.get(codes, k + 1)).otherwise(65536 + c)))
+            def number(c: Column, k: Column) -> Column:
+                rank = F.get(F.get(begins, F.lit(1)), c * 256 + F.get(codes, k + 1))
+                return F.shiftleft(F.when(rank >= 0, rank).otherwise(NO_RANK).cast("bigint"), 32) + F.get(F.get(begins, F.lit(0)), c)
+
+            return F.transform(codes, number)
 
         def fold(table: Column, first: Column) -> Column:
             def state(s: Column) -> Column:
