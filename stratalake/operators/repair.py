@@ -58,12 +58,19 @@ def fill_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """
     number = as_number(value)
     numbers = df.select(F.col(group).alias("_group"), number.alias("_v"))
-    fills = group_medians(numbers.filter(F.col("_group").isNotNull()), ["_group"], "_v", out="_fill")
-    gaps = numbers.filter(F.col("_v").isNull()).groupBy("_group").agg(F.count("*").alias("_gaps"))
-    filled = gaps.join(fills, "_group", "left")
-    open_gaps = filled.filter(F.col("_fill").isNull()).agg(F.count("*").alias("n")).scalar()
-    values = numbers.select("_v", F.lit(1).cast("bigint").alias("_w")).unionByName(filled.select(F.col("_fill").alias("_v"), F.col("_gaps").alias("_w")))
-    overall = group_medians(values.filter(open_gaps > 0), [], "_v", out="_m", weight="_w").select("_m").scalar()
+    sizes = numbers.groupBy("_group").agg(F.count("_v").alias("_values"), F.count_if(F.col("_v").isNull()).alias("_gaps"))
+    unfilled = F.col("_group").isNull() | (F.col("_values") == 0)
+    open_gaps = sizes.agg(F.coalesce(F.sum(F.when(unfilled, F.col("_gaps"))), F.lit(0)).alias("n")).scalar()
+
+    def medians(rows: DataFrame) -> DataFrame:
+        return group_medians(rows.filter(F.col("_group").isNotNull()), ["_group"], "_v", out="_fill")
+
+    wanted = numbers.filter(open_gaps > 0)
+    filled = sizes.join(medians(wanted), "_group").select(F.col("_fill").alias("_v"), F.col("_gaps").alias("_w"))
+    # equal values are counted once, and all passes of the selection read these counts
+    counts = wanted.select("_v", F.lit(1).cast("bigint").alias("_w")).unionByName(filled).groupBy("_v").agg(F.sum("_w").alias("_w"))
+    overall = group_medians(counts, [], "_v", out="_m", weight="_w").select("_m").scalar()
+    fills = medians(numbers)
     full = df.withColumn(value, number).join(fills, F.col(group) == F.col("_group"), "left")
     return full.withColumn(value, F.coalesce(F.col(value), F.col("_fill"), overall)).select(*df.columns)
 
