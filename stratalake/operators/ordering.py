@@ -57,64 +57,68 @@ def rank_bucket(rank: Column, total: Column, buckets: int) -> Column:
     return F.greatest(F.lit(1), whole.cast("int"))
 
 
-LEVELS, LEVEL_BITS = 4, 16
-_LEVEL_MASK = (1 << LEVEL_BITS) - 1
+# The 64 bits of a number are fixed in three steps, the leading ones first. Few leading bits keep the first counts few.
+DIGITS = (16, 24, 24)
 
 
-def sortable(number: Column) -> Column:
-    """A bigint for each double, in the same order: sign, exponent and fraction as IEEE 754 lays them out.
+def sortable(number: str) -> str:
+    """SQL for a bigint for each double, in the same order: sign, exponent and fraction as IEEE 754 lays them out.
 
-    Worked out exactly, since dividing by a power of two loses nothing. Both zeros are 0; NaN and null are null.
+    Worked out exactly, since dividing by a power of two loses nothing; the logarithm may be off by one beside a power
+    of two, which is put right. Both zeros are 0; NaN and null are null.
     """
-    size = F.abs(number)
-    guess = F.floor(F.log2(size)).cast("int")  # may be off by one beside a power of two
-    power = lambda k: F.pow(F.lit(2.0), k)
-    exponent = guess + F.when(power(guess + 1) <= size, 1).when(power(guess) > size, -1).otherwise(0)
-    fraction = ((size / power(exponent) - 1) * 2.0**52).cast("bigint")
-    bits = (
-        F.when(F.isnan(number), None).when(size == 0, 0)
-        .when(size == float("inf"), F.lit(2047 << 52))
-        .when(size < 2.0**-1022, (size / 2.0**-1074).cast("bigint"))
-        .otherwise(F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction))
-    return F.when(number < 0, -bits).otherwise(bits).cast("bigint")
+    size = f"abs({number})"
+    guess = f"cast(floor(log2({size})) AS int)"
+    exponent = f"({guess} + CASE WHEN pow(2.0D, {guess} + 1) <= {size} THEN 1 WHEN pow(2.0D, {guess}) > {size} THEN -1 ELSE 0 END)"
+    fraction = f"cast(({size} / pow(2.0D, {exponent}) - 1) * {2.0**52!r}D AS bigint)"
+    bits = f"""CASE WHEN isnan({number}) THEN NULL WHEN {size} = 0 THEN 0L WHEN {size} = double('Infinity') THEN {2047 << 52}L
+        WHEN {size} < {2.0**-1022!r}D THEN cast({size} / {2.0**-1074!r}D AS bigint)
+        ELSE shiftleft(cast({exponent} + 1023 AS bigint), 52) + {fraction} END"""
+    return f"(CASE WHEN {number} < 0 THEN -({bits}) ELSE {bits} END)"
 
 
-def group_medians(df: DataFrame, groups: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
-    """Exact median per group as one lazy plan, nulls and NaN left out. ``weight``: how often a row counts.
+def number_of(name: str) -> str:
+    """SQL for a column as double, NaN as null."""
+    return f"nullif(cast({name} AS double), double('NaN'))"
+
+
+def median_steps(source: str, keys: Sequence[str], made: str) -> list[str]:
+    """Common table expressions that end in `made` (keys and _median) with the exact median of each group of `source`
+    (keys, _v, _k = sortable of _v, _w = how often it counts). Rows without _k are left out.
 
     Radix selection: values are counted by the leading 16 bits of their sortable form, with partial counts before the
-    shuffle; a running total over at most 65,536 counts of a group tells in which of them the middle ranks lie; only
-    rows in those take part in the next 16 bits, and so on four times. No group and no column has to fit into a task,
-    whatever its values, and no job runs while the plan is built.
+    shuffle; a running total over the counts of a group tells in which of them the middle ranks lie; only rows in those
+    take part in the next 24 bits, and so in the last 24. At most 2^24 counts of a group meet in a task, whatever its
+    rows and values.
     """
-    named = {f"_g{k}": F.col(g) for k, g in enumerate(groups)} or {"_g0": F.lit(1)}
-    held = df.select(*[c.alias(n) for n, c in named.items()], as_number(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
-    keyed = held.filter(F.col("_v").isNotNull()).withColumn("_k", sortable(F.col("_v")))
-    names = list(named)
-
-    def digit(level: int) -> Column:
-        return F.shiftright("_k", LEVEL_BITS * (LEVELS - 1 - level)).bitwiseAND(_LEVEL_MASK) if level else F.shiftright("_k", LEVEL_BITS * (LEVELS - 1))
-
-    # one target for each middle rank: an odd number of values has one, an even number two
-    first = keyed.groupBy(*names, digit(0).alias("_digit")).agg(F.sum("_w").alias("_n"), F.max("_v").alias("_value"))
-    in_group = Window.partitionBy(*names)
-    counted = first.withColumns({
-        "_upto": F.sum("_n").over(in_group.orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_all": F.sum("_n").over(in_group)})
-    ranks = F.array_distinct(F.array(F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")))
-    met = counted.withColumn("_rank", F.explode(ranks)).withColumn("_target", F.col("_rank"))
-    holds = (F.col("_upto") - F.col("_n") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
-    left = (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")
-    targets = met.filter(holds).select(*names, "_target", left, F.col("_digit").alias("_prefix"), "_value")
-    for level in range(1, LEVELS):
-        prefix = F.shiftright("_k", LEVEL_BITS * (LEVELS - level))
-        wanted = targets.select(*[F.col(n).alias(f"_t{n}") for n in names], "_target", "_rank", F.col("_prefix").alias("_tprefix"))
-        same = [F.col(n).eqNullSafe(F.col(f"_t{n}")) for n in names]
-        rows = keyed.withColumn("_prefix", prefix).join(wanted, [F.col("_prefix") == F.col("_tprefix"), *same])
-        counts = rows.groupBy(*names, "_target", "_rank", "_prefix", digit(level).alias("_digit")).agg(F.sum("_w").alias("_n"), F.max("_v").alias("_value"))
-        running = Window.partitionBy(*names, "_target").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        targets = counts.withColumn("_upto", F.sum("_n").over(running)).filter(holds).select(
-            *names, "_target", left, (F.shiftleft("_prefix", LEVEL_BITS) + F.col("_digit")).alias("_prefix"), "_value")
+    by, same = ", ".join(keys), " AND ".join(f"r.{key} <=> t.{key}" for key in keys)
+    # A target is a middle rank: an odd number of values has one, an even number two. _prefix holds the bits fixed so
+    # far, _rank the target's rank among the values that have them.
+    shift = 64 - DIGITS[0]
+    steps = [
+        f"{made}_counts0 AS (SELECT {by}, shiftright(_k, {shift}) AS _prefix, sum(_w) AS _n, max(_v) AS _value FROM {source} WHERE _k IS NOT NULL GROUP BY ALL)",
+        f"""{made}_totals0 AS (SELECT *, sum(_n) OVER (PARTITION BY {by} ORDER BY _prefix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto,
+            sum(_n) OVER (PARTITION BY {by}) AS _all FROM {made}_counts0)""",
+        f"{made}_wanted0 AS (SELECT {by}, _prefix, _value, _n, _upto, explode(array_distinct(array((_all + 1) div 2, _all div 2 + 1))) AS _target FROM {made}_totals0)",
+        f"{made}_found0 AS (SELECT {by}, _target, _target - _upto + _n AS _rank, _prefix, _value FROM {made}_wanted0 WHERE _upto - _n < _target AND _target <= _upto)"]
+    for k, bits in enumerate(DIGITS[1:], 1):
+        before, shift = shift, shift - bits
+        steps += [
+            f"""{made}_counts{k} AS (SELECT t.{", t.".join(keys)}, t._target, t._rank, shiftright(r._k, {shift}) AS _prefix, sum(r._w) AS _n, max(r._v) AS _value
+                FROM {source} AS r JOIN {made}_found{k - 1} AS t ON shiftright(r._k, {before}) = t._prefix AND {same} GROUP BY ALL)""",
+            f"""{made}_totals{k} AS (SELECT *, sum(_n) OVER (PARTITION BY {by}, _target ORDER BY _prefix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                AS _upto FROM {made}_counts{k})""",
+            f"{made}_found{k} AS (SELECT {by}, _target, _rank - _upto + _n AS _rank, _prefix, _value FROM {made}_totals{k} WHERE _upto - _n < _rank AND _rank <= _upto)"]
     # all bits are fixed, so the rows of a target have one value
-    middle = targets.groupBy(*names).agg(((F.min("_value") + F.max("_value")) / 2).alias(out))
-    return middle.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], out)
+    return [*steps, f"{made} AS (SELECT {by}, (min(_value) + max(_value)) / 2 AS _median FROM {made}_found{len(DIGITS) - 1} GROUP BY {by})"]
+
+
+def group_medians(df: DataFrame, groups: Sequence[str], value: str, out: str = "median", weight: str | None = None) -> DataFrame:
+    """Exact median per group as one lazy plan, nulls and NaN left out. ``weight``: how often a row counts."""
+    keys = [f"_g{k}" for k in range(max(1, len(groups)))]
+    columns = [F.col(g) for g in groups] or [F.lit(1)]
+    rows = df.select(*[c.alias(key) for c, key in zip(columns, keys)], as_number(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+    steps = [f"numbers AS (SELECT *, {sortable('_v')} AS _k FROM {{rows}})", *median_steps("numbers", keys, "medians")]
+    listed = "".join(f"{key} AS `{g}`, " for key, g in zip(keys, groups))
+    # one statement, so that the plan is analysed once
+    return df.sparkSession.sql(f"WITH {', '.join(steps)} SELECT {listed}_median AS `{out}` FROM medians", rows=rows)

@@ -8,8 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stratalake.functions.scalars import as_number, is_blank, is_missing
-from stratalake.operators.ordering import group_medians
+from stratalake.functions.scalars import is_blank, is_missing
+from stratalake.operators.ordering import median_steps, number_of, sortable
 
 LOG_SCHEMA = "tabla string, campo string, accion string, registros_afectados bigint, timestamp string"
 
@@ -56,23 +56,21 @@ def fill_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     row has no group median (group all null, or group name null). All is one lazy plan: a query that does not ask for
     the column computes no median.
     """
-    number = as_number(value)
-    numbers = df.select(F.col(group).alias("_group"), number.alias("_v"))
-    sizes = numbers.groupBy("_group").agg(F.count("_v").alias("_values"), F.count_if(F.col("_v").isNull()).alias("_gaps"))
-    unfilled = F.col("_group").isNull() | (F.col("_values") == 0)
-    open_gaps = sizes.agg(F.coalesce(F.sum(F.when(unfilled, F.col("_gaps"))), F.lit(0)).alias("n")).scalar()
-
-    def medians(rows: DataFrame) -> DataFrame:
-        return group_medians(rows.filter(F.col("_group").isNotNull()), ["_group"], "_v", out="_fill")
-
-    wanted = numbers.filter(open_gaps > 0)
-    filled = sizes.join(medians(wanted), "_group").select(F.col("_fill").alias("_v"), F.col("_gaps").alias("_w"))
-    # equal values are counted once, and all passes of the selection read these counts
-    counts = wanted.select("_v", F.lit(1).cast("bigint").alias("_w")).unionByName(filled).groupBy("_v").agg(F.sum("_w").alias("_w"))
-    overall = group_medians(counts, [], "_v", out="_m", weight="_w").select("_m").scalar()
-    fills = medians(numbers)
-    full = df.withColumn(value, number).join(fills, F.col(group) == F.col("_group"), "left")
-    return full.withColumn(value, F.coalesce(F.col(value), F.col("_fill"), overall)).select(*df.columns)
+    steps = [
+        f"numbers AS (SELECT *, {sortable('_v')} AS _k, 1L AS _w FROM (SELECT `{group}` AS _g, {number_of(f'`{value}`')} AS _v FROM {{rows}}))",
+        "grouped AS (SELECT * FROM numbers WHERE _g IS NOT NULL)",
+        *median_steps("grouped", ["_g"], "fills"),
+        "sizes AS (SELECT _g, count(_v) AS _values, count_if(_v IS NULL) AS _gaps FROM numbers GROUP BY _g)",
+        "unfilled AS (SELECT coalesce(sum(_gaps), 0) > 0 AS some FROM sizes WHERE _g IS NULL OR _values = 0)",
+        "again AS (SELECT s._gaps, f._median AS _v FROM sizes AS s JOIN fills AS f ON s._g = f._g WHERE (SELECT some FROM unfilled))",
+        # equal values are counted once, and all passes of the selection read these counts
+        f"""counts AS (SELECT 1 AS _g, _v, _k, sum(_w) AS _w FROM (SELECT _v, _k, _w FROM numbers WHERE (SELECT some FROM unfilled)
+            UNION ALL SELECT _v, {sortable('_v')}, _gaps FROM again) GROUP BY _v, _k)""",
+        *median_steps("counts", ["_g"], "overall"),
+    ]
+    shown = [f"coalesce({number_of(f'r.`{c}`')}, f._median, (SELECT _median FROM overall)) AS `{c}`" if c == value else f"r.`{c}`" for c in df.columns]
+    # one statement, so that the plan is analysed once
+    return df.sparkSession.sql(f"WITH {', '.join(steps)} SELECT {', '.join(shown)} FROM {{rows}} AS r LEFT JOIN fills AS f ON r.`{group}` = f._g", rows=df)
 
 
 @dataclass(frozen=True)

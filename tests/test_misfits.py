@@ -76,11 +76,14 @@ def test_orders_without_their_place_are_refused(spark):
         clean("pedidos", spark.createDataFrame([(1,)], "pedido_id int"))
 
 
-def test_medians_on_either_side_of_the_broadcast_bound(spark, monkeypatch):
-    from stratalake.operators import ordering
-    from stratalake.session import broadcast_if_small
+def test_medians_with_and_without_broadcasts(spark):
+    from stratalake.operators.ordering import group_medians
 
     df = spark.createDataFrame([(k % 50, float(k * 7 % 101)) for k in range(2000)], "g int, v double")
     small = rows(group_medians(df, ["g"], "v"))
-    monkeypatch.setattr(ordering, "broadcast_if_small", lambda frame: broadcast_if_small(frame, max_rows=0))
-    assert rows(group_medians(df, ["g"], "v")) == small
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(group_medians(df, ["g"], "v")) == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

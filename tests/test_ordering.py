@@ -77,11 +77,11 @@ def hard_numbers():
 def test_sortable_keeps_the_order_of_all_doubles(spark):
     numbers = hard_numbers()
     df = spark.createDataFrame([(float(x),) for x in numbers], "v double")
-    got = df.select("v", sortable(F.col("v")).alias("k")).toPandas().sort_values("v")
+    got = df.select("v", F.expr(sortable("v")).alias("k")).toPandas().sort_values("v")
     assert got.k.is_monotonic_increasing and got.k.is_unique
     bits = np.abs(got.v.to_numpy()).view(np.int64)
     assert (got.k.to_numpy() == np.where(got.v < 0, -bits, bits)).all()
-    none = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(sortable(F.col("v")).alias("k"))
+    none = spark.createDataFrame([(float("nan"),), (None,)], "v double").select(F.expr(sortable("v")).alias("k"))
     assert [r.k for r in none.collect()] == [None, None]
 
 
