@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each stage's rows to the shared
 checkpoint folder and reads them again as the next stage's documents.
+
+Cases: a null text counts as empty; null ids are rows like others; empty texts are equal to one another and have no
+near copies; of texts alike in id too one row stays; columns of any name are carried through; empty tables give no rows.
 """
 
 from __future__ import annotations
