@@ -65,16 +65,18 @@ def sortable(number: str) -> str:
     """SQL for a bigint for each double, in the same order: sign, exponent and fraction as IEEE 754 lays them out.
 
     Worked out exactly, since dividing by a power of two loses nothing; the logarithm may be off by one beside a power
-    of two, which is put right. Both zeros are 0; NaN and null are null.
+    of two, which is put right. Both zeros are 0; NaN and null are null. The number, its size and the exponent are each
+    worked out once, as the values of lambdas, however often the formula names them.
     """
-    size = f"abs({number})"
-    guess = f"cast(floor(log2({size})) AS int)"
-    exponent = f"({guess} + CASE WHEN pow(2.0D, {guess} + 1) <= {size} THEN 1 WHEN pow(2.0D, {guess}) > {size} THEN -1 ELSE 0 END)"
-    fraction = f"cast(({size} / pow(2.0D, {exponent}) - 1) * {2.0**52!r}D AS bigint)"
-    bits = f"""CASE WHEN isnan({number}) THEN NULL WHEN {size} = 0 THEN 0L WHEN {size} = double('Infinity') THEN {2047 << 52}L
-        WHEN {size} < {2.0**-1022!r}D THEN cast({size} / {2.0**-1074!r}D AS bigint)
-        ELSE shiftleft(cast({exponent} + 1023 AS bigint), 52) + {fraction} END"""
-    return f"(CASE WHEN {number} < 0 THEN -({bits}) ELSE {bits} END)"
+    def once(value: str, name: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    fixed = "_guess + CASE WHEN pow(2.0D, _guess + 1) <= _size THEN 1 WHEN pow(2.0D, _guess) > _size THEN -1 ELSE 0 END"
+    laid_out = f"shiftleft(cast(_exponent + 1023 AS bigint), 52) + cast((_size / pow(2.0D, _exponent) - 1) * {2.0**52!r}D AS bigint)"
+    bits = f"""CASE WHEN isnan(_size) THEN NULL WHEN _size = 0 THEN 0L WHEN _size = double('Infinity') THEN {2047 << 52}L
+        WHEN _size < {2.0**-1022!r}D THEN cast(_size / {2.0**-1074!r}D AS bigint)
+        ELSE {once("cast(floor(log2(_size)) AS int)", "_guess", once(fixed, "_exponent", laid_out))} END"""
+    return once(number, "_number", f"{once('abs(_number)', '_size', bits)} * CASE WHEN _number < 0 THEN -1L ELSE 1L END")
 
 
 def number_of(name: str) -> str:
@@ -82,9 +84,15 @@ def number_of(name: str) -> str:
     return f"nullif(cast({name} AS double), double('NaN'))"
 
 
+def sort_key(number: str) -> str:
+    """SQL for `sortable`, 0 for null."""
+    return f"coalesce({sortable(number)}, 0L)"
+
+
 def median_steps(source: str, keys: Sequence[str], made: str) -> list[str]:
     """Common table expressions that end in `made` (keys and _median) with the exact median of each group of `source`
-    (keys, _v, _k = sortable of _v, _w = how often it counts). Rows without _k are left out.
+    (keys, _v, _k = sortable of _v, _w = how often it counts). Rows without _v are left out. _k should never be null, or
+    Spark works it out once more to test that, before any grouping below.
 
     Radix selection: values are counted by the leading 16 bits of their sortable form, with partial counts before the
     shuffle; a running total over the counts of a group tells in which of them the middle ranks lie; only rows in those
@@ -96,7 +104,7 @@ def median_steps(source: str, keys: Sequence[str], made: str) -> list[str]:
     # far, _rank the target's rank among the values that have them.
     shift = 64 - DIGITS[0]
     steps = [
-        f"{made}_counts0 AS (SELECT {by}, shiftright(_k, {shift}) AS _prefix, sum(_w) AS _n, max(_v) AS _value FROM {source} WHERE _k IS NOT NULL GROUP BY ALL)",
+        f"{made}_counts0 AS (SELECT {by}, shiftright(_k, {shift}) AS _prefix, sum(_w) AS _n, max(_v) AS _value FROM {source} WHERE _v IS NOT NULL GROUP BY ALL)",
         f"""{made}_totals0 AS (SELECT *, sum(_n) OVER (PARTITION BY {by} ORDER BY _prefix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto,
             sum(_n) OVER (PARTITION BY {by}) AS _all FROM {made}_counts0)""",
         f"{made}_wanted0 AS (SELECT {by}, _prefix, _value, _n, _upto, explode(array_distinct(array((_all + 1) div 2, _all div 2 + 1))) AS _target FROM {made}_totals0)",
@@ -105,7 +113,8 @@ def median_steps(source: str, keys: Sequence[str], made: str) -> list[str]:
         before, shift = shift, shift - bits
         steps += [
             f"""{made}_counts{k} AS (SELECT t.{", t.".join(keys)}, t._target, t._rank, shiftright(r._k, {shift}) AS _prefix, sum(r._w) AS _n, max(r._v) AS _value
-                FROM {source} AS r JOIN {made}_found{k - 1} AS t ON shiftright(r._k, {before}) = t._prefix AND {same} GROUP BY ALL)""",
+                FROM {source} AS r JOIN {made}_found{k - 1} AS t ON shiftright(r._k, {before}) = t._prefix AND {same}
+                WHERE r._v IS NOT NULL GROUP BY ALL)""",
             f"""{made}_totals{k} AS (SELECT *, sum(_n) OVER (PARTITION BY {by}, _target ORDER BY _prefix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                 AS _upto FROM {made}_counts{k})""",
             f"{made}_found{k} AS (SELECT {by}, _target, _rank - _upto + _n AS _rank, _prefix, _value FROM {made}_totals{k} WHERE _upto - _n < _rank AND _rank <= _upto)"]
@@ -118,7 +127,7 @@ def group_medians(df: DataFrame, groups: Sequence[str], value: str, out: str = "
     keys = [f"_g{k}" for k in range(max(1, len(groups)))]
     columns = [F.col(g) for g in groups] or [F.lit(1)]
     rows = df.select(*[c.alias(key) for c, key in zip(columns, keys)], as_number(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
-    steps = [f"numbers AS (SELECT *, {sortable('_v')} AS _k FROM {{rows}})", *median_steps("numbers", keys, "medians")]
+    steps = [f"numbers AS (SELECT *, {sort_key('_v')} AS _k FROM {{rows}})", *median_steps("numbers", keys, "medians")]
     listed = "".join(f"{key} AS `{g}`, " for key, g in zip(keys, groups))
     # one statement, so that the plan is analysed once
     return df.sparkSession.sql(f"WITH {', '.join(steps)} SELECT {listed}_median AS `{out}` FROM medians", rows=rows)

@@ -72,7 +72,7 @@ def _exact_distribution(df: DataFrame) -> DataFrame:
 
     Columns are turned into (column, value) pairs and equal pairs are counted before the
     shuffle. Distinct counts and medians of all numeric columns come from the same counted
-    pairs, and no column has to fit into one task.
+    pairs, which are written to the checkpoint folder, and no column has to fit into one task.
     """
     numeric = [f for f in df.schema.fields if _is_numeric(f.dataType)]
     others = [f for f in df.schema.fields if not _is_numeric(f.dataType)]
@@ -82,7 +82,8 @@ def _exact_distribution(df: DataFrame) -> DataFrame:
             shown = F.col(f.name).cast("int") if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
             return F.when(~is_missing(f.name, f.dataType), shown.cast("string"))
 
-        counts = _distinct_values(df, numeric, as_text).withColumn("number", F.col("value").try_cast("double"))
+        # Written once, since the passes of the selection and the distinct count all read them.
+        counts = pin(_distinct_values(df, numeric, as_text).select("column", F.col("value").try_cast("double").alias("number"), "rows"))
         unique = counts.groupBy("column").agg(F.count("*").alias("unique"))
         medians = group_medians(counts, ["column"], "number", weight="rows")
         parts.append(unique.join(medians, "column", "left").select("column", "unique", F.round("median", 2).alias("median")))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratalake.functions.scalars import is_blank, is_missing
-from stratalake.operators.ordering import median_steps, number_of, sortable
+from stratalake.operators.ordering import median_steps, number_of, sort_key
 
 LOG_SCHEMA = "tabla string, campo string, accion string, registros_afectados bigint, timestamp string"
 
@@ -57,7 +57,7 @@ def fill_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     the column computes no median.
     """
     steps = [
-        f"numbers AS (SELECT *, {sortable('_v')} AS _k, 1L AS _w FROM (SELECT `{group}` AS _g, {number_of(f'`{value}`')} AS _v FROM {{rows}}))",
+        f"numbers AS (SELECT *, {sort_key('_v')} AS _k, 1L AS _w FROM (SELECT `{group}` AS _g, {number_of(f'`{value}`')} AS _v FROM {{rows}}))",
         "grouped AS (SELECT * FROM numbers WHERE _g IS NOT NULL)",
         *median_steps("grouped", ["_g"], "fills"),
         "sizes AS (SELECT _g, count(_v) AS _values, count_if(_v IS NULL) AS _gaps FROM numbers GROUP BY _g)",
@@ -65,7 +65,7 @@ def fill_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
         "again AS (SELECT s._gaps, f._median AS _v FROM sizes AS s JOIN fills AS f ON s._g = f._g WHERE (SELECT some FROM unfilled))",
         # equal values are counted once, and all passes of the selection read these counts
         f"""counts AS (SELECT 1 AS _g, _v, _k, sum(_w) AS _w FROM (SELECT _v, _k, _w FROM numbers WHERE (SELECT some FROM unfilled)
-            UNION ALL SELECT _v, {sortable('_v')}, _gaps FROM again) GROUP BY _v, _k)""",
+            UNION ALL SELECT _v, {sort_key('_v')}, _gaps FROM again) GROUP BY _v, _k)""",
         *median_steps("counts", ["_g"], "overall"),
     ]
     shown = [f"coalesce({number_of(f'r.`{c}`')}, f._median, (SELECT _median FROM overall)) AS `{c}`" if c == value else f"r.`{c}`" for c in df.columns]

@@ -111,3 +111,12 @@ def test_weighted_medians_and_no_groups(spark):
 def test_medians_of_a_column_of_one_value(spark):
     df = spark.range(100_000).select(F.lit(3.25).alias("v"), (F.col("id") % 3).alias("g"))
     assert {r.g: r.median for r in group_medians(df, ["g"], "v").collect()} == {0: 3.25, 1: 3.25, 2: 3.25}
+
+
+def test_the_sort_key_is_worked_out_once_and_after_the_grouping(spark):
+    assert sortable("price").count("price") == 1
+    counted = spark.range(100).selectExpr("id % 3 AS g", "cast(id % 7 AS string) AS t").groupBy("g", "t").agg(F.count("*").alias("n"))
+    medians = group_medians(counted.withColumn("v", F.expr("try_cast(t AS double)")), ["g"], "v", weight="n")
+    plan = medians._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "LOG2" in line.upper()]
+    assert {r.g: r["median"] for r in medians.collect()} == {0: 3.0, 1: 3.0, 2: 3.0}
