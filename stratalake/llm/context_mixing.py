@@ -32,7 +32,8 @@ from stratalake.llm import text as tx
 from stratalake.llm.store import keep, whole
 
 CONTEXTS = 4
-PACK_BYTES = 8 << 20
+PACK_BYTES = 32 << 20
+PART_BYTES = 2 << 20
 RANGE_BYTES, MIN_RANGES = 16 << 20, 64
 HASH_BITS = 47
 HEAD = 1 << 18
@@ -40,6 +41,8 @@ END = 0xFF
 DOCS, STRIP, BLOCK = 96, 1024, 64
 SLICE = 1 << 16
 BACK = 8
+#: Bits of the last eight bytes that a context is made of.
+REACH = np.array([(1 << 8 * n) - 1 for n in (2, 4, 6, BACK - 1)], np.uint64)
 PRIOR = 0.05
 SCALE, CLIP = 16.0, 7.9
 FIRST_WEIGHT = 0.3
@@ -83,9 +86,9 @@ def _strips(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 def _context(rows: np.ndarray, k: int) -> np.ndarray:
     """Spread 64-bit value of context k before every byte."""
     n = rows.shape[1] - BACK
-    last = np.zeros((len(rows), n), np.uint64)
-    for j in range((2, 4, 6, BACK - 1)[k]):
-        last |= rows[:, BACK - 1 - j : BACK - 1 - j + n].astype(np.uint64) << np.uint64(8 * j)
+    # the last eight bytes as one number, the nearest byte lowest
+    last = np.ndarray((len(rows), n), ">u8", np.ascontiguousarray(rows), strides=(rows.shape[1], 1)).astype(np.uint64)
+    last &= REACH[k]
     if k == 3:
         index = np.where(tx.SPACE[rows], np.arange(rows.shape[1], dtype=np.int32), 0)
         since = np.minimum(np.arange(BACK - 1, BACK - 1 + n, dtype=np.int32) - np.maximum.accumulate(index, axis=1)[:, BACK - 1 : -1], BACK - 1).astype(np.uint64)
@@ -201,6 +204,17 @@ def _planes(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned values as compressed planes, and how many there are of these."""
+    planes = _planes(values)
+    return bytes([len(planes) // len(values)]) + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _restored(packed: bytes, n: int) -> np.ndarray:
+    """The inverse of _packed, for n values."""
+    return _values(pa.decompress(packed[1:], packed[0] * n, "zstd", asbytes=True), n)
+
+
 def _values(planes: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, : len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
@@ -231,47 +245,109 @@ def _said(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
-def packs(rows: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """pack, ids, held, texts: rows of (id, text, held_out) in packs of about pack_bytes, as a written table."""
+def compressed_packs(rows: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """pack, ids, held, sizes, data: rows of (id, text, held_out) in packs of about pack_bytes, as a written table. data: the
+    texts in lower case, compressed as one."""
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["pack", "ids", "held", "sizes", "data"]
 
     def gather(batches):
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
-            _, offsets = tx.buffer(batch.column(1))
+            data, offsets = _lower(batch.column(1))
             for a, b in tx.parts(offsets, pack_bytes):
-                ids, texts, held = (pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c.slice(a, b - a)) for c in batch.columns)
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), ids, held, texts], names=["pack", "ids", "held", "texts"])
+                columns = batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1]))
+                blob = pa.compress(data[offsets[a] : offsets[b]], "zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([n], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c) for c in columns), pa.array([blob], pa.binary())], names=names)
                 n += 1
 
-    return keep(rows.select("id", "text", "held_out").mapInArrow(gather, f"pack long, ids array<{kind}>, held array<boolean>, texts array<string>"), "packs")
+    return keep(rows.select("id", "text", "held_out").mapInArrow(gather, f"pack long, ids array<{kind}>, held array<boolean>, sizes array<long>, data binary"), "packs")
+
+
+def packs(rows: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """pack, ids, held, texts: the packs with their texts in lower case, one by one."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def opened(batches):
+        for batch in batches:
+            pack, ids, held, sizes, data = batch.columns
+            for i in range(batch.num_rows):
+                raw, offsets = _texts(sizes[i].values, data[i].as_py())
+                texts = pa.Array.from_buffers(pa.large_utf8(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.utf8())
+                yield pa.RecordBatch.from_arrays([pack.slice(i, 1), ids.slice(i, 1), held.slice(i, 1), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)], names=["pack", "ids", "held", "texts"])
+
+    return compressed_packs(rows, pack_bytes).mapInArrow(opened, f"pack long, ids array<{kind}>, held array<boolean>, texts array<string>")
+
+
+def _texts(sizes: pa.Array, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a pack's texts."""
+    offsets = np.concatenate(([0], np.cumsum(sizes.to_numpy(), dtype=np.int64)))
+    return np.frombuffer(pa.decompress(data, int(offsets[-1]), "zstd"), np.uint8), offsets
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list]]:
+    """(first text, end, strips) of parts of a pack: work on a part stays near the processor."""
+    for a, b in tx.parts(offsets, PART_BYTES):
+        yield a, b, list(_strips(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+
+
+def _part_codes(strips: list, k: int) -> np.ndarray:
+    return np.concatenate([_codes(rows, k)[np.arange(rows.shape[1] - BACK) < valid[:, None]] for _, rows, valid, _ in strips])
+
+
+def _union(found: list[np.ndarray]) -> np.ndarray:
+    """The distinct codes of all, in order."""
+    codes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    codes.sort()
+    return codes[_starts(codes)]
+
+
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """From lists of distinct codes and their counts: all codes in order, their counts, each list's places in them."""
+    codes = _union([c for c, _ in found])
+    places = [np.searchsorted(codes, c) for c, _ in found]
+    total = np.zeros(len(codes), np.int64)
+    for at, (_, n) in zip(places, found):
+        total[at] += n
+    return codes, total, places
+
+
+def _learnt(strips: list, k: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of a part in order and how often its training texts have them."""
+    bit = np.concatenate([np.repeat(held[docs], np.minimum(valid, rows.shape[1] - BACK)) for docs, rows, valid, _ in strips])
+    codes = (_part_codes(strips, k) << np.uint64(1)) | bit
+    codes.sort()
+    at = np.flatnonzero(_starts(codes))
+    n, codes = np.diff(np.append(at, len(codes))), codes[at]
+    n[(codes & np.uint64(1)) == 1] = 0
+    codes >>= np.uint64(1)
+    first = np.flatnonzero(_starts(codes))
+    return codes[first], np.add.reduceat(n, first)
 
 
 def context_counts(packed: DataFrame, ranges: int) -> DataFrame:
     """pack, context, range, n, codes, counts: the distinct codes of a pack and how often its training texts have them."""
     names = ["pack", "context", "range", "n", "codes", "counts"]
+    source = ["texts"] if "texts" in packed.columns else ["sizes", "data"]
 
     def count(batches):
         bounds = np.array([(r << (HASH_BITS + 8)) // ranges for r in range(ranges + 1)], np.uint64)
         for batch in batches:
-            for pack, held, texts in zip(*batch.columns):
+            for pack, held, *texts in zip(*batch.columns):
                 held = held.values.to_numpy(zero_copy_only=False).astype(np.uint64)
-                strips = list(_strips(*_lower(texts.values)))
+                parts = list(_parts(*(_lower(texts[0].values) if source == ["texts"] else _texts(texts[0].values, texts[1].as_py()))))
                 for k in range(CONTEXTS):
-                    codes = np.concatenate([((_codes(rows, k) << np.uint64(1)) | held[docs, None])[np.arange(rows.shape[1] - BACK) < valid[:, None]] for docs, rows, valid, _ in strips])
-                    codes.sort()
-                    first = np.flatnonzero(_starts(codes >> np.uint64(1)))
-                    learnt = np.add.reduceat(np.uint64(1) - (codes & np.uint64(1)), first)
-                    codes = codes[first] >> np.uint64(1)
+                    codes, learnt, _ = _summed([_learnt(strips, k, held[a:b]) for a, b, strips in parts])
                     cut = np.searchsorted(codes, bounds)
                     full = np.flatnonzero(cut[1:] > cut[:-1])
-                    parts = [(codes[a:b], learnt[a:b], bounds[r]) for r, a, b in zip(full, cut[full], cut[full + 1])]
+                    dealt = [(codes[a:b], learnt[a:b], bounds[r]) for r, a, b in zip(full, cut[full], cut[full + 1])]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([pack.as_py()] * len(full), pa.int64()), pa.array([k] * len(full), pa.int32()), pa.array(full, pa.int32()),
-                        pa.array([len(c) for c, _, _ in parts], pa.int32()), pa.array([_planes(np.diff(c, prepend=low)) for c, _, low in parts], pa.binary()),
-                        pa.array([_planes(n) for _, n, _ in parts], pa.binary())], names=names)
+                        pa.array([len(c) for c, _, _ in dealt], pa.int32()), pa.array([_packed(np.diff(c, prepend=low)) for c, _, low in dealt], pa.binary()),
+                        pa.array([_packed(n) for _, n, _ in dealt], pa.binary())], names=names)
 
-    return packed.select("pack", "held", "texts").mapInArrow(count, "pack long, context int, range int, n int, codes binary, counts binary")
+    return packed.select("pack", "held", *source).mapInArrow(count, "pack long, context int, range int, n int, codes binary, counts binary")
 
 
 def context_opinions(counted: DataFrame, ranges: int) -> DataFrame:
@@ -280,17 +356,10 @@ def context_opinions(counted: DataFrame, ranges: int) -> DataFrame:
 
     def answer(held):
         low = np.uint64((held[0][2] << (HASH_BITS + 8)) // ranges)
-        codes = np.concatenate([np.cumsum(_values(c, n)) + low for *_, n, c, _ in held])
-        order = np.argsort(codes)
-        codes = codes[order]
-        first = _starts(codes)
-        group = np.cumsum(first) - 1
-        total = np.bincount(group, np.concatenate([_values(c, n) for *_, n, _, c in held])[order])
-        said = np.empty(len(codes), "<i8")
-        said[order] = _said(codes[first], total)[group]
-        at = np.cumsum([0, *(h[3] for h in held)])
-        for k, (pack, context, part, n, _, _) in enumerate(held):
-            planes = pa.compress(said[at[k] : at[k + 1]].view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+        codes, total, places = _summed([(np.cumsum(_restored(c, n)) + low, _restored(m, n).astype(np.int64)) for *_, n, c, m in held])
+        said = _said(codes, total)
+        for at, (pack, context, part, n, _, _) in zip(places, held):
+            planes = pa.compress(said[at].view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), pa.array([context], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([planes], pa.binary())], names=names)
 
     def look(batches):
@@ -307,29 +376,57 @@ def context_opinions(counted: DataFrame, ranges: int) -> DataFrame:
     return counted.repartition("range").sortWithinPartitions("range").mapInArrow(look, "pack long, context int, range int, n int, said binary")
 
 
+def _placed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, the place of every code among them)."""
+    bits = np.uint64(max(1, (len(codes) - 1).bit_length()))
+    with np.errstate(over="ignore"):
+        key = codes * tx.STEP
+    # sorting numbers is much faster than sorting places: the top of the spread code, then the place
+    key >>= bits
+    key <<= bits
+    key |= np.arange(len(codes), dtype=np.uint64)
+    key.sort()
+    order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.intp)
+    met = codes[order]
+    first = _starts(met)
+    if np.count_nonzero(first) != np.count_nonzero(_starts(key >> bits)):  # two codes share that top
+        order = np.argsort(codes)
+        met = codes[order]
+        first = _starts(met)
+    place = np.empty(len(codes), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - 1
+    return met[first], place
+
+
 def _pack_logs(data: np.ndarray, offsets: np.ndarray, said: list[np.ndarray]) -> np.ndarray:
     """Natural log of each text's probability. said: per context, the opinions of the pack's distinct codes in order."""
-    strips = list(_strips(data, offsets))
-    there = [np.arange(rows.shape[1] - BACK) < valid[:, None] for _, rows, valid, _ in strips]
-    given = []
+    parts = list(_parts(data, offsets))
+    known = []
     for k in range(CONTEXTS):
-        codes = np.concatenate([_codes(rows, k)[ok] for (_, rows, _, _), ok in zip(strips, there)])
-        order = np.argsort(codes)
-        place = np.empty(len(codes), np.int32)
-        place[order] = np.cumsum(_starts(codes[order]), dtype=np.int32) - 1
-        given.append(place)
-    at = 0
-
-    def opinion(rows, ok):
-        nonlocal at
-        n = int(ok.sum())
+        found = []
+        for _, _, strips in parts:
+            codes = _part_codes(strips, k)
+            codes.sort()
+            found.append(codes[_starts(codes)])
+        known.append(_union(found))
+    out = np.empty(len(offsets) - 1)
+    for a, b, strips in parts:
+        given, at = [], 0
         for k in range(CONTEXTS):
-            out = np.zeros(ok.shape, "<i8")
-            out[ok] = said[k][given[k][at : at + n]]
-            yield out
-        at += n
-
-    return _mixed(len(offsets) - 1, strips, opinion)
+            codes, place = _placed(_part_codes(strips, k))
+            given.append((said[k][np.searchsorted(known[k], codes)], place))
+
+        def opinion(rows, ok):
+            nonlocal at
+            n = int(ok.sum())
+            for values, place in given:
+                full = np.zeros(ok.shape, "<i8")
+                full[ok] = values[place[at : at + n]]
+                yield full
+            at += n
+
+        out[a:b] = _mixed(b - a, strips, opinion)
+    return out
 
 
 def _token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,12 +464,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
         """(ids, held out, texts, opinions) of each pack: its row comes first, then its opinions by context and range."""
         pack, said = None, None
         for batch in batches:
-            ids, held, texts = (batch.column(k) for k in (3, 4, 5))
-            for i, (context, n, planes) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 6, 7)))):
+            ids, held, sizes, data = (batch.column(k) for k in (3, 4, 5, 6))
+            for i, (context, n, planes) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 7, 8)))):
                 if context is None:
                     if pack:
                         yield *pack, [np.concatenate(s) for s in said]
-                    pack, said = (ids[i].values, held[i].values, texts[i].values), [[] for _ in range(CONTEXTS)]
+                    pack, said = (ids[i].values, held[i].values, _texts(sizes[i].values, data[i].as_py())), [[] for _ in range(CONTEXTS)]
                 else:
                     said[context].append(_unpacked(planes, n))
         if pack:
@@ -380,8 +477,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
 
     def score(batches):
         head_tokens, head_counts = sent.value
-        for ids, held, texts, said in gathered(batches):
-            data, offsets = _lower(texts)
+        for ids, held, (data, offsets), said in gathered(batches):
             logs = _pack_logs(data, offsets, said)
             hashes, first = _token_hashes(data, offsets)
             n = np.diff(first) + 1
@@ -399,9 +495,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head
 
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte", "rest"]
-    packed = packs(rows, pack_bytes)
+    packed = compressed_packs(rows, pack_bytes)
     said = context_opinions(context_counts(packed, ranges), ranges)
-    both = packed.unionByName(said, allowMissingColumns=True).select("pack", "context", "range", "ids", "held", "texts", "n", "said")
+    both = packed.unionByName(said, allowMissingColumns=True).select("pack", "context", "range", "ids", "held", "sizes", "data", "n", "said")
     met = both.repartition("pack").sortWithinPartitions(F.asc("pack"), F.asc_nulls_first("context"), F.asc("range"))
     scored = keep(met.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double, rest array<long>")
                   .withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -122,3 +122,27 @@ def test_scores_do_not_depend_on_packs_and_ranges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one, other = ({r.doc_id: r.score for r in cm.scores(docs, **o).collect()} for o in ({}, {"pack_bytes": 5000, "range_bytes": 1000}))
     assert one.keys() == other.keys() and np.allclose(list(one.values()), [other[k] for k in one])
+
+
+def test_places_of_codes():
+    rng = np.random.default_rng(5)
+    for codes in (rng.integers(0, 1 << 55, 5000, np.uint64).repeat(3), np.arange(9, dtype=np.uint64) << np.uint64(46), np.zeros(4, np.uint64), np.arange(1, dtype=np.uint64)):
+        rng.shuffle(codes)
+        met, place = cm._placed(codes)
+        assert (met[place] == codes).all() and len(met) == len(set(codes.tolist()))
+
+
+def test_codes_that_share_the_sorted_bits_stay_apart():
+    low = pow(int(tx.STEP), -1, 1 << 64)  # times STEP, k * low is k: all tops are 0
+    codes = np.array([k * low % (1 << 64) for k in (0, 1, 0, 1, 2)], np.uint64)
+    met, place = cm._placed(codes)
+    assert (met[place] == codes).all() and len(met) == 3
+
+
+def test_what_a_pack_sends_is_compressed(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(20_000)]
+    rows = [(k, " ".join(rng.choice(words, 400)), False) for k in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string, held_out boolean").repartition(1)
+    sent = cm.context_counts(cm.packs(docs), 8).selectExpr("sum(octet_length(codes) + octet_length(counts)) / sum(n)").first()[0]
+    assert sent < 5
