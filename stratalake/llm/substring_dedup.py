@@ -9,12 +9,15 @@ same shard whatever stands around them.
 2. Per pack the distinct smallest hashes go to their shard; the shard answers with a bit each: does it occur
    in another document? Windows with a hash of their own cannot repeat and go no further.
 3. The other segments, once per pack with the smallest id, go to their shard, each distinct one with its
-   smallest id. A suffix array of the shard is induced, places are grouped by permuted common prefixes of
+   smallest id. Suffix arrays of the shard are induced, places are grouped by permuted common prefixes of
    LENGTH bytes, and each window gets the smallest id of its group. The answer is a bit for each window.
 4. Packs meet their answers, find their segments again, and bytes under answered windows are cut out.
 
-A passage that a third of all documents hold reaches its shard once per pack. Shards are cut by more bits of
-the hash where their text is larger than one suffix array should be.
+A passage that a third of all documents hold reaches its shard once per pack. There are more shards for more
+text, and shards are cut by more bits of the hash where their text is larger than one suffix array should be.
+Where the segments of a single hash are larger (a common run of GRAM bytes, in ever other surroundings), their
+windows are dealt anew by the smallest hash of the longer runs in LONGER, some of them at a time; the last of these
+is the window itself, and equal windows are one text.
 
 Cases: null text counts as empty and has nothing removed; texts shorter than LENGTH keep all; documents with
 equal ids leave each other alone; a null id counts as smaller than all others. Ids are integers.
@@ -34,13 +37,18 @@ from pyspark.sql import DataFrame, functions as F
 from stratalake.llm import text as tx
 from stratalake.llm.store import keep, whole
 from stratalake.llm.suffix_array import permuted_prefixes, suffix_array
+from stratalake.session import shuffles_freed
 
 LENGTH = 50
 GRAM = 20
+LONGER = (35, LENGTH)
 PACK_BYTES = 4 << 20
 CHUNK = 1 << 19
+SOME = 1 << 14  # segments at a time
 ARRAY_BYTES = 1 << 20
+ROUND = 4  # arrays whose bytes are cut anew at a time
 SHARDS_EACH = 8
+SHARD_BYTES = 1 << 20  # of packs as written, for each shard at most
 MARK = 1  # between segments; 0 ends the text of a shard, bytes follow from 2
 NO_ID = np.iinfo(np.int64).min
 
@@ -67,35 +75,35 @@ def _mask(bits: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(bits, count=n, bitorder="little").astype(bool)
 
 
-def _smallest(data: np.ndarray) -> np.ndarray:
-    """For every window of LENGTH bytes: the smallest mixed hash of its runs of GRAM bytes."""
+def _smallest(data: np.ndarray, gram: int) -> np.ndarray:
+    """For every window of LENGTH bytes: the smallest mixed hash of its runs of `gram` bytes."""
     with np.errstate(over="ignore"):
         h, base, have = data.astype(np.uint64) + np.uint64(1), tx.BASE, 1
         powers = {1: (h, base)}
-        while 2 * have <= GRAM:
+        while 2 * have <= gram:
             h = h[:-have] * base + h[have:]
             base, have = base * base, 2 * have
             powers[have] = (h, base)
-        left, total, done = GRAM - have, h, have
+        left, total, done = gram - have, h, have
         for size in sorted(powers, reverse=True):
             if left >= size:
                 more, factor = powers[size]
                 n = len(data) - done - size + 1
                 total = total[:n] * factor + more[done : done + n]
                 left, done = left - size, done + size
-    low, wide, want = tx.mix(total), 1, LENGTH - GRAM + 1
+    low, wide, want = tx.mix(total), 1, LENGTH - gram + 1
     while 2 * wide <= want:
         low = np.minimum(low[:-wide], low[wide:])
         wide *= 2
     return np.minimum(low[: len(low) - (want - wide)], low[want - wide :])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, windows, hash) of each run of windows of a text with the same smallest hash."""
     found = []
     for begin in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
         end = min(begin + CHUNK, len(data) - LENGTH + 1)
-        low = _smallest(data[begin : end + LENGTH - 1])
+        low = _smallest(data[begin : end + LENGTH - 1], gram)
         # windows that reach over the end of their text are not windows
         a, b = np.searchsorted(offsets, [begin, end + LENGTH])
         steps = np.zeros(end - begin + 1, np.int32)
@@ -113,7 +121,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         stop = inside.copy()
         stop[:-1] &= ~inside[1:] | start[1:]
         first, last = np.flatnonzero(start), np.flatnonzero(stop)
-        found.append((first + begin, last - first + 1, low[first]))
+        # the smallest of many hashes is a small number; mixed once more they are spread evenly over the shards
+        found.append((first + begin, last - first + 1, tx.mix(low[first])))
     if not found:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     first, count, low = (np.concatenate(x) for x in zip(*found))
@@ -298,8 +307,8 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("pack").sortWithinPartitions("pack", "kind", "shard")
 
 
-def first_owners(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each window of each distinct text: the smallest owner of a text that holds it."""
+def first_owners(texts: list[bytes], owners: np.ndarray) -> np.ndarray:
+    """For each window of each distinct text, in their order: the smallest owner of a text that holds it."""
     sizes = np.array([len(t) for t in texts])
     joined = np.frombuffer(b"\0".join(texts), np.uint8).astype(np.uint16) + 2
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -320,7 +329,77 @@ def first_owners(texts: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     heads = np.flatnonzero(new)
     low = np.minimum.reduceat(owner[order], heads)
     owner[order] = np.repeat(low, np.diff(np.append(heads, len(order))))
-    return np.split(owner[at], np.cumsum(windows)[:-1])
+    return owner[at]
+
+
+def _places(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (count of them) of each pair."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def _named(raw: bytes, starts: np.ndarray, sizes: np.ndarray, most: float) -> tuple[np.ndarray, list[bytes], list[int]] | None:
+    """(number of each segment's text, distinct texts, place of the first segment of each), or nothing if the distinct
+    texts make up more than `most` bytes."""
+    which, names, heads, held = np.empty(len(starts), np.int64), {}, [], 0
+    for a in range(0, len(starts), SOME):
+        part = slice(a, a + SOME)
+        for k, (start, size) in enumerate(zip(starts[part].tolist(), sizes[part].tolist()), a):
+            number = which[k] = names.setdefault(raw[start : start + size], len(names))
+            if number == len(heads):
+                heads.append(k)
+                held += size
+        if held > most:
+            return None
+    return which, list(names), heads
+
+
+def _before(raw: bytes, starts: np.ndarray, windows: np.ndarray, owners: np.ndarray, keys: np.ndarray, array_bytes: int,
+            longer: tuple[int, ...] = LONGER) -> np.ndarray:
+    """For each window of each segment of raw, in the order of the segments: does a segment of a smaller owner hold it?
+    Equal windows stand in segments of the same key. Keys are joined up to the size of one array; one whose distinct
+    segments make up more than that has them cut into segments of longer runs, until each window is one."""
+    out = np.zeros(windows.sum(), bool)
+    at, sizes = np.cumsum(windows) - windows, windows + LENGTH - 1
+    order = np.argsort(keys, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]])), [len(order)]))
+    weight = np.concatenate(([0], np.cumsum(sizes[order])))[cuts]
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(weight, weight[a] + array_bytes, "right")) - 1)
+        group = order[cuts[a] : cuts[b]]
+        named = _named(raw, starts[group], sizes[group], array_bytes if longer else np.inf)
+        if named:
+            which, texts, heads = named
+            low, count, n = np.full(len(heads), np.iinfo(np.int64).max), windows[group[heads]], windows[group]
+            np.minimum.at(low, which, owners[group])
+            found = first_owners(texts, low) < np.repeat(low, count)
+            # all windows of a segment are held that a smaller owner has whole
+            out[_places(at[group], n)] = found[_places((np.cumsum(count) - count)[which], n)] | np.repeat(owners[group] > low[which], n)
+        else:
+            rounds = int(-(-(weight[b] - weight[a]) // (ROUND * array_bytes)))
+            for k in range(rounds):
+                text, first, n, key = _cut_anew(raw, starts[group], sizes[group], longer[0], array_bytes, rounds, k)
+                if not len(text):
+                    continue
+                text = group[text]
+                held = _before(raw, starts[text] + first, n, owners[text], key, array_bytes, longer[1:])
+                out[_places(at[text] + first, n)] = held
+        a = b
+    return out
+
+
+def _cut_anew(raw: bytes, starts: np.ndarray, sizes: np.ndarray, gram: int, array_bytes: int, rounds: int, k: int) -> list[np.ndarray]:
+    """Segments of runs of `gram` bytes of the given ones: (which one, first window in it, windows, hash), those of round k by hash."""
+    ends, found, a = np.concatenate(([0], np.cumsum(sizes))), [], 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + array_bytes, "right")) - 1)
+        joined = b"".join([raw[s : s + n] for s, n in zip(starts[a:b].tolist(), sizes[a:b].tolist())])
+        text, first, count, key = segments(np.frombuffer(joined, np.uint8), ends[a : b + 1] - ends[a], gram)
+        mine = _shard(key, rounds) == k
+        text = text[mine] + a
+        found.append((text, first[mine] - ends[text] + ends[a], count[mine], key[mine]))
+        a = b
+    return [np.concatenate(x) for x in zip(*found)]
 
 
 def _answers(segments_: DataFrame, array_bytes: int) -> DataFrame:
@@ -329,31 +408,14 @@ def _answers(segments_: DataFrame, array_bytes: int) -> DataFrame:
     def answer(batches):
         def made():
             for shard, rows in _by(_rows(batches), 2):
-                packs, subs = [], {}
-                size = 0
-                for pack, _, _, blob in rows:
-                    smallest, count, sub, joined = _unzip(blob, np.int64, np.int32, np.uint8, np.uint8)
-                    raw, ends = joined.tobytes(), np.cumsum(count + LENGTH - 1)
-                    size += len(raw)
-                    texts = [raw[e - n : e] for e, n in zip(ends.tolist(), (count + LENGTH - 1).tolist())]
-                    packs.append((pack, smallest, texts))
-                    for text, who, k in zip(texts, smallest.tolist(), sub.tolist()):
-                        own = subs.setdefault(k, {})
-                        if who < own.get(text, who + 1):
-                            own[text] = who
-                owners: dict[bytes, np.ndarray] = {}
-                held, weight = {}, 0
-                last = max(subs)
-                for k in sorted(subs):  # shards of the hash's next bits, joined up to the size of one array
-                    held.update(subs[k])
-                    weight += sum(map(len, subs[k]))
-                    if weight > array_bytes or k == last:
-                        texts = list(held)
-                        owners.update(zip(texts, first_owners(texts, np.array(list(held.values()), np.int64))))
-                        held, weight = {}, 0
-                for pack, smallest, texts in packs:
-                    bits = np.concatenate([owners[t] < who for t, who in zip(texts, smallest.tolist())])
-                    yield pack, WINDOWS, shard, _bits(bits).tobytes()
+                parts = [_unzip(blob, np.int64, np.int32, np.uint8, np.uint8) for *_, blob in rows]
+                owners, windows, keys = (np.concatenate([p[k] for p in parts]) for k in range(3))
+                raw, ends = b"".join(p[3].data for p in parts), np.cumsum([p[1].sum() for p in parts])
+                del parts
+                sizes = windows.astype(np.int64) + LENGTH - 1
+                bits = _before(raw, np.cumsum(sizes) - sizes, windows.astype(np.int64), owners, keys, array_bytes)
+                for (pack, *_), own in zip(rows, np.split(bits, ends)):
+                    yield pack, WINDOWS, shard, _bits(own).tobytes()
 
         yield from _out(made(), TRAVEL_ARROW)
 
@@ -371,14 +433,17 @@ def _removed(packs: DataFrame, shared: DataFrame, answers: DataFrame, shards: in
                     if kind == WINDOWS:
                         a, b = total[live.cuts[s]], total[live.cuts[s + 1]]
                         bits[a:b] = _mask(np.frombuffer(blob, np.uint8), b - a)
-                n = live.count
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                # a segment that a smaller id of this pack also holds goes whole
-                hit = np.repeat(live.owner > live.smallest[live.which], n) | bits[np.repeat(total[live.which], n) + inside]
-                start = (np.repeat(live.first, n) + inside)[hit]
-                size = len(live.data) + 1
-                step = np.bincount(start, minlength=size)[:size] - np.bincount(start + LENGTH, minlength=size)[:size]
-                yield from _cut(live.ids, live.null, live.offsets, live.data, np.cumsum(step)[:-1] > 0)
+                # each window has a place of its own, so no place is counted twice
+                step = np.zeros(len(live.data) + 1, np.int32)
+                for a in range(0, len(live.count), SOME):
+                    part = slice(a, a + SOME)
+                    n, which = live.count[part], live.which[part]
+                    # a segment that a smaller id of this pack also holds goes whole
+                    hit = np.repeat(live.owner[part] > live.smallest[which], n) | bits[_places(total[which], n)]
+                    start = _places(live.first[part], n)[hit]
+                    step[start] += 1
+                    step[start + LENGTH] -= 1
+                yield from _cut(live.ids, live.null, live.offsets, live.data, np.cumsum(step, dtype=np.int32)[:-1] > 0)
 
         yield from _out((r if text else (*r[:5], None) for r in made()), RESULT_ARROW)
 
@@ -388,9 +453,11 @@ def _removed(packs: DataFrame, shared: DataFrame, answers: DataFrame, shards: in
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, pack_bytes: int = PACK_BYTES,
                         array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 per row; with_text adds the remaining bytes as `kept`."""
-    shards = SHARDS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packs = _packs(docs, id_col, text_col, pack_bytes)
-    shared = keep(_shared(packs, shards), "shared")
-    answers = keep(_answers(_sent(packs, shared, shards), array_bytes), "answers")
+    written = packs.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0]
+    shards = max(SHARDS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-written // SHARD_BYTES))
+    with shuffles_freed(docs.sparkSession):
+        shared = keep(_shared(packs, shards), "shared")
+        answers = keep(_answers(_sent(packs, shared, shards), array_bytes), "answers")
     out = _removed(packs, shared, answers, shards, with_text).withColumnRenamed("doc_id", id_col)
     return out if with_text else out.drop("kept")

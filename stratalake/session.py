@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+FREE_SHUFFLES_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # A side is broadcast by hint only when it was measured and stays within both bounds.
 BROADCAST_ROWS = 100_000
@@ -79,6 +82,23 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, shuffle files go when the query that made them has ended, not when the driver collects its garbage.
+
+    For steps whose rows are written and read again, so that no query that has ended is asked again.
+    """
+    before = spark.conf.get(FREE_SHUFFLES_KEY, None)
+    spark.conf.set(FREE_SHUFFLES_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES_KEY)
+        else:
+            spark.conf.set(FREE_SHUFFLES_KEY, before)
+
+
 def broadcast_if_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, bool]:

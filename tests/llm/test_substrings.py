@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from stratalake.llm.substring_dedup import NO_ID, repeated_substrings, segments
+from stratalake.llm import substring_dedup
+from stratalake.llm.substring_dedup import LENGTH, NO_ID, repeated_substrings, segments
 from stratalake.llm.suffix_array import permuted_prefixes, suffix_array
 
 
@@ -61,6 +62,34 @@ def test_equal_windows_have_equal_hashes():
         assert by_window[k] == by_window[477 + k]
 
 
+def test_shards_get_equal_shares():
+    data = np.random.default_rng(2).integers(97, 123, 400_000).astype(np.uint8)
+    _, _, count, low = segments(data, np.array([0, len(data)]))
+    shares = np.bincount(substring_dedup._shard(low, 40), weights=count + LENGTH - 1, minlength=40)
+    assert shares.max() < 1.5 * shares.mean() and shares.min() > shares.mean() / 2
+
+
+@pytest.mark.parametrize("edges", [b"abcdefgh", b"ab"])
+def test_a_common_run_in_many_surroundings(monkeypatch, edges):
+    """One hash has more text than an array may hold: no array is larger, and the answers are those of brute force."""
+    rng, largest = random.Random(4), []
+    made = substring_dedup.first_owners
+    monkeypatch.setattr(substring_dedup, "first_owners", lambda texts, low: largest.append(sum(map(len, texts))) or made(texts, low))
+    around = [bytes(rng.choices(edges, k=25)) for _ in range(40)]
+    texts = [rng.choice(around)[rng.randint(0, 9) :] + b"common words of many" + rng.choice(around)[: rng.randint(14, 25)] for _ in range(900)]
+    texts = [t for t in texts if len(t) >= LENGTH]
+    owners = np.array([rng.randint(1, 200) for _ in texts])
+    first = {}
+    for t, own in zip(texts, owners.tolist()):
+        for k in range(len(t) - LENGTH + 1):
+            w = t[k : k + LENGTH]
+            first[w] = min(first.get(w, own), own)
+    want = [first[t[k : k + LENGTH]] < own for t, own in zip(texts, owners.tolist()) for k in range(len(t) - LENGTH + 1)]
+    sizes = np.array([len(t) for t in texts])
+    got = substring_dedup._before(b"".join(texts), np.cumsum(sizes) - sizes, sizes - LENGTH + 1, owners, np.zeros(len(texts), np.uint8), 4000)
+    assert got.tolist() == want and sizes.sum() > 20_000 and max(largest) <= 4000
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
