@@ -1,6 +1,7 @@
 """Profiles and exploration on hand-made frames: empty tables, NaN, booleans, long texts, ties."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -8,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from stratalake.operators import explore
+from stratalake.operators import explore, profiling
 from stratalake.operators.profiling import (
     completeness, duplicated_rows, inventory, null_problems, profile, table_shape,
 )
+from stratalake.session import shared_dir
 
 SCHEMA = "id bigint, name string, price double, ok boolean, day date, amount decimal(10,2)"
 
@@ -121,3 +123,20 @@ def test_shares_and_counts(spark):
     assert rows(explore.distinct_references(df, ["s"])) == [("s", 2)]
     summary = explore.numeric_summary(spark.createDataFrame([(1.0,), (2.0,), (None,)], "v double"), "v").first()
     assert tuple(summary) == (1.0, 2.0, 1.5)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_columns_in_steps(spark, monkeypatch, few):
+    """Columns taken one at a time, hashes first, give the figures of all at once, and nothing of the steps stays."""
+    df = spark.range(400).select(
+        "id", (F.col("id") % 7).alias("k"), F.concat(F.lit("name "), F.col("id").cast("string"), F.repeat(F.lit("x"), F.lit(20))).alias("alone"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 90).cast("string")).alias("some"), F.lit(None).cast("string").alias("none"))
+    whole = rows(profile(df, "t"))
+    monkeypatch.setattr(profiling, "PAIRS_AT_ONCE", 10)
+    if not few:
+        monkeypatch.setattr(profiling, "broadcast_if_small", lambda found: (found, False))
+    assert rows(profile(df, "t")) == whole and {r[1]: r[5] for r in whole} == {"id": 400, "k": 7, "alone": 400, "some": 72, "none": 0}
+    twice = df.unionByName(df.where("id < 30")).unionByName(df.where("id < 10"))
+    assert duplicated_rows(twice, "t").first()[1:] == (440, 5, 40)
+    assert [r.total_rows for r in profiling.table_profiles({"a": df, "b": twice}).collect()] == [400] * 5 + [440] * 5
+    assert not [n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith("written-")]

@@ -1,6 +1,8 @@
 """Session settings and the checkpoint folder."""
 
-from stratalake.session import CHECKPOINT_KEY, pin, shared_dir, shuffle_partitions_for
+import time
+
+from stratalake.session import CHECKPOINT_KEY, FREE_SHUFFLES_KEY, pin, shared_dir, shuffle_partitions_for, shuffles_freed
 
 
 def test_partitions_follow_the_volume():
@@ -21,3 +23,24 @@ def test_pinned_rows_do_not_change(spark):
     pinned = pin(spark.range(100).withColumn("r", F.rand()))
     assert sorted(pinned.collect()) == sorted(pinned.collect())
     assert "Scan ExistingRDD" in pinned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count()
+
+    def kept():
+        return {path for path in files.getAllFiles().mkString(" ").split() if "/shuffle_" in path}
+
+    before = kept()
+    shuffled.write.parquet(str(tmp_path / "a"))
+    assert kept() - before
+    before = kept()
+    with shuffles_freed(spark):
+        with shuffles_freed(spark):
+            shuffled.write.parquet(str(tmp_path / "b"))
+        assert spark.conf.get(FREE_SHUFFLES_KEY) == "true"
+    deadline = time.time() + 20  # they go in the background
+    while kept() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not kept() - before and spark.conf.get(FREE_SHUFFLES_KEY) == "false"
