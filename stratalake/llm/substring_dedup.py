@@ -79,11 +79,12 @@ def _smallest(data: np.ndarray, gram: int) -> np.ndarray:
     """For every window of LENGTH bytes: the smallest mixed hash of its runs of `gram` bytes."""
     with np.errstate(over="ignore"):
         h, base, have = data.astype(np.uint64) + np.uint64(1), tx.BASE, 1
-        powers = {1: (h, base)}
+        powers = {1: (h, base)} if gram & 1 else {}
         while 2 * have <= gram:
             h = h[:-have] * base + h[have:]
             base, have = base * base, 2 * have
-            powers[have] = (h, base)
+            if gram & have:
+                powers[have] = (h, base)
         left, total, done = gram - have, h, have
         for size in sorted(powers, reverse=True):
             if left >= size:
